@@ -7,9 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import decontaminate, jaccard, substring
+from maploom.llm import decontaminate, jaccard, substring, tokencount
 from maploom.llm.tables import read
 
+#: Where vocabulary files are looked up by name; None: the installed public_tokenizers package.
+TOKENIZER_PATH: Callable[[str], str] | None = None
+
+
+def tokenizer_path(name: str) -> str:
+    if TOKENIZER_PATH is not None:
+        return TOKENIZER_PATH(name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,3 +52,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=13, share=20)
     digest = F.sha2(F.array_join("item_ids", ","), 256)
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), limit=4096)
