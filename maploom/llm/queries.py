@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import decontaminate, jaccard, substring, tokencount, tokenids
+from maploom.llm import decontaminate, jaccard, media, substring, tokencount, tokenids
 from maploom.llm.tables import read
 
 #: Where vocabulary files are looked up by name; None: the installed public_tokenizers package.
@@ -63,3 +63,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = tokenids.write_token_ids(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return tokenids.verified_token_ids(blocks)
+
+
+@query("op7_media_columns")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read(spark, sf_dir, "documents"))
