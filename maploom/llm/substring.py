@@ -37,8 +37,9 @@ from maploom.llm import wordhash as wh
 MAX_BITS = 28
 MIN_BITS = 16
 BLOCK_BITS = 20
-#: Windows gathered in a task before they are sent on.
-FLUSH = 4_000_000
+#: Windows gathered in a task before their sketch is sent on, and suspects before their entries are.
+SKETCH_WINDOWS = 3_000_000
+SUSPECTS = 750_000
 #: Windows a bucket of the exact pass is planned for.
 BUCKET_WINDOWS = 2_000_000
 
@@ -63,8 +64,11 @@ def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((h >> np.uint64(36 if row else 0)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], size: int, second: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """(doc_id, hash, second hash) of windows, some millions at a time."""
+def _windows(batches: Iterator[pa.RecordBatch], size: int, limit: int, suspect=None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(doc_id, hash, second hash) of windows, about ``limit`` at a time; with ``suspect`` only of those it flags.
+
+    Without ``suspect`` only the hashes are filled.
+    """
     kept: list[tuple[np.ndarray, ...]] = []
     total = 0
     for batch in batches:
@@ -76,10 +80,14 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, second: bool) -> Iter
             first, h = wh.window_hashes(words, hashes, size, 22)
             doc = words.first_doc + words.doc[first]
             use = known[doc]
-            other = wh.window_hashes(words, hashes, size, 23)[1][use] if second else h[:0]
-            kept.append((number[doc[use]], h[use], (other >> np.uint64(32)).astype(np.uint32)))
-            total += len(h)
-            if total >= FLUSH:
+            if suspect is None:
+                kept.append((doc[:0], h[use], doc[:0]))
+            else:
+                use &= suspect(h)
+                other = wh.window_hashes(words, hashes, size, 23)[1][use]
+                kept.append((number[doc[use]], h[use], (other >> np.uint64(32)).astype(np.uint32)))
+            total += len(kept[-1][1])
+            if total >= limit:
                 yield tuple(np.concatenate(x) for x in zip(*kept))
                 kept, total = [], 0
     if kept:
@@ -89,7 +97,7 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, second: bool) -> Iter
 def _sketch(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = min(bits, BLOCK_BITS)
-        for _, h, _ in _windows(batches, size, False):
+        for _, h, _ in _windows(batches, size, SKETCH_WINDOWS):
             for row in (0, 1):
                 cells = np.sort(_cells(h, row, bits))
                 fresh = np.ones(len(cells), dtype=bool)
@@ -156,12 +164,16 @@ def _group_low(doc: np.ndarray, h: np.ndarray, t: np.ndarray) -> tuple[np.ndarra
 def _suspects(size: int, bits: int, buckets: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = table.value
-        for doc, h, t in _windows(batches, size, True):
+
+        def suspect(h: np.ndarray) -> np.ndarray:
             keep = np.ones(len(h), dtype=bool)
             for row in (0, 1):
                 cell = _cells(h, row, bits)
                 keep &= (flags[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            doc, h, t, fresh, low, single = _group_low(doc[keep], h[keep], t[keep])
+            return keep
+
+        for doc, h, t in _windows(batches, size, SUSPECTS, suspect):
+            doc, h, t, fresh, low, single = _group_low(doc, h, t)
             later = single & (doc > low)  # repeated within this task already
             rows = [(int(d) % buckets, int(d), b, None, None) for d, b in _by_doc(doc[later], h[later])]
             doc, h, t = doc[fresh], h[fresh], t[fresh]
