@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import decontaminate, jaccard, media, substring, tokencount, tokenids
+from maploom.llm import decontaminate, jaccard, media, mixing, substring, tokencount, tokenids
 from maploom.llm.tables import read
 
 #: Where vocabulary files are looked up by name; None: the installed public_tokenizers package.
@@ -68,3 +68,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_media_columns")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(read(spark, sf_dir, "documents"))
+
+
+@query("op6_source_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, seed=7)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
