@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import decontaminate, jaccard, media, mixing, substring, tokencount, tokenids
+from maploom.llm import decontaminate, jaccard, langid, media, mixing, quality, substring, tokencount, tokenids, urls
 from maploom.llm.tables import read
 
 #: Where vocabulary files are looked up by name; None: the installed public_tokenizers package.
@@ -22,6 +22,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: (verdict, host, path prefix)
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -74,3 +83,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, seed=7)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_url_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(read(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), folds=3, held_out=1)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"), folds=5, held_out=0)
