@@ -1,13 +1,88 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: each stage works on all that its predecessor kept.
+
+Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
+read again as the next stage's ``docs``.  All stages but the last return the columns
+of ``documents``.  Rows with a null ``doc_id`` can't be rejected by id and stay.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maploom.llm import decontaminate, jaccard, mixing, quality, tokenids
+from maploom.llm.queries import tokenizer_path
+from maploom.llm.tables import join_small, read, stored
+
+#: Ids up to which a list of decisions is broadcast.
+BROADCAST_ROWS = 500_000
+
+#: Nothing here is plain SQL: trees, hashes and a tokenizer decide.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return join_small(docs, ids.select("doc_id").distinct(), "doc_id", "left_anti", BROADCAST_ROWS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    scores = quality.quality_scores(docs, read(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return _without(docs, stored(scores.filter("predicted = 0").select("doc_id"), "rejected"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group linked at 0.8 on five-word shingles."""
+    classes = stored(jaccard.jaccard_components(docs, size=5, percent=80).select("doc_id", "component_id"), "classes")
+    kept = _without(docs, classes.filter("doc_id <> component_id"))
+    again = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = stored(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    repeated = join_small(kept, again, "doc_id", "left_semi", BROADCAST_ROWS).dropDuplicates(["doc_id", "text"])
+    return _without(kept, again).unionByName(repeated)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the benchmark contaminates."""
+    judged = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), size=13, share=20)
+    return _without(docs, stored(judged.filter("contaminated").select("doc_id"), "contaminated"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out whole documents so that each source's words come to what the mix takes of it.
+
+    A document of which the mix takes 1.3 times its words comes once, and with a
+    seeded chance of 0.3 twice.  Documents without words stay once.
+    """
+    mixed = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, seed=7)
+    times = F.col("taken") / F.col("size")
+    chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(times) + (chance < times - F.floor(times)).cast("int")).cast("int")
+    plan = mixed.filter("doc_id is not null").select("doc_id", copies.alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
+    drawn = join_small(docs, stored(plan, "copies"), "doc_id", "left", BROADCAST_ROWS).withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the token-id files and describe every document from them."""
+    blocks = tokenids.write_token_ids(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return tokenids.verified_token_ids(blocks)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("source mixing", mixing_stage),
+    ("token id output", token_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs, name.replace(" ", "-"))
     return docs

@@ -185,18 +185,19 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, train_rows: int = TRAIN_ROWS) -> RuleEnsemble:
+def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, train_rows: int = TRAIN_ROWS) -> RuleEnsemble:
     """Rules from labelled rows outside the held-out fold, at most ``train_rows`` of them."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
     usable = usable.filter(F.col("label").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), folds, held_out))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
-    rows = stats.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(2 * train_rows).toPandas()
+    sample = stored(usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows), "label-sample")
+    wanted = F.broadcast(sample.select("doc_id").distinct())  # at most train_rows ids
+    stats = text_statistics(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"))
+    rows = stats.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "label").limit(2 * train_rows).toPandas()
     return RuleEnsemble.fit(rows[FEATURES].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    stats = stored(text_statistics(docs), "statistics")
-    model = fit_quality(stats, labels, folds, held_out)
-    scored = stats.select("doc_id", in_fold(F.col("doc_id"), folds, held_out).alias("held_out"), model.column().alias("score"))
+    model = fit_quality(docs, labels, folds, held_out)
+    scored = text_statistics(docs).select("doc_id", in_fold(F.col("doc_id"), folds, held_out).alias("held_out"), model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
