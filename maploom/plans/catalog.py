@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from maploom.plans import ORACLES, QUERIES
+from maploom.plans import scalars  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
