@@ -42,6 +42,8 @@ SKETCH_WINDOWS = 3_000_000
 SUSPECTS = 750_000
 #: Windows a bucket of the exact pass is planned for.
 BUCKET_WINDOWS = 2_000_000
+#: Twice the windows of a group of documents whose texts and flags meet in one task.
+GROUP_WINDOWS = 3_000_000
 
 
 def _gaps(cells: np.ndarray) -> bytes:
@@ -140,14 +142,16 @@ def repeated_cells(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     return table
 
 
-_PART = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.binary()), ("tail", pa.binary()), ("doc", pa.binary())])
+_PART = pa.schema([("bucket", pa.int32()), ("doc_group", pa.int32()), ("base", pa.int64()), ("hash", pa.binary()), ("tail", pa.binary()), ("doc", pa.binary())])
 
 
-def _by_doc(doc: np.ndarray, h: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(doc, kind="stable")
-    doc, h = doc[order], h[order]
-    at = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1))
-    return [(int(doc[i]), part.tobytes()) for i, part in zip(at, np.split(h, at[1:]))] if len(doc) else []
+def _by_group(doc: np.ndarray, h: np.ndarray, groups: int) -> list[tuple[int, bytes, bytes]]:
+    """(group, documents, hashes) of flagged windows."""
+    group = doc % groups
+    order = np.argsort(group, kind="stable")
+    at = np.searchsorted(group[order], np.arange(groups + 1))
+    parts = ((g, order[at[g] : at[g + 1]]) for g in range(groups) if at[g + 1] > at[g])
+    return [(g, doc[p].tobytes(), h[p].tobytes()) for g, p in parts]
 
 
 def _group_low(doc: np.ndarray, h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -161,7 +165,7 @@ def _group_low(doc: np.ndarray, h: np.ndarray, t: np.ndarray) -> tuple[np.ndarra
     return doc, h, t, fresh, doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1], single
 
 
-def _suspects(size: int, bits: int, buckets: int, table):
+def _suspects(size: int, bits: int, buckets: int, groups: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = table.value
 
@@ -175,7 +179,7 @@ def _suspects(size: int, bits: int, buckets: int, table):
         for doc, h, t in _windows(batches, size, SUSPECTS, suspect):
             doc, h, t, fresh, low, single = _group_low(doc, h, t)
             later = single & (doc > low)  # repeated within this task already
-            rows = [(int(d) % buckets, int(d), b, None, None) for d, b in _by_doc(doc[later], h[later])]
+            rows = [(g % buckets, g, None, x, None, d) for g, d, x in _by_group(doc[later], h[later], groups)]
             doc, h, t = doc[fresh], h[fresh], t[fresh]
             bucket = (h >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
@@ -185,65 +189,73 @@ def _suspects(size: int, bits: int, buckets: int, table):
                 if len(part):
                     base = int(doc[part].min())
                     gap = doc[part] - base
-                    rows.append((b, base, h[part].tobytes(), t[part].tobytes(), gap.astype(np.uint32 if gap.max() < 1 << 32 else np.uint64).tobytes()))
+                    rows.append((b, None, base, h[part].tobytes(), t[part].tobytes(), gap.astype(np.uint32 if gap.max() < 1 << 32 else np.uint64).tobytes()))
             yield pa.RecordBatch.from_pylist([dict(zip(_PART.names, r)) for r in rows], schema=_PART)
 
     return run
 
 
-def _resolve(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: the (document, hash) pairs that a smaller document has too."""
-    doc, h, t = [], [], []
-    for batch in batches:
-        passed = []
-        for _, base, hashes, tail, gap in zip(*(c.to_pylist() for c in batch.columns)):
-            if tail is None:
-                passed.append((base, hashes))
-                continue
-            h.append(np.frombuffer(hashes, dtype=np.uint64))
-            t.append(np.frombuffer(tail, dtype=np.uint32))
-            wide = np.uint32 if len(gap) == 4 * len(h[-1]) else np.uint64
-            doc.append(np.frombuffer(gap, dtype=wide).astype(np.int64) + base)
-        if passed:
-            yield _flagged(passed)
-    if doc:
-        d, x, _, _, low, single = _group_low(*(np.concatenate(v) for v in (doc, h, t)))
-        later = single & (d > low)
-        yield _flagged(_by_doc(d[later], x[later]))
-
-
-def _flagged(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "hashes"])
+def _resolve(groups: int):
+    """Of one bucket: the (document, hash) pairs that a smaller document has too, by document group."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, h, t = [], [], []
+        for batch in batches:
+            passed = []
+            for _, group, base, hashes, tail, gap in zip(*(c.to_pylist() for c in batch.columns)):
+                if tail is None:  # settled in the task that read the texts
+                    passed.append((group, gap, hashes))
+                    continue
+                h.append(np.frombuffer(hashes, dtype=np.uint64))
+                t.append(np.frombuffer(tail, dtype=np.uint32))
+                wide = np.uint32 if len(gap) == 4 * len(h[-1]) else np.uint64
+                doc.append(np.frombuffer(gap, dtype=wide).astype(np.int64) + base)
+            if passed:
+                yield pa.RecordBatch.from_pylist([dict(zip(_FLAGS.names, r)) for r in passed], schema=_FLAGS)
+        if doc:
+            d, x, _, _, low, single = _group_low(*(np.concatenate(v) for v in (doc, h, t)))
+            later = single & (d > low)
+            yield pa.RecordBatch.from_pylist([dict(zip(_FLAGS.names, r)) for r in _by_group(d[later], x[later], groups)], schema=_FLAGS)
+
+    return run
+
+
+_FLAGS = pa.schema([("doc_group", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
 
 
 def _cut(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for words in wh.slices(texts, "space"):
-                counts = words.counts()
-                ends = np.cumsum(counts)
-                covered = np.zeros(len(words.start) + 1, dtype=np.int32)
-                here = [(i, np.frombuffer(b"".join(m), dtype=np.uint64)) for i, m in enumerate(marks[words.first_doc : words.first_doc + words.n_docs]) if m]
-                if here:
-                    first, h = wh.window_hashes(words, wh.word_hashes(words, 21), size, 22)
-                    owner = words.doc[first].astype(np.uint64)
-                    salted = wh.mix64(h + wh.mix64(owner))
-                    wanted = np.concatenate([wh.mix64(m + wh.mix64(np.full(1, i, dtype=np.uint64))) for i, m in here])
-                    hit = first[np.isin(salted, wanted)]
-                    covered[hit] += 1
-                    np.subtract.at(covered, hit + size, 1)
-                gone = np.cumsum(covered[:-1]) > 0
-                removed = np.bincount(words.doc[gone], minlength=words.n_docs)
-                out = []
-                for i in range(words.n_docs):
-                    parts = (texts[words.first_doc + i] or "").encode().split()
-                    if removed[i]:
-                        parts = compress(parts, (~gone[ends[i] - counts[i] : ends[i]]).tolist())
-                    out.append(b" ".join(parts))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(words.first_doc, words.n_docs), pa.array(counts.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(out, pa.binary()).cast(pa.string()),
-                ], names=["doc_id", "n_words", "n_removed", "text"])
+    """Texts of one document group and its flagged windows -> what stays of the texts."""
+
+    def run(key: tuple, docs: pa.Table, flags: pa.Table) -> pa.Table:
+        flagged = [np.frombuffer(b"".join(flags.column(c).to_pylist()), dtype=t) for c, t in (("docs", np.uint64), ("hashes", np.uint64))] if flags.num_rows else [np.zeros(0, dtype=np.uint64)] * 2
+        wanted = np.unique(wh.mix64(flagged[1] + wh.mix64(flagged[0])))
+        texts, ids = docs.column("text").to_pylist(), docs.column("doc_id")
+        known = ~np.asarray(ids.is_null())
+        number = ids.fill_null(0).to_numpy().astype(np.uint64)
+        totals, removals, out = [], [], []
+        for words in wh.slices(texts, "space"):
+            counts = words.counts()
+            ends = np.cumsum(counts)
+            covered = np.zeros(len(words.start) + 1, dtype=np.int32)
+            if len(wanted):
+                first, h = wh.window_hashes(words, wh.word_hashes(words, 21), size, 22)
+                owner = words.first_doc + words.doc[first]
+                salted = wh.mix64(h + wh.mix64(number[owner]))
+                place = np.minimum(np.searchsorted(wanted, salted), len(wanted) - 1)
+                hit = first[(wanted[place] == salted) & known[owner]]
+                covered[hit] += 1
+                np.subtract.at(covered, hit + size, 1)
+            gone = np.cumsum(covered[:-1]) > 0
+            removed = np.bincount(words.doc[gone], minlength=words.n_docs)
+            for i in range(words.n_docs):
+                parts = (texts[words.first_doc + i] or "").encode().split()
+                if removed[i]:
+                    parts = compress(parts, (~gone[ends[i] - counts[i] : ends[i]]).tolist())
+                out.append(b" ".join(parts))
+            totals.append(counts)
+            removals.append(removed)
+        whole = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in (totals, removals)]
+        return pa.Table.from_arrays([ids, *whole, pa.array(out, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     return run
 
@@ -257,7 +269,9 @@ def remove_repeated(docs: DataFrame, size: int = 13) -> DataFrame:
     bits = int(np.clip(int(2 * windows).bit_length(), MIN_BITS, MAX_BITS))
     buckets = int(max(16, windows // BUCKET_WINDOWS))
     table = spark.sparkContext.broadcast(repeated_cells(docs, size, bits))
-    parts = docs.mapInArrow(_suspects(size, bits, buckets, table), "bucket int, doc_id long, hash binary, tail binary, doc binary")
-    flagged = parts.groupBy("bucket").applyInArrow(_resolve, "doc_id long, hashes binary")
-    marks = flagged.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    return docs.join(marks, "doc_id", "left").mapInArrow(_cut(size), "doc_id long, n_words long, n_removed long, text string")
+    groups = int(windows // GROUP_WINDOWS) * 2 + 17
+    schema = "bucket int, doc_group int, base long, hash binary, tail binary, doc binary"
+    parts = docs.mapInArrow(_suspects(size, bits, buckets, groups, table), schema)
+    flagged = parts.groupBy("bucket").applyInArrow(_resolve(groups), "doc_group int, docs binary, hashes binary")
+    grouped = docs.withColumn("doc_group", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(groups)).cast("int"))
+    return grouped.groupBy("doc_group").cogroup(flagged.groupBy("doc_group")).applyInArrow(_cut(size), "doc_id long, n_words long, n_removed long, text string")
