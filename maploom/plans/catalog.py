@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from maploom.plans import ORACLES, QUERIES
-from maploom.plans import joins, scalars  # noqa: F401
+from maploom.plans import joins, retrieval, scalars  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
