@@ -8,8 +8,9 @@ done only inside blocks that can hold a linked pair.
 2. Blocks.  If two sets are similar enough, few elements differ: at most
    ``(|A| + |B|) (1 - t) / (1 + t)``.  Sets of about one size are cut into more
    segments than that by shingle hash, so at least one segment is equal in both.
-   Sets that share the hash of a segment fall into one block; no linked pair is
-   lost, and unrelated documents that share a passage rarely meet.
+   Sets that share the hash of a segment meet; those whose profiles (shingle counts
+   by hash region) differ by more than the bound part again, the others fall into
+   one block.  No linked pair is lost.
 3. Inside a block, rows are taken in tiles of ``TILE`` sets.  For each pair of
    tiles the incidence matrices are multiplied over blocks of columns and the
    overlap counts added up; pairs whose overlap is under the bound that their
@@ -43,6 +44,8 @@ TILE = 512
 COLUMNS = 4096
 #: Rows (some 40 bytes each) up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
+#: Entries whose sets meet in one task.
+MEET_ROWS = 60_000
 _STEP = 1.35
 
 
@@ -145,9 +148,66 @@ def segment_hashes(plan: SegmentPlan, doc: np.ndarray, value: np.ndarray, n: np.
     return rows[owner[keep]], out[keep]
 
 
+def profiles(doc: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Per document, how many of its shingles fall into each region of the hash space (one byte a region, 255 at most).
+
+    There are some eight shingles a region.  The summed differences of two profiles are
+    never more than the number of elements in which the sets differ.
+    """
+    power = np.maximum(3, np.ceil(np.log2(np.maximum(n, 1) / 8)).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(1 << power)])
+    region = wh.mix64(value ^ np.uint64(0xA0761D6478BD642F)) >> (np.uint64(64) - power[doc].astype(np.uint64))
+    count = np.minimum(np.bincount(base[doc] + region.astype(np.int64), minlength=base[-1]), 255).astype(np.uint8)
+    return [count[a:b].tobytes() for a, b in zip(base[:-1], base[1:])]
+
+
+def _fold(rows: list[bytes], width: int) -> np.ndarray:
+    return np.array([np.frombuffer(r, dtype=np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32) for r in rows])
+
+
+def alike(rows: list[bytes], n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that the profiles don't rule out; rows are compared in tiles, never all at once."""
+    width = min(map(len, rows))
+    p = _fold(rows, width)
+    found = []
+    for i in range(0, len(rows), 64):
+        for j in range(i, len(rows), 512):
+            apart = np.abs(p[i : i + 64, None, :] - p[None, j : j + 512, :]).sum(axis=2)
+            a, b = np.nonzero(apart * (100 + percent) <= (n[i : i + 64, None] + n[None, j : j + 512]) * (100 - percent))
+            found.append((a + i, b + j))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return a[a < b], b[a < b]
+
+
+def _meet(percent: int):
+    """Entries of some segments -> edges between sets that share a segment and have like profiles."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        segment, ids, n = (t.column(c).to_numpy() for c in ("segment", "set_id", "n_shingles"))
+        rows = t.column("profile").to_pylist()
+        order = np.argsort(segment, kind="stable")
+        cut = np.flatnonzero(np.diff(segment[order])) + 1
+        edges: list[np.ndarray] = []
+        done: set[tuple[int, int]] = set()
+        for group in np.split(order, cut):
+            if len(group) == 2:
+                x, y = sorted(ids[group].tolist())
+                if (x, y) in done:
+                    continue
+                done.add((x, y))
+            a, b = alike([rows[k] for k in group], n[group], percent)
+            if len(a):
+                edges.append(np.column_stack(forest(ids[group[a]], ids[group[b]])))
+        both = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return run
+
+
 _DOC_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-    T.StructField("set_id", T.LongType()), T.StructField("segments", T.ArrayType(T.LongType(), False)),
+    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()),
+    T.StructField("profile", T.BinaryType()), T.StructField("segments", T.ArrayType(T.LongType(), False)),
 ])
 
 
@@ -169,7 +229,7 @@ def _describe(size: int, percent: int):
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=words.n_docs))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(words.first_doc, words.n_docs), pa.array(n),
-                    pa.array(whole, mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(segment.view(np.int64))),
+                    pa.array(whole, mask=n == 0), pa.array(profiles(doc, value, n), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(segment.view(np.int64))),
                 ], names=_DOC_SCHEMA.names)
 
     return run
@@ -275,10 +335,15 @@ def jaccard_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     described = stored(docs.mapInArrow(_describe(size, percent), _DOC_SCHEMA), "shingles")
     members = described.select("doc_id", "n_shingles", "set_id")
 
-    # segments that two or more different sets share, as stars around their smallest set
+    # segments that two or more different sets share; their sets meet by segment, and profiles rule out most
     entries = described.select(F.explode("segments").alias("segment"), "set_id").repartition("segment").dropDuplicates(["segment", "set_id"])
-    stars = entries.withColumn("least", F.min("set_id").over(W.partitionBy("segment"))).filter("set_id <> least")
-    stars = stored(stars.select(F.col("set_id").alias("a"), F.col("least").alias("b")).distinct(), "stars")
+    whole = W.partitionBy("segment")
+    entries = entries.withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole)).filter("least < most")
+    entries = stored(entries.select("segment", "set_id"), "entries")
+    parts = max(16, entries.count() // MEET_ROWS)
+    sets = described.select("set_id", "n_shingles", "profile").filter("set_id is not null").join(entries.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
+    met = entries.join(sets, "set_id").withColumn("part", F.pmod("segment", F.lit(parts)))
+    stars = stored(met.groupBy("part").applyInArrow(_meet(percent), "a long, b long").distinct(), "stars")
     block = components(stars)
 
     # the document that stands for each set of a block, with the tiles of its block
