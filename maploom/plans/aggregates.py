@@ -240,13 +240,13 @@ def d30(spark, sf_dir):
     return rounded(A.mesh_components(v, f), ["area"])
 
 
-@query("d31_connected_components", """with recursive e as (select distinct o_custkey as a, 1000000 + o_orderkey % 9700 + 100000 * (o_orderkey % 2) as b from orders where o_orderkey % 7 = 0), s as (select a, b from e union select b, a from e),
+@query("d31_connected_components", """with recursive e as (select distinct o_orderkey as a, o_orderkey - o_custkey % 2 as b from orders), s as (select a, b from e union select b, a from e),
 r as (select a as node, a as seen from s union select r.node, s.b from r join s on s.a = r.seen) select node, min(seen) as component from r group by 1""")
 def d31(spark, sf_dir):
     from maploom.operators.graphs import connected_components
 
-    o = fx.table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0")
-    return connected_components(o.select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey") % 9700 + 100000 * (F.col("o_orderkey") % 2)).alias("b")))
+    o = fx.table(spark, sf_dir, "orders")
+    return connected_components(o.select(F.col("o_orderkey").alias("a"), (F.col("o_orderkey") - F.col("o_custkey") % 2).alias("b")))
 
 
 @query("d33_voxel_downsample", f"select arg_min(id, id) as id from ({fx.POINTS}) group by floor(x / 0.8), floor(y / 0.8), floor(z / 0.8)")

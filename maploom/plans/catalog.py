@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from maploom.plans import ORACLES, QUERIES
-from maploom.plans import aggregates, joins, retrieval, scalars, sequences  # noqa: F401
+from maploom.plans import aggregates, expectations, joins, memory, retrieval, scalars, sequences, streams  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 

@@ -157,11 +157,11 @@ def c14(spark, sf_dir):
     return J.attach_to_nearest_place(p, fx.places(spark, sf_dir), 16.0)
 
 
-@query("c15_visible_objects", f"""with v as (select key as view, arg_max(value, us) as x, list_distinct(list(k % 7)) as labels from ({fx.EVENTS}) where key < 20 and kind = 'error' and value > 60 group by key)
+@query("c15_visible_objects", f"""with v as (select key as view, arg_max(value, us) as x, list_distinct(list(k % 3)) as labels from ({fx.EVENTS}) where kind = 'error' group by key)
 select view, id, label, round(sqrt(pow(p.x - v.x, 2) + pow(p.y, 2) + pow(p.z, 2)), 6) as distance from ({fx.POINTS}) p, v where list_contains(labels, label) and label <> 0""")
 def c15(spark, sf_dir):
-    v = fx.events(spark, sf_dir).filter("key < 20 and kind = 'error' and value > 60")  # the views asked for
-    v = v.groupBy(F.col("key").alias("view")).agg(F.max_by("value", "us").alias("x"), F.collect_list(F.col("k") % 7).alias("labels")).withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    v = fx.events(spark, sf_dir).filter("kind = 'error'")
+    v = v.groupBy(F.col("key").alias("view")).agg(F.max_by("value", "us").alias("x"), F.collect_list(F.col("k") % 3).alias("labels")).withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
     return J.visible_objects(v, fx.points(spark, sf_dir)).select("view", "id", "label", r6(F.col("distance"), "distance"))
 
 

@@ -11,6 +11,7 @@ from maploom.functions import vectors as V
 from maploom.operators import pixels as PX
 from maploom.plans import fixtures as fx
 from maploom.plans import query
+from maploom.sources.tables import bounded
 
 
 def r6(c, name):
@@ -36,12 +37,12 @@ def b2(spark, sf_dir):
 
 
 @query("b3_cosine01", """select a.vec_id as q, b.vec_id as v, round((list_dot_product(a.embedding::double[], b.embedding::double[]) + 1) / 2, 6) as score
-from embeddings a join embeddings b on a.vec_id < 5 and b.vec_id >= 10""")
+from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 <> 0""")
 def b3(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))  # five fixed queries
-    v = e.filter("vec_id >= 10").select(F.col("vec_id").alias("v"), F.col("embedding").alias("ve"))
-    return v.join(F.broadcast(q), F.lit(True)).select("q", "v", r6(V.cosine01(F.col("qe"), F.col("ve")), "score"))
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))  # the query set
+    v = e.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("v"), F.col("embedding").alias("ve"))
+    return v.join(bounded(q), F.lit(True)).select("q", "v", r6(V.cosine01(F.col("qe"), F.col("ve")), "score"))
 
 
 @query("b4_normalise_text", """select doc_id, length(t) as n, md5(t) as digest from (select doc_id, trim(regexp_replace(text, '[\\s\\x{85}\\p{Z}]+', ' ', 'g')) as t from documents)""")
@@ -53,12 +54,12 @@ def b4(spark, sf_dir):
 _SETS = "list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+'))"
 
 
-@query("b5_token_jaccard", f"""with d as (select doc_id, {_SETS} as a from documents), b as (select item_id, {_SETS} as b from benchmark where item_id < 3)
+@query("b5_token_jaccard", f"""with d as (select doc_id, {_SETS} as a from documents), b as (select item_id, {_SETS} as b from benchmark where item_id % 20 = 0)
 select doc_id, item_id, round(case when len(a) + len(b) = 0 then 1.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as score from d, b""")
 def b5(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents").select("doc_id", X.token_set(F.col("text")).alias("a"))
-    b = fx.table(spark, sf_dir, "benchmark").filter("item_id < 3").select("item_id", X.token_set(F.col("text")).alias("b"))  # three fixed items
-    return d.join(F.broadcast(b), F.lit(True)).select("doc_id", "item_id", r6(X.set_jaccard(F.col("a"), F.col("b")), "score"))
+    b = fx.table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", X.token_set(F.col("text")).alias("b"))  # the query set
+    return d.join(bounded(b), F.lit(True)).select("doc_id", "item_id", r6(X.set_jaccard(F.col("a"), F.col("b")), "score"))
 
 
 @query("b6_operation_id", f"""select seq, sha256('map|' || seq || '|' || key || '|' || k || '|' || lower(kind)) as op from ({fx.EVENTS})""")
@@ -111,18 +112,23 @@ def b10(spark, sf_dir):
     return p.select("id", *[r6(F.col("p")[i], n) for i, n in enumerate(("px", "py", "pz"))], r6(F.col("b")[0], "back_x"), r6(F.col("b")[1], "back_y"), r6(G.compose(F.col("m"), F.col("m"))[11], "twice_z"))
 
 
-@query("b11_yaw", f"select id, round(case when id % 360 = 180 then 180.0 when id % 360 > 180 then id % 360 - 360.0 else id % 360 end::double, 4) as yaw from ({fx.PARTS}) where id % 360 <> 180")
+def _turn():
+    """Half of an angle between 0.5 and 178.5 degrees."""
+    return F.radians(F.col("id") % 179 + 0.5) / 2
+
+
+@query("b11_yaw", f"select id, round(id % 179 + 0.5::double, 4) as yaw from ({fx.PARTS})")
 def b11(spark, sf_dir):
-    p = fx.parts(spark, sf_dir).filter("id % 360 <> 180")  # there the sign hangs on the last bit
-    a = F.radians((F.col("id") % 360).cast("double")) / 2
-    return p.select("id", F.round(G.yaw_deg([F.lit(0.0), F.lit(0.0), F.sin(a), F.cos(a)]), 4).alias("yaw"))
+    a = _turn()
+    return fx.parts(spark, sf_dir).select("id", F.round(G.yaw_deg([F.lit(0.0), F.lit(0.0), F.sin(a), F.cos(a)]), 4).alias("yaw"))
 
 
-@query("b12_rotation_angle", f"select id, round(case when id % 360 > 180 then 360 - id % 360 else id % 360 end::double, 3) as angle from ({fx.PARTS}) where id % 180 <> 0")
+@query("b12_rotation_angle", f"select id, round(id % 179 + 0.5::double, 3) as angle from ({fx.PARTS})")
 def b12(spark, sf_dir):
-    p = fx.parts(spark, sf_dir).filter("id % 180 <> 0").withColumn("m", _pose(None))
+    a = _turn()
+    turned = G.quat_to_matrix([F.lit(0.0), F.lit(0.0), F.sin(a), F.cos(a)], [F.col(c) for c in "xyz"])
     same = F.array(*[F.lit(float(r == c)) for r in range(4) for c in range(4)])
-    return p.select("id", F.round(G.rotation_angle_deg(same, F.col("m")), 3).alias("angle"))
+    return fx.parts(spark, sf_dir).select("id", F.round(G.rotation_angle_deg(same, turned), 3).alias("angle"))
 
 
 @query("b13_box_gap_iou", f"""with b as (select *, 1.0 + (x::bigint % 3) as w from ({fx.PARTS})), g as (select id, w, greatest(abs(x - 25) - (w + 20) / 2, 0) as gx, greatest(abs(y - 50) - (1 + 60) / 2.0, 0) as gy, greatest(abs(z - 3) - (0.5 + 4) / 2, 0) as gz,
