@@ -242,11 +242,16 @@ class Transducer:
 _machines: dict[str, Transducer] = {}
 
 
+def machine_for(path: str) -> Transducer:
+    """The transducer of this Python worker; found by import, so the tasks that a worker runs share it."""
+    if path not in _machines:
+        _machines[path] = Transducer(PieceBpe(path))
+    return _machines[path]
+
+
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _machines:  # a Python worker that serves several tasks compiles once
-            _machines[path] = Transducer(PieceBpe(path))
-        machine = _machines[path]
+        machine = machine_for(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             sizes = np.array([len(t) for t in texts], dtype=np.int64)

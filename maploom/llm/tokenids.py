@@ -37,7 +37,7 @@ from maploom.llm.tables import join_small, stored
 #: Ids after which a block ends.
 BLOCK_IDS = 1 << 20
 #: Pieces whose ids a task remembers.
-CACHE = 1_200_000
+CACHE = 1_000_000
 SAMPLE = 256
 #: Pieces encoded in one text.
 LINES = 4000
@@ -167,11 +167,16 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_for(path: str) -> Encoder:
+    """The encoder of this Python worker; found by import, so the tasks that a worker runs share it and its pieces."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _write(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encoder = _encoders[path]
+        encoder = encoder_for(path)
         end = np.array([end_id], dtype=f"<u{encoder.width}").tobytes()
         shard, block = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
