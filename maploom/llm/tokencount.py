@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Transitions a task keeps: some 40 bytes each in the table and as many in the states.
-MAX_TRANSITIONS = 4_000_000
+#: Transitions a worker keeps: some 30 bytes each in the table, and a third as many states of some 600 bytes.
+MAX_TRANSITIONS = 1_000_000
 #: Characters of one lane, and texts' characters taken at once.
 CHUNK = 192
 SLICE_CHARS = 4_000_000
@@ -81,7 +81,7 @@ class PieceBpe:
     def stable(self, left: str, right: str) -> bool:
         found = self._stable.get((left, right))
         if found is None:
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > 500_000:
                 self._stable.clear()
             found = self._stable[left, right] = self.encode(left + right) == [left, right]
         return found
