@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import decontaminate, jaccard, langid, media, mixing, quality, substring, tokencount, tokenids, urls
+from maploom.llm import decontaminate, jaccard, langid, media, mixing, oracles, quality, substring, tokencount, tokenids, urls
 from maploom.llm.tables import read
 
 #: Where vocabulary files are looked up by name; None: the installed public_tokenizers package.
@@ -45,18 +45,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", oracles.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", oracles.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeated(read(spark, sf_dir, "documents"), size=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-@query("op1_benchmark_decontamination")
+@query("op1_benchmark_decontamination", oracles.OP1)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), size=13, share=20)
     digest = F.sha2(F.array_join("item_ids", ","), 256)
