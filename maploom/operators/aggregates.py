@@ -307,3 +307,46 @@ def temporal_reject(support: DataFrame, least: int = 2, share: float = 0.25) ->
     px = support.groupBy("frame", "u", "v").agg(F.count_if("judged").alias("judged"), F.count_if(F.col("judged") & F.col("agrees")).alias("supported"))
     bad = (F.col("judged") >= least) & (F.col("supported") / F.col("judged") < share)
     return px.groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(bad).alias("rejected"))
+
+
+def block_bootstrap(values: DataFrame, group: str, order: str, length: int, replicates: int, seed: int) -> DataFrame:
+    """95 % interval of the mean under circular moving blocks: ``group, low, middle, high``.
+
+    Each replicate draws block starts by a seeded hash; a value's weight in a replicate is the
+    number of drawn blocks that cover it, so only block sums are joined, not values.
+    """
+    w = W.partitionBy(group).orderBy(order)
+    n = F.count(F.lit(1)).over(W.partitionBy(group))
+    v = values.withColumn("_n", n).withColumn("_i", F.row_number().over(w) - 1)
+    # sum of the block that starts at each position; the end runs on into the start of the group
+    wrap = v.filter(F.col("_i") < length - 1).withColumn("_i", F.col("_i") + F.col("_n"))
+    ring = v.unionByName(wrap).withColumn("_s", F.sum("value").over(W.partitionBy(group).orderBy("_i").rowsBetween(0, length - 1)))
+    blocks = ring.filter(F.col("_i") < F.col("_n")).select(group, F.col("_i").alias("start"), "_s")
+    sizes = v.groupBy(group).agg(F.max("_n").alias("_n"))
+    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_n") / length).cast("int"))))
+    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), group, "replicate", "draw"), F.col("_n")))
+    m = draws.join(blocks, [group, "start"]).groupBy(group, "replicate").agg((F.sum("_s") / (F.count(F.lit(1)) * length)).alias("m"))
+    return m.groupBy(group).agg(*[F.percentile("m", p).alias(c) for p, c in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))])
+
+
+def edge_errors(poses: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per kind of edge: median and 95 % translation and heading error of measured against actual relative poses.
+
+    ``poses``: ``id, x, y, yaw`` (degrees); ``edges``: ``a, b, kind, dx, dy, dyaw`` in the frame of ``a``.
+    """
+    side = lambda n: poses.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("x", "y", "yaw")])
+    j = edges.join(side("a"), "a").join(side("b"), "b")
+    c, s = F.cos(F.radians("a_yaw")), F.sin(F.radians("a_yaw"))
+    mx, my = F.col("b_x") - F.col("a_x"), F.col("b_y") - F.col("a_y")
+    move = F.hypot(c * mx + s * my - F.col("dx"), -s * mx + c * my - F.col("dy"))
+    turn = F.abs(F.pmod(F.col("b_yaw") - F.col("a_yaw") - F.col("dyaw") + 180, F.lit(360.0)) - 180)
+    pct = [F.percentile(v, p).alias(f"{n}_{q}") for v, n in ((move, "move"), (turn, "turn")) for p, q in ((0.5, "p50"), (0.95, "p95"))]
+    return j.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), *pct)
+
+
+def inventory_summary(files: DataFrame) -> DataFrame:
+    """Totals of a file listing (``path, bytes``) by root folder and extension, each alone, and over all."""
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    f = files.withColumn("root", F.regexp_extract("path", r"^([^/]*)", 1)).withColumn("extension", ext)
+    g = f.cube("root", "extension").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    return g.filter("root is null or extension is null").select(F.coalesce("root", F.lit("*")).alias("root"), F.coalesce("extension", F.lit("*")).alias("extension"), "files", "bytes")

@@ -265,3 +265,16 @@ def evaluate_queries(decisions: DataFrame, expected: DataFrame) -> DataFrame:
     d = d.withColumn("ok", ok)
     rate = lambda c, when: F.avg(F.when(when, c.cast("double")))
     return d.agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("ok").cast("double")).alias("pass_rate"), rate(F.col("found"), F.col("expected_found")).alias("recall"), rate(~F.col("found"), ~F.col("expected_found")).alias("rejection"))
+
+
+def rejected_to_sidecar(events: DataFrame, entities: DataFrame, obs: DataFrame) -> DataFrame:
+    """Sidecar records of entities whose binding ended without a mesh: interval, status, and a conflict flag.
+
+    ``events``: ``entity, status``; an entity must end in one status only.  Records with
+    a position are ``spatial_only``, others ``image_only``.
+    """
+    ends = events.filter(F.col("status").startswith("rejected")).groupBy("entity").agg(F.countDistinct("status").alias("_n"), F.min("status").alias("status"))
+    span = obs.groupBy("entity").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max(F.col("x").isNotNull()).alias("_placed"))
+    r = ends.join(entities.filter("not deleted"), "entity").join(span, "entity", "left")
+    kind = F.when(F.coalesce("_placed", F.lit(False)), "spatial_only").otherwise("image_only")
+    return r.filter((F.col("status") == "rejected_no_mesh") | (F.col("_n") > 1)).select("entity", "name", "first", "last", kind.alias("geometry_status"), (F.col("_n") > 1).alias("conflict"))

@@ -351,3 +351,28 @@ def d47(spark, sf_dir):
     ok = (F.col("p50") < 0.05) & (F.col("p95") < 0.098) & (F.col("positive") > 0.85)
     g = f.groupBy((F.col("delta") > 49).alias("skipped")).agg(F.count(F.lit(1)).alias("frames"), F.percentile("p50", 0.5).alias("_a"), F.percentile("p95", 0.5).alias("_b"), F.count_if(ok).alias("passed"))
     return g.select("skipped", "frames", r6(F.col("_a"), "p50"), r6(F.col("_b"), "p95"), "passed")
+
+
+@query("d28_block_bootstrap")
+def d28(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("value"))
+    return rounded(A.block_bootstrap(o, "g", "i", 25, 40, 3), ["low", "middle", "high"], 4)
+
+
+@query("d32_inventory_summary", """with f as (select coalesce(regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1), '') as root, coalesce(regexp_extract(url, '\\.(html)', 1), '') as extension, length(url) as bytes from pages)
+select coalesce(root, '*') as root, coalesce(extension, '*') as extension, count(*) as files, sum(bytes)::bigint as bytes from f group by cube (root, extension) having root is null or extension is null""")
+def d32(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages")
+    kind = F.when(F.contains("url", F.lit(".html")), ".html").otherwise("")
+    path = F.concat(F.regexp_extract("url", "^https?://[^/]*/([a-z]+)/", 1), F.lit("/page"), kind)
+    return A.inventory_summary(p.select(path.alias("path"), F.length("url").cast("bigint").alias("bytes")))
+
+
+@query("d44_edge_errors", f"""with p as (select id, x, y, (id * 7) % 360 as yaw from ({fx.PARTS})), e as (select a.id, a.id % 3 as kind, a.x as ax, a.y as ay, a.yaw as ayaw, b.x as bx, b.y as by_, b.yaw as byaw from p a join p b on b.id = a.id + 1),
+r as (select kind, sqrt(pow(cos(radians(ayaw)) * (bx - ax) + sin(radians(ayaw)) * (by_ - ay) - 1, 2) + pow(-sin(radians(ayaw)) * (bx - ax) + cos(radians(ayaw)) * (by_ - ay) - 0.5, 2)) as m, abs((((byaw - ayaw - 5 + 180) % 360) + 360) % 360 - 180)::double as t from e)
+select kind, count(*) as n, round(quantile_cont(m, 0.5), 6) as move_p50, round(quantile_cont(m, 0.95), 6) as move_p95, round(quantile_cont(t, 0.5), 6) as turn_p50, round(quantile_cont(t, 0.95), 6) as turn_p95 from r group by 1""")
+def d44(spark, sf_dir):
+    p = fx.parts(spark, sf_dir)
+    poses = p.select("id", "x", "y", ((F.col("id") * 7) % 360).cast("double").alias("yaw"))
+    edges = p.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") % 3).alias("kind"), F.lit(1.0).alias("dx"), F.lit(0.5).alias("dy"), F.lit(5.0).alias("dyaw"))
+    return rounded(A.edge_errors(poses, edges), ["move_p50", "move_p95", "turn_p50", "turn_p95"])

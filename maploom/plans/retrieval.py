@@ -210,3 +210,13 @@ def r9(spark, sf_dir):
 @query("r10_current_position", f"select key, arg_max(x, t) as x, arg_max(y, t) as y, max(t) as t from ({fx.TRAJECTORY}) group by key")
 def r10(spark, sf_dir):
     return R.current_position(fx.trajectory(spark, sf_dir), "key", "t")
+
+
+@query("r4_rejected_to_sidecar", f"""with e as (select entity, case seq % 5 when 0 then 'rejected_no_mesh' when 1 then 'rejected_entity_conflict' else 'matched_real_mesh' end as status from ({fx.VERSIONS})), n as (select entity, count(distinct status) as n, min(status) as status from e where status like 'rejected%' group by 1),
+s as (select entity, min(us) as first, max(us) as last from ({fx.VERSIONS}) where status <> 'P' group by 1)
+select n.entity, name, first, last, case when first is not null then 'spatial_only' else 'image_only' end as geometry_status, n > 1 as conflict from n join ({fx.ENTITIES}) c on c.entity = n.entity and not deleted left join s on s.entity = n.entity where n.status = 'rejected_no_mesh' or n > 1""")
+def r4(spark, sf_dir):
+    v = fx.versions(spark, sf_dir)
+    status = F.when(F.col("seq") % 5 == 0, "rejected_no_mesh").when(F.col("seq") % 5 == 1, "rejected_entity_conflict").otherwise("matched_real_mesh")
+    obs = v.filter("status <> 'P'").select("entity", "us", F.lit(1.0).alias("x"))
+    return R.rejected_to_sidecar(v.select("entity", status.alias("status")), fx.entities(spark, sf_dir), obs)
