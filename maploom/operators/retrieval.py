@@ -17,10 +17,15 @@ from maploom.sources.tables import bounded
 def scores(queries: DataFrame, records: DataFrame) -> DataFrame:
     """Dot product of every query with every record, in blocks: records stay where they are and the queries come to them.
 
-    A query set is small next to the records (checked: broadcast only up to 100 000 rows).
+    A query set is small next to the records (checked: broadcast only up to 100 000 rows).  A query
+    with ``own`` was taken from the record with that ``ord``: this one record isn't scored for it.
     """
-    q = queries.select("query", F.col("embedding").alias("_q"))
-    return records.join(bounded(q), F.lit(True)).withColumn("score", dot(F.col("_q"), F.col("embedding"))).drop("_q", "embedding")
+    taken = "own" in queries.columns
+    q = queries.select("query", F.col("embedding").alias("_q"), *[F.col("own").alias("_own")] * taken)
+    s = records.join(bounded(q), F.lit(True))
+    if taken:
+        s = s.filter(F.coalesce(F.col("ord") != F.col("_own"), F.lit(True))).drop("_own")
+    return s.withColumn("score", dot(F.col("_q"), F.col("embedding"))).drop("_q", "embedding")
 
 
 def top_k(queries: DataFrame, records: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

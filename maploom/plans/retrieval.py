@@ -16,8 +16,8 @@ _RK = f"select *, row_number() over (partition by query order by score desc, ord
 
 def _sides(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")  # the query set
-    return q, e.filter("vec_id % 20 <> 0").select(F.col("vec_id").alias("ord"), "label", "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("vec_id").alias("own"), "embedding")  # the query set
+    return q, e.select(F.col("vec_id").alias("ord"), "label", "embedding")  # all rows; a query only doesn't find itself
 
 
 def _decide(sim, margin=0.0):
