@@ -8,7 +8,7 @@ done only inside blocks that can hold a linked pair.
 2. Blocks.  If two sets are similar enough, few elements differ: at most
    ``(|A| + |B|) (1 - t) / (1 + t)``.  Sets of about one size are cut into more
    segments than that by shingle hash, so at least one segment is equal in both.
-   Sets that share the hash of a segment meet; those whose profiles (shingle counts
+   Sets that share the hash of a segment meet, tile by tile where they are many; those whose profiles (shingle counts
    by hash region) differ by more than the bound part again, the others fall into
    one block.  No linked pair is lost.
 3. Inside a block, rows are taken in tiles of ``TILE`` sets.  For each pair of
@@ -44,8 +44,14 @@ TILE = 512
 COLUMNS = 4096
 #: Rows (some 40 bytes each) up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
-#: Entries whose sets meet in one task.
+#: Entries, and bytes of their profiles, whose sets meet in one group of a task.
 MEET_ROWS = 60_000
+MEET_BYTES = 64 << 20
+#: Entries, and bytes of their profiles, of one tile of a segment.
+MEET_TILE = 2048
+MEET_TILE_BYTES = 8 << 20
+#: Differences of profiles held at once.
+CELLS = 1 << 21
 _STEP = 1.35
 
 
@@ -165,40 +171,48 @@ def _fold(rows: list[bytes], width: int) -> np.ndarray:
     return np.array([np.frombuffer(r, dtype=np.uint8).reshape(width, -1).sum(axis=1, dtype=np.int32) for r in rows])
 
 
-def alike(rows: list[bytes], n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that the profiles don't rule out; rows are compared in tiles, never all at once."""
+def alike(rows: list[bytes], n: np.ndarray, percent: int, cut: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that the profiles don't rule out, block by block; with ``cut``, only pairs of a row before it and one from it on."""
     width = min(map(len, rows))
     p = _fold(rows, width)
-    found = []
-    for i in range(0, len(rows), 64):
-        for j in range(i, len(rows), 512):
-            apart = np.abs(p[i : i + 64, None, :] - p[None, j : j + 512, :]).sum(axis=2)
-            a, b = np.nonzero(apart * (100 + percent) <= (n[i : i + 64, None] + n[None, j : j + 512]) * (100 - percent))
-            found.append((a + i, b + j))
-    a, b = (np.concatenate(x) for x in zip(*found))
-    return a[a < b], b[a < b]
+    end = len(rows) if cut is None else cut
+    for i in range(0, end, 64):
+        x = slice(i, min(i + 64, end))
+        for j in range(i if cut is None else cut, len(rows), 512):
+            y = slice(j, j + 512)
+            apart = np.zeros((len(p[x]), len(p[y])), dtype=np.int64)
+            step = max(1, CELLS // apart.size)
+            for k in range(0, width, step):
+                part = p[x, None, k : k + step] - p[None, y, k : k + step]
+                apart += np.abs(part, out=part).sum(axis=2)
+            a, b = np.nonzero(apart * (100 + percent) <= (n[x, None] + n[None, y]) * (100 - percent))
+            a, b = a + i, b + j
+            yield a[a < b], b[a < b]
 
 
 def _meet(percent: int):
-    """Entries of some segments -> edges between sets that share a segment and have like profiles."""
+    """Entries of some segments, or of tiles of them -> edges that connect what pairs with like profiles connect."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        segment, ids, n = (t.column(c).to_numpy() for c in ("segment", "set_id", "n_shingles"))
+        segment, i, j, tile, ids, n = (t.column(c).to_numpy() for c in ("segment", "i", "j", "tile", "set_id", "n_shingles"))
         rows = t.column("profile").to_pylist()
-        order = np.argsort(segment, kind="stable")
-        cut = np.flatnonzero(np.diff(segment[order])) + 1
+        order = np.lexsort((tile, j, i, segment))
+        other = [np.diff(c[order]) != 0 for c in (segment, i, j)]
         edges: list[np.ndarray] = []
         done: set[tuple[int, int]] = set()
-        for group in np.split(order, cut):
+        for group in np.split(order, np.flatnonzero(other[0] | other[1] | other[2]) + 1):
             if len(group) == 2:
                 x, y = sorted(ids[group].tolist())
                 if (x, y) in done:
                     continue
                 done.add((x, y))
-            a, b = alike([rows[k] for k in group], n[group], percent)
-            if len(a):
-                edges.append(np.column_stack(forest(ids[group[a]], ids[group[b]])))
+            cut = int((tile[group] == i[group]).sum()) if i[group[0]] < j[group[0]] else None
+            # a forest of each block of pairs, and then of the group: the pairs are never held together
+            found = [np.column_stack(forest(ids[group[a]], ids[group[b]])) for a, b in alike([rows[k] for k in group], n[group], percent, cut) if len(a)]
+            if len(found) > 1:
+                found = [np.column_stack(forest(*np.concatenate(found).T))]
+            edges += found
         both = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
@@ -336,13 +350,20 @@ def jaccard_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     members = described.select("doc_id", "n_shingles", "set_id")
 
     # segments that two or more different sets share; their sets meet by segment, and profiles rule out most
-    entries = described.select(F.explode("segments").alias("segment"), "set_id").repartition("segment").dropDuplicates(["segment", "set_id"])
+    # (a segment of many sets, or of long ones, is cut into tiles and these meet two by two)
+    entries = described.select(F.explode("segments").alias("segment"), "set_id", F.length("profile").alias("bytes")).repartition("segment").distinct()
     whole = W.partitionBy("segment")
-    entries = entries.withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole)).filter("least < most")
-    entries = stored(entries.select("segment", "set_id"), "entries")
-    parts = max(16, entries.count() // MEET_ROWS)
+    entries = entries.withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole))
+    entries = entries.withColumn("sets", F.count(F.lit(1)).over(whole)).withColumn("all", F.sum("bytes").over(whole)).filter("least < most")
+    n_tiles = F.ceil(F.greatest(F.col("sets") / MEET_TILE, F.col("all") / MEET_TILE_BYTES)).cast("int")
+    entries = stored(entries.select("segment", "set_id", "bytes", n_tiles.alias("n_tiles")), "entries")
+    rows, held = entries.agg(F.coalesce(F.sum("n_tiles"), F.lit(0)), F.coalesce(F.sum(F.col("n_tiles") * F.col("bytes")), F.lit(0))).first()
+    parts = max(16, rows // MEET_ROWS, held // MEET_BYTES)
     sets = described.select("set_id", "n_shingles", "profile").filter("set_id is not null").join(entries.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
-    met = entries.join(sets, "set_id").withColumn("part", F.pmod("segment", F.lit(parts)))
+    met = entries.join(sets, "set_id").withColumn("tile", F.pmod(F.xxhash64("set_id", "segment"), F.col("n_tiles")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+    met = met.select("segment", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "set_id", "n_shingles", "profile")
+    met = met.withColumn("part", F.pmod(F.xxhash64("segment", "i", "j"), F.lit(parts)))
     stars = stored(met.groupBy("part").applyInArrow(_meet(percent), "a long, b long").distinct(), "stars")
     block = components(stars)
 

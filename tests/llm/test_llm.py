@@ -4,9 +4,13 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +150,50 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == brute_components(rows, 3, 90)
 
 
+def meet(profiles, n_shingles):
+    """Edges, and the most memory taken, of sets that all share one segment."""
+    n = len(profiles)
+    zero = pa.array(np.zeros(n, dtype=np.int32))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), zero, zero, zero, pa.array(np.arange(n)), pa.array(np.full(n, n_shingles)), pa.array(profiles, pa.binary())], names=["segment", "i", "j", "tile", "set_id", "n_shingles", "profile"])
+    tracemalloc.start()
+    edges = next(jaccard._meet(80)((0,), iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return sorted(zip(*(c.to_pylist() for c in edges.columns))), most
+
+
+@pytest.mark.parametrize("n, width", [(3000, 16), (80, 1 << 15)])
+def test_jaccard_memory_where_many_or_long_sets_meet(n, width):
+    edges, most = meet([bytes([8]) * width] * n, 8 * width)
+    assert edges == [(k, 0) for k in range(1, n)]
+    assert most < 64 << 20
+
+
+def test_jaccard_tiles_of_a_segment(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEET_TILE", 32)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def spy(percent, run=jaccard._meet(90)):
+        def counted(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batches = list(batches)
+            meetings = Counter(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("segment", "i", "j"))))
+            sizes.add(sum(n > 3 * 64 for n in meetings.values()))
+            return run(key, iter(batches))
+
+        return counted
+
+    monkeypatch.setattr(jaccard, "_meet", spy)
+    rng = random.Random(6)
+    rows = []
+    for i in range(400):
+        w = [f"c{i % 2}_{k}" for k in range(120)]
+        w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()), key=repr)
+    assert got == brute_components(rows, 3, 90)
+    assert sizes.value == 0
+
+
 def test_components_of_a_chain(spark):
     e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(e).collect()} == {0}
