@@ -145,7 +145,7 @@ select a, b, round(max(score), 6) as score from r where r <= 3 group by a, b"""
 
 def _vectors(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    words = d.select(F.col("doc_id").alias("item"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{9,}"), F.lit(0))).alias("word"))
+    words = d.select(F.col("doc_id").alias("item"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
     return R.tfidf(words)
 
 

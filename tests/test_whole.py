@@ -43,3 +43,34 @@ def test_cosine_of_all_records(spark, vectors):
     ids = vectors[0]
     got = Counter(r.q for r in _rows(spark, "b3_cosine01"))
     assert got == {q: len(ids) - 1 for q in ids[ids % 20 == 0]}
+
+
+def test_tfidf_of_all_words(spark):
+    import re
+
+    docs = pd.read_parquet(f"{DIR}/documents.parquet")
+    bags = {i: Counter(re.findall("[a-z0-9]+", t.lower(), re.A)) for i, t in zip(docs["doc_id"], docs["text"]) if t}
+    bags = {i: b for i, b in bags.items() if b}
+    df = Counter(w for b in bags.values() for w in b)
+    want = {}
+    for i, b in bags.items():
+        raw = {w: n * (math.log((len(bags) + 1) / (df[w] + 1)) + 1) for w, n in b.items()}
+        length = math.sqrt(sum(x * x for x in raw.values()))
+        want |= {(i, w): x / length for w, x in raw.items()}
+    got = {(r.item, r.word): r.weight for r in _rows(spark, "r6_visual_word_tfidf")}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+    ids = sorted(bags)
+    sim = {}
+    for a in ids:
+        for b in ids:
+            if b >= a + 5:
+                s = sum(want[a, w] * want[b, w] for w in bags[a].keys() & bags[b].keys())
+                if s >= 0.8:
+                    sim[a, b] = s
+    near = {}
+    for (a, b), s in sim.items():
+        near.setdefault(a, []).append((-round(s, 9), b))
+        near.setdefault(b, []).append((-round(s, 9), a))
+    best = {(min(i, o), max(i, o)) for i, v in near.items() for _, o in sorted(v)[:3]}
+    assert {(r.a, r.b) for r in _rows(spark, "r7_retrieve_pairs")} == best
