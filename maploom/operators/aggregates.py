@@ -202,15 +202,22 @@ def paired_effect(base: DataFrame, cand: DataFrame) -> DataFrame:
     return d.groupBy("experiment").agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.percentile("diff", 0.5).alias("median"), F.count_if(F.col("diff") > 0).alias("better"))
 
 
-def sign_flip_p(diffs: DataFrame, group: str, most: int = 12) -> DataFrame:
-    """Exact two-sided sign-flip p-value over all sign patterns of up to ``most`` differences a group."""
-    w = W.partitionBy(group).orderBy("seed", "repeat")
-    d = diffs.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(group))).filter(F.col("_n") <= most)
-    d = d.withColumn("_mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), F.col("_n")).cast("int") - 1)))
-    sign = F.when(F.expr("shiftright(_mask, _i) & 1") == 1, -1).otherwise(1)
-    s = d.groupBy(group, "_mask").agg(F.abs(F.sum(sign * F.col("diff"))).alias("s"))
-    s = s.withColumn("_o", F.max(F.when(F.col("_mask") == 0, F.col("s"))).over(W.partitionBy(group)))
-    return s.groupBy(group).agg(F.avg((F.col("s") >= F.col("_o") - 1e-9).cast("double")).alias("p"))
+def sign_flip_p(diffs: DataFrame, group: str, most: int = 20, flips: int = 100_000, seed: int = 0) -> DataFrame:
+    """Two-sided sign-flip p-value of every group: exact over all sign patterns of up to ``most`` differences, else over ``flips`` random ones.
+
+    A pattern and its opposite give the same size of sum, so the last sign stays in the exact form.
+    """
+    w, whole = W.partitionBy(group).orderBy("seed", "repeat"), W.partitionBy(group)
+    d = diffs.filter("diff is not null").withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(whole))
+    # sums in another order differ by rounding, which must not break a tie
+    d = d.withColumn("_o", F.abs(F.sum("diff").over(whole)) - 1e-9 - 1e-12 * F.sum(F.abs("diff")).over(whole))
+    exact = F.col("_n") <= most
+    d = d.withColumn("_last", F.when(exact, F.pow(F.lit(2), F.col("_n") - 1)).otherwise(flips).cast("bigint") - 1)
+    d = d.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / 1024)))).repartition(64, group, "_block")
+    d = d.withColumn("_flip", F.explode(F.sequence(F.col("_block") * 1024, F.least(F.col("_block") * 1024 + 1023, F.col("_last")))))
+    bit = F.when(exact, F.expr("shiftright(_flip, _i) & 1")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "_flip", "_i"), F.lit(2)))
+    s = d.groupBy(group, "_block", "_flip").agg(F.abs(F.sum(F.when(bit == 1, -F.col("diff")).otherwise(F.col("diff")))).alias("s"), F.first("_o").alias("o"))
+    return s.groupBy(group).agg(F.avg((F.col("s") >= F.col("o")).cast("double")).alias("p"))
 
 
 def mesh_components(vertices: DataFrame, faces: DataFrame, grid: float = 1e-4) -> DataFrame:

@@ -74,3 +74,21 @@ def test_tfidf_of_all_words(spark):
         near.setdefault(b, []).append((-round(s, 9), a))
     best = {(min(i, o), max(i, o)) for i, v in near.items() for _, o in sorted(v)[:3]}
     assert {(r.a, r.b) for r in _rows(spark, "r7_retrieve_pairs")} == best
+
+
+def test_sign_flip_of_groups_of_any_size(spark):
+    from maploom.operators import aggregates as A
+
+    rng = np.random.default_rng(8)
+    diffs = {"three": np.array([1.0, 2.0, 3.0]), "exact": rng.normal(0.4, 1, 16), "random": rng.normal(0.3, 1, 40)}
+    rows = [(g, i, 0, float(x)) for g, v in diffs.items() for i, x in enumerate(v)]
+    got = {r.g: r.p for r in A.sign_flip_p(spark.createDataFrame(rows, "g string, seed long, repeat long, diff double"), "g").collect()}
+    masks = 1 - 2 * ((np.arange(1 << 16)[:, None] >> np.arange(16)) & 1)
+    exact = (np.abs(masks @ diffs["exact"]) >= abs(diffs["exact"].sum()) - 1e-9).mean()
+    signs = rng.choice([-1, 1], (100_000, 40))
+    near = (np.abs(signs @ diffs["random"]) >= abs(diffs["random"].sum())).mean()
+    assert got == {"three": 0.25, "exact": pytest.approx(exact), "random": pytest.approx(near, abs=0.01)}
+
+
+def test_sign_flip_is_by_experiment(spark):
+    assert {r.g for r in _rows(spark, "d29_sign_flip")} == {r.experiment for r in _rows(spark, "d29_paired_effect")}
