@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maploom.functions.vectors import dot
-from maploom.sources.tables import bounded
+from maploom.functions.vectors import dot, norm
+from maploom.sources.tables import bounded, stored
 
 
 def scores(queries: DataFrame, records: DataFrame) -> DataFrame:
@@ -113,26 +113,32 @@ def uniform_select(rows: DataFrame, group: str, order: str, m: int, must: Column
 def farthest_first(objects: DataFrame, group: str, k: int) -> DataFrame:
     """``k`` objects of each region that spread over its embeddings: ``group, ord, pick``.
 
-    Starts farthest from the mean; then whatever is farthest from all that were chosen.
+    Starts farthest from the mean; then whatever is farthest from all that were chosen, the lowest ``ord``
+    of equals.  ``k`` rounds over a stored table, so no task holds a region.  Regions of up to ``k`` objects come whole, by ``ord``.
     """
-    kind = dict(objects.dtypes)[group]
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        e = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        e /= np.linalg.norm(e, axis=1, keepdims=True)
-        if len(e) <= k:
-            chosen = list(range(len(e)))
-        else:
-            mean = e.mean(axis=0)
-            chosen = [int(np.argmax(1 - e @ mean / (np.linalg.norm(mean) or 1.0)))]
-            far = 1 - e @ e[chosen[0]]
-            while len(chosen) < k:
-                chosen.append(int(np.argmax(np.where(np.isin(np.arange(len(e)), chosen), -1, far))))
-                far = np.minimum(far, 1 - e @ e[chosen[-1]])
-        return pd.DataFrame({group: pdf[group].iloc[0], "ord": pdf["ord"].to_numpy()[chosen], "pick": range(len(chosen))})
-
-    return objects.select(group, "ord", "embedding").groupBy(group).applyInPandas(pick, f"{group} {kind}, ord long, pick long")
+    def meet(rows: DataFrame, side: DataFrame) -> DataFrame:  # one row a region, also for a null region
+        return rows.join(bounded(side.withColumnRenamed(group, "_g")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+    e = objects.select(group, "ord", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("_l", norm(F.col("embedding")))
+    e = e.withColumn("embedding", F.transform("embedding", lambda x: x / F.when(F.col("_l") == 0, 1.0).otherwise(F.col("_l")))).drop("_l")
+    n = e.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    few = meet(e, n.filter(F.col("_n") <= k)).select(group, "ord", (F.row_number().over(W.partitionBy(group).orderBy("ord")) - 1).cast("bigint").alias("pick"))
+    many = meet(e, n.filter(F.col("_n") > k)).drop("_n")
+    axis = many.select(group, F.posexplode("embedding").alias("_d", "_x")).groupBy(group, "_d").agg(F.avg("_x").alias("_x"))
+    at = axis.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_x"))), lambda s: s["_x"]).alias("_at"))
+    at = at.withColumn("_l", norm(F.col("_at")))
+    far = 1 - dot(F.col("embedding"), F.col("_at")) / F.when(F.col("_l") == 0, 1.0).otherwise(F.col("_l"))
+    left = stored(meet(many, at).withColumn("_far", far).drop("_at", "_l"), "farthest")
+    picks = few
+    for i in range(k):
+        best = F.max_by(F.struct("ord", "embedding"), F.struct(F.col("_far"), (-F.col("ord")).alias("_o")))
+        new = stored(left.groupBy(group).agg(best.alias("_b")).select(group, F.col("_b.ord").alias("_ord"), F.col("_b.embedding").alias("_e")), "picks")
+        picks = picks.unionByName(new.select(group, F.col("_ord").alias("ord"), F.lit(i).cast("bigint").alias("pick")))
+        if i + 1 < k:
+            apart = 1 - dot(F.col("embedding"), F.col("_e"))
+            left = meet(left, new).filter(F.col("ord") != F.col("_ord"))
+            left = stored(left.withColumn("_far", F.least("_far", apart) if i else apart).drop("_ord", "_e"), "farthest")
+    return picks
 
 
 def qualified_tracks(obs: DataFrame, least: int, prompted: DataFrame | None = None) -> DataFrame:

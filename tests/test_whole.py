@@ -92,3 +92,23 @@ def test_sign_flip_of_groups_of_any_size(spark):
 
 def test_sign_flip_is_by_experiment(spark):
     assert {r.g for r in _rows(spark, "d29_sign_flip")} == {r.experiment for r in _rows(spark, "d29_paired_effect")}
+
+
+def test_farthest_first_without_a_task_that_holds_a_region(spark, vectors):
+    ids, labels, e = vectors
+    e = e / np.linalg.norm(e, axis=1, keepdims=True)
+    want = set()
+    for label in set(labels):
+        at = np.flatnonzero(labels == label)
+        at = at[np.argsort(ids[at])]
+        v = e[at]
+        mean = v.mean(axis=0)
+        chosen = list(range(len(v))) if len(v) <= 5 else [int(np.argmax(1 - v @ mean / np.linalg.norm(mean)))]
+        while len(chosen) < min(5, len(v)):
+            far = (1 - v @ v[chosen].T).min(axis=1)
+            far[chosen] = -1
+            chosen.append(int(np.argmax(far)))
+        want |= {(label, ids[at[c]], n) for n, c in enumerate(chosen)}
+    df = catalog.QUERIES["g8_farthest_first"](spark, DIR)
+    assert {(r.label, r.ord, r.pick) for r in df.collect()} == want
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
