@@ -8,7 +8,12 @@ rarest terms: a window can only occur at shift ``d`` of a document (document
 position minus item position) if its rarest term has a posting that gives ``d``
 and so has its next rarest.  Shifts that survive are compared word by word.
 Lists of frequent terms are never read, so the index is built for the terms
-that the queries ask for (or for all, if none are given).
+that the queries ask for (or for all, if none are given).  The corpus is read
+twice: for the frequencies of the items' terms, and for the postings together
+with each document's number of words.
+
+Proximity matches come from the same lists: all terms of a window, in any order,
+within a number of consecutive words of a document.
 
 Null or empty texts and items have no words.  Null ids are kept; an item with a
 null id counts as found but is left out of the id list.  Rows that repeat a
@@ -23,34 +28,48 @@ from pyspark.sql import Window as W
 
 from maploom.llm.tables import join_small, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words: they are digits, letters (A-Z too, before lower-casing) and all beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows (terms, windows, shifts) up to which the test side is broadcast.
 BROADCAST_ROWS = 200_000
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased (A-Z) words of a text; an empty array for null."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def lowered(text: Column) -> Column:
+    """A-Z to a-z and nothing else; ``lower`` does just that to ASCII, and much faster."""
+    slow = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(slow)
 
 
-def _terms(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+
+
+def words_of(text: Column) -> Column:
+    """Lower-cased (A-Z) words of a text; an empty array for null."""
+    return _split(lowered(text))
 
 
 def document_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n`` (postings in the corpus) of each of ``terms``; 0 where a term never occurs."""
-    seen = docs.select(F.explode(words_of(F.col("text"))).alias("term"))
+    seen = docs.select(F.explode(_split(F.col("text"))).alias("w")).select(lowered(F.col("w")).alias("term"))
     seen = join_small(seen, terms, "term", "left_semi", BROADCAST_ROWS).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def positional_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``term, doc_id, pos``: the postings of ``terms``, or of every term; written to the shared folder."""
-    postings = _terms(docs.filter("doc_id is not null"))
+def positional_index(docs: DataFrame, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``term, doc_id, pos``: the postings of ``terms``, or of every term, and ``doc_id, n_words`` of each row.
+
+    Written to the shared folder.  Rows with a null ``doc_id`` have no postings.
+    """
+    words = docs.select("doc_id", _split(F.col("text")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
+    # the empty term stands for the document itself
+    each = words.select("doc_id", "n_words", F.posexplode(F.array_insert("words", 1, F.lit(""))).alias("pos", "w"))
+    each = each.filter("doc_id is not null or pos = 0").select(lowered(F.col("w")).alias("term"), "doc_id", (F.col("pos") - 1).alias("pos"), F.when(F.col("pos") == 0, F.col("n_words")).alias("n_words"))
     if terms is not None:
-        postings = join_small(postings, terms, "term", "left_semi", BROADCAST_ROWS)
-    return stored(postings.select("term", "doc_id", "pos"), "postings")
+        wanted = terms.select("term").union(terms.sparkSession.range(1).select(F.lit(""))).distinct()
+        each = join_small(each, wanted, "term", "left_semi", BROADCAST_ROWS)
+    index = stored(each, "postings")
+    return index.filter("pos >= 0").select("term", "doc_id", "pos"), index.filter("pos < 0").select("doc_id", "n_words")
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -75,18 +94,26 @@ def anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
     return w.select("item", F.col("r")[0]["q"].alias("q1"), F.col("r")[0]["term"].alias("t1"), second["q"].alias("q2"), second["term"].alias("t2")).distinct()
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
-    """``doc_id, hits, item_ids``: for documents with occurring windows, the hit word positions and the items."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _items(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``item, text, item_ids``; ``item, words, n, len``; ``term, frequency``): equal texts are one item."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    named = items.groupBy("text").agg(F.collect_set("item_id").alias("item_ids"))  # equal texts are searched once
+    named = items.groupBy("text").agg(F.collect_set("item_id").alias("item_ids"))
     named = stored(named.filter("text is not null").select(F.xxhash64("text").alias("item"), "text", "item_ids"), "items")
     windows = stored(item_windows(named, size), "item-words")
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    frequency = stored(document_frequency(docs, vocabulary).withColumnRenamed("n", "frequency"), "frequency")
+    return named, windows, stored(document_frequency(docs, vocabulary).withColumnRenamed("n", "frequency"), "frequency")
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, hits, item_ids``; ``doc_id, n_words``): the hit word positions and the items of documents with occurring windows, and every row's number of words."""
+    docs = _plain(docs)
+    named, windows, frequency = _items(docs, benchmark, size)
     keys = stored(anchors(windows, frequency), "anchors")
-    wanted = keys.select(F.col("t1").alias("term")).union(keys.select(F.col("t2").alias("term"))).distinct()
-    index = positional_index(docs, wanted)
+    index, counted = positional_index(docs, keys.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
 
     def shifts(term: str, q: str) -> DataFrame:
         side = keys.select(F.col(term).alias("term"), "item", "q1", "q2", F.col(q).alias("q"))
@@ -111,11 +138,46 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFra
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("len") - 1)))
     each = each.withColumn("hits", F.transform(F.array_distinct(covered), lambda p: p + F.col("shift") + F.col("low")))
     each = join_small(each, named.select("item", "item_ids"), "item", "inner", BROADCAST_ROWS)
-    return each.groupBy("doc_id").agg(
+    hits = each.groupBy("doc_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        F.collect_set("item").alias("items"),
     )
+    return hits, counted
+
+
+def near_items(docs: DataFrame, benchmark: DataFrame, size: int = 13, within: int = 20) -> DataFrame:
+    """``doc_id, item_ids, n_windows``: proximity matches.
+
+    A window matches a document if some ``within`` consecutive words of the document hold all of the
+    window's different terms, in any order.  Candidates are places where the window's two rarest terms
+    lie less than ``within`` apart, from their postings; the others are then looked up around them.
+    ``n_windows``: matching windows of the item.  Null ids match nothing.
+    """
+    docs = _plain(docs).filter("doc_id is not null")
+    named, windows, frequency = _items(docs, benchmark, size)
+    w = windows.select("item", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len"))).alias("s"), "words", "len")
+    w = w.select("item", "s", F.explode(F.array_distinct(F.slice("words", F.col("s") + 1, F.col("len")))).alias("term")).join(frequency, "term")
+    w = w.groupBy("item", "s").agg(F.sort_array(F.collect_list(F.struct("frequency", "term"))).alias("r")).filter(F.col("r")[0]["frequency"] > 0)  # at most ``size`` terms each
+    terms = F.transform("r", lambda t: t["term"])
+    w = w.select("item", "s", terms.alias("terms")).withColumns({"t1": F.col("terms")[0], "t2": F.coalesce(F.get("terms", F.lit(1)), F.col("terms")[0])})
+    w = stored(w, "near-windows")
+    index, _ = positional_index(docs, w.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
+
+    def places(term: str) -> DataFrame:
+        return join_small(index, w.select(F.col(term).alias("term"), "item", "s"), "term", "inner", BROADCAST_ROWS).select("doc_id", "item", "s", "pos")
+
+    a, b = places("t1").alias("a"), places("t2").alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "item", "s")]
+    close = a.join(b, [*same, F.abs(F.col("a.pos") - F.col("b.pos")) < within], "left_semi")
+    texts = join_small(docs, stored(close.select("doc_id").distinct(), "near-documents"), "doc_id", "left_semi", BROADCAST_ROWS)
+    each = close.join(w.select("item", "s", "terms"), ["item", "s"]).join(texts.select("doc_id", words_of(F.col("text")).alias("theirs")), "doc_id")
+    low = F.greatest(F.col("pos") - within + 1, F.lit(0))
+    around = F.slice("theirs", low + 1, F.col("pos") - low + within)
+    each = each.select("doc_id", "item", "s", "terms", around.alias("around"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("around") - within + 1, F.lit(1)))
+    each = each.filter(F.exists(starts, lambda i: F.size(F.array_except("terms", F.slice("around", i, within))) == 0))
+    each = join_small(each.select("doc_id", "item", "s").distinct(), named.select("item", "item_ids"), "item", "inner", BROADCAST_ROWS)
+    return each.groupBy("doc_id", "item").agg(F.first("item_ids").alias("item_ids"), F.count(F.lit(1)).alias("n_windows")).drop("item")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
@@ -123,9 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
     A document is contaminated if at least one in ``share`` of its words is hit.
     """
-    found = stored(find_items(docs, benchmark, size), "found")
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(words_of(F.col("text").cast("string"))).cast("long").alias("n_words"))
-    out = join_small(counted, found, "doc_id", "left", BROADCAST_ROWS)
+    found, counted = find_items(docs, benchmark, size)
+    out = join_small(counted, stored(found, "found"), "doc_id", "left", BROADCAST_ROWS)
     hit = F.coalesce(F.size("hits"), F.lit(0)).cast("long")
     none = F.array().cast("array<string>")
     out = out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("item_ids", none).alias("item_ids"))
