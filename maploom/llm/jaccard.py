@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from maploom.llm import sketch
 from maploom.llm import wordhash as wh
-from maploom.llm.tables import components, join_small, small, stored
+from maploom.llm.tables import components, join_small, stored
 
 #: Sets of one side of a block product.
 TILE = 512
@@ -50,6 +51,8 @@ MEET_BYTES = 64 << 20
 #: Entries, and bytes of their profiles, of one tile of a segment.
 MEET_TILE = 2048
 MEET_TILE_BYTES = 8 << 20
+#: Segments gathered in a task before their sketch is sent on.
+SKETCH_SEGMENTS = 4_000_000
 #: Differences of profiles held at once.
 CELLS = 1 << 21
 _STEP = 1.35
@@ -64,9 +67,11 @@ class SegmentPlan:
     """
 
     def __init__(self, percent: int):
+        if not 1 <= percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
         self.percent = percent
         lows = [1]
-        first = -(-(100 + percent) // (2 * (100 - percent)))  # smallest size at which an element may differ
+        first = -(-(100 + percent) // (2 * (100 - percent))) if percent < 100 else 1 << 40  # smallest size at which an element may differ
         low = max(first, 2)
         while low < 1 << 40:
             lows.append(low)
@@ -87,12 +92,12 @@ class SegmentPlan:
         self.segments = differ + 1 + self.spare
 
     def levels(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, class) for the class of each size, and the next class where a similar larger set may lie there."""
+        """(row, class) for the class of each size, and each further class where a similar larger set may lie."""
         own = np.searchsorted(self.low, n, side="right") - 1
         reach = np.searchsorted(self.low, n * 100 // self.percent, side="right") - 1
-        rows = np.flatnonzero(n > 0)
-        up = np.flatnonzero((reach > own) & (n > 0))
-        return np.concatenate([rows, up]), np.concatenate([own[rows], own[up] + 1])
+        many = np.where(n > 0, np.maximum(reach, own) - own + 1, 0)
+        rows = np.repeat(np.arange(len(n)), many)
+        return rows, own[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
 
 
 def shingle_sets(words: wh.Words, size: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +254,39 @@ def _describe(size: int, percent: int):
     return run
 
 
+def _segments(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """(segment hashes, and each one's values of the named columns) of each batch."""
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        yield lists.flatten().to_numpy().view(np.uint64), *(batch.column(c).to_numpy()[owner] for c in names)
+
+
+def _sketch(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for (h,) in _segments(batches):
+            held.append(h)
+            if sum(map(len, held)) >= SKETCH_SEGMENTS:
+                yield from sketch.emit(np.concatenate(held), bits)
+                held = []
+        if held:
+            yield from sketch.emit(np.concatenate(held), bits)
+
+    return run
+
+
+def _suspects(bits: int, table):
+    """set_id, bytes, segments -> the segments that may occur more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, set_id, size in _segments(batches, "set_id", "bytes"):
+            keep = sketch.suspects(h, table.value, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(set_id[keep]), pa.array(size[keep])], names=["segment", "set_id", "bytes"])
+
+    return run
+
+
 def _pack(size: int):
     """doc_id, text, ... -> the packed shingle set of each text."""
 
@@ -350,13 +388,17 @@ def jaccard_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     members = described.select("doc_id", "n_shingles", "set_id")
 
     # segments that two or more different sets share; their sets meet by segment, and profiles rule out most
-    # (a segment of many sets, or of long ones, is cut into tiles and these meet two by two)
-    entries = described.select(F.explode("segments").alias("segment"), "set_id", F.length("profile").alias("bytes")).repartition("segment").distinct()
-    whole = W.partitionBy("segment")
-    entries = entries.withColumn("least", F.min("set_id").over(whole)).withColumn("most", F.max("set_id").over(whole))
-    entries = entries.withColumn("sets", F.count(F.lit(1)).over(whole)).withColumn("all", F.sum("bytes").over(whole)).filter("least < most")
+    # (a segment of many sets, or of long ones, is cut into tiles and these meet two by two).  A sketch first drops
+    # what can't occur twice; what is left is counted with partial sums, so a segment of very many sets is no hot key
+    total = described.agg(F.coalesce(F.sum(F.size("segments").cast("long")), F.lit(0))).first()[0]
+    bits = sketch.bits_for(total)
+    lists = described.select("set_id", F.octet_length("profile").cast("long").alias("bytes"), "segments").filter("set_id is not null")
+    table = docs.sparkSession.sparkContext.broadcast(sketch.repeated_cells(lists.select("segments").mapInArrow(_sketch(bits), sketch.COLUMNS), bits))
+    suspect = stored(lists.mapInArrow(_suspects(bits, table), "segment long, set_id long, bytes long"), "suspects")
+    met = suspect.groupBy("segment").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"), F.count(F.lit(1)).alias("sets"), F.sum("bytes").alias("all")).filter("least < most")
     n_tiles = F.ceil(F.greatest(F.col("sets") / MEET_TILE, F.col("all") / MEET_TILE_BYTES)).cast("int")
-    entries = stored(entries.select("segment", "set_id", "bytes", n_tiles.alias("n_tiles")), "entries")
+    met = stored(met.select("segment", n_tiles.alias("n_tiles")), "segments")
+    entries = stored(join_small(suspect, met, "segment", "inner", BROADCAST_ROWS).distinct(), "entries")
     rows, held = entries.agg(F.coalesce(F.sum("n_tiles"), F.lit(0)), F.coalesce(F.sum(F.col("n_tiles") * F.col("bytes")), F.lit(0))).first()
     parts = max(16, rows // MEET_ROWS, held // MEET_BYTES)
     sets = described.select("set_id", "n_shingles", "profile").filter("set_id is not null").join(entries.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])

@@ -5,12 +5,9 @@ window that covers it also starts in a document with a smaller ``doc_id``.
 
 Two passes over the windows:
 
-1. *Count-min prefilter.*  Each task sums its windows into a sketch of two rows;
-   the sketches, sent as gaps between used cells, merge cell by cell.  A merged
-   cell holds at least the count of each window that falls into it, so a window
-   with a cell below two occurs once and is done.  What tasks then need is one
-   bit a cell; its size is fixed by ``MAX_BITS`` (64 MB for both rows) however
-   large the input.  A fuller sketch passes more windows on and loses none.
+1. *Count-min prefilter* (:mod:`maploom.llm.sketch`).  Each task sums its windows
+   into a sketch; the sketches merge cell by cell.  A window with a cell below two
+   occurs once and is done.
 2. *Exact grouping.*  Only windows estimated repeated are grouped by a 96-bit
    hash, with the smallest document kept.  A task first reduces its own windows,
    so a passage that very many documents share sends one entry a task, not one
@@ -31,12 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maploom.llm import sketch
 from maploom.llm import wordhash as wh
 
-#: log2 of the cells of one sketch row: bounds what is broadcast to 2 * 2**28 bits.
-MAX_BITS = 28
-MIN_BITS = 16
-BLOCK_BITS = 20
 #: Windows gathered in a task before their sketch is sent on, and suspects before their entries are.
 SKETCH_WINDOWS = 3_000_000
 SUSPECTS = 750_000
@@ -46,26 +40,6 @@ BUCKET_WINDOWS = 2_000_000
 GROUP_WINDOWS = 3_000_000
 
 
-def _gaps(cells: np.ndarray) -> bytes:
-    """Sorted distinct cells as bytes: the gaps, with 255 for each whole 255."""
-    gap = np.diff(cells, prepend=-1) - 1
-    whole, rest = np.divmod(gap, 255)
-    out = np.full(int(whole.sum()) + len(gap), 255, dtype=np.uint8)
-    out[np.cumsum(whole + 1) - 1] = rest
-    return out.tobytes()
-
-
-def _ungap(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, dtype=np.uint8)
-    at = np.cumsum(raw, dtype=np.int64)
-    ends = np.flatnonzero(raw != 255)
-    return at[ends] + np.arange(len(ends))
-
-
-def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((h >> np.uint64(36 if row else 0)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def _windows(batches: Iterator[pa.RecordBatch], size: int, limit: int, suspect=None) -> Iterator[tuple[np.ndarray, ...]]:
     """(doc_id, hash, second hash) of windows, about ``limit`` at a time; with ``suspect`` only of those it flags.
 
@@ -98,56 +72,18 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int, limit: int, suspect=N
 
 def _sketch(size: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = min(bits, BLOCK_BITS)
         for _, h, _ in _windows(batches, size, SKETCH_WINDOWS):
-            for row in (0, 1):
-                cells = np.sort(_cells(h, row, bits))
-                fresh = np.ones(len(cells), dtype=bool)
-                fresh[1:] = cells[1:] != cells[:-1]
-                again = np.unique(cells[~fresh])
-                cells = cells[fresh]
-                edge = np.arange(1 << (bits - width)) << width
-                parts = [np.append(np.searchsorted(x, edge), len(x)) for x in (cells, again)]
-                out = [(row, b, *(_gaps(x[p[b] : p[b + 1]] - (b << width)) for x, p in zip((cells, again), parts))) for b in range(len(edge))]
-                yield pa.RecordBatch.from_pylist([dict(zip(("sketch_row", "block", "once", "twice"), x)) for x in out], schema=_SKETCH)
-
-    return run
-
-
-_SKETCH = pa.schema([("sketch_row", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
-
-
-def _merge(width: int):
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << width, dtype=np.uint8)
-        for batch in batches:
-            for once, twice in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist()):
-                at = _ungap(once)
-                seen[at] = np.minimum(seen[at] + 1, 2)
-                seen[_ungap(twice)] = 2
-        yield pa.RecordBatch.from_arrays([pa.array([int(key[0].as_py())], pa.int32()), pa.array([int(key[1].as_py())], pa.int32()), pa.array([np.packbits(seen >= 2, bitorder="little").tobytes()])], names=["sketch_row", "block", "bits"])
+            yield from sketch.emit(h, bits)
 
     return run
 
 
-def repeated_cells(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Bit table of two sketch rows: cells whose merged count is two or more."""
-    width = min(bits, BLOCK_BITS)
-    parts = docs.mapInArrow(_sketch(size, bits), "sketch_row int, block int, once binary, twice binary")
-    merged = parts.groupBy("sketch_row", "block").applyInArrow(_merge(width), "sketch_row int, block int, bits binary")
-    table = np.zeros((2, 1 << (bits - 3)), dtype=np.uint8)
-    for r in merged.toLocalIterator():  # 2 ** (bits - 2) bytes in all
-        at = r["block"] << (width - 3)
-        table[r["sketch_row"], at : at + len(r["bits"])] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return table
-
-
 _PART = pa.schema([("bucket", pa.int32()), ("doc_group", pa.int32()), ("base", pa.int64()), ("hash", pa.binary()), ("tail", pa.binary()), ("doc", pa.binary())])
 
 
 def _by_group(doc: np.ndarray, h: np.ndarray, groups: int) -> list[tuple[int, bytes, bytes]]:
     """(group, documents, hashes) of flagged windows."""
-    group = doc % groups
+    group = (wh.mix64(doc.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     at = np.searchsorted(group[order], np.arange(groups + 1))
     parts = ((g, order[at[g] : at[g + 1]]) for g in range(groups) if at[g + 1] > at[g])
@@ -168,15 +104,7 @@ def _group_low(doc: np.ndarray, h: np.ndarray, t: np.ndarray) -> tuple[np.ndarra
 def _suspects(size: int, bits: int, buckets: int, groups: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = table.value
-
-        def suspect(h: np.ndarray) -> np.ndarray:
-            keep = np.ones(len(h), dtype=bool)
-            for row in (0, 1):
-                cell = _cells(h, row, bits)
-                keep &= (flags[row][cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            return keep
-
-        for doc, h, t in _windows(batches, size, SUSPECTS, suspect):
+        for doc, h, t in _windows(batches, size, SUSPECTS, lambda h: sketch.suspects(h, flags, bits)):
             doc, h, t, fresh, low, single = _group_low(doc, h, t)
             later = single & (doc > low)  # repeated within this task already
             rows = [(g % buckets, g, None, x, None, d) for g, d, x in _by_group(doc[later], h[later], groups)]
@@ -220,6 +148,7 @@ def _resolve(groups: int):
     return run
 
 
+_RESULT = "doc_id long, n_words long, n_removed long, text string"
 _FLAGS = pa.schema([("doc_group", pa.int32()), ("docs", pa.binary()), ("hashes", pa.binary())])
 
 
@@ -260,18 +189,42 @@ def _cut(size: int):
     return run
 
 
+def _whole(size: int):
+    """doc_id, text -> all words of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = pa.table({"docs": pa.array([], pa.binary()), "hashes": pa.array([], pa.binary())})
+        for batch in batches:
+            yield from _cut(size)((), pa.Table.from_batches([batch]), none).to_batches()
+
+    return run
+
+
+def _grouped(groups: int):
+    """doc_id, text -> doc_group, doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group = wh.mix64(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)) % np.uint64(groups)
+            yield pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), *batch.columns], names=["doc_group", "doc_id", "text"])
+
+    return run
+
+
 def remove_repeated(docs: DataFrame, size: int = 13) -> DataFrame:
     """``doc_id, n_words, n_removed, text``: the words that stay, joined by one space."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     windows = max(total // 6, 1)
-    bits = int(np.clip(int(2 * windows).bit_length(), MIN_BITS, MAX_BITS))
+    bits = sketch.bits_for(windows)
     buckets = int(max(16, windows // BUCKET_WINDOWS))
-    table = spark.sparkContext.broadcast(repeated_cells(docs, size, bits))
+    table = spark.sparkContext.broadcast(sketch.repeated_cells(docs.mapInArrow(_sketch(size, bits), sketch.COLUMNS), bits))
     groups = int(windows // GROUP_WINDOWS) * 2 + 17
     schema = "bucket int, doc_group int, base long, hash binary, tail binary, doc binary"
     parts = docs.mapInArrow(_suspects(size, bits, buckets, groups, table), schema)
     flagged = parts.groupBy("bucket").applyInArrow(_resolve(groups), "doc_group int, docs binary, hashes binary")
-    grouped = docs.withColumn("doc_group", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(groups)).cast("int"))
-    return grouped.groupBy("doc_group").cogroup(flagged.groupBy("doc_group")).applyInArrow(_cut(size), "doc_id long, n_words long, n_removed long, text string")
+    grouped = docs.filter("doc_id is not null").mapInArrow(_grouped(groups), "doc_group int, doc_id long, text string")
+    kept = grouped.groupBy("doc_group").cogroup(flagged.groupBy("doc_group")).applyInArrow(_cut(size), _RESULT)
+    nameless = docs.filter("doc_id is null").mapInArrow(_whole(size), _RESULT)  # nothing of these goes, so they stay where they are
+    return kept.unionByName(nameless)
