@@ -16,11 +16,15 @@ the change of the count.
 hash table that numpy probes for many lanes at once.  The table is emptied when it
 reaches ``MAX_TRANSITIONS``, so a task's memory is bounded whatever the texts hold.
 
-*Parallel scan.*  A text is cut in chunks.  Pieces never run over a word start, so the
-map of a chunk (state in, state out and count) has a part that no incoming state
-changes: from the first word start on.  All chunks run that part at once, a character
-a step.  Then the maps compose: a prefix scan hands each chunk's end state to the part
-of the next chunk before its first word start, in rounds only for chunks without any.
+*Parallel scan.*  A text is cut in chunks.  Pieces never run over a word start, so what
+a chunk emits from its first word start on hangs on no incoming state: all chunks run
+that part at once, a character a step.  The part before it is a map from the incoming
+state to (state out, count).  Its domain starts with the states that runs from the
+start state reach which begin a little before the chunk, one for each phase a piece can
+have; they mostly agree.  The maps then compose pairwise, in a prefix scan by doubling:
+a long text without any word start takes rounds in the logarithm of its chunks.  Where a
+map is asked for a state outside its domain the domain is extended, so the result is
+exact.
 
 Characters outside the vocabulary count their UTF-8 bytes (byte fallback) and end
 every piece.
@@ -39,6 +43,9 @@ from pyspark.sql import functions as F
 MAX_TRANSITIONS = 1_000_000
 #: Characters of one lane, and texts' characters taken at once.
 CHUNK = 192
+#: Characters that the runs begin before a chunk, and how many such runs.
+LOOK_BACK = 48
+PHASES = 16
 SLICE_CHARS = 4_000_000
 
 SPACE = "▁"
@@ -206,21 +213,61 @@ class Transducer:
         sync = np.minimum(nxt, stop)
         end_state = np.zeros(lanes, dtype=np.int32)
         self._run(sync, stop, np.zeros(lanes, dtype=np.int32), end_state, cls, fresh, unknown, emitted)
-        # prefix scan: the part before the first fresh position takes the state of the chunk before
-        known = sync < stop  # the end state no longer depends on what came in
+        # the part before the first fresh position is a map of the state that comes in
         todo = np.flatnonzero(starts < sync)
-        while len(todo):
-            ready = todo[known[todo - 1]]
-            out = np.zeros(len(ready), dtype=np.int32)
-            self._run(starts[ready], sync[ready], end_state[ready - 1], out, cls, fresh, unknown, emitted)
-            whole = ~known[ready]
-            end_state[ready[whole]] = out[whole]
-            known[ready] = True
-            todo = todo[~np.isin(todo, ready)]
+        if len(todo):
+            emitted[starts[todo]] += self._scan(todo, starts, sync, stop, end_state, cls, fresh, unknown)
         total = np.concatenate([[0], np.cumsum(emitted)])
         return total[ends] - total[ends - sizes]
 
-    def _run(self, begin, stop, state, out, cls, fresh, unknown, emitted) -> None:
+    def _scan(self, todo, starts, sync, stop, end_state, cls, fresh, unknown) -> np.ndarray:
+        """Tokens emitted before the first fresh position of each chunk of ``todo``, by composed chunk maps."""
+        place = np.full(len(starts) + 1, -1)  # of a chunk within todo
+        place[todo] = np.arange(len(todo))
+        goes_on = (sync[todo] == stop[todo]) & (place[todo + 1] >= 0)  # the map's state out comes into another map
+        head = np.flatnonzero((place[todo - 1] < 0) | (sync[todo - 1] < stop[todo - 1]))  # here the incoming state is known
+        # domains: (chunk, state in), coded as one number
+        states = [end_state[todo[head] - 1].astype(np.int64)]
+        chunks = [head]
+        later = np.flatnonzero(goes_on) + 1
+        for k in range(PHASES if len(later) else 0):
+            to = starts[todo[later]]
+            out = np.zeros(len(later), dtype=np.int32)
+            self._run(to - LOOK_BACK - k, to, np.zeros(len(later), dtype=np.int32), out, cls, fresh, unknown)
+            states.append(out.astype(np.int64))
+            chunks.append(later)
+        fresh_key = np.unique((np.concatenate(chunks) << 32) | np.concatenate(states))
+        key = np.zeros(0, dtype=np.int64)
+        to, count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        while len(fresh_key):
+            chunk, state = fresh_key >> 32, (fresh_key & 0xFFFFFFFF).astype(np.int32)
+            out = np.zeros(len(chunk), dtype=np.int32)
+            sums = self._run(starts[todo[chunk]], sync[todo[chunk]], state, out, cls, fresh, unknown)
+            order = np.argsort(np.concatenate([key, fresh_key]), kind="stable")
+            key, to, count = (np.concatenate(x)[order] for x in ((key, fresh_key), (to, out.astype(np.int64)), (count, sums)))
+            # each entry's successor: the entry of the next chunk for the state that comes out
+            chunk = key >> 32
+            asked = np.where(goes_on[chunk], ((chunk + 1) << 32) | to, -1)
+            at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+            found = (asked >= 0) & (key[at] == asked)
+            nobody = len(key)
+            jump = np.append(np.where(found, at, nobody), nobody)
+            # composing maps pairwise: after each round a jump covers twice as many chunks
+            taken = np.zeros(len(key) + 1, dtype=bool)
+            taken[np.searchsorted(key, (head << 32) | end_state[todo[head] - 1])] = True
+            while (jump[:-1] < nobody).any():
+                taken[jump[taken]] = True
+                jump = jump[jump]
+            taken = taken[:-1]
+            fresh_key = np.unique(asked[taken & (asked >= 0) & ~found])
+        out = np.zeros(len(todo), dtype=np.int64)
+        out[key[taken] >> 32] = count[taken]
+        return out
+
+    def _run(self, begin, stop, state, out, cls, fresh, unknown, emitted=None) -> np.ndarray:
+        """Run lanes of characters; ``out`` takes the end states.  Gives each lane's count, and each character's in ``emitted``."""
+        sums = np.zeros(len(begin), dtype=np.int64)
+        out[:] = state
         lane = np.flatnonzero(begin < stop)
         at, state = begin[lane].copy(), state[lane].copy()
         last = stop[lane]
@@ -230,13 +277,16 @@ class Transducer:
             if len(plain):
                 new, count = self.advance(state[plain], cls[at[plain]])
                 state[plain] = new
-                emitted[at[plain]] = count
+                sums[lane[plain]] += count
+                if emitted is not None:
+                    emitted[at[plain]] = count
             at += 1
             done = at >= last
             if done.any():
                 out[lane[done]] = state[done]
                 go = ~done
                 lane, at, state, last = lane[go], at[go], state[go], last[go]
+        return sums
 
 
 _machines: dict[str, Transducer] = {}
