@@ -8,7 +8,8 @@ shared anew by weight: that is a water level, found by one pass over the sources
 The targets then vote for blocks of ``BLOCK`` words: seats go to the highest
 quotients ``votes / (2 s - 1)``, first to sources, then inside a source to its shards
 by their sizes.  A large source has many shards, so none of this depends on how the
-rows are dealt over sources.  In a shard, documents lie one after the other in a
+rows are dealt over sources; from ``FAN`` shards on the seats go to groups of shards
+first, level by level, so no ranking is longer than ``FAN`` parties.  In a shard, documents lie one after the other in a
 seeded order and are cut into blocks; whole rounds take all blocks, and the rest of
 the quota takes blocks in a second seeded order, the last one in part.
 
@@ -27,6 +28,8 @@ from maploom.llm.tables import join_small, stored
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 SHARD_WORDS = 1 << 18
+#: Shards, or groups of them, that share out seats among themselves.
+FAN = 1024
 #: Sources up to which the table of sources is broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -74,6 +77,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return s.select("source", "place", "weight", "source_size", F.least(F.col("most"), F.coalesce("level", F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
+def shard_seats(lengths: DataFrame, sources: DataFrame) -> DataFrame:
+    """``lengths`` (``place, shard, length``) with ``won``: each shard's part of its source's blocks."""
+    levels, most = 1, sources.agg(F.max("shards")).first()[0] or 1
+    while FAN**levels < most:
+        levels += 1
+    above = sources.select("place", F.lit(0).cast("long").alias("parent"), F.col("source_blocks").alias("seats"))
+    for level in reversed(range(levels)):
+        unit = FAN**level
+        parties = lengths.withColumn("party", F.floor(F.col("shard") / unit)).groupBy("place", "party").agg(F.sum("length").alias("length"))
+        parties = join_small(parties.withColumn("parent", F.floor(F.col("party") / FAN)), above, ["place", "parent"], "inner", BROADCAST_ROWS)
+        won = sainte_lague(parties, ["place", "parent"], "party", "length", "seats")
+        above = won.select("place", F.col("party").alias("parent"), F.col("won").alias("seats"))
+        if level:
+            above = stored(above, "seats")
+    return won.select("place", F.col("party").alias("shard"), "length", "won")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
@@ -89,27 +109,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     ticket = F.xxhash64(F.lit(seed), "doc_id", "size")
     placed = placed.withColumn("shard", F.pmod(ticket, F.col("shards"))).withColumn("ticket", F.xxhash64(F.lit(seed + 1), "doc_id", "size"))
 
-    shards = placed.groupBy("place", "shard").agg(F.sum("size").alias("length"))
-    shards = shards.join(F.broadcast(targets.select("place", "source_blocks")) if targets.count() <= BROADCAST_ROWS else targets.select("place", "source_blocks"), "place")
-    shards = sainte_lague(shards, ["place"], "shard", "length", "source_blocks")
+    lengths = stored(placed.groupBy("place", "shard").agg(F.sum("size").alias("length")), "shards")
+    shards = shard_seats(lengths, targets.select("place", "source_blocks", "shards"))
     quota = F.least(F.col("won") * BLOCK, (most * F.col("length")).cast("long"))
     shards = shards.filter("length > 0").withColumn("quota", quota).withColumn("rounds", F.floor(F.col("quota") / F.col("length")))
     shards = stored(shards.select("place", "shard", "length", "rounds", (F.col("quota") - F.col("rounds") * F.col("length")).alias("rest")), "quotas")
 
-    blocks = shards.filter("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / BLOCK))))
+    # how many words each block of a shard gives: a shard has some SHARD_WORDS / BLOCK blocks
+    blocks = shards.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / BLOCK))))
     blocks = blocks.withColumn("width", F.least(F.lit(BLOCK), F.col("length") - F.col("block") * BLOCK))
     drawn = W.partitionBy("place", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "place", "shard", "block"), "block")
-    blocks = blocks.withColumn("room", F.col("rest") - (F.sum("width").over(drawn) - F.col("width"))).filter("room > 0")
-    blocks = blocks.select("place", "shard", "block", F.least("width", "room").alias("width"))
+    room = F.col("rest") - (F.sum("width").over(drawn) - F.col("width"))
+    blocks = blocks.select("place", "shard", "rounds", F.struct("block", F.greatest(F.least("width", room), F.lit(0)).cast("int").alias("gives")).alias("b"))
+    gives = F.transform(F.array_sort(F.collect_list("b")), lambda b: b["gives"])
+    drawn_shards = stored(blocks.groupBy("place", "shard").agg(F.first("rounds").alias("rounds"), gives.alias("gives")), "blocks")
 
     lie = W.partitionBy("place", "shard").orderBy("ticket", "doc_id", "size")
-    laid = placed.withColumn("end", F.sum("size").over(lie.rowsBetween(W.unboundedPreceding, 0))).withColumn("row", F.row_number().over(lie))
-    laid = laid.join(shards.select("place", "shard", "rounds"), ["place", "shard"], "left")
-    laid = laid.withColumn("begin", F.col("end") - F.col("size"))
-    spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK)))
-    parts = laid.withColumn("block", F.explode_outer(spans)).join(blocks, ["place", "shard", "block"], "left")
-    overlap = F.greatest(F.least(F.col("end"), F.col("block") * BLOCK + F.col("width")) - F.greatest(F.col("begin"), F.col("block") * BLOCK), F.lit(0))
-    overlap = F.when(F.col("width").isNotNull(), overlap)
-    key = ["place", "shard", "row", "doc_id", "source", "size", "source_size", "target", "rounds"]
-    out = parts.groupBy(*key).agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("part"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.coalesce("rounds", F.lit(0)) + F.col("part")).cast("long").alias("taken"))
+    laid = placed.withColumn("end", F.sum("size").over(lie.rowsBetween(W.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
+    # both sides lie by shard; not broadcast, as it grows with the corpus
+    laid = laid.join(drawn_shards.hint("merge"), ["place", "shard"], "left")
+
+    def overlap(total: Column, b: Column) -> Column:
+        return total + F.greatest(F.least(F.col("end"), b * BLOCK + F.get("gives", b.cast("int"))) - F.greatest(F.col("begin"), b * BLOCK), F.lit(0))
+
+    spans = F.sequence(F.floor(F.col("begin") / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
+    part = F.when((F.col("size") > 0) & F.col("gives").isNotNull(), F.aggregate(spans, F.lit(0).cast("long"), overlap)).otherwise(0)
+    return laid.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.coalesce("rounds", F.lit(0)) + part).cast("long").alias("taken"))
