@@ -30,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maploom.llm.tables import join_small, stored
+from maploom.llm.tables import join_hot, join_small, stored
 
 UNIT = 64
 LEAST, MOST, MASK_BITS = 1024, 16384, 11
 RATE = 8000
 #: Rows up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
+#: Keys with very many rows that are joined by broadcast: chunks (16 KB each at most) and payloads' descriptions.
+HOT_CHUNKS = 2000
+HOT_PAYLOADS = 20_000
 #: Bytes hashed at once.
 SLICE_BYTES = 4 << 20
 
@@ -196,8 +199,8 @@ def read_media(lists: DataFrame, chunks: DataFrame) -> DataFrame:
     named = F.filter("chunks", lambda c: c["data"].isNull())
     whole = lists.filter(F.size(named) == 0)
     partly = lists.filter(F.size(named) > 0)
-    refs = partly.select("payload_key", F.explode(F.transform(named, lambda c: c["digest"])).alias("digest")).distinct()
-    found = refs.join(chunks, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("digest", "data")).alias("found"))
+    refs = stored(partly.select("payload_key", F.explode(F.array_distinct(F.transform(named, lambda c: c["digest"]))).alias("digest")), "references")
+    found = join_hot(refs, chunks, "digest", refs.count(), HOT_CHUNKS).groupBy("payload_key").agg(F.collect_list(F.struct("digest", "data")).alias("found"))
     partly = partly.join(found, "payload_key").select("payload_key", "n_bytes", "header", "chunks", "found")
     none = F.lit(None).cast("array<struct<digest: binary, data: binary>>").alias("found")
     return whole.select("payload_key", "n_bytes", "header", "chunks", none).mapInArrow(_read, _RESULT).union(partly.mapInArrow(_read, _RESULT))
@@ -207,4 +210,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Store every text's media, read it back, and describe it per document."""
     keys, lists, chunks = store_media(docs)
     found = stored(read_media(lists, chunks).dropDuplicates(["payload_key"]), "media-columns")
-    return keys.join(found, "payload_key").drop("payload_key")
+    return join_hot(keys, found, "payload_key", keys.count(), HOT_PAYLOADS).drop("payload_key")

@@ -196,8 +196,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: in
     return RuleEnsemble.fit(rows[FEATURES].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float))
 
 
+def score(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.5) -> DataFrame:
+    """``doc_id, score, predicted`` of every row, by its text alone."""
+    scored = text_statistics(docs).select("doc_id", model.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, threshold: float = 0.5) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    model = fit_quality(docs, labels, folds, held_out)
-    scored = text_statistics(docs).select("doc_id", in_fold(F.col("doc_id"), folds, held_out).alias("held_out"), model.column().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = score(docs, fit_quality(docs, labels, folds, held_out), threshold)
+    return scored.select("doc_id", in_fold(F.col("doc_id"), folds, held_out).alias("held_out"), "score", "predicted")

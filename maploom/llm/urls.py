@@ -5,7 +5,8 @@ Only DataFrame functions and Spark's own tree learner are used.
 A rule is a host and a path prefix; it fits the host and all its subdomains, and the
 longest rule that fits decides.  The urls that rules decide are the labelled urls the
 trees learn from: length, depth, digit ratio, entropy, parameter counts, and how often
-urls of the same host suffix are blocked.  The trees decide the urls that no rule fits.
+other labelled urls of the same host suffix are blocked.  As the labels come from the
+rules, the trees mostly carry the rules over to like urls.  The trees decide the urls that no rule fits.
 
 Null urls and urls without ``://`` have an empty host and path; no rule fits them and
 the trees judge them by their features like others.  With no labelled url at all the
@@ -83,8 +84,11 @@ def judge(pages: DataFrame, rules: list[Rule], train_rows: int = TRAIN_ROWS, see
 
     labelled = pages.filter("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
     suffixes = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("blocked"))
-    suffixes = suffixes.select("suffix", ((F.col("blocked") + 1) / (F.col("seen") + 2)).alias("suffix_rate"), F.log1p("seen").alias("suffix_seen"))
-    full = join_small(pages, suffixes, "suffix", "left", BROADCAST_ROWS).fillna({"suffix_rate": 0.5, "suffix_seen": 0.0})
+    full = join_small(pages, suffixes, "suffix", "left", BROADCAST_ROWS).fillna({"seen": 0, "blocked": 0.0})
+    # a labelled url doesn't see its own label
+    own = F.col("by_rule").isNotNull().cast("int")
+    seen, blocked = F.col("seen") - own, F.col("blocked") - F.coalesce((F.col("by_rule") == "block").cast("double"), F.lit(0.0))
+    full = full.withColumns({"suffix_rate": (blocked + 1) / (seen + 2), "suffix_seen": F.log1p(seen)})
     wanted = ["by_rule", "page_id", "url", *FEATURES]
     train = full.filter("by_rule is not null").select(*wanted).orderBy(F.xxhash64(F.lit(seed), "page_id", "url"), "url").limit(train_rows)
     train = stored(train.select(*FEATURES, (F.col("by_rule") == "block").cast("double").alias("label")).coalesce(2), "url-sample")
