@@ -129,6 +129,28 @@ def test_substring_dedup(docs, odd, empty):
     assert substring.remove_repeated(empty).count() == 0
 
 
+@pytest.mark.parametrize("percent", [30, 50, 60, 70, 100])
+def test_sizes_that_may_be_linked_share_a_class(percent):
+    plan = jaccard.SegmentPlan(percent)
+    n = np.arange(1, 400)
+    row, level = plan.levels(n)
+    classes = [set(level[row == k]) for k in range(len(n))]
+    own = [min(c) for c in classes]
+    assert all(own[b] in classes[a] for a in range(len(n)) for b in range(a, len(n)) if n[b] * percent <= 100 * n[a])
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70])
+def test_jaccard_of_sets_of_unlike_sizes(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for i in range(60):
+        base = [f"g{i}_{k}" for k in range(rng.randrange(3, 90))]
+        more = [f"m{i}_{k}" for k in range(rng.randrange(0, len(base)))]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + more))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent).collect()), key=repr)
+    assert got == brute_components(rows, 3, percent)
+
+
 @pytest.mark.parametrize("size, percent", [(3, 90), (5, 80)])
 def test_jaccard(docs, odd, empty, size, percent):
     for df in (docs, odd):
@@ -212,6 +234,24 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_proximity(spark, odd):
+    bench = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w4 w5 w6 w7 w8"), (3, "É one"), (4, "one"), (5, "absent w1"), (6, None)], "item_id long, text string")
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    for size, within in ((3, 5), (2, 2), (4, 9)):
+        want = {}
+        for i, t in {p for p in pairs(odd) if p[0] is not None}:
+            w = words((t or "").translate(UP), pattern)
+            spans = [set(w[k : k + within]) for k in range(max(len(w) - within + 1, 1))]
+            for item, text in pairs(bench.withColumnRenamed("item_id", "doc_id")):
+                x = words((text or "").translate(UP), pattern)
+                n = min(size, len(x))
+                found = {k for k in range(len(x) - n + 1 if n else 0) if any(set(x[k : k + n]) <= s for s in spans)}
+                if found:
+                    want.setdefault((i, str(item)), set()).update(found)
+        got = {(r.doc_id, i): r.n_windows for r in decontaminate.near_items(odd, bench, size, within).collect() for i in r.item_ids}
+        assert got == {k: len(v) for k, v in want.items()} and got
+
+
 def test_token_counts(spark, docs, odd, empty):
     spm = pytest.importorskip("sentencepiece")
     path = q.tokenizer_path("piece_bpe_32k.model")
@@ -228,12 +268,22 @@ def test_transducer_scans_words_longer_than_a_chunk():
     path = q.tokenizer_path("piece_bpe_32k.model")
     lib = spm.SentencePieceProcessor(model_file=path)
     rng = random.Random(1)
-    texts = ["".join(rng.choice("aabcdehinost é中<>_▁0123\n\t😀") for _ in range(rng.randrange(900))) for _ in range(80)] + ["ab" * 3000, "é" * 900, " " * 900, "a", ""]
+    texts = ["".join(rng.choice("aabcdehinost é中<>_▁0123\n\t😀") for _ in range(rng.randrange(900))) for _ in range(80)] + ["ab" * 3000, "é" * 900, " " * 900, "a", "", "a" * 5000, "the" * 2000]
     machine = tokencount.Transducer(tokencount.PieceBpe(path), limit=2000)
     assert machine.count(texts).tolist() == [len(x) for x in lib.encode(texts)]
     assert machine.count(texts[:9]).tolist() == [len(x) for x in lib.encode(texts[:9])]  # after the table was emptied
 
 
+def test_transducer_of_a_megabyte_without_a_word_start():
+    spm = pytest.importorskip("sentencepiece")
+    path = q.tokenizer_path("piece_bpe_32k.model")
+    lib = spm.SentencePieceProcessor(model_file=path)
+    rng = random.Random(2)
+    machine = tokencount.Transducer(tokencount.PieceBpe(path))
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=1 << 20)), "".join(rng.choices("中文字的一是不了人我", k=200_000)), "a" * (1 << 20)):
+        assert machine.count([text]).tolist() == [len(lib.encode(text))]
+
+
 def test_token_ids(spark, docs, odd, empty):
     from tokenizers import Tokenizer
 
@@ -250,6 +300,33 @@ def test_token_ids(spark, docs, odd, empty):
     assert tokenids.verified_token_ids(tokenids.write_token_ids(empty, path, 2)).count() == 0
 
 
+def test_token_ids_are_found_by_id(spark, odd, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = q.tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    monkeypatch.setattr(tokenids, "BLOCK_IDS", 40)
+    blocks = tokenids.write_token_ids(odd, path, 2)
+    whole = sorted((r.doc_id, r.start, bytes(r.ids)) for r in tokenids.read_token_ids(blocks).collect() if r.doc_id is not None)
+    ids = sorted({i for i, _, _ in whole})
+    got = sorted((r.doc_id, r.start, bytes(r.ids)) for r in tokenids.look_up(blocks, [*ids, 99, -8]).collect())
+    assert got == whole
+    assert sorted(x for _, _, x in got) == sorted(struct.pack(f"<{len(x)}I", *x) for i, t in pairs(odd) if i is not None for x in [[*lib.encode(t or "", add_special_tokens=False).ids, 2]])
+
+
+def test_encoder_of_any_text():
+    path = q.tokenizer_path("byte_bpe_50k.json")
+    encoder = tokenids.Encoder(path)
+    rng = random.Random(1)
+    parts = ["a", "b", "the", "Ne", "1", "22", "'s", "'t", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u2003", "\u3000", "\x1c", "\x85", "é", "中", "😀", ".", ",", "<|endoftext|>", "_", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(4000)]
+    texts += [" ".join(rng.choice(["foo", "bar", "x.", "\nq", "été,"]) for _ in range(rng.randrange(30))) for _ in range(1000)] + ["\nfoo", "foo\n", "\n", "", " a", "a ", "x" * 5000, " \n "]
+    for k in range(0, len(texts), 700):  # later slices meet known pieces
+        ids, counts = encoder.encode(pa.array(texts[k : k + 700]), 2)
+        want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts[k : k + 700]]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 def test_elias_fano():
     rng = np.random.default_rng(2)
     for n, step in ((1, 1), (1000, 2), (1000, 5000), (5, 10**6), (3000, 1)):
@@ -257,6 +334,9 @@ def test_elias_fano():
         ef = tokenids.EliasFano.of(v)
         assert ef.values().tolist() == v.tolist()
         assert [ef.select(i) for i in range(n)] == v.tolist()
+        at = rng.integers(0, n, 50)
+        assert ef.select_many(at).tolist() == v[at].tolist()
+        assert all(ef.first_at_least(int(x)) == np.searchsorted(v, x) for x in v[at])
         assert sum(map(len, ef.parts()[1:])) <= n * (np.log2(max(v[-1] / n, 1)) + 4) / 8 + 40
 
 
@@ -286,6 +366,18 @@ def test_mixing(docs, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_many_shards(spark, docs, monkeypatch):
+    """Sources of many shards, in groups of a few, come near their targets too."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    taken, target = {}, {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK + 0.01 * target[s] for s in target)
+
+
 def test_sainte_lague_against_one_seat_at_a_time(spark):
     rng = random.Random(8)
     votes = [rng.randrange(0, 1000) for _ in range(23)]
@@ -352,6 +444,35 @@ def test_language(spark, odd, empty):
     assert langid.identify(empty).count() == 0
 
 
+def slow_bayes(learned, text, smoothing=0.5):
+    """(best language, its posterior), from n-gram counts kept in dictionaries."""
+    def grams(t):
+        code = np.array([ord(c) for c in t.lower()], dtype=np.uint32)
+        return Counter(np.flatnonzero(langid.ngram_counts(code, np.zeros(len(code), dtype=np.int64), 1)[0]).tolist()), langid.ngram_counts(code, np.zeros(len(code), dtype=np.int64), 1)[0]
+
+    margins = {}
+    for lang in sorted({x for _, x in learned}):
+        total = sum(grams(t)[1] for t, x in learned if x == lang) + smoothing
+        rows = sum(x == lang for _, x in learned)
+        margins[lang] = np.log(rows / len(learned)) + float(grams(text)[1] @ np.log(total / total.sum()))
+    best = max(sorted(margins), key=margins.get)
+    return best, 1 / sum(np.exp(m - margins[best]) for m in margins.values())
+
+
+@pytest.mark.parametrize("page", [500, 2])
+def test_language_against_a_slow_form(spark, monkeypatch, page):
+    monkeypatch.setattr(langid, "PAGE", page)
+    texts = ["the house ΟΔΟΣ", "das Haus", "la maison", "the of and", "der die das", "le la les", "ΟΔΟΣ", "½ ² ①", "a house", "et la"]
+    rows = [(i, t, ["en", "de", "fr", "el", None][i % 5]) for i, t in enumerate(texts * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = [(t, x) for i, t, x in rows if x is not None and zlib.crc32(str(i).encode()) % 5 != 0]
+    for r in langid.identify(df).collect():
+        text = texts[r.doc_id % 10]
+        want = slow_bayes(learned, text) if any(map(str.isalpha, text)) else ("und", 0.0)
+        assert r.lang_pred == want[0] and r.score == pytest.approx(want[1])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_pipeline(spark):
     docs, before = read(spark, DIR, "documents"), None
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -370,3 +491,109 @@ def test_pipeline_stages_of_odd_rows(spark, odd, empty):
     for df in (odd, empty):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, DIR).count() <= 2 * df.count()
+
+
+@pytest.fixture(scope="module")
+def unlike(spark, odd):
+    """Repeated and null ids with unlike texts, near copies under the same id, and rows that repeat whole."""
+    base = [f"u{k}" for k in range(80)]
+    texts = [" ".join(base), " ".join([*base[:-1], "x"]), "a text of its own that is nobody's copy " * 3, " ".join(reversed(base)), None]
+    rows = [(i, t, "en", "s1", 1, "t", 2) for i, t in [(3, texts[0]), (4, texts[0]), (4, texts[2]), (4, texts[1]), (None, texts[3]), (None, texts[3]), (None, texts[0]), (9, texts[3]), (9, None), (9, None)]]
+    return spark.createDataFrame(rows, DOCS).unionByName(odd)
+
+
+def bag(rows):
+    return Counter((r.doc_id, r.text) for r in rows)
+
+
+def test_stages_against_brute_force(spark, unlike):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = unlike.collect()
+    # quality: the ensemble's own weights, row by row
+    model = quality.fit_quality(unlike, read(spark, DIR, "labels"))
+    rules = [r for r, _ in model.weighted]
+    margin = model.base + quality.holds(rules, quality.statistics([r.text for r in rows])) @ np.array([w for _, w in model.weighted])
+    assert bag(stages["quality classifier"](spark, unlike, DIR).collect()) == bag(r for r, m in zip(rows, margin) if m >= 0)
+    # near duplicates: the smallest id of each group of rows
+    plain = sorted({(r.doc_id, r.text) for r in rows}, key=repr)
+    group = {k: c for k, _, c in brute_components([(k, t) for k, (_, t) in enumerate(plain)], 5, 80)}
+    groups = {}
+    for k, (i, t) in enumerate(plain):
+        groups.setdefault(group[k], []).append((i is None, i or 0, t))
+    kept = bag(stages["n-gram jaccard join"](spark, unlike, DIR).collect())
+    assert set(kept.values()) == {1} and len(kept) == len(groups)
+    for members in groups.values():
+        mine = [(i is None, i or 0, t) for i, t in kept if (i is None, i or 0, t) in members]
+        assert len(mine) == 1 and mine[0][:2] == min(m[:2] for m in members)
+    # decontamination: by each row's own text
+    items = [(r.item_id, r.text) for r in read(spark, DIR, "benchmark").collect()]
+    more = spark.createDataFrame([(4, items[0][1], "en", "s1", 1, "t", 2), (None, items[1][1], "en", "s1", 1, "t", 2)], DOCS)
+    both = unlike.unionByName(more)
+    judged = [(r, brute_contamination([(0, r.text)], items)[0][-1]) for r in both.collect()]
+    assert sum(c for _, c in judged) >= 2
+    assert bag(stages["benchmark decontamination"](spark, both, DIR).collect()) == bag(r for r, c in judged if not c)
+    # mixing: each row as often as the mix takes it, up or down to a whole number
+    taken = {}
+    for r in mixing.mix(corpus_pipeline._keyed(unlike)).collect():
+        taken.setdefault(r.doc_id, []).append(r.taken / r.size if r.size else 1)
+    keyed = unlike.withColumn("key", corpus_pipeline._key()).collect()
+    drawn = bag(stages["source mixing"](spark, unlike, DIR).collect())
+    for r in keyed:
+        same = sum((x.doc_id, x.text) == (r.doc_id, r.text) for x in keyed)
+        assert np.floor(np.mean(taken[r.key])) <= drawn[r.doc_id, r.text] / same <= np.ceil(np.mean(taken[r.key]))
+    # token ids: the library's
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(q.tokenizer_path("byte_bpe_50k.json"))
+    got = Counter((r.doc_id, r.n_tokens) for r in stages["token id output"](spark, unlike, DIR).collect())
+    assert got == Counter((r.doc_id, len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in rows)
+
+
+def test_rule_ensemble_as_a_column(spark):
+    docs = read(spark, DIR, "documents")
+    model = quality.fit_quality(docs, read(spark, DIR, "labels"))
+    rows = docs.select("doc_id", "text").collect()
+    margin = model.base + quality.holds([r for r, _ in model.weighted], quality.statistics([r.text for r in rows])) @ np.array([w for _, w in model.weighted])
+    want = {r.doc_id: 1 / (1 + np.exp(-m)) for r, m in zip(rows, margin)}
+    assert model.weighted and {r.doc_id: r.score for r in quality.score(docs, model).collect()} == pytest.approx(want)
+
+
+def test_urls_against_a_slow_matcher(spark):
+    pages = read(spark, DIR, "pages").select("page_id", "url", F.lit("x").alias("rule"), F.lit("y").alias("verdict"), F.lit(2.0).alias("block_score"))
+    long = spark.createDataFrame([(-1, "http://a.net/de/" + "x?" * 500_000, "x", "y", 2.0), (None, None, None, None, None)], "page_id long, url string, rule string, verdict string, block_score double")
+    for r in urls.judge(pages.unionByName(long), q.URL_RULES).collect():
+        host = path = ""
+        if "://" in (r.url or ""):
+            rest = r.url.split("://", 1)[1]
+            host, path = re.match(r"(?s)([^/?#]*)([^?#]*)", rest).groups()
+            host = host.translate(UP)
+        fits = [(len(h + p), h + p, v) for v, h, p in q.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (r.host, r.path, r.rule) == (host, path, best and best[1])
+        assert r.verdict == (best[2] if best else ("block" if r.block_score >= 0.5 else "allow")) and 0 <= r.block_score <= 1
+
+
+def test_compiled_trees_against_the_learners(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.range(400).select("id", *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(50)) / 7.0).alias(f) for k, f in enumerate(urls.FEATURES)])
+    df = df.withColumn("label", (F.col("depth") + F.col("entropy") > 7).cast("double"))
+    rows = VectorAssembler(inputCols=urls.FEATURES, outputCol="features").transform(df)
+    model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(rows)
+    got = urls.tree_score(model.transform(rows), model).select("block_score", vector_to_array("probability")[1].alias("p")).collect()
+    assert [r.block_score for r in got] == pytest.approx([r.p for r in got])
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    from maploom.llm import tables
+
+    monkeypatch.setattr(tables, "LEAST_DEGREE", 10)
+    big = spark.range(500).select(F.when(F.col("id") < 300, 1).when(F.col("id") < 400, 2).otherwise(F.col("id")).alias("k"), "id")
+    side = spark.range(450).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted(big.join(side, "k").collect())
+    assert sorted(tables.join_hot(big, side, "k", 500, 20).select("k", "id", "v").collect()) == want
+    assert sorted(tables.join_salted(big, side, "k", "inner").select("k", "id", "v").collect()) == want
+    star = spark.range(1, 200).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(300, 400).select(F.col("id").alias("a"), F.lit(250).cast("long").alias("b")))
+    assert {(r.node, r.component) for r in components(star).collect()} == {(k, 0) for k in range(200)} | {(k, 250) for k in [250, *range(300, 400)]}
