@@ -2,17 +2,18 @@
 
 Every stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 read again as the next stage's ``docs``.  All stages but the last return the columns
-of ``documents``.  Rows with a null ``doc_id`` can't be rejected by id and stay.
+of ``documents``.  A stage judges rows, not ids: a row's key is a hash of its id and text,
+so rows with a null or repeated ``doc_id`` are judged each by its own text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maploom.llm import decontaminate, jaccard, mixing, quality, tokenids
 from maploom.llm.queries import tokenizer_path
-from maploom.llm.tables import join_small, read, stored
+from maploom.llm.tables import read, small, stored
 
 #: Ids up to which a list of decisions is broadcast.
 BROADCAST_ROWS = 500_000
@@ -21,46 +22,71 @@ BROADCAST_ROWS = 500_000
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return join_small(docs, ids.select("doc_id").distinct(), "doc_id", "left_anti", BROADCAST_ROWS)
+def _key() -> Column:
+    """A key for each row that only rows with the same id and text share."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as an operator sees them: with the row key for an id."""
+    return docs.withColumn("doc_id", _key())
+
+
+def _meet(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
+    """Join on the row key, which no two different rows share."""
+    docs = docs.withColumn("_key", _key())
+    side = side.withColumnRenamed("doc_id", "_key")
+    return docs.join(F.broadcast(side) if small(side, BROADCAST_ROWS) else side, "_key", how).drop("_key")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return _meet(docs, keys.select("doc_id").distinct(), "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier rejects."""
-    scores = quality.quality_scores(docs, read(spark, sf_dir, "labels"), folds=3, held_out=1)
-    return _without(docs, stored(scores.filter("predicted = 0").select("doc_id"), "rejected"))
+    """Drop the rows that the quality classifier rejects."""
+    model = quality.fit_quality(docs, read(spark, sf_dir, "labels"), folds=3, held_out=1)
+    return _without(docs, stored(quality.score(_keyed(docs), model).filter("predicted = 0").select("doc_id"), "rejected"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group linked at 0.8 on five-word shingles."""
-    classes = stored(jaccard.jaccard_components(docs, size=5, percent=80).select("doc_id", "component_id"), "classes")
-    kept = _without(docs, classes.filter("doc_id <> component_id"))
-    again = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    again = stored(again, "repeated-ids")
+    """Keep one row of each group linked at 0.8 on five-word shingles: that with the smallest id (null last), of equal ids the smallest key.
+
+    Of rows with the same id and text one stays.
+    """
+    classes = stored(jaccard.jaccard_components(_keyed(docs), size=5, percent=80).select("doc_id", "component_id"), "classes")
+    linked = classes.filter("doc_id <> component_id").select("component_id").distinct()
+    members = classes.join(linked, "component_id", "left_semi").distinct()
+    ids = docs.select(_key().alias("doc_id"), F.col("doc_id").alias("id")).distinct()
+    members = stored(members.join(ids, "doc_id"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "doc_id"))["doc_id"].alias("first"))
+    kept = _without(docs, members.join(first, "component_id").filter("doc_id <> first"))
+    again = stored(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-rows")
     if again.isEmpty():
         return kept
-    repeated = join_small(kept, again, "doc_id", "left_semi", BROADCAST_ROWS).dropDuplicates(["doc_id", "text"])
+    repeated = _meet(kept, again, "left_semi").dropDuplicates(["doc_id", "text"])
     return _without(kept, again).unionByName(repeated)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the benchmark contaminates."""
-    judged = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"), size=13, share=20)
+    """Drop the rows that the benchmark contaminates."""
+    judged = decontaminate.contamination(_keyed(docs), read(spark, sf_dir, "benchmark"), size=13, share=20)
     return _without(docs, stored(judged.filter("contaminated").select("doc_id"), "contaminated"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out whole documents so that each source's words come to what the mix takes of it.
+    """Repeat or leave out whole rows so that each source's words come to what the mix takes of it.
 
-    A document of which the mix takes 1.3 times its words comes once, and with a
-    seeded chance of 0.3 twice.  Documents without words stay once.
+    A row of which the mix takes 1.3 times its words comes once, and with a seeded
+    chance of 0.3 twice.  Rows without words stay once.  Rows with the same id and
+    text come alike, by what the mix takes of them on average.
     """
-    mixed = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0, seed=7)
+    mixed = mixing.mix(_keyed(docs), weights=(3, 1, 2), share=1.5, most=2.0, seed=7)
+    mixed = mixed.groupBy("doc_id").agg(F.first("size").alias("size"), F.avg("taken").alias("taken"))
     times = F.col("taken") / F.col("size")
     chance = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(times) + (chance < times - F.floor(times)).cast("int")).cast("int")
-    plan = mixed.filter("doc_id is not null").select("doc_id", copies.alias("_copies")).groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    drawn = join_small(docs, stored(plan, "copies"), "doc_id", "left", BROADCAST_ROWS).withColumn("_copies", F.coalesce("_copies", F.lit(1))).filter("_copies > 0")
+    drawn = _meet(docs, stored(mixed.select("doc_id", copies.alias("_copies")), "copies"), "left").filter("_copies > 0")
     return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
