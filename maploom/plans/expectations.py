@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions.geometry import quat_to_matrix
 from maploom.operators import expectations as X
+from maploom.operators import gates as G
 from maploom.plans import fixtures as fx
 from maploom.plans import query
 from maploom.plans.aggregates import rounded
@@ -47,16 +48,47 @@ def j5(spark, sf_dir):
     return X.check_manifest(fx.table(spark, sf_dir, "embeddings"), {"rows": 500, "labels": 10, "dimension": 32})
 
 
-_GATES = [("time", "gap_ms", "gap", 30.0, 60.0, True), ("depth", "invalid", "invalid", 0.2, 0.6, True), ("map", "spread", "spread", 40.0, 70.0, False)]
-_EV = f"(select key as id, max(value) / 4 as gap, case when key % 7 = 0 then null else avg((k < 30)::int) end as invalid, stddev_pop(value) as spread from ({fx.EVENTS}) group by 1)"
+#: One row of evidence a user, as a run: what the gates read, from the user's events.
+_EV = f"""(select key as id, key % 17 <> 0 as has_time, key % 11 <> 0 as valid, max(value) / 40 as stereo, case when key % 13 = 0 then 'fisheye' else 'pinhole' end as projection,
+avg((k < 40)::int) as near, case when key % 5 <> 0 then avg((k < 65)::int) end as both_, avg(value) / 100 as step, stddev_pop(value) / 2.5 as turn, case when key % 9 <> 0 then 0.1::double end as spread, avg((k = 0)::int) as leak, avg((k < 55)::int) as unknown,
+max(value) / 15 as pose_ms, avg(value) / 2 as queue_ms, avg(value) * 20 as cycle_ms, count(*) filter (k >= 9) as processed, count(*) filter (k < 9) as dropped, (key % 19 = 0)::int as errors, key % 4 as restarts,
+avg((k < 12)::int) as largest, count(*) * 16 as comps, key % 3 = 0 as fine, case when key % 21 = 0 then 0.004 else 0.005 end::double as area, count(*) * 15 as sig, avg((k = 1)::int) as tiny,
+key % 2 = 0 as required, count(*) filter (k < 5) as pending, count(*) filter (k >= 5) as applied, key % 7 <> 0 as ready, (key % 23 = 0)::int as graph_errors, key % 8 <> 0 as attached, (key % 10 = 0)::int as graph_pending from ({fx.EVENTS}) group by key)"""
+_RULES = {
+    "time": "case when not has_time then 'time.missing_evidence' when valid and stereo <= 10 and projection = 'pinhole' then 'time.contract' else 'time.contract_violation' end",
+    "depth": "case when both_ is null then 'depth.missing_lr_evidence' when near >= 0.15 and 1.1 - near >= 0.7 and both_ >= 0.6 and near >= 0.25 then 'depth.quality' else 'depth.inconsistent' end",
+    "pose": "case when step <= 0.5 and turn <= 20 and spread <= 0.5 then 'pose.quality' else 'pose.jump_or_uncertainty' end",
+    "dynamic": "case when leak <= 0.01 and unknown <= 0.6 then 'dynamic.isolation' else 'dynamic.static_contamination' end",
+    "runtime": "case when errors > 0 then 'runtime.stage_error' when pose_ms > 30 or queue_ms > 30 or cycle_ms > 1000 or dropped / (processed + dropped) > 0.1 then 'runtime.p95_exceeded' when restarts > 2 then 'runtime.resource_exceeded' else 'runtime.latency' end",
+    "map": "case when fine and area <> 0.005 then 'map.metric_contract_mismatch' when largest >= 0.1 and (case when fine then sig <= 1000 and tiny <= 0.05 else comps <= 1000 end) then 'map.connectivity' else 'map.fragmented_mesh' end",
+    "semantic": "case when required and not ready then 'semantic.worker_unavailable' when pending / (pending + applied) > 0.1 then 'semantic.pending_backlog' when required and graph_errors > 0 then 'semantic.graph_error' when required and not attached then 'semantic.graph_not_attached' when required and graph_pending > 0 then 'semantic.graph_pending' else 'semantic.delivery' end",
+}
+_GOOD = "('time.contract', 'depth.quality', 'pose.quality', 'dynamic.isolation', 'runtime.latency', 'map.connectivity', 'semantic.delivery')"
 
 
 def _gated(spark, sf_dir):
-    e = fx.events(spark, sf_dir).groupBy(F.col("key").alias("id")).agg((F.max("value") / 4).alias("gap"), F.when(F.col("id") % 7 != 0, F.avg((F.col("k") < 30).cast("double"))).alias("invalid"), F.stddev_pop("value").alias("spread"))
-    return X.run_gates(e, _GATES)
-
-
-_GSQL = " union all ".join(f"select id, '{s}' as stage, '{c}' as code, case when {v} is null or {v} > {f} then 'FAIL' when {v} > {w} then 'WARN' else 'PASS' end as status, {str(h).lower()} as hard from {_EV}" for s, c, v, w, f, h in _GATES)
+    e, share = fx.events(spark, sf_dir), lambda c: F.avg(c.cast("double"))
+    key, k, n = F.col("id"), F.col("k"), F.count(F.lit(1))
+    a = e.groupBy(F.col("key").alias("id")).agg(
+        F.max("value").alias("top"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), n.alias("n"), share(k < 40).alias("near"), share(k < 65).alias("both"), share(k == 0).alias("leak"), share(k < 55).alias("unknown"),
+        share(k < 12).alias("largest"), share(k == 1).alias("tiny"), F.count_if(k < 9).alias("dropped"), F.count_if(k < 5).alias("pending"),
+    )
+    stage = lambda name, service, queue, way: F.struct(F.lit(name).alias("stage"), service.alias("service_p95"), queue.alias("queue_p95"), way.alias("end_to_end_p95"))
+    none, fine = F.lit(None).cast("double"), key % 3 == 0
+    true, zero = F.lit(True), F.lit(0)
+    return G.stage_gates(a.select(
+        "id",
+        F.when(key % 17 != 0, F.struct((key % 11 != 0).alias("valid"), true.alias("monotonic"), true.alias("pose_exact_match"), true.alias("relative_time_consistent"), (F.col("top") / 40).alias("stereo_delta_ms"), F.when(key % 13 == 0, "fisheye").otherwise("pinhole").alias("projection"))).alias("time"),
+        F.struct(F.col("near").alias("valid_ratio"), (1.1 - F.col("near")).alias("temporal_agreement"), F.when(key % 5 != 0, F.col("both")).alias("left_right_consistency"), F.col("near").alias("left_right_coverage"), F.lit(None).cast("boolean").alias("left_right_available")).alias("depth"),
+        F.struct((F.col("mean") / 100).alias("translation_step"), (F.col("sd") / 2.5).alias("rotation_step"), F.when(key % 9 != 0, 0.1).alias("position_std"), true.alias("timestamps_monotonic")).alias("pose"),
+        F.struct(F.col("leak").alias("contamination"), F.col("unknown").alias("unknown_ratio")).alias("dynamic"),
+        F.struct(F.array(stage("pose", F.col("top") / 15, F.col("mean") / 2, none), stage("global", none, none, F.col("mean") * 20)).alias("stages"), (F.col("n") - F.col("dropped")).alias("processed"), "dropped", (key % 19 == 0).cast("int").alias("errors"), zero.alias("gpu_bytes"), zero.alias("worker_bytes"), (key % 4).alias("restarts")).alias("runtime"),
+        F.struct("largest", (F.col("n") * 16).alias("components"), F.when(fine, F.when(key % 21 == 0, 0.004).otherwise(0.005)).alias("significant_area"), F.when(fine, F.col("n") * 15).alias("significant_components"), F.when(fine, F.col("tiny")).alias("tiny_area_ratio")).alias("map"),
+        F.struct((key % 2 == 0).alias("required"), "pending", (F.col("n") - F.col("pending")).alias("applied"), zero.alias("rejected"), F.lit(None).cast("long").alias("submitted"), (key % 7 != 0).alias("workers_ready"), (key % 23 == 0).cast("int").alias("graph_errors"), (key % 8 != 0).alias("graph_attached"), (key % 10 == 0).cast("int").alias("graph_pending"), zero.alias("graph_unmapped"), F.col("n").alias("graph_applied")).alias("semantic"),
+    ))
+
+
+_GSQL = "select id, stage, code, case when code in " + _GOOD + " then 'PASS' else 'FAIL' end as status, true as hard from (" + " union all ".join(f"select id, '{s}' as stage, {r} as code from {_EV}" for s, r in _RULES.items()) + ")"
 
 
 @query("j6_run_gates", _GSQL)
@@ -64,9 +96,57 @@ def j6(spark, sf_dir):
     return _gated(spark, sf_dir)
 
 
-@query("j7_run_checks", f"with g as ({_GSQL}) select id, not bool_or(hard and status = 'FAIL') as passed, coalesce(string_agg(distinct case when hard and status = 'FAIL' then code end, ',' order by case when hard and status = 'FAIL' then code end), '') as blocking from g group by 1")
+@query("j6_gate_summary", f"with g as ({_GSQL}) select id, count(*) filter (status = 'FAIL') = 0 as passed, count(*) filter (status = 'FAIL') as hard_failures, 0::bigint as warnings, coalesce(string_agg(code, ',' order by code) filter (status = 'FAIL'), '') as blocking from g group by 1")
+def j6_summary(spark, sf_dir):
+    return G.gate_summary(_gated(spark, sf_dir))
+
+
+#: The run record of a user: counts of its orders, and flags by its number.
+_RUN = "(select o_custkey as run, count(*) as n, count(*) filter (o_orderstatus <> 'P') as done, avg(o_totalprice) as price, o_custkey % 3 as m, o_custkey % 5 as f from orders group by o_custkey)"
+_CHECKS = {
+    "provenance.clean_head": "f <> 4", "provenance.git_sha": "run % 19 <> 0", "configuration.rate": "run % 17 <> 0", "configuration.replay_pacing_rate": "run % 13 <> 0", "configuration.stage_rate_multiplier": "run % 11 <> 0",
+    "configuration.throttled": "run % 23 <> 0", "configuration.no_source_bursts": "run % 29 <> 0", "configuration.full_dataset": "run % 31 <> 0", "configuration.no_fault_injection": "run % 37 <> 0 and run % 41 <> 0", "configuration.standard_quality_gates": "run % 43 <> 0",
+    "run.complete": "done > 0", "run.all_frames_completed": "done = n", "run.full_dataset": "run % 7 <> 0", "run.all_frames_dispatched": "true", "run.no_resume": "m <> 2 or f <> 1", "run.zero_drops": "n = done",
+    "quality.all_hard_gates": "m <> 0 or f <> 2", "runtime.zero_errors": "run % 47 <> 0", "runtime.zero_scheduler_drops": "n = done", "runtime.real_segmentation": "done > 0", "runtime.real_tracking": "run % 53 <> 0",
+    "runtime.semantic_metric_consistency": "done = n", "runtime.full_rate_tracking": "true", "runtime.mapping_cycle_p95": "price / 2000 <= 100", "runtime.replay_pacing_evidence": "run % 29 <> 0 and f <> 3",
+    "depth.resolved_profile": "case when m = 1 then n > 3 else run % 59 <> 0 end", "semantic.mode": "run % 61 <> 0", "semantic.real_corrections": "done > 1", "semantic.graph_ack": "m <> 2", "semantic.drain_complete": "run % 6 <> 0", "semantic.resolved_models": "f <> 0",
+}
+_CSQL = " union all ".join(f"select run, '{c}' as code, coalesce({r}, false) as passed from {_RUN}" for c, r in _CHECKS.items())
+
+
+def _runs(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    r = o.groupBy(F.col("o_custkey").alias("run")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") != "P").alias("done"), F.avg("o_totalprice").alias("price"))
+    c, n, done = F.col("run"), F.col("n"), F.col("done")
+    m, f = c % 3, c % 5
+    bad = lambda k, wrong, right: F.when(c % k == 0, wrong).otherwise(right)
+    return r.select(
+        "run", (f != 4).alias("clean"), bad(19, "", F.concat(F.lit("g"), m.cast("string"))).alias("git_sha"), f.alias("dataset"), bad(17, 9.0, 10.0).alias("rate_hz"), bad(13, F.lit(None).cast("double"), F.lit(10.0)).alias("paced_rate_hz"), bad(11, 2.0, 1.0).alias("rate_multiplier"),
+        (c % 23 == 0).alias("no_throttle"), (c % 29 == 0).alias("allow_bursts"), bad(31, F.lit(5), F.lit(None)).alias("max_frames"), bad(37, F.lit("depth"), F.lit(None)).alias("fault_stage"), bad(41, F.lit(3.0), F.lit(None)).alias("fault_delay_ms"), F.lit(None).cast("int").alias("fault_every"),
+        bad(43, "other", "standard").alias("gates_digest"), F.when(done > 0, "complete").otherwise("failed").alias("status"), n.alias("frames_requested"), done.alias("frames_completed"), n.alias("frames_dispatched"), bad(7, n + 1, n).alias("dataset_frames"),
+        F.when((m == 2) & (f == 1), 4).otherwise(0).alias("frames_resumed_from"), (n - done).alias("dropped_frames"), ((m != 0) | (f != 2)).alias("gates_passed"), F.lit(0).alias("hard_failures"), F.lit(True).alias("report_passed"), bad(47, 1, 0).alias("errors"), (n - done).alias("scheduler_drops"),
+        done.alias("segmentation_processed"), F.lit(1.0).alias("segmentation_p95"), n.alias("segmentation_calls"), n.alias("tracking_processed"), bad(53, F.lit(None).cast("double"), F.lit(1.0)).alias("tracking_p95"), n.alias("tracking_calls"), (F.col("price") / 2000).alias("cycle_p95_ms"),
+        F.lit(True).alias("times_preserved"), F.when(f == 3, -1.0).otherwise(n / 10.0).alias("sleep_s"), (n / 5.0).alias("elapsed_s"), F.lit(8).alias("depth_iterations"), F.lit("half").alias("depth_precision"), F.lit("d").alias("depth_digest"), (m == 1).alias("depth_precomputed"), (n - 3).alias("depth_processed"), F.lit(0).alias("depth_failed"),
+        bad(59, F.lit(None).cast("double"), F.lit(1.0)).alias("depth_scale"), bad(61, "none", "language").alias("semantic_mode"), n.alias("prompts"), (done - 1).alias("corrections"), F.lit(True).alias("graph_attached"), (m != 2).alias("commit_valid"), n.alias("graph_applied"), F.lit(0).alias("graph_pending"), F.lit(0).alias("graph_unmapped"), F.lit(None).cast("int").alias("graph_errors"),
+        F.lit(True).alias("workers_ready"), F.lit(2).alias("workers"), bad(6, 1, 2).alias("workers_drained"), F.lit(False).alias("timed_out"), F.lit(5).alias("models"), F.when(f == 0, 4).otherwise(5).alias("models_resolved"),
+    )
+
+
+@query("j7_run_checks", _CSQL)
 def j7(spark, sf_dir):
-    return X.gates_passed(_gated(spark, sf_dir))
+    return G.run_checks(_runs(spark, sf_dir), G.run_rules(10.0, "standard"))
+
+
+@query("j7_run_authority", f"with c as ({_CSQL}) select run, count(*) filter (not passed) = 0 and run % 5 <> 4 as authoritative, count(*) filter (not passed) as failed, coalesce(string_agg(code, ',' order by code) filter (not passed), '') as blocking from c group by run")
+def j7_authority(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return G.run_authority(G.run_checks(runs, G.run_rules(10.0, "standard")), runs)
+
+
+@query("j7_compare_runs", f"with r as (select run, case when run % 19 = 0 then '' else 'g' || m end as sha, f from {_RUN}) select x.run as a, y.run as b, x.sha = y.sha as same_commit, x.f = y.f as same_dataset from r x join r y on y.run = x.run + 15 or y.run = x.run + 4")
+def j7_pairs(spark, sf_dir):
+    runs = _runs(spark, sf_dir).select("run", "git_sha", "dataset")
+    return G.compare_runs(runs.select(F.col("run").alias("a"), F.explode(F.array(F.col("run") + 15, F.col("run") + 4)).alias("b")), runs)
 
 
 @query("j8_check_graph_commit", f"""with o as (select o_orderkey as id, o_custkey * 2 as entity, case when o_orderkey % 9 = 0 then '' else o_orderpriority end as name, o_orderkey % 130 as parent, count(*) over (partition by o_custkey) as n from orders)

@@ -10,7 +10,7 @@ from maploom.plans import fixtures as fx
 from maploom.plans import query
 from maploom.plans.scalars import r6
 
-_SC = "select a.vec_id as query, b.vec_id as ord, b.label, list_dot_product(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id % 20 <> 0"
+_SC = "select a.vec_id as query, b.vec_id as ord, b.label, list_dot_product(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id <> a.vec_id"
 _RK = f"select *, row_number() over (partition by query order by score desc, ord) as rank from ({_SC})"
 
 
@@ -135,7 +135,7 @@ def g10(spark, sf_dir):
     return R.best_frame_assignment(R.greedy_frame_cover(t, 2, 64), t).withColumn("reward", F.round("reward", 6))
 
 
-_TOK = "(select doc_id as item, unnest(regexp_extract_all(lower(text), '[a-z0-9]{9,}')) as word from documents)"
+_TOK = "(select doc_id as item, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents)"
 _TFIDF = f"""tf as (select item, word, count(*) as tf from {_TOK} group by 1, 2), df as (select word, count(*) as df from tf group by 1), nn as (select count(distinct item) as n from {_TOK}),
 raw as (select item, word, tf * (ln((n + 1.0::double) / (df + 1)) + 1) as raw from tf join df using (word), nn), vec as (select item, word, raw / sqrt(sum(raw * raw) over (partition by item)) as weight from raw)"""
 _PAIRS = f"""with {_TFIDF}, s as (select a.item as a, b.item as b, sum(a.weight * b.weight) as score from vec a join vec b on a.word = b.word and b.item >= a.item + 5 group by 1, 2 having sum(a.weight * b.weight) >= 0.8),
