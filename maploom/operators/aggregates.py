@@ -36,6 +36,11 @@ def stage_metrics(telemetry: DataFrame, latencies: list[str]) -> DataFrame:
     return telemetry.groupBy("stage").agg(*cols)
 
 
+def stage_totals(telemetry: DataFrame) -> DataFrame:
+    """One row over all stages: stages, processed, errors, dropped."""
+    return telemetry.agg(F.countDistinct("stage").alias("stages"), *[F.count_if(F.col("event") == e).alias(n) for e, n in (("done", "processed"), ("error", "errors"), ("drop", "dropped"))])
+
+
 def drops_by_reason(telemetry: DataFrame) -> DataFrame:
     return telemetry.filter("event = 'drop'").groupBy("stage", "reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -51,8 +56,9 @@ def status_counts(df: DataFrame, statuses: list[str]) -> DataFrame:
 
 
 def robust_entity_geometry(obs: DataFrame) -> DataFrame:
-    """Component-wise median position and the largest confidence of each entity."""
-    return obs.groupBy("entity").agg(*[F.percentile(c, 0.5).alias(c) for c in "xyz"], F.max("confidence").alias("confidence"))
+    """Component-wise median position, median of the known dimensions (``dx, dy, dz``, where the columns exist) and the largest confidence of each entity."""
+    cols = [*"xyz", *[c for c in ("dx", "dy", "dz") if c in obs.columns]]
+    return obs.groupBy("entity").agg(*[F.percentile(c, 0.5).alias(c) for c in cols], F.max("confidence").alias("confidence"))
 
 
 def masked_geometry(px: DataFrame, k: tuple[float, float, float, float], most: int) -> DataFrame:
@@ -77,6 +83,12 @@ def label_frame_summary(px: DataFrame) -> DataFrame:
     return c.groupBy("frame").agg(F.count(lab).alias("labels"), (F.coalesce(F.sum(lab), F.lit(0)) / F.sum("n")).alias("ratio"), F.coalesce(-F.sum(p * F.log2(p)), F.lit(0.0)).alias("entropy"))
 
 
+def top_labels(px: DataFrame, most: int = 31) -> DataFrame:
+    """The ``most`` labels with most rows over all frames, label 0 left out: ``label, n, frames``."""
+    c = px.filter("label <> 0").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("frame").alias("frames"))
+    return c.orderBy(F.desc("n"), "label").limit(most)
+
+
 def error_summary(df: DataFrame, keys: list[str], prediction: str, reference: str) -> DataFrame:
     e = F.col(prediction) - F.col(reference)
     rel = F.abs(e) / F.greatest(F.col(reference), F.lit(1e-6))
@@ -113,7 +125,7 @@ def dense_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def pair_rollup(pairs: DataFrame) -> DataFrame:
     p = pairs.withColumn("gap", F.abs("offset"))
-    return p.groupBy("gap").agg((F.sum("agree") / F.sum("comparable")).alias("rate"), F.percentile(F.col("agree") / F.col("comparable"), 0.5).alias("median"), F.percentile(F.col("agree") / F.col("comparable"), 0.05).alias("p05"), F.max("dt").alias("dt_max"))
+    return p.groupBy("gap").agg((F.sum("agree") / F.sum("comparable")).alias("rate"), F.percentile(F.col("agree") / F.col("comparable"), 0.5).alias("median"), F.percentile(F.col("agree") / F.col("comparable"), 0.05).alias("p05"), F.percentile("dt", 0.5).alias("dt_median"), F.max("dt").alias("dt_max"))
 
 
 def radial_bins(px: DataFrame, k: tuple[float, float, float, float]) -> DataFrame:
@@ -123,21 +135,28 @@ def radial_bins(px: DataFrame, k: tuple[float, float, float, float]) -> DataFram
     return px.withColumn("bin", b).groupBy("bin").agg(F.count(F.lit(1)).alias("comparable"), F.avg(F.col("agrees").cast("double")).alias("agreement"))
 
 
-def stream_stats(events: DataFrame, stream: str, us: str, order: str) -> DataFrame:
+def stream_stats(events: DataFrame, stream: str, us: str, order: str, frame: str | None = None) -> DataFrame:
+    """Per stream: count, first and last, duration (s), rate, largest gap, whether time always rises and, with ``frame``, how many frames it names."""
     w = W.partitionBy(stream).orderBy(order)
     e = events.withColumn("_g", F.col(us) - F.lag(us).over(w))
     span = (F.max(us) - F.min(us)) / 1e6
-    return e.groupBy(stream).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("first"), F.max(us).alias("last"), F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("rate"), F.max("_g").alias("max_gap"), F.coalesce(F.bool_and(F.col("_g") > 0), F.lit(True)).alias("monotonic"))
+    frames = [F.countDistinct(frame).alias("frames")] if frame else []
+    return e.groupBy(stream).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("first"), F.max(us).alias("last"), span.alias("duration"), F.when(span > 0, (F.count(F.lit(1)) - 1) / span).alias("rate"), F.max("_g").alias("max_gap"), F.coalesce(F.bool_and(F.col("_g") > 0), F.lit(True)).alias("monotonic"), *frames)
 
 
 def track_lifecycle(obs: DataFrame) -> DataFrame:
-    """``scene, track, frame, x`` -> life span, gaps and jump per track, with flags."""
+    """``scene, track, frame, x`` and a box ``x0, y0, x1, y1`` -> life span, gaps, jump and overlap of consecutive boxes per track, with flags."""
     w = W.partitionBy("scene", "track").orderBy("frame")
     o = obs.withColumn("_g", F.col("frame") - F.lag("frame").over(w)).withColumn("_j", F.abs(F.col("x") - F.lag("x").over(w)))
-    t = o.groupBy("scene", "track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("_g") > 1).alias("gaps"), F.max("_g").alias("max_gap"), F.max("_j").alias("max_jump"))
+    side = [F.greatest(F.least(f"{c}1", F.lag(f"{c}1").over(w)) - F.greatest(f"{c}0", F.lag(f"{c}0").over(w)), F.lit(0.0)) for c in "xy"]
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    o = o.withColumn("_both", side[0] * side[1]).withColumn("_area", area)
+    union = F.col("_area") + F.lag("_area").over(w) - F.col("_both")
+    o = o.withColumn("_iou", F.when((F.col("_g") == 1) & (union > 0), F.col("_both") / union))
+    t = o.groupBy("scene", "track").agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("_g") > 1).alias("gaps"), F.max("_g").alias("max_gap"), F.max("_j").alias("max_jump"), F.avg("_iou").alias("iou_mean"), F.min("_iou").alias("iou_min"))
     life = F.col("last") - F.col("first") + 1
-    t = t.withColumn("life", life).withColumn("fill", F.col("n") / F.col("life"))
-    flags = F.array_compact(F.array(F.when(F.col("n") <= 2, "short"), F.when((F.col("life") >= 5) & (F.col("fill") < 0.25), "sparse"), F.when(F.col("gaps") > 0, "gap"), F.when(F.col("max_jump") > 0.25, "jump")))
+    t = t.withColumn("life", life).withColumn("fill", F.col("n") / F.col("life")).withColumn("missing", F.col("life") - F.col("n"))
+    flags = F.array_compact(F.array(F.when(F.col("n") <= 2, "short"), F.when((F.col("life") >= 5) & (F.col("fill") < 0.25), "sparse"), F.when(F.col("gaps") > 0, "gap"), F.when(F.col("max_jump") > 0.25, "jump"), F.when(F.col("iou_min") < 0.05, "overlap")))
     return t.withColumn("flags", F.array_join(flags, ","))
 
 
@@ -178,8 +197,25 @@ def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return j.withColumn("kappa", F.when(F.col("expected") == 1, 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected"))))
 
 
+def review_consensus(reviews: DataFrame, severity: list[str]) -> DataFrame:
+    """One row over items with two verdicts ``a, b``: how often the worse of each pair is in each class, and the strict and lenient rates.
+
+    ``severity`` names the verdicts from best to worst.  Strict: the worse verdict is the best class; lenient: the better one is.
+    Items with an unknown or missing verdict are counted apart.
+    """
+    place = lambda c: F.nullif(F.array_position(F.array(*map(F.lit, severity)), F.col(c)), F.lit(0))
+    r = reviews.select(place("a").alias("_a"), place("b").alias("_b"))
+    known = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    worse, better = F.when(known, F.greatest("_a", "_b")), F.when(known, F.least("_a", "_b"))
+    rate = lambda c: F.avg(F.when(known, (c == 1).cast("double")))
+    counts = [F.count_if(worse == k + 1).alias(n) for k, n in enumerate(severity)]
+    return r.agg(F.count_if(known).alias("items"), F.count_if(~known).alias("unread"), F.count_if(F.col("_a") == F.col("_b")).alias("same"), *counts, rate(worse).alias("strict"), rate(better).alias("lenient"))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("experiment", "variant").agg(F.count(F.lit(1)).alias("runs"), F.avg("metric").alias("mean"), F.percentile("metric", 0.5).alias("median"), F.min("metric").alias("min"), F.max("metric").alias("max"))
+    """Per experiment and variant: runs, complete and diagnostic ones, pass rate of the judged, and the metric's spread."""
+    state = [F.count_if(c).alias(c) for c in ("complete", "diagnostic") if c in runs.columns] + ([F.avg(F.col("passed").cast("double")).alias("pass_rate")] if "passed" in runs.columns else [])
+    return runs.groupBy("experiment", "variant").agg(F.count(F.lit(1)).alias("runs"), *state, F.avg("metric").alias("mean"), F.percentile("metric", 0.5).alias("median"), F.min("metric").alias("min"), F.max("metric").alias("max"))
 
 
 def bootstrap_ci(values: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
@@ -260,11 +296,65 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return comp.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(border.join(comp, "node").select("id", F.col("component").alias("cluster")))
 
 
-def failure_cases(frames: DataFrame, rules: list[tuple[str, str, str, Column]]) -> DataFrame:
-    """One row per frame and rule that holds: ``case_id, stage, severity``, each case once."""
+def failure_cases(frames: DataFrame, rules: list[tuple[str, str, str, Column]], extremes: list[tuple[str, str, str, str, bool, int]] = ()) -> DataFrame:
+    """``case_id, stage, severity``, each case once: a row per frame and rule that holds, and the worst frames by a metric.
+
+    ``extremes``: (name, stage, severity, column, whether the largest, how many); equals go to the lower frame.
+    """
     hits = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(st).alias("stage"), F.lit(sev).alias("severity"))) for n, st, sev, c in rules]))
-    f = frames.select("frame", F.explode(hits).alias("h"))
-    return f.select(F.concat_ws("-", "h.rule", F.col("frame").cast("string")).alias("case_id"), "h.stage", "h.severity").dropDuplicates(["case_id"])
+    case = F.concat_ws("-", "rule", F.col("frame").cast("string")).alias("case_id")
+    found = frames.select("frame", F.explode(hits).alias("h")).select("frame", "h.*").select(case, "stage", "severity")
+    for name, stage, severity, col, largest, most in extremes:
+        worst = frames.filter(F.col(col).isNotNull()).orderBy(F.desc(col) if largest else F.asc(col), "frame").limit(most)  # the list is the feature
+        found = found.unionByName(worst.select("frame", F.lit(name).alias("rule"), F.lit(stage).alias("stage"), F.lit(severity).alias("severity")).select(case, "stage", "severity"))
+    return found.dropDuplicates(["case_id"])
+
+
+def merge_action_summary(events: DataFrame, variant: str, action: str) -> DataFrame:
+    """Count and share of each action per variant."""
+    c = events.groupBy(F.col(variant).alias("variant"), F.col(action).alias("action")).agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("variant")))
+
+
+def top_collisions(events: DataFrame, variant: str, entity: str, other: str, most: int = 8) -> DataFrame:
+    """Per variant the ``most`` entities that met most different others, with ``place``; equals by entity."""
+    c = events.groupBy(F.col(variant).alias("variant"), F.col(entity).alias("entity")).agg(F.countDistinct(other).alias("others"), F.count(F.lit(1)).alias("n"))
+    return c.withColumn("place", F.row_number().over(W.partitionBy("variant").orderBy(F.desc("others"), "entity"))).filter(F.col("place") <= most)
+
+
+def memory_summary(entities: DataFrame, most: int = 30) -> DataFrame:
+    """The ``most`` names with most active entities: active and deleted ones, and how many entities bear the name."""
+    c = entities.groupBy("name").agg(F.count_if(~F.col("deleted")).alias("active"), F.count_if("deleted").alias("gone"), F.countDistinct("entity").alias("entities"))
+    return c.orderBy(F.desc("active"), "name").limit(most)
+
+
+def graph_summary(nodes: DataFrame, layers: list[str]) -> DataFrame:
+    """Nodes of each layer down the hierarchy, and over all (-1)."""
+    c = nodes.rollup(*layers).agg(F.count(F.lit(1)).alias("nodes"))
+    return c.select(*[F.coalesce(k, F.lit(-1).cast("bigint")).alias(k) for k in layers], "nodes")
+
+
+def flat_numbers(summary: DataFrame) -> DataFrame:
+    """``path, value`` of every number in the columns of a summary, nested structs by dotted path; null numbers are left out."""
+    from pyspark.sql import types as T
+
+    def walk(schema, at: str) -> list[str]:
+        out = []
+        for f in schema:
+            here = f"{at}{f.name}"
+            if isinstance(f.dataType, T.StructType):
+                out += walk(f.dataType, f"{here}.")
+            elif isinstance(f.dataType, T.NumericType):
+                out.append(here)
+        return out
+
+    each = F.array(*[F.struct(F.lit(n).alias("path"), F.col(n).cast("double").alias("value")) for n in walk(summary.schema, "")])
+    return summary.select(F.explode(each).alias("x")).select("x.*").filter("value is not null")
+
+
+def ab_delta(base: DataFrame, cand: DataFrame) -> DataFrame:
+    """``path, delta``: candidate less base for each path that both summaries (``path, value``) have."""
+    return base.select("path", F.col("value").alias("_b")).join(cand.select("path", F.col("value").alias("_c")), "path").select("path", (F.col("_c") - F.col("_b")).alias("delta"))
 
 
 def pareto_frontier(rows: DataFrame, id_: str, maximise: list[str], minimise: list[str]) -> DataFrame:

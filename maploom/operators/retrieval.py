@@ -193,9 +193,28 @@ def select_nonoverlapping(pairs: DataFrame, group: str, radius: int, most: int)
 
 
 def finite_sample(population: DataFrame, id_: str, fraction: float, seed: int) -> DataFrame:
-    """``ceil(n * fraction)`` rows without replacement, by a seeded hash of their id."""
-    n = population.count()
-    return population.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string")), 256)).limit(math.ceil(n * fraction))
+    """``ceil(n * fraction)`` rows without replacement: those with the smallest seeded hash of their id.
+
+    Counts of the hashes' first four digits give the digits at which the sample ends; only the rows of that one
+    bin are ranked, so no task sorts the sample.
+    """
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_).cast("string")), 256)
+    p = population.withColumn("_h", digest).withColumn("_bin", F.substring("_h", 1, 4))
+    bins = p.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).orderBy("_bin").collect()  # at most 16**4 rows
+    want, at = math.ceil(sum(r["_n"] for r in bins) * fraction), None
+    for r in bins:
+        at = r["_bin"]
+        if want <= r["_n"]:
+            break
+        want -= r["_n"]
+    edge = p.filter(F.col("_bin") == at).orderBy("_h", id_).limit(want)
+    return p.filter(F.col("_bin") < at).unionByName(edge).drop("_h", "_bin")
+
+
+def population_digest(population: DataFrame, id_: str) -> DataFrame:
+    """One row: how many ids a population has and a digest of them that no order changes."""
+    h = F.xxhash64(F.col(id_).cast("string")).cast("decimal(38,0)")
+    return population.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.coalesce(F.sum(h), F.lit(0)).cast("string"), 256).alias("digest"))
 
 
 def split_ranges(frames: DataFrame, ranges: list[tuple[str, int, int]], index: str) -> DataFrame:
@@ -248,10 +267,18 @@ def retrieve_pairs(vectors: DataFrame, apart: int, k: int, min_sim: float) -> Da
 
 
 def alias_conflict(ranked: DataFrame, copies: int) -> DataFrame:
-    """Margin of each query before and after ``copies`` duplicates of its best match are put in."""
-    top = ranked.groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    after = F.when(F.lit(copies) > 0, F.lit(0.0)).otherwise(F.col("top") - F.col("second"))
-    return top.select("query", (F.col("top") - F.col("second")).alias("margin"), after.alias("margin_after"), (F.col("top") - F.col("second") - after).alias("drop"))
+    """Margin of each query before and after ``copies`` duplicates of its best match are put in and the matches ranked again.
+
+    ``ranked``: ``query, ord, score, rank`` with at least two ranks, as :func:`top_k` gives them.  Duplicates have the best match's score.
+    """
+    def margin(r: DataFrame, name: str) -> DataFrame:
+        return r.filter("rank <= 2").groupBy("query").agg((F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.max(F.when(F.col("rank") == 2, F.col("score")))).alias(name))
+
+    put_in = ranked.filter("rank = 1").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies)))).filter("_copy > 0")
+    both = ranked.select("query", "ord", "score", F.lit(0).alias("_copy")).unionByName(put_in.select("query", "ord", "score", "_copy"))
+    again = both.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "ord", "_copy")))
+    j = margin(ranked, "margin").join(margin(again, "margin_after"), "query")
+    return j.withColumn("drop", F.col("margin") - F.col("margin_after"))
 
 
 def find_by_name(entities: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
@@ -268,14 +295,22 @@ def current_position(trajectory: DataFrame, key: str, t: str) -> DataFrame:
 def evaluate_queries(decisions: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: pass rate, recall of the queries that should find something, rejection of the others.
 
-    ``expected``: ``query, expected_found, expected_terms, text`` (of the top match, may be null).
+    ``expected``: ``query, expected_found, expected_terms, text`` (of the top match, may be null), and where known
+    ``evidence`` (of the top match) and ``latency_ms``: then also the share of found queries with evidence, and mean and largest latency.
     """
+    d = judged_queries(decisions, expected)
+    rate = lambda c, when: F.avg(F.when(when, c.cast("double")))
+    more = [rate(F.coalesce(F.length("evidence") > 0, F.lit(False)), F.col("found")).alias("evidence_coverage")] if "evidence" in d.columns else []
+    more += [F.avg("latency_ms").alias("latency_mean"), F.max("latency_ms").alias("latency_max")] if "latency_ms" in d.columns else []
+    return d.agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("ok").cast("double")).alias("pass_rate"), rate(F.col("found"), F.col("expected_found")).alias("recall"), rate(~F.col("found"), ~F.col("expected_found")).alias("rejection"), *more)
+
+
+def judged_queries(decisions: DataFrame, expected: DataFrame) -> DataFrame:
+    """``expected`` with ``found`` and ``ok``: a query passes if it finds something just when it should, and then a term is in the top match's text."""
     d = decisions.groupBy("query").agg(F.bool_or("found").alias("found")).join(expected, "query")
     term = F.exists("expected_terms", lambda t: F.contains(F.lower("text"), F.lower(t))) | (F.size("expected_terms") == 0)
     ok = (F.col("found") == F.col("expected_found")) & (~F.col("expected_found") | F.coalesce(term, F.lit(False)))
-    d = d.withColumn("ok", ok)
-    rate = lambda c, when: F.avg(F.when(when, c.cast("double")))
-    return d.agg(F.count(F.lit(1)).alias("queries"), F.avg(F.col("ok").cast("double")).alias("pass_rate"), rate(F.col("found"), F.col("expected_found")).alias("recall"), rate(~F.col("found"), ~F.col("expected_found")).alias("rejection"))
+    return d.withColumn("ok", ok)
 
 
 def rejected_to_sidecar(events: DataFrame, entities: DataFrame, obs: DataFrame) -> DataFrame:

@@ -25,15 +25,31 @@ def d1(spark, sf_dir):
     return rounded(A.numeric_summary(fx.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity"), ["mean", *A.PERCENTILES])
 
 
-@query("d2_stage_metrics", f"""with t as (select kind as stage, case when k < 80 then 'done' when k < 90 then 'error' else 'drop' end as event, us, value - 5 as wait, k % 7 as queue from ({fx.EVENTS}))
-select stage, count(*) filter (event = 'done') as processed, count(*) filter (event = 'error') as errors, round(count(*) filter (event = 'done') / ((max(us) - min(us)) / 1e6), 9) as throughput, max(queue) as high_water,
-round(quantile_cont(greatest(wait, 0), 0.5) filter (event = 'done'), 6) as wait_p50, round(quantile_cont(greatest(wait, 0), 0.95) filter (event = 'done'), 6) as wait_p95, round(quantile_cont(greatest(wait, 0), 0.99) filter (event = 'done'), 6) as wait_p99, round(max(greatest(wait, 0)) filter (event = 'done'), 6) as wait_max from t group by 1""")
-def d2(spark, sf_dir):
-    e = fx.events(spark, sf_dir)
+_TELE = f"(select kind as stage, case when k < 80 then 'done' when k < 90 then 'error' else 'drop' end as event, us, value - 5 as wait, value * 2 as service, value * 3 - 5 as whole, k % 7 as queue, 'r' || k % 3 as reason from ({fx.EVENTS}))"
+_LAT = ", ".join(f"round(quantile_cont(greatest({c}, 0), {p}) filter (event = 'done'), 6) as {c}_p{str(p)[2:].ljust(2, '0')}" for c in ("wait", "service", "whole") for p in (0.5, 0.95, 0.99))
+_LAT += ", " + ", ".join(f"round(max(greatest({c}, 0)) filter (event = 'done'), 6) as {c}_max" for c in ("wait", "service", "whole"))
+
+
+def _telemetry(spark, sf_dir):
     event = F.when(F.col("k") < 80, "done").when(F.col("k") < 90, "error").otherwise("drop")
-    t = e.select(F.col("kind").alias("stage"), event.alias("event"), "us", (F.col("value") - 5).alias("wait"), (F.col("k") % 7).alias("queue_size"))
-    m = A.stage_metrics(t, ["wait"])
-    return rounded(rounded(m, ["wait_p50", "wait_p95", "wait_p99", "wait_max"]), ["throughput"], 9)
+    v = F.col("value")
+    return fx.events(spark, sf_dir).select(F.col("kind").alias("stage"), event.alias("event"), "us", (v - 5).alias("wait"), (v * 2).alias("service"), (v * 3 - 5).alias("whole"), (F.col("k") % 7).alias("queue_size"), F.concat(F.lit("r"), (F.col("k") % 3).cast("string")).alias("reason"))
+
+
+@query("d2_stage_metrics", f"select stage, count(*) filter (event = 'done') as processed, count(*) filter (event = 'error') as errors, round(count(*) filter (event = 'done') / ((max(us) - min(us)) / 1e6), 9) as throughput, max(queue) as high_water, {_LAT} from {_TELE} group by 1")
+def d2(spark, sf_dir):
+    m = A.stage_metrics(_telemetry(spark, sf_dir), ["wait", "service", "whole"])
+    return rounded(rounded(m, [f"{c}_{n}" for c in ("wait", "service", "whole") for n in ("p50", "p95", "p99", "max")]), ["throughput"], 9)
+
+
+@query("d2_stage_totals", f"select count(distinct stage) as stages, count(*) filter (event = 'done') as processed, count(*) filter (event = 'error') as errors, count(*) filter (event = 'drop') as dropped from {_TELE}")
+def d2_totals(spark, sf_dir):
+    return A.stage_totals(_telemetry(spark, sf_dir))
+
+
+@query("d2_drops_by_reason", f"select stage, reason, count(*) as n from {_TELE} where event = 'drop' group by 1, 2")
+def d2_drops(spark, sf_dir):
+    return A.drops_by_reason(_telemetry(spark, sf_dir))
 
 
 @query("d3_operation_stats", f"select kind, count(*) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, min(value) as min, max(value) as max, round(sum(value), 4) as total, {_q('value', 'p50 p95 p99')} from ({fx.EVENTS}) group by 1")
@@ -49,19 +65,18 @@ def d4(spark, sf_dir):
 
 @query("d5_memory_summary", f"select name, count(*) filter (not deleted) as active, count(*) filter (deleted) as gone, count(distinct entity) as entities from ({fx.ENTITIES}) group by name order by active desc, name limit 30")
 def d5(spark, sf_dir):
-    e = fx.entities(spark, sf_dir)
-    return e.groupBy("name").agg(F.count_if(~F.col("deleted")).alias("active"), F.count_if("deleted").alias("gone"), F.countDistinct("entity").alias("entities")).orderBy(F.desc("active"), "name").limit(30)  # the 30 most frequent names are the report
+    return A.memory_summary(fx.entities(spark, sf_dir))
 
 
 @query("d6_graph_summary", f"select coalesce(building, -1) as building, coalesce(room, -1) as room, count(*) as nodes from ({fx.PLACES}) group by rollup (building, room)")
 def d6(spark, sf_dir):
-    p = fx.places(spark, sf_dir).rollup("building", "room").agg(F.count(F.lit(1)).alias("nodes"))
-    return p.select(F.coalesce("building", F.lit(-1).cast("bigint")).alias("building"), F.coalesce("room", F.lit(-1).cast("bigint")).alias("room"), "nodes")
+    return A.graph_summary(fx.places(spark, sf_dir), ["building", "room"])
 
 
-@query("d7_robust_entity_geometry", f"select entity, round(quantile_cont(x, 0.5), 6) as x, round(quantile_cont(y, 0.5), 6) as y, round(quantile_cont(z, 0.5), 6) as z, round(max(confidence), 6) as confidence from ({fx.OBSERVATIONS}) group by 1")
+@query("d7_robust_entity_geometry", f"select entity, {', '.join(f'round(quantile_cont({c}, 0.5), 6) as {c}' for c in 'xyz')}, round(quantile_cont(x / 9, 0.5) filter (seq % 3 <> 0), 6) as dx, round(quantile_cont(y / 9, 0.5) filter (seq % 3 <> 0), 6) as dy, round(quantile_cont(z / 9, 0.5) filter (seq % 3 <> 0), 6) as dz, round(max(confidence), 6) as confidence from ({fx.OBSERVATIONS}) group by 1")
 def d7(spark, sf_dir):
-    return rounded(A.robust_entity_geometry(fx.observations(spark, sf_dir)), ["x", "y", "z", "confidence"])
+    o = fx.observations(spark, sf_dir).withColumns({f"d{c}": F.when(F.col("seq") % 3 != 0, F.col(c) / 9) for c in "xyz"})
+    return rounded(A.robust_entity_geometry(o), ["x", "y", "z", "dx", "dy", "dz", "confidence"])
 
 
 @query("d8_masked_geometry", f"""with p as (select *, row_number() over (partition by frame, label order by v, u) - 1 as i, count(*) over (partition by frame, label) as n from ({fx.PIXELS}) where depth > 0 and label <> 0),
@@ -78,6 +93,11 @@ def d9(spark, sf_dir):
     return rounded(A.label_frame_summary(e), ["ratio", "entropy"])
 
 
+@query("d9_top_labels", f"select k as label, count(*) as n, count(distinct key) as frames from ({fx.EVENTS}) where k <> 0 group by 1 order by n desc, label limit 31")
+def d9_top(spark, sf_dir):
+    return A.top_labels(fx.events(spark, sf_dir).select(F.col("key").alias("frame"), F.col("k").alias("label")))
+
+
 _ERR = "(select l_returnflag, l_linenumber::bigint as frame, l_shipdate, l_extendedprice / 1000 as p, l_quantity as r, l_linestatus = 'O' as valid, l_discount from lineitem)"
 
 
@@ -116,11 +136,11 @@ def d13(spark, sf_dir):
 
 
 @query("d14_pair_rollup", f"""{_SUP}, s as (select frame, off, count(*) as comparable, sum((abs(depth - other) <= 0.04 + 0.1 * depth)::int) as agree from j group by 1, 2)
-select abs(off)::bigint as gap, round(sum(agree) / sum(comparable), 6) as rate, round(quantile_cont(agree / comparable, 0.5), 6) as median, round(quantile_cont(agree / comparable, 0.05), 6) as p05, max(frame) as dt_max from s group by 1""")
+select abs(off)::bigint as gap, round(sum(agree) / sum(comparable), 6) as rate, round(quantile_cont(agree / comparable, 0.5), 6) as median, round(quantile_cont(agree / comparable, 0.05), 6) as p05, round(quantile_cont(frame, 0.5), 6) as dt_median, max(frame) as dt_max from s group by 1""")
 def d14(spark, sf_dir):
     s = J.reprojection_support(fx.pixels(spark, sf_dir), _MOVES, 0.1)
     s = s.groupBy("frame", "offset").agg(F.count(F.lit(1)).alias("comparable"), F.count_if("agrees").alias("agree"))
-    return rounded(A.pair_rollup(s.withColumn("dt", F.col("frame"))), ["rate", "median", "p05"])
+    return rounded(A.pair_rollup(s.withColumn("dt", F.col("frame"))), ["rate", "median", "p05", "dt_median"])
 
 
 @query("d15_radial_bins", f"""{_SUP}, r as (select case when h < 0.4 then 0 when h < 0.8 then 1 when h < 1.2 then 2 else 3 end::bigint as bin, abs(depth - other) <= 0.04 + 0.1 * depth as ok from (select *, sqrt(pow((u - 32) / 50, 2) + pow((v - 24) / 55, 2)) as h from j))
@@ -130,18 +150,22 @@ def d15(spark, sf_dir):
 
 
 @query("d16_stream_stats", f"""with g as (select *, us - lag(us) over (partition by kind order by seq) as g from ({fx.EVENTS}))
-select kind, count(*) as n, min(us) as first, max(us) as last, round((count(*) - 1) / ((max(us) - min(us)) / 1e6), 9) as rate, max(g) as max_gap, coalesce(bool_and(g > 0), true) as monotonic from g group by 1""")
+select kind, count(*) as n, min(us) as first, max(us) as last, round((max(us) - min(us)) / 1e6, 6) as duration, round((count(*) - 1) / ((max(us) - min(us)) / 1e6), 9) as rate, max(g) as max_gap, coalesce(bool_and(g > 0), true) as monotonic, count(distinct k) as frames from g group by 1""")
 def d16(spark, sf_dir):
-    return rounded(A.stream_stats(fx.events(spark, sf_dir), "kind", "us", "seq"), ["rate"], 9)
+    return rounded(rounded(A.stream_stats(fx.events(spark, sf_dir), "kind", "us", "seq", "k"), ["rate"], 9), ["duration"])
 
 
-@query("d17_track_lifecycle", f"""with o as (select frame // 1000 as scene, track, frame % 1000 as frame, x from ({fx.TRACKS})), g as (select *, frame - lag(frame) over w as g, abs(x - lag(x) over w) as j from o window w as (partition by scene, track order by frame)),
-t as (select scene, track, min(frame) as first, max(frame) as last, count(*) as n, count(*) filter (g > 1) as gaps, max(g) as max_gap, round(max(j), 6) as max_jump, max(frame) - min(frame) + 1 as life, round(count(*) / (max(frame) - min(frame) + 1), 6) as fill, max(j) as mj from g group by 1, 2)
-select scene, track, first, last, n, gaps, max_gap, max_jump, life, fill, array_to_string(list_filter([case when n <= 2 then 'short' end, case when life >= 5 and fill < 0.25 then 'sparse' end, case when gaps > 0 then 'gap' end, case when mj > 0.25 then 'jump' end], lambda v: v is not null), ',') as flags from t""")
+@query("d17_track_lifecycle", f"""with o as (select frame // 40000 as scene, track, frame % 40000 // 4 as frame, max(x) as x, max(area) as area, max(y) as y from ({fx.TRACKS}) group by 1, 2, 3), bx as (select *, x * 100 as x0, y * 100 as y0, x * 100 + area / 400 as x1, y * 100 + area / 400 as y1 from o),
+g as (select *, frame - lag(frame) over w as g, abs(x - lag(x) over w) as j, greatest(least(x1, lag(x1) over w) - greatest(x0, lag(x0) over w), 0) * greatest(least(y1, lag(y1) over w) - greatest(y0, lag(y0) over w), 0) as both_, (x1 - x0) * (y1 - y0) + lag((x1 - x0) * (y1 - y0)) over w as sum_ from bx window w as (partition by scene, track order by frame)),
+i as (select *, case when g = 1 and sum_ - both_ > 0 then both_ / (sum_ - both_) end as iou from g),
+t as (select scene, track, min(frame) as first, max(frame) as last, count(*) as n, count(*) filter (g > 1) as gaps, max(g) as max_gap, round(max(j), 6) as max_jump, round(avg(iou), 6) as iou_mean, round(min(iou), 6) as iou_min, max(frame) - min(frame) + 1 as life, round(count(*) / (max(frame) - min(frame) + 1), 6) as fill, max(frame) - min(frame) + 1 - count(*) as missing, max(j) as mj from i group by 1, 2)
+select scene, track, first, last, n, gaps, max_gap, max_jump, iou_mean, iou_min, life, fill, missing, array_to_string(list_filter([case when n <= 2 then 'short' end, case when life >= 5 and fill < 0.25 then 'sparse' end, case when gaps > 0 then 'gap' end, case when mj > 0.25 then 'jump' end, case when iou_min < 0.05 then 'overlap' end], lambda v: v is not null), ',') as flags from t""")
 def d17(spark, sf_dir):
     t = fx.tracks(spark, sf_dir)
-    o = t.select(F.floor(F.col("frame") / 1000).cast("bigint").alias("scene"), "track", (F.col("frame") % 1000).alias("frame"), "x")
-    return rounded(A.track_lifecycle(o), ["max_jump", "fill"])
+    o = t.groupBy(F.floor(F.col("frame") / 40000).cast("bigint").alias("scene"), "track", F.floor(F.col("frame") % 40000 / 4).cast("bigint").alias("frame")).agg(*[F.max(c).alias(c) for c in ("x", "y", "area")])
+    side = F.col("area") / 400
+    o = o.withColumns({"x0": F.col("x") * 100, "y0": F.col("y") * 100, "x1": F.col("x") * 100 + side, "y1": F.col("y") * 100 + side})
+    return rounded(A.track_lifecycle(o), ["max_jump", "fill", "iou_mean", "iou_min"])
 
 
 @query("d18_entity_membership", f"""with o as ({fx.OBSERVATIONS}), c as (select entity, avg(x) as cx, avg(y) as cy, avg(z) as cz from o group by 1), d as (select o.*, sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2)) as d from o join c using (entity))
@@ -181,6 +205,15 @@ def d24(spark, sf_dir):
     return rounded(A.cohen_kappa(fx.table(spark, sf_dir, "labels"), "quality", "toxic"), ["observed", "expected", "kappa"])
 
 
+@query("d24_review_consensus", """with v as (select case o_orderstatus when 'F' then 1 when 'O' then 2 when 'P' then 3 end as a, case o_orderkey % 4 when 0 then 1 when 1 then 2 when 2 then 3 end as b from orders), w as (select *, a is not null and b is not null as known from v)
+select count(*) filter (known) as items, count(*) filter (not known) as unread, count(*) filter (a = b) as same, count(*) filter (known and greatest(a, b) = 1) as pass, count(*) filter (known and greatest(a, b) = 2) as minor, count(*) filter (known and greatest(a, b) = 3) as major, round(avg((greatest(a, b) = 1)::int) filter (known), 6) as strict, round(avg((least(a, b) = 1)::int) filter (known), 6) as lenient from w""")
+def d24_consensus(spark, sf_dir):
+    names = F.array(*map(F.lit, ("pass", "minor", "major")))
+    o = fx.table(spark, sf_dir, "orders")
+    a = F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "minor").otherwise("major")
+    return rounded(A.review_consensus(o.select(a.alias("a"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("b")), ["pass", "minor", "major"]), ["strict", "lenient"])
+
+
 @query("d25_label_consistency", """with d as (select source, lang, min(doc_id) as doc_id from documents group by 1, 2), t as (select source, lang, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) as s from d join documents using (doc_id, source, lang)),
 f as (select lang from t group by 1 having count(*) = (select count(distinct source) from documents)), p as (select a.lang, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as j from t a join t b on a.lang = b.lang and a.source < b.source where a.lang in (select lang from f))
 select lang, round(avg(j), 6) as mean, round(min(j), 6) as min, count(*) as pairs from p group by 1""")
@@ -197,10 +230,10 @@ def d25(spark, sf_dir):
     return rounded(j.groupBy("lang").agg(F.avg("j").alias("mean"), F.min("j").alias("min"), F.count(F.lit(1)).alias("pairs")), ["mean", "min"])
 
 
-@query("d26_run_summary", f"select experiment, variant, count(*) as runs, round(avg(metric) / 3, 6) as mean, round(quantile_cont(metric, 0.5) / 3, 6) as median, round(min(metric) / 3, 6) as min, round(max(metric) / 3, 6) as max from ({fx.RUNS}) group by 1, 2")
+@query("d26_run_summary", f"select experiment, variant, count(*) as runs, count(*) filter (seed % 7 <> 0) as complete, count(*) filter (repeat = 2) as diagnostic, round(avg((metric > 150000)::int) filter (seed % 5 <> 0), 6) as pass_rate, round(avg(metric) / 3, 6) as mean, round(quantile_cont(metric, 0.5) / 3, 6) as median, round(min(metric) / 3, 6) as min, round(max(metric) / 3, 6) as max from ({fx.RUNS}) group by 1, 2")
 def d26(spark, sf_dir):
-    r = fx.runs(spark, sf_dir).withColumn("metric", F.col("metric") / 3)
-    return rounded(A.run_summary(r), ["mean", "median", "min", "max"])
+    r = fx.runs(spark, sf_dir).withColumns({"complete": F.col("seed") % 7 != 0, "diagnostic": F.col("repeat") == 2, "passed": F.when(F.col("seed") % 5 != 0, F.col("metric") > 150000), "metric": F.col("metric") / 3})
+    return rounded(A.run_summary(r), ["pass_rate", "mean", "median", "min", "max"])
 
 
 @query("d27_bootstrap_ci")
@@ -268,18 +301,21 @@ def d35(spark, sf_dir):
 
 
 @query("d36_failure_cases", """with f as (select l_orderkey as frame, sum(l_quantity) as q, max(l_discount) as d, count(*) as n from lineitem group by 1)
-select 'heavy-' || frame as case_id, 'depth' as stage, 'high' as severity from f where q > 250 union all select 'discount-' || frame, 'pose', 'low' from f where d >= 0.1 and n > 6""")
+select 'heavy-' || frame as case_id, 'depth' as stage, 'high' as severity from f where q > 250 union all select 'discount-' || frame, 'pose', 'low' from f where d >= 0.1 and n > 6
+union all select * from (select 'most-' || frame, 'map', 'high' from f order by q desc, frame limit 25) union all select * from (select 'least-' || frame, 'map', 'low' from f order by q, frame limit 10)""")
 def d36(spark, sf_dir):
     f = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("frame")).agg(F.sum("l_quantity").alias("q"), F.max("l_discount").alias("d"), F.count(F.lit(1)).alias("n"))
-    return A.failure_cases(f, [("heavy", "depth", "high", F.col("q") > 250), ("discount", "pose", "low", (F.col("d") >= 0.1) & (F.col("n") > 6))])
+    return A.failure_cases(f, [("heavy", "depth", "high", F.col("q") > 250), ("discount", "pose", "low", (F.col("d") >= 0.1) & (F.col("n") > 6))], [("most", "map", "high", "q", True, 25), ("least", "map", "low", "q", False, 10)])
 
 
 @query("d37_merge_action_summary", "select l_linestatus as variant, l_returnflag as action, count(*) as n, round(count(*) / sum(count(*)) over (partition by l_linestatus), 6) as share from lineitem group by 1, 2")
 def d37(spark, sf_dir):
-    from pyspark.sql import Window as W
+    return rounded(A.merge_action_summary(fx.table(spark, sf_dir, "lineitem"), "l_linestatus", "l_returnflag"), ["share"])
+
 
-    c = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("variant"), F.col("l_returnflag").alias("action")).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("variant")), 6))
+@query("d37_top_collisions", "with c as (select l_linestatus as variant, l_suppkey as entity, count(distinct l_partkey) as others, count(*) as n from lineitem group by 1, 2) select variant, entity, others, n, (row_number() over (partition by variant order by others desc, entity))::int as place from c qualify place <= 8")
+def d37_top(spark, sf_dir):
+    return A.top_collisions(fx.table(spark, sf_dir, "lineitem"), "l_linestatus", "l_suppkey", "l_partkey")
 
 
 @query("d38_pareto_frontier", f"with p as ({fx.PARTS}) select id from p a where not exists (select 1 from p b where b.x >= a.x and b.y <= a.y and b.z >= a.z and (b.x > a.x + 1e-12 or b.y < a.y - 1e-12 or b.z > a.z + 1e-12))")
@@ -293,11 +329,13 @@ def d39(spark, sf_dir):
     return rounded(A.factor_effects(c, "f1", ["f2"], "m"), ["effect"])
 
 
-@query("d40_ab_delta", f"with s as (select kind as path, round(avg(value) filter (k < 50), 6) as a, round(avg(value) filter (k >= 50), 6) as b from ({fx.EVENTS}) group by 1) select path, round(b - a, 6) as delta from s")
+@query("d40_ab_delta", f"""with s as (select avg(value) filter (k < 50) as a, avg(value) filter (k >= 50) as b, max(value) filter (k < 50) as ma, max(value) filter (k >= 50) as mb, count(*) filter (k < 50) as na, count(*) filter (k >= 50) as nb from ({fx.EVENTS}))
+select path, round(delta, 6) as delta from (select unnest(['n', 'value.mean', 'value.extremes.max']) as path, unnest([nb::double - na, b - a, mb - ma]) as delta from s)""")
 def d40(spark, sf_dir):
     e = fx.events(spark, sf_dir)
-    a, b = (e.filter(c).groupBy(F.col("kind").alias("path")).agg(F.round(F.avg("value"), 6).alias(n)) for c, n in (("k < 50", "a"), ("k >= 50", "b")))
-    return a.join(b, "path").select("path", F.round(F.col("b") - F.col("a"), 6).alias("delta"))
+    nested = F.struct(F.avg("value").alias("mean"), F.struct(F.max("value").alias("max")).alias("extremes"), F.max("kind").alias("kind")).alias("value")
+    a, b = (A.flat_numbers(e.filter(c).agg(F.count(F.lit(1)).alias("n"), nested)) for c in ("k < 50", "k >= 50"))
+    return rounded(A.ab_delta(a, b), ["delta"])
 
 
 @query("d41_dose_response", f"""with c as (select name as family, id % 4 as dose, avg((x > 10 + 5 * (id % 4))::int) as rate from ({fx.PARTS}) group by 1, 2), l as (select *, lag(rate) over (partition by family order by dose) as p from c)

@@ -12,11 +12,16 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """``spark.checkpoint.dir``; where that is unset, a local session (tests) gets a folder of its own and a cluster is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-maploom-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-maploom-")
+    return _own[app]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
