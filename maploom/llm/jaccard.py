@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 
 from maploom.llm import sketch
 from maploom.llm import wordhash as wh
-from maploom.llm.tables import components, join_small, stored
+from maploom.llm.tables import LEAST_DEGREE, components, join_small, stored
 
 #: Sets of one side of a block product.
 TILE = 512
@@ -51,6 +51,8 @@ MEET_BYTES = 64 << 20
 #: Entries, and bytes of their profiles, of one tile of a segment.
 MEET_TILE = 2048
 MEET_TILE_BYTES = 8 << 20
+#: Segments of very many sets, whose rows are joined by broadcast.
+HOT_SEGMENTS = 100_000
 #: Segments gathered in a task before their sketch is sent on.
 SKETCH_SEGMENTS = 4_000_000
 #: Differences of profiles held at once.
@@ -397,8 +399,12 @@ def jaccard_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     suspect = stored(lists.mapInArrow(_suspects(bits, table), "segment long, set_id long, bytes long"), "suspects")
     met = suspect.groupBy("segment").agg(F.min("set_id").alias("least"), F.max("set_id").alias("most"), F.count(F.lit(1)).alias("sets"), F.sum("bytes").alias("all")).filter("least < most")
     n_tiles = F.ceil(F.greatest(F.col("sets") / MEET_TILE, F.col("all") / MEET_TILE_BYTES)).cast("int")
-    met = stored(met.select("segment", n_tiles.alias("n_tiles")), "segments")
-    entries = stored(join_small(suspect, met, "segment", "inner", BROADCAST_ROWS).distinct(), "entries")
+    met = stored(met.select("segment", "sets", n_tiles.alias("n_tiles")), "segments")
+    # segments of very many sets (at most HOT_SEGMENTS of them) come to the sets' rows, all others meet by shuffle
+    often = F.col("sets") > F.lit(max(LEAST_DEGREE, total // HOT_SEGMENTS))
+    hot, cold = met.filter(often).select("segment", "n_tiles"), met.filter(~often).select("segment", "n_tiles").hint("merge")
+    shared = suspect.join(F.broadcast(hot.select("segment")), "segment", "left_anti").join(cold, "segment").distinct()
+    entries = stored(shared.unionByName(suspect.join(F.broadcast(hot), "segment").distinct()), "entries")
     rows, held = entries.agg(F.coalesce(F.sum("n_tiles"), F.lit(0)), F.coalesce(F.sum(F.col("n_tiles") * F.col("bytes")), F.lit(0))).first()
     parts = max(16, rows // MEET_ROWS, held // MEET_BYTES)
     sets = described.select("set_id", "n_shingles", "profile").filter("set_id is not null").join(entries.select("set_id").distinct(), "set_id", "left_semi").dropDuplicates(["set_id"])
