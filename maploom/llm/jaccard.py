@@ -54,7 +54,9 @@ MEET_TILE_BYTES = 8 << 20
 #: Segments of very many sets, whose rows are joined by broadcast.
 HOT_SEGMENTS = 100_000
 #: Segments gathered in a task before their sketch is sent on.
-SKETCH_SEGMENTS = 4_000_000
+SKETCH_SEGMENTS = 1_500_000
+#: Segments looked up at once.
+SEGMENTS = 300_000
 #: Differences of profiles held at once.
 CELLS = 1 << 21
 _STEP = 1.35
@@ -257,18 +259,23 @@ def _describe(size: int, percent: int):
 
 
 def _segments(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[np.ndarray, ...]]:
-    """(segment hashes, and each one's values of the named columns) of each batch."""
+    """(segment hashes, and each one's values of the named columns), some ``SEGMENTS`` at a time."""
     for batch in batches:
         lists = batch.column(batch.num_columns - 1)
-        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        yield lists.flatten().to_numpy().view(np.uint64), *(batch.column(c).to_numpy()[owner] for c in names)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values, cut = lists.values.to_numpy(), 0
+        while cut < len(lists):
+            to = max(cut + 1, int(np.searchsorted(offsets, offsets[cut] + SEGMENTS, side="right")) - 1)
+            owner = np.repeat(np.arange(cut, to), np.diff(offsets[cut : to + 1]))
+            yield values[offsets[cut] : offsets[to]].view(np.uint64), *(batch.column(c).to_numpy()[owner] for c in names)
+            cut = to
 
 
 def _sketch(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for (h,) in _segments(batches):
-            held.append(h)
+            held.append(h.copy())
             if sum(map(len, held)) >= SKETCH_SEGMENTS:
                 yield from sketch.emit(np.concatenate(held), bits)
                 held = []

@@ -41,8 +41,8 @@ from maploom.llm.tables import join_small, stored
 #: Ids after which a block ends.
 BLOCK_IDS = 1 << 20
 #: Pieces, and ids of pieces, that a worker remembers.
-CACHE = 1_500_000
-CACHE_IDS = 12_000_000
+CACHE = 500_000
+CACHE_IDS = 4_000_000
 SAMPLE = 256
 #: Pieces encoded in one text, and bytes of text whose pieces are numbered at once.
 LINES = 4000
