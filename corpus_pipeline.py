@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from maploom.llm import decontaminate, jaccard, mixing, quality, tokenids
 from maploom.llm.queries import tokenizer_path
-from maploom.llm.tables import read, small, stored
+from maploom.llm.tables import join_small, read, small, stored
 
 #: Ids up to which a list of decisions is broadcast.
 BROADCAST_ROWS = 500_000
@@ -55,12 +55,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with the same id and text one stays.
     """
     classes = stored(jaccard.jaccard_components(_keyed(docs), size=5, percent=80).select("doc_id", "component_id"), "classes")
-    linked = classes.filter("doc_id <> component_id").select("component_id").distinct()
-    members = classes.join(linked, "component_id", "left_semi").distinct()
+    linked = stored(classes.filter("doc_id <> component_id").select("component_id").distinct(), "linked")
+    members = join_small(classes, linked, "component_id", "left_semi", BROADCAST_ROWS).distinct()
     ids = docs.select(_key().alias("doc_id"), F.col("doc_id").alias("id")).distinct()
     members = stored(members.join(ids, "doc_id"), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "doc_id"))["doc_id"].alias("first"))
-    kept = _without(docs, members.join(first, "component_id").filter("doc_id <> first"))
+    kept = _without(docs, join_small(members, stored(first, "first"), "component_id", "inner", BROADCAST_ROWS).filter("doc_id <> first"))
     again = stored(classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "repeated-rows")
     if again.isEmpty():
         return kept
