@@ -256,8 +256,8 @@ def sign_flip_p(diffs: DataFrame, group: str, most: int = 20, flips: int = 100_0
     return s.groupBy(group).agg(F.avg((F.col("s") >= F.col("o")).cast("double")).alias("p"))
 
 
-def mesh_components(vertices: DataFrame, faces: DataFrame, grid: float = 1e-4) -> DataFrame:
-    """``component, faces, area`` of triangles whose vertices are welded to a grid."""
+def _welded(vertices: DataFrame, faces: DataFrame, grid: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices with ``weld``, faces whose three vertices exist with ``area, component``, and ``node, component`` of the welded vertices in faces."""
     key = F.struct(*[F.rint(F.col(c) / grid).cast("bigint").alias(c) for c in "xyz"])
     v = vertices.withColumn("weld", F.min("vid").over(W.partitionBy(key)))
     side = lambda n: v.select(F.col("vid").alias(n), F.col("weld").alias(f"w{n}"), *[F.col(c).alias(f"{n}{c}") for c in "xyz"])
@@ -267,10 +267,34 @@ def mesh_components(vertices: DataFrame, faces: DataFrame, grid: float = 1e-4) -
     p, q = [[F.col(f"{n}{c}") - F.col(f"a{c}") for c in "xyz"] for n in "bc"]
     cross = [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
     area = F.sqrt(cross[0] ** 2 + cross[1] ** 2 + cross[2] ** 2) / 2
-    f = f.withColumn("area", area).join(comp.withColumnRenamed("node", "wa"), "wa")
+    return v, f.withColumn("area", area).join(comp.withColumnRenamed("node", "wa"), "wa"), comp
+
+
+def mesh_components(vertices: DataFrame, faces: DataFrame, grid: float = 1e-4) -> DataFrame:
+    """``component, faces, area`` of triangles whose vertices are welded to a grid."""
+    _, f, _ = _welded(vertices, faces, grid)
     return f.groupBy("component").agg(F.count(F.lit(1)).alias("faces"), F.sum("area").alias("area"))
 
 
+def mesh_quality(vertices: DataFrame, faces: DataFrame, grid: float = 1e-4, significant: float = 5e-3) -> DataFrame:
+    """One row over a triangle mesh (``vid, x, y, z`` and ``a, b, c``), welded to a grid.
+
+    The largest component's share of the vertices in faces and of the area, components of at least ``significant`` area and
+    the share of area in the others, welded vertices in no face, and faces with a vertex that does not exist.
+    A mesh without faces has ratios of 0.
+    """
+    v, f, comp = _welded(vertices, faces, grid)
+    areas = f.groupBy("component").agg(F.count(F.lit(1)).alias("faces"), F.sum("area").alias("area"))
+    parts = comp.groupBy("component").agg(F.count(F.lit(1)).alias("nodes")).join(areas, "component")
+    large = F.col("area") >= significant
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    p = parts.agg(F.count(F.lit(1)).alias("components"), zero(F.sum("nodes")).alias("used"), zero(F.max("nodes")).alias("largest"), zero(F.sum("area")).alias("area"), zero(F.max("area")).alias("largest_area"), zero(F.sum("faces")).alias("valid"), F.count_if(large).alias("significant"), zero(F.sum(F.when(~large, F.col("area")))).alias("tiny"))
+    n = v.agg(F.count(F.lit(1)).alias("vertices"), F.countDistinct("weld").alias("welded"))
+    one = p.join(n, F.lit(True)).join(faces.agg(F.count(F.lit(1)).alias("faces")), F.lit(True))  # three rows of one row each
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return one.select("vertices", "faces", "welded", "components", (F.col("welded") - F.col("used")).alias("isolated"), (F.col("faces") - F.col("valid")).alias("invalid_faces"), ratio("largest", "used").alias("largest_ratio"), "area", ratio("largest_area", "area").alias("largest_area_ratio"), "significant", ratio("tiny", "area").alias("tiny_area_ratio"))
+
+
 def voxel_downsample(points: DataFrame, size: float, order: str) -> DataFrame:
     """The first point by ``order`` of each grid cell."""
     cell = [F.floor(F.col(c) / size).alias(f"c{c}") for c in "xyz"]
@@ -284,11 +308,17 @@ def z_buffer(points: DataFrame, k: tuple[float, float, float, float]) -> DataFra
     return p.groupBy("u", "v").agg(F.min(F.struct("z", "id")).alias("s")).select("u", "v", "s.id", F.col("s.z").alias("depth"))
 
 
-def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
-    """``id, cluster``: components of core points; a border point joins its core neighbour with the lowest id."""
+def dbscan(points: DataFrame, eps: float, least: int, by: str | None = None) -> DataFrame:
+    """``id, cluster``: components of core points; a border point joins its core neighbour with the lowest id.
+
+    With ``by``, only points that share its value are neighbours; ids are unique over all of them.
+    """
     from maploom.operators.joins import radius_join
 
-    near = radius_join(points.select("id", "x", "y", "z"), points.select(F.col("id").alias("other"), "x", "y", "z"), eps).select("id", "other")
+    same = [by] if by else []
+    a, b = points.select("id", "x", "y", "z", *same), points.select(F.col("id").alias("other"), "x", "y", "z", *[F.col(c).alias(f"_{c}") for c in same])
+    near = radius_join(a, b, eps)
+    near = (near.filter(F.col(by) == F.col(f"_{by}")) if by else near).select("id", "other")
     core = near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("id")
     links = near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
     comp = connected_components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
@@ -296,6 +326,31 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return comp.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(border.join(comp, "node").select("id", F.col("component").alias("cluster")))
 
 
+def cluster_geometry(points: DataFrame, cameras: DataFrame, eps: float, least: int, least_points: int, share: float = 0.03) -> DataFrame:
+    """The chosen DBSCAN cluster of each record, with its bounds.
+
+    ``points``: ``record, id, x, y, z, support``; ``cameras``: ``record, cx, cy, cz``, the few positions a record was seen from.
+    A cluster counts from ``least_points`` points and ``share`` of the record's largest one; of those, the one with the
+    least median distance to its nearest camera is chosen, then the larger median support, then more points, then the lower id.
+    Bounds go from the 5 % to the 95 % quantile, sides of less than 2 cm are widened, and the centre is the middle of the bounds.
+    Records with fewer points, without a cluster that counts or without a camera have no row.
+    """
+    enough = points.groupBy("record").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_points).select("record")
+    p = points.join(enough, "record")
+    c = p.join(dbscan(p, eps, least, "record"), "id")
+    away = F.sqrt(sum(((F.col(a) - F.col(f"c{a}")) ** 2 for a in "yz"), (F.col("x") - F.col("cx")) ** 2))
+    near = c.join(cameras, "record").groupBy("record", "id").agg(F.min(away).alias("camera"))
+    c = c.join(near, ["record", "id"])
+    bounds = [F.percentile(a, q).alias(f"{a}{k}") for a in "xyz" for k, q in ((0, 0.05), (1, 0.95))]
+    g = c.groupBy("record", "cluster").agg(F.count(F.lit(1)).alias("points"), F.percentile("camera", 0.5).alias("camera"), F.percentile("support", 0.5).alias("support"), *bounds)
+    g = g.withColumn("_least", F.greatest(F.lit(least_points), F.ceil(F.max("points").over(W.partitionBy("record")) * share))).filter("points >= _least")
+    w = W.partitionBy("record").orderBy("camera", F.desc("support"), F.desc("points"), "cluster")
+    g = g.withColumn("candidates", F.count(F.lit(1)).over(W.partitionBy("record"))).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    centre = [((F.col(f"{a}0") + F.col(f"{a}1")) / 2).alias(a) for a in "xyz"]
+    side = [F.greatest(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(0.02)).alias(f"d{a}") for a in "xyz"]
+    return g.select("record", "cluster", "candidates", "points", "camera", "support", *centre, *side)
+
+
 def failure_cases(frames: DataFrame, rules: list[tuple[str, str, str, Column]], extremes: list[tuple[str, str, str, str, bool, int]] = ()) -> DataFrame:
     """``case_id, stage, severity``, each case once: a row per frame and rule that holds, and the worst frames by a metric.
 
@@ -442,8 +497,15 @@ def edge_errors(poses: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def inventory_summary(files: DataFrame) -> DataFrame:
-    """Totals of a file listing (``path, bytes``) by root folder and extension, each alone, and over all."""
+    """``axis, value, files, bytes`` of a listing (``path, bytes, stage, kind, errors``), and over all (``all``, ``*``).
+
+    Axes: root folder, extension, stage, kind, and each error of the bar-separated ``errors`` (a file counts once per different
+    error).  A missing stage or kind is ``unknown``; files without errors are in no row of that axis.
+    """
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    f = files.withColumn("root", F.regexp_extract("path", r"^([^/]*)", 1)).withColumn("extension", ext)
-    g = f.cube("root", "extension").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
-    return g.filter("root is null or extension is null").select(F.coalesce("root", F.lit("*")).alias("root"), F.coalesce("extension", F.lit("*")).alias("extension"), "files", "bytes")
+    one = lambda axis, value: F.struct(F.lit(axis).alias("axis"), value.alias("value"))
+    known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    fixed = F.array(one("all", F.lit("*")), one("root", F.regexp_extract("path", r"^([^/]*)", 1)), one("extension", ext), one("stage", known("stage")), one("kind", known("kind")))
+    errors = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("errors", F.lit("")), r"\|"), lambda e: F.trim(e)), lambda e: e != ""))
+    f = files.select("bytes", F.explode(F.concat(fixed, F.transform(errors, lambda e: one("error", e)))).alias("a"))
+    return f.groupBy("a.axis", "a.value").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))

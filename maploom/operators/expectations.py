@@ -103,8 +103,23 @@ def detection_by_dose(df: DataFrame, doses: list[float], value: str, limit: floa
     return d.groupBy("dose").agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col(value) + F.col("dose")) > limit).cast("double")).alias("detected"))
 
 
+LABEL_FIELDS = ("time", "configuration", "digest", "dtype", "shape")
+
+
 def check_label_frames(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """``frame, problem``: frames missing on one side, or whose digest differs."""
-    j = expected.select("frame", F.col("digest").alias("_e")).join(actual.select("frame", F.col("digest").alias("_a")), "frame", "full")
-    p = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected").when(F.col("_a") != F.col("_e"), "digest_differs")
+    """``frame, problem``: frames missing on one side, and the first of ``LABEL_FIELDS`` that differs (null equals null only)."""
+    side = lambda df, n: df.select("frame", F.lit(True).alias(n), *[F.col(c).alias(f"{n}_{c}") for c in LABEL_FIELDS])
+    j = side(expected, "_e").join(side(actual, "_a"), "frame", "full")
+    p = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "unexpected")
+    for c in LABEL_FIELDS:
+        p = p.when(~F.col(f"_e_{c}").eqNullSafe(F.col(f"_a_{c}")), f"{c}_differs")
     return j.select("frame", p.alias("problem")).filter("problem is not null")
+
+
+def label_coverage(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """``expected, good, coverage, passed``: the share of expected frames without a problem must be all; none expected fails."""
+    bad = check_label_frames(expected, actual).filter("problem <> 'unexpected'").agg(F.count(F.lit(1)).alias("_b"))
+    n = expected.agg(F.count(F.lit(1)).alias("expected")).join(bad, F.lit(True))
+    n = n.select("expected", (F.col("expected") - F.col("_b")).alias("good"))
+    share = F.when(F.col("expected") > 0, F.col("good") / F.col("expected")).otherwise(0.0)
+    return n.select("expected", "good", share.alias("coverage"), (share == 1).alias("passed"))

@@ -151,14 +151,35 @@ def rate_gate(times: DataFrame, key: str, t: str, rate: float) -> DataFrame:
 
 
 def ema_velocity(df: DataFrame, key: str, t: str, order: str, a: float = 0.6) -> DataFrame:
-    """Smoothed speed ``v = a x + (1 - a) v`` of the rows whose time rises; others are left out and don't move the state."""
+    """Smoothed ``vx, vy`` and turning rate ``wz``, each ``v = a x + (1 - a) v``, of the rows whose time rises.
+
+    Others are left out and don't move the state.  ``yaw`` is in degrees, its steps go the short way round; ``wz`` is in degrees
+    per unit of time.
+    """
     w = W.partitionBy(key).orderBy(order)
     best = F.max(t).over(w.rowsBetween(W.unboundedPreceding, -1))
     d = df.withColumn("_b", best).filter(F.col("_b").isNull() | (F.col(t) > F.col("_b")))
-    d = d.withColumn("_dt", F.col(t) - F.lag(t).over(w)).withColumn("_raw", (F.col("x") - F.lag("x").over(w)) / F.col("_dt"))
-    packed = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_raw"))).alias("r"))
-    fold = F.aggregate(F.filter("r", lambda x: x["_raw"].isNotNull()), F.lit(None).cast("double"), lambda v, x: F.when(v.isNull(), x["_raw"]).otherwise(a * x["_raw"] + (1 - a) * v))
-    return packed.select(key, fold.alias("velocity"), F.size("r").alias("samples"))
+    step = lambda c: F.col(c) - F.lag(c).over(w)
+    turn = F.pmod(step("yaw") + 180, F.lit(360.0)) - 180
+    d = d.withColumn("_dt", step(t)).withColumns({f"_{n}": c / F.col("_dt") for n, c in (("vx", step("x")), ("vy", step("y")), ("wz", turn))})
+    packed = d.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "_vx", "_vy", "_wz"))).alias("r"))
+    fold = lambda n: F.aggregate(F.filter("r", lambda x: x[n].isNotNull()), F.lit(None).cast("double"), lambda v, x: F.when(v.isNull(), x[n]).otherwise(a * x[n] + (1 - a) * v))
+    return packed.select(key, *[fold(f"_{n}").alias(n) for n in ("vx", "vy", "wz")], F.size("r").alias("samples"))
+
+
+def trajectory_samples(traj: DataFrame, key: str, start: float, end: float, n: int = 10) -> DataFrame:
+    """At ``n`` evenly spaced times of ``[start, end]`` the nearest row of each path inside it (of a tie the earlier).
+
+    ``traj``: key, ``t, seq, x, y, yaw``.  Returns key, ``i, seq, t, x, y, yaw``, numbers to three places.  A path with no row
+    in the range has no samples.
+    """
+    from maploom.operators.joins import nearest_in_time
+
+    inside = traj.filter(F.col("t").between(start, end)).select(key, "t", F.col("seq").alias("at"), F.col("t").alias("when"), "x", "y", "yaw")
+    grid = F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    q = inside.select(key).distinct().withColumn("i", grid).withColumn("t", F.lit(start) + F.col("i") * (end - start) / max(n - 1, 1))
+    near = nearest_in_time(q, inside, [key], "t", ["when", "x", "y", "yaw"], "at")
+    return near.select(key, "i", F.col("near_at").alias("seq"), F.round("near_when", 3).alias("t"), *[F.round(f"near_{c}", 3).alias(c) for c in ("x", "y", "yaw")])
 
 
 def size_batches(records: DataFrame, key: str, order: str, size: str, least: float) -> DataFrame:
@@ -217,8 +238,37 @@ def shared_by_all(df: DataFrame, item: str, group: str) -> DataFrame:
 
 
 def merge_semantic_records(records: DataFrame) -> DataFrame:
-    """One record per entity: the first non-null value of each field, all sources, and whether they conflict."""
-    r = records.groupBy("entity").agg(F.min_by("label", F.when(F.col("label").isNotNull(), F.col("ord"))).alias("label"), F.min_by("description", F.when(F.col("description").isNotNull(), F.col("ord"))).alias("description"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.countDistinct("label").alias("_l"))
-    return r.select("entity", "label", "description", "sources", (F.col("_l") > 1).alias("conflict"))
-
+    """One record per entity: the first given value of each field by ``ord``, all sources sorted, and what conflicts.
 
+    ``records``: ``entity, ord, label, description, embedding, source``; null and an empty description are not given.
+    ``conflicts`` lists ``description``, ``embedding`` and ``label`` where an entity has different values, and ``owner``
+    where one of its labels belongs to another entity too; ``conflict`` is whether it lists any.
+    """
+    r = records.withColumn("description", F.nullif("description", F.lit("")))
+    owned = r.filter("label is not null").groupBy("label", "entity").agg(F.count(F.lit(1)).alias("_c"))  # one row an owner
+    owners = owned.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("label")
+    shared = owned.join(owners, "label", "left_semi").select("entity").distinct().withColumn("_o", F.lit(True))
+    fields = ("description", "embedding", "label")
+    g = r.groupBy("entity").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in fields], *[F.countDistinct(c).alias(f"_{c}") for c in fields], F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    g = g.join(shared, "entity", "left")
+    found = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"_{c}") > 1, c) for c in fields], F.when(F.col("_o"), "owner"))), ",")
+    return g.select("entity", *fields, "sources", found.alias("conflicts"), (found != "").alias("conflict"))
+
+
+def scale_acceptance(train: DataFrame, holdout: DataFrame, span: float = 0.25, relative: float = 0.12, signed: float = 0.10) -> DataFrame:
+    """``name, value, passed``: whether a depth scale learned from ``train`` (``frame, scale``) holds on ``holdout`` (``frame, measured, reference``).
+
+    The scale is the median over training frames.  Rules: its relative span, the scaled median relative and signed errors,
+    that scaling lowers the relative error, and that no frame is on both sides.  A rule without data fails.
+    """
+    t = train.agg(F.percentile("scale", 0.5).alias("_s"), ((F.max("scale") - F.min("scale")) / F.percentile("scale", 0.5)).alias("span"))
+    h = holdout.filter("reference > 0").join(F.broadcast(t), F.lit(True))  # one row
+    error = lambda m: F.abs(m - F.col("reference")) / F.col("reference")
+    scaled = F.col("measured") * F.col("_s")
+    e = h.agg(F.percentile(error(scaled), 0.5).alias("relative"), F.percentile(error(F.col("measured")), 0.5).alias("raw"), F.percentile(scaled - F.col("reference"), 0.5).alias("signed"))
+    both = train.select("frame").intersect(holdout.select("frame")).agg(F.count(F.lit(1)).cast("double").alias("overlap"))
+    one = t.join(e, F.lit(True)).join(both, F.lit(True))
+    gain = F.col("raw") - F.col("relative")
+    rules = [("span", F.col("span"), F.col("span") <= span), ("relative", F.col("relative"), F.col("relative") <= relative), ("signed", F.col("signed"), F.abs("signed") <= signed), ("improved", gain, gain > 0), ("disjoint", F.col("overlap"), F.col("overlap") == 0)]
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value"), F.coalesce(ok, F.lit(False)).alias("passed")) for n, v, ok in rules])
+    return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -263,13 +263,29 @@ def d29_flip(spark, sf_dir):
     return rounded(A.sign_flip_p(d, "g"), ["p"])
 
 
-@query("d30_mesh_quality")
-def d30(spark, sf_dir):
+_MESH = "v as (select p_partkey as vid, (p_partkey % 40) % 8 as x, (p_partkey % 40) // 8 as y, p_partkey // 40 as z from part), f as (select vid as a, vid + 1 as b, case when vid % 97 = 0 then -1 else vid + 8 end as c from v where x < 7 and vid % 40 < (case when z % 3 = 0 then 16 else 32 end))"
+
+
+def _mesh(spark, sf_dir):
     p = fx.parts(spark, sf_dir)
     n = F.col("id") % 40
     v = p.select(F.col("id").alias("vid"), (n % 8).cast("double").alias("x"), F.floor(n / 8).cast("double").alias("y"), F.floor(F.col("id") / 40).cast("double").alias("z"))
-    f = p.filter((n % 8 < 7) & (n < 32)).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") + 8).alias("c"))
-    return rounded(A.mesh_components(v, f), ["area"])
+    return v, p.filter((n % 8 < 7) & (n < F.when(F.floor(F.col("id") / 40) % 3 == 0, 16).otherwise(32))).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.when(F.col("id") % 97 == 0, -1).otherwise(F.col("id") + 8).alias("c"))
+
+
+@query("d30_mesh_components")
+def d30_components(spark, sf_dir):
+    return rounded(A.mesh_components(*_mesh(spark, sf_dir)), ["area"])
+
+
+# every face has half a square of area, so components differ in area by their number of faces
+@query("d30_mesh_quality", f"""with recursive {_MESH}, g as (select * from f where b in (select vid from v) and c in (select vid from v)), e as (select a, b from g union select b, a from g union select b, c from g union select c, b from g),
+r as (select a as node, a as seen from e union select r.node, e.b from r join e on e.a = r.seen), m as (select node, min(seen) as component from r group by 1), n as (select component, count(*) as nodes from m group by 1),
+s as (select component, nodes, count(*) * 0.5::double as area from n join m using (component) join g on g.a = m.node group by 1, 2)
+select (select count(*) from v) as vertices, (select count(*) from f) as faces, (select count(*) from v) as welded, count(*) as components, (select count(*) from v) - sum(nodes)::bigint as isolated, (select count(*) from f) - (select count(*) from g) as invalid_faces,
+round(max(nodes) / sum(nodes), 6) as largest_ratio, round(sum(area), 6) as area, round(max(area) / sum(area), 6) as largest_area_ratio, count(*) filter (area >= 12) as significant, round(coalesce(sum(area) filter (area < 12), 0) / sum(area), 6) as tiny_area_ratio from s""")
+def d30(spark, sf_dir):
+    return rounded(A.mesh_quality(*_mesh(spark, sf_dir), significant=12.0), ["largest_ratio", "area", "largest_area_ratio", "tiny_area_ratio"])
 
 
 @query("d31_connected_components", """with recursive e as (select distinct o_orderkey as a, o_orderkey - o_custkey % 2 as b from orders), s as (select a, b from e union select b, a from e),
@@ -300,6 +316,20 @@ def d35(spark, sf_dir):
     return A.dbscan(fx.points(spark, sf_dir), 0.5, 6)
 
 
+@query("d35_cluster_geometry", f"""with recursive p as (select id, label as record, x, y, z, id % 7 + 1 as support from ({fx.POINTS})), n as (select a.id, b.id as other from p a join p b on a.record = b.record and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.7), core as (select id from n group by 1 having count(*) >= 4),
+l as (select n.id as a, other as b from n join core using (id) where other in (select id from core)), r as (select a as node, b as seen from l union select r.node, l.b from r join l on l.a = r.seen), k as (select node, min(seen) as cluster from r group by 1),
+b as (select id, min(other) as node from n where id not in (select id from core) and other in (select id from core) group by 1), c as (select node as id, cluster from k union all select id, cluster from b join k using (node)),
+cam as (select record, min(x) + i as cx, min(y) - 1 as cy, min(z) as cz from p, range(4) t(i) group by record, i), d as (select p.*, cluster, (select min(sqrt(pow(x - cx, 2) + pow(y - cy, 2) + pow(z - cz, 2))) from cam where cam.record = p.record) as camera from p join c using (id)),
+g as (select record, cluster, count(*) as points, quantile_cont(camera, 0.5) as camera, quantile_cont(support, 0.5) as support, {', '.join(f'quantile_cont({a}, 0.05) as {a}0, quantile_cont({a}, 0.95) as {a}1' for a in 'xyz')} from d group by 1, 2),
+s as (select * from g qualify points >= greatest(5, ceil(max(points) over (partition by record) * 0.03))) select record, cluster, count(*) over (partition by record) as candidates, points, round(camera, 6) as camera, round(support, 6) as support,
+{', '.join(f'round(({a}0 + {a}1) / 2, 6) as {a}, round(greatest({a}1 - {a}0, 0.02), 6) as d{a}' for a in 'xyz')} from s qualify row_number() over (partition by record order by s.camera, s.support desc, points desc, cluster) = 1""")
+def d35_geometry(spark, sf_dir):
+    p = fx.points(spark, sf_dir).select("id", F.col("label").alias("record"), "x", "y", "z", (F.col("id") % 7 + 1).alias("support"))
+    low = p.groupBy("record").agg(*[F.min(c).alias(f"c{c}") for c in "xyz"])
+    cameras = low.select("record", F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("cx") + i)).alias("cx"), (F.col("cy") - 1).alias("cy"), "cz")
+    return rounded(A.cluster_geometry(p, cameras, 0.7, 4, 5), ["camera", "support", *"xyz", "dx", "dy", "dz"])
+
+
 @query("d36_failure_cases", """with f as (select l_orderkey as frame, sum(l_quantity) as q, max(l_discount) as d, count(*) as n from lineitem group by 1)
 select 'heavy-' || frame as case_id, 'depth' as stage, 'high' as severity from f where q > 250 union all select 'discount-' || frame, 'pose', 'low' from f where d >= 0.1 and n > 6
 union all select * from (select 'most-' || frame, 'map', 'high' from f order by q desc, frame limit 25) union all select * from (select 'least-' || frame, 'map', 'low' from f order by q, frame limit 10)""")
@@ -396,13 +426,18 @@ def d28(spark, sf_dir):
     return rounded(A.block_bootstrap(o, "g", "i", 25, 40, 3), ["low", "middle", "high"], 4)
 
 
-@query("d32_inventory_summary", """with f as (select coalesce(regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1), '') as root, coalesce(regexp_extract(url, '\\.(html)', 1), '') as extension, length(url) as bytes from pages)
-select coalesce(root, '*') as root, coalesce(extension, '*') as extension, count(*) as files, sum(bytes)::bigint as bytes from f group by cube (root, extension) having root is null or extension is null""")
+@query("d32_inventory_summary", """with f as (select page_id, coalesce(regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1), '') as root, case when contains(url, '.html') then 'html' else '' end as extension, length(url)::bigint as bytes from pages),
+x as (select page_id, root, extension, bytes, case page_id % 4 when 0 then 'unknown' else 'stage' || page_id % 4 end as stage, 'kind' || page_id % 3 as kind, case when page_id % 5 = 0 then 'slow|empty' when page_id % 7 = 0 then 'slow' end as errors from f),
+a as (select 'all' as axis, '*' as value, bytes from x union all select 'root', root, bytes from x union all select 'extension', extension, bytes from x union all select 'stage', stage, bytes from x union all select 'kind', kind, bytes from x union all select 'error', unnest(string_split(errors, '|')), bytes from x where errors is not null)
+select axis, value, count(*) as files, sum(bytes)::bigint as bytes from a group by 1, 2""")
 def d32(spark, sf_dir):
     p = fx.table(spark, sf_dir, "pages")
+    i = F.col("page_id")
     kind = F.when(F.contains("url", F.lit(".html")), ".html").otherwise("")
     path = F.concat(F.regexp_extract("url", "^https?://[^/]*/([a-z]+)/", 1), F.lit("/page"), kind)
-    return A.inventory_summary(p.select(path.alias("path"), F.length("url").cast("bigint").alias("bytes")))
+    stage = F.when(i % 4 > 0, F.concat(F.lit("stage"), (i % 4).cast("string")))
+    errors = F.when(i % 5 == 0, "slow|empty|slow").when(i % 7 == 0, " slow ")
+    return A.inventory_summary(p.select(path.alias("path"), F.length("url").cast("bigint").alias("bytes"), stage.alias("stage"), F.concat(F.lit("kind"), (i % 3).cast("string")).alias("kind"), errors.alias("errors")))
 
 
 @query("d44_edge_errors", f"""with p as (select id, x, y, (id * 7) % 360 as yaw from ({fx.PARTS})), e as (select a.id, a.id % 3 as kind, a.x as ax, a.y as ay, a.yaw as ayaw, b.x as bx, b.y as by_, b.yaw as byaw from p a join p b on b.id = a.id + 1),

@@ -169,8 +169,22 @@ def j10(spark, sf_dir):
     return rounded(X.detection_by_dose(fx.events(spark, sf_dir), [0, 5, 20, 80], "value", 120.0), ["detected"])
 
 
-@query("j11_check_label_frames", "select o_orderkey as frame, case when o_orderkey % 5 = 0 then 'missing' when o_orderkey % 7 = 0 then 'digest_differs' end as problem from orders where o_orderkey % 5 = 0 or o_orderkey % 7 = 0")
+_FRAME_PROBLEM = "case when o_orderkey % 5 = 0 then 'missing' when o_orderkey % 19 = 0 then 'time_differs' when o_orderkey % 11 = 0 then 'configuration_differs' when o_orderkey % 7 = 0 then 'digest_differs' when o_orderkey % 13 = 0 then 'dtype_differs' when o_orderkey % 17 = 0 then 'shape_differs' end"
+
+
+def _label_frames(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    n = F.col("o_orderkey")
+    want = o.select(n.alias("frame"), (n * 1000).alias("time"), F.col("o_orderstatus").alias("configuration"), F.col("o_orderpriority").alias("digest"), F.lit("uint16").alias("dtype"), F.concat_ws("x", F.lit(480), F.lit(640)).alias("shape"))
+    wrong = {"time": (19, F.col("time") + 1), "configuration": (11, F.lit(None).cast("string")), "digest": (7, F.lit("other")), "dtype": (13, F.lit("uint8")), "shape": (17, F.lit("640x480"))}
+    return want, want.filter("frame % 5 <> 0").withColumns({c: F.when(F.col("frame") % m == 0, v).otherwise(F.col(c)) for c, (m, v) in wrong.items()})
+
+
+@query("j11_check_label_frames", f"select frame, problem from (select o_orderkey as frame, {_FRAME_PROBLEM} as problem from orders) where problem is not null")
 def j11(spark, sf_dir):
-    o = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), F.col("o_orderpriority").alias("digest"))
-    actual = o.filter("frame % 5 <> 0").withColumn("digest", F.when(F.col("frame") % 7 == 0, "other").otherwise(F.col("digest")))
-    return X.check_label_frames(o, actual)
+    return X.check_label_frames(*_label_frames(spark, sf_dir))
+
+
+@query("j11_label_coverage", f"select count(*) as expected, count(*) - count(problem) as good, round((count(*) - count(problem)) / count(*), 6) as coverage, count(problem) = 0 as passed from (select {_FRAME_PROBLEM} as problem from orders)")
+def j11_coverage(spark, sf_dir):
+    return rounded(X.label_coverage(*_label_frames(spark, sf_dir)), ["coverage"])

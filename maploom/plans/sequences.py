@@ -73,14 +73,11 @@ def e8(spark, sf_dir):
     return rounded(r, ["x", "y"], 3)
 
 
-@query("e9_trajectory_samples", f"""with q as (select key, i, 0.0::double + i * 2000000 / 9.0 as pos from (select distinct key from ({fx.EVENTS})), range(10) t(i)), r as (select q.*, t.seq, t.x, row_number() over (partition by q.key, i order by abs(t.t - pos), t.t, t.seq) as r from q join ({fx.TRAJECTORY}) t on q.key = t.key and t.t <= 2000000)
-select key, i, seq, round(x, 3) as x from r where r = 1""")
+@query("e9_trajectory_samples", f"""with q as (select key, i, 0.0::double + i * 2000000 / 9.0 as pos from (select distinct key from ({fx.EVENTS})), range(10) t(i)), r as (select q.*, t.seq, t.t, t.x, t.y, row_number() over (partition by q.key, i order by abs(t.t - pos), t.t, t.seq) as r from q join ({fx.TRAJECTORY}) t on q.key = t.key and t.t between 0 and 2000000)
+select key, i, seq, round(t, 3) as t, round(x, 3) as x, round(y, 3) as y, (seq * 7 % 360)::double as yaw from r where r = 1""")
 def e9(spark, sf_dir):
-    from maploom.operators.joins import nearest_in_time
-
-    t = fx.trajectory(spark, sf_dir).filter("t <= 2000000").select("key", "t", F.col("seq").alias("at"), "x")
-    q = t.select("key").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>"))).withColumn("t", F.col("i") * 2000000 / 9.0)
-    return nearest_in_time(q, t, ["key"], "t", ["x"], "at").select("key", "i", F.col("near_at").alias("seq"), F.round("near_x", 3).alias("x"))
+    t = fx.trajectory(spark, sf_dir).withColumn("yaw", (F.col("seq") * 7 % 360).cast("double"))
+    return Q.trajectory_samples(t, "key", 0.0, 2000000.0)
 
 
 @query("e10_frame_windows", "select floor(o_orderkey / 500)::bigint as \"window\", count(*) as pairs, round(sum(o_custkey % 7) / sum(10), 6) as rate from orders group by 1")
@@ -123,10 +120,11 @@ def e15(spark, sf_dir):
     return Q.rate_gate(c, "key", "ns", 500.0).select("key", "seq")
 
 
-@query("e16_ema_velocity", f"""with recursive d as (select key, seq, t, x, (x - lag(x) over w) / (t - lag(t) over w) as raw, row_number() over w as i from ({fx.TRAJECTORY}) window w as (partition by key order by seq)),
-r as (select key, i, raw as v from d where i = 2 union all select d.key, d.i, 0.6 * d.raw + 0.4 * v from r join d on d.key = r.key and d.i = r.i + 1) select key, round(arg_max(v, i), 9) as velocity, max(i)::int as samples from r group by 1""")
+@query("e16_ema_velocity", f"""with recursive s as (select *, (seq * 7 % 360)::double as yaw from ({fx.TRAJECTORY})), d as (select key, seq, (x - lag(x) over w) / (t - lag(t) over w) as rx, (y - lag(y) over w) / (t - lag(t) over w) as ry, ((yaw - lag(yaw) over w + 900) % 360 - 180) / (t - lag(t) over w) as rw, row_number() over w as i from s window w as (partition by key order by seq)),
+r as (select key, i, rx as vx, ry as vy, rw as wz from d where i = 2 union all select d.key, d.i, 0.6 * d.rx + 0.4 * vx, 0.6 * d.ry + 0.4 * vy, 0.6 * d.rw + 0.4 * wz from r join d on d.key = r.key and d.i = r.i + 1) select key, round(arg_max(vx, i), 9) as vx, round(arg_max(vy, i), 9) as vy, round(arg_max(wz, i), 9) as wz, max(i)::int as samples from r group by 1""")
 def e16(spark, sf_dir):
-    return rounded(Q.ema_velocity(fx.trajectory(spark, sf_dir), "key", "t", "seq"), ["velocity"], 9)
+    t = fx.trajectory(spark, sf_dir).withColumn("yaw", (F.col("seq") * 7 % 360).cast("double"))
+    return rounded(Q.ema_velocity(t, "key", "t", "seq"), ["vx", "vy", "wz"], 9)
 
 
 @query("e17_size_batches")
@@ -177,9 +175,27 @@ def s5(spark, sf_dir):
     return li.filter("l_orderkey % 2 = 0").select(F.col("l_partkey").alias("frame")).intersect(li.filter("l_orderkey % 2 = 1 and l_linenumber = 7").select("l_partkey"))
 
 
-@query("s6_merge_semantic_records", """with r as (select doc_id % 300 as entity, doc_id as ord, case when doc_id % 3 = 0 then null else n_chars % 4 end as label, case when doc_id % 4 = 0 then null else lang end as description, source from documents)
-select entity, arg_min(label, ord) filter (label is not null) as label, arg_min(description, ord) filter (description is not null) as description, string_agg(distinct source, ',' order by source) as sources, count(distinct label) > 1 as conflict from r group by 1""")
+_DEPTH = "select l_orderkey as frame, l_orderkey % 2 = 0 as train, l_quantity as measured, l_quantity * (1.05 + l_discount / 10) as reference from lineitem"
+
+
+@query("s5_scale_acceptance", f"""with p as ({_DEPTH}), f as (select frame, quantile_cont(reference / measured, 0.5) as scale from p where train group by 1), t as (select quantile_cont(scale, 0.5) as s, (max(scale) - min(scale)) / quantile_cont(scale, 0.5) as span from f),
+e as (select quantile_cont(abs(measured * s - reference) / reference, 0.5) as relative, quantile_cont(abs(measured - reference) / reference, 0.5) as raw, quantile_cont(measured * s - reference, 0.5) as signed from p, t where not train and reference > 0),
+o as (select count(*)::double as n from (select frame from f intersect select frame from p where not train)) select 'span' as name, round(span, 6) as value, span <= 0.25 as passed from t union all select 'relative', round(relative, 6), relative <= 0.12 from e union all select 'signed', round(signed, 6), abs(signed) <= 0.1 from e
+union all select 'improved', round(raw - relative, 6), raw > relative from e union all select 'disjoint', n, n = 0 from o""")
+def s5_scale(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_quantity").alias("measured"), (F.col("l_quantity") * (1.05 + F.col("l_discount") / 10)).alias("reference"))
+    train = li.filter("frame % 2 = 0").groupBy("frame").agg(F.percentile(F.col("reference") / F.col("measured"), 0.5).alias("scale"))
+    return rounded(Q.scale_acceptance(train, li.filter("frame % 2 <> 0")), ["value"])
+
+
+@query("s6_merge_semantic_records", """with r as (select doc_id % 300 as entity, doc_id as ord, case when doc_id % 3 <> 0 then (doc_id % 300 + 1) // 2 * 40 + doc_id // 300 % 2 * (doc_id % 2) end as label, case doc_id % 4 when 0 then null when 1 then '' else lang end as description, case when doc_id % 5 <> 0 then doc_id % 300 + doc_id // 600 % 2 * (doc_id % 7) end as embedding, source from documents),
+d as (select * replace (nullif(description, '') as description) from r), o as (select distinct entity from d where label in (select label from d group by 1 having count(distinct entity) > 1)), g as (select entity, arg_min(label, ord) filter (label is not null) as label, arg_min(description, ord) filter (description is not null) as description,
+arg_min(embedding, ord) filter (embedding is not null) as embedding, string_agg(distinct source, ',' order by source) as sources, concat_ws(',', case when count(distinct description) > 1 then 'description' end, case when count(distinct embedding) > 1 then 'embedding' end, case when count(distinct label) > 1 then 'label' end, case when entity in (select entity from o) then 'owner' end) as conflicts from d group by 1)
+select *, conflicts <> '' as conflict from g""")
 def s6(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    r = d.select((F.col("doc_id") % 300).alias("entity"), F.col("doc_id").alias("ord"), F.when(F.col("doc_id") % 3 != 0, F.col("n_chars") % 4).alias("label"), F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("description"), "source")
-    return Q.merge_semantic_records(r)
+    i, e = F.col("doc_id"), F.col("doc_id") % 300
+    label = F.when(i % 3 != 0, F.expr("(doc_id % 300 + 1) div 2 * 40 + doc_id div 300 % 2 * (doc_id % 2)"))
+    description = F.when(i % 4 == 1, "").when(i % 4 != 0, F.col("lang"))
+    embedding = F.when(i % 5 != 0, F.expr("doc_id % 300 + doc_id div 600 % 2 * (doc_id % 7)"))
+    return Q.merge_semantic_records(d.select(e.alias("entity"), i.alias("ord"), label.alias("label"), description.alias("description"), embedding.alias("embedding"), "source"))

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from maploom.operators import aggregates
 from maploom.plans import catalog
 
 DIR = "/root/testdata/sf0.001"
@@ -112,3 +113,24 @@ def test_farthest_first_without_a_task_that_holds_a_region(spark, vectors):
     df = catalog.QUERIES["g8_farthest_first"](spark, DIR)
     assert {(r.label, r.ord, r.pick) for r in df.collect()} == want
     assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().toString()
+
+
+def test_mesh_quality_welds_and_takes_no_faces(spark):
+    v = [(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 1.0, 0.00001, 0.0), (4, 1.0, 1.0, 0.0), (5, 9.0, 9.0, 9.0), (6, 5.0, 0.0, 0.0), (7, 5.01, 0.0, 0.0), (8, 5.0, 0.01, 0.0)]
+    vertices = spark.createDataFrame(v, "vid long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 1, 2), (3, 4, 2), (6, 7, 8), (0, 1, 77)], "a long, b long, c long")
+    r = aggregates.mesh_quality(vertices, faces).first().asDict()
+    assert {k: r[k] for k in ("vertices", "faces", "welded", "components", "isolated", "invalid_faces", "significant")} == {"vertices": 9, "faces": 4, "welded": 8, "components": 2, "isolated": 1, "invalid_faces": 1, "significant": 1}
+    assert r["largest_ratio"] == pytest.approx(4 / 7) and r["tiny_area_ratio"] == pytest.approx(5e-5 / r["area"])
+    r = aggregates.mesh_quality(vertices, faces.filter("a > 9")).first().asDict()
+    assert (r["components"], r["isolated"], r["area"], r["largest_ratio"], r["tiny_area_ratio"]) == (0, 8, 0.0, 0.0, 0.0)
+
+
+def test_cluster_geometry_chooses_the_nearest_of_those_that_count(spark):
+    p = [("a", i, 10.0 + i * 0.01, 0.0, 0.0, 3) for i in range(40)] + [("a", 100 + i, 2.0 + i * 0.01, 0.0, 0.0, 3) for i in range(6)] + [("a", 200 + i, 1.0 + i * 0.01, 0.0, 0.0, 3) for i in range(4)]
+    p += [("b", 300 + i, 2.0 + i * 0.01, 0.0, 0.0, 1) for i in range(4)]  # beside a's points, and too few
+    points = spark.createDataFrame(p, "record string, id long, x double, y double, z double, support long")
+    cameras = spark.createDataFrame([("a", 0.0, 0.0, 0.0), ("b", 0.0, 0.0, 0.0)], "record string, cx double, cy double, cz double")
+    (r,) = aggregates.cluster_geometry(points, cameras, 0.05, 3, 5).collect()
+    assert (r.record, r.cluster, r.points, r.candidates, r.dy) == ("a", 100, 6, 2, 0.02)
+    assert r.camera == pytest.approx(2.025) and r.x == pytest.approx(2.025) and r.dx == pytest.approx(0.045)
