@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import decontaminate, jaccard, langid, media, mixing, oracles, quality, substring, tokencount, tokenids, urls
+from maploom.llm import decontaminate, jaccard, langid, media, mixing, oracles, pieces, prefix_trie, quality, substring, tokencount, tokenids, urls, whitening
 from maploom.llm.tables import read
 
 #: Where vocabulary files are looked up by name; None: the installed public_tokenizers package.
@@ -99,3 +99,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_language_id")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"), folds=5, held_out=0)
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"), components=8).drop("deviation_exact")
+
+
+@query("op12_conversation_prefix_trie")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_sentencepiece_codec")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    both = pieces.decode_pieces(pieces.encode_pieces(read(spark, sf_dir, "documents"), path), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -66,7 +66,7 @@ def join_salted(big: DataFrame, side: DataFrame, on: str | list[str], how: str,
     return big.withColumn("_salt", salt).join(side, [*on, "_salt"], how).drop("_salt")
 
 
-def join_hot(big: DataFrame, side: DataFrame, on: str, n_rows: int, hubs: int) -> DataFrame:
+def join_hot(big: DataFrame, side: DataFrame, on: str | list[str], n_rows: int, hubs: int) -> DataFrame:
     """Inner join in which the rows of keys that ``big`` has very often stay where they are.
 
     ``side`` has each key once.  Keys with more than ``n_rows / hubs`` rows of ``big`` (so at most ``hubs`` of them)
