@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -236,34 +239,91 @@ def attach_embeddings(records: DataFrame, encoder: str) -> DataFrame:
 
 def tfidf(words: DataFrame) -> DataFrame:
     """``item, word, weight``: counts times ``ln((N + 1) / (df + 1)) + 1``, scaled to unit length per item."""
-    tf = words.groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stored(words.groupBy("item", "word").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = words.select("item").distinct().count()
+    n = tf.select("item").distinct().count()
     t = tf.join(df, "word").withColumn("raw", F.col("tf") * (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1))
     length = t.groupBy("item").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
     return t.join(length, "item").select("item", "word", (F.col("raw") / F.col("length")).alias("weight"))
 
 
+def similar_pairs(vectors: DataFrame, min_sim: float) -> DataFrame:
+    """``a < b, score``: pairs of unit vectors (``item, word, weight``) with a product of at least ``min_sim``.
+
+    All words have one order, the rarest first.  Of a pair that reaches ``min_sim``, the first word that both have lies in
+    both items' prefixes: those words before what is left has a norm under ``min_sim``.  So prefixes meet
+    prefixes.  What a pair can still add is bounded by the norms of the words behind: those behind the shorter prefix on
+    one side, and behind the last word both prefixes have on the other.  Both vectors come to each pair that this
+    leaves once, for the exact sum.
+    """
+    least = min_sim - 1e-9
+    df = vectors.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    v = vectors.join(df, "word").select("item", F.xxhash64("word").alias("word"), "df", "weight")
+    v = stored(v, "ranked-words")
+    later = W.partitionBy("item").orderBy(F.desc("df"), F.desc("word")).rowsBetween(W.unboundedPreceding, 0)
+    upto = F.sum(F.col("weight") * F.col("weight")).over(later)  # of this word and those behind it
+    p = v.withColumn("_s", upto).filter(F.col("_s") >= least * least)
+    p = p.select("item", "word", "weight", F.sqrt(F.greatest(F.col("_s") - F.col("weight") * F.col("weight"), F.lit(0.0))).alias("rest"))
+    p = p.withColumn("end", F.min("rest").over(W.partitionBy("item")))
+    x, y = (p.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("item", "weight", "rest", "end")]) for side in "ab")
+    met = x.join(y, "word").filter("item_a < item_b").groupBy(F.col("item_a").alias("a"), F.col("item_b").alias("b"))
+    met = met.agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("_sum"), *[f(c).alias(c) for f, c in ((F.min, "rest_a"), (F.min, "rest_b"), (F.max, "end_a"), (F.max, "end_b"))])
+    more = F.greatest(F.col("end_a") * F.col("rest_b"), F.col("end_b") * F.col("rest_a"))
+    cand = stored(met.filter(F.col("_sum") + more >= least).select("a", "b"), "candidates")
+    lists = v.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("v"))
+    lists = stored(lists.select("item", F.transform("v", lambda e: e["word"]).alias("words"), F.transform("v", lambda e: e["weight"]).alias("weights")), "vectors")
+    left, right = (lists.select(F.col("item").alias(c), F.col("words").alias(f"words_{c}"), F.col("weights").alias(f"weights_{c}")) for c in "ab")
+    both = cand.join(left, "a").join(right, "b")
+    return both.mapInArrow(_products, "a long, b long, score double").filter(F.col("score") >= min_sim)
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse products of many pairs of sorted word lists at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            part = batch.slice(k, 2000)
+            side = []
+            for c in "ab":
+                words, weights = part.column(f"words_{c}"), part.column(f"weights_{c}")
+                row = np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(words)))
+                side.append((row, words.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)))
+            (row, word, weight), (other_row, other, other_weight) = side
+            # words of both sides in one order by pair and word: what both have comes twice in a row
+            rows, words = np.concatenate([row, other_row]), np.concatenate([word, other])
+            order = np.lexsort((words, rows))
+            rows, words, weights = rows[order], words[order], np.concatenate([weight, other_weight])[order]
+            twice = np.flatnonzero((rows[1:] == rows[:-1]) & (words[1:] == words[:-1]))
+            score = np.bincount(rows[twice], weights=weights[twice] * weights[twice + 1], minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(score)], names=["a", "b", "score"])
+
+
 def retrieve_pairs(vectors: DataFrame, apart: int, k: int, min_sim: float) -> DataFrame:
     """Pairs ``a < b`` that one side ranks among its best ``k``, at least ``apart`` items away: ``a, b, score``.
 
-    A sparse product over shared words.  A pair at ``min_sim`` of unit vectors must share a
-    word among the heaviest words that carry ``1 - min_sim ** 2`` of either side's squared
-    weight, so only those words are joined for candidates, and the sum runs over all words.
+    Scores rank by nine digits, then the smaller item.  Items with equal vectors form a class; classes are compared,
+    not their members.  A member leaves out at most ``2 * apart - 1`` items (itself included), so the best
+    ``k + 2 * apart - 1`` items of its class's list hold its best ``k``; and those lie in as many classes.
     """
-    w = W.partitionBy("item").orderBy("weight", "word")
-    light = F.sum(F.col("weight") * F.col("weight")).over(w.rowsBetween(W.unboundedPreceding, 0))
-    # the words left out on one side have a norm under min_sim, so they alone can't reach it
-    heavy = vectors.withColumn("_l", light).filter(F.col("_l") >= min_sim * min_sim - 1e-9).select("item", "word")
-    a, b = heavy.withColumnRenamed("item", "a"), vectors.select(F.col("item").alias("b"), "word")
-    cand = a.join(b, "word").filter(F.abs(F.col("a") - F.col("b")) >= apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = vectors.select(F.col("item").alias("a"), "word", F.col("weight").alias("wa"))
-    right = vectors.select(F.col("item").alias("b"), "word", F.col("weight").alias("wb"))
-    s = cand.join(left, "a").join(right, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).filter(F.col("score") >= min_sim)
-    both = s.select("a", "b", "score", F.col("a").alias("me")).union(s.select("a", "b", "score", F.col("b").alias("me")))
-    other = F.when(F.col("me") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    r = both.withColumn("_o", other).withColumn("_r", F.row_number().over(W.partitionBy("me").orderBy(F.desc(F.round("score", 9)), "_o"))).filter(F.col("_r") <= k)
-    return r.groupBy("a", "b").agg(F.max("score").alias("score"))
+    most = k + 2 * apart - 1
+    vectors = stored(vectors, "vectors")
+    n = F.round("weight", 9)
+    prints = vectors.groupBy("item").agg(*[F.sum(F.xxhash64(F.lit(seed), "word", n).cast("decimal(20,0)")).alias(f"p{seed}") for seed in (1, 2)], F.sum(F.col("weight") * F.col("weight")).alias("own"))
+    classes = prints.groupBy("p1", "p2").agg(F.min("item").alias("cls"), F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+    prints = stored(prints, "prints")
+    classes = stored(prints.select("item", "p1", "p2").join(bounded(classes), ["p1", "p2"]).select("item", "cls", "n", "own"), "classes")
+    heads = classes.filter("item = cls").select("item")
+    s = similar_pairs(vectors.join(heads, "item", "left_semi"), min_sim)
+    s = stored(s, "similar")
+    own = classes.filter("item = cls and n > 1").select(F.col("cls").alias("me"), F.col("cls").alias("other"), F.col("own").alias("score"))
+    sides = s.select(F.col("a").alias("me"), F.col("b").alias("other"), "score").union(s.select(F.col("b").alias("me"), F.col("a").alias("other"), "score")).union(own)
+    best = W.partitionBy("me").orderBy(F.desc(F.round("score", 9)), "other")
+    sides = sides.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most).drop("_r")  # a class is named by its first item
+    first = classes.withColumn("_r", F.row_number().over(W.partitionBy("cls").orderBy("item"))).filter(F.col("_r") <= most).select(F.col("cls").alias("cls_o"), F.col("item").alias("other"))
+    listed = sides.withColumnRenamed("other", "cls_o").join(first, "cls_o").withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= most)
+    lists = listed.groupBy(F.col("me").alias("cls")).agg(F.collect_list(F.struct("other", "score")).alias("l"))
+    each = classes.select(F.col("item").alias("me"), "cls").join(bounded(lists), "cls").select("me", F.inline("l")).filter(F.abs(F.col("me") - F.col("other")) >= apart)
+    r = each.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k)
+    return r.groupBy(F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).agg(F.max("score").alias("score"))
 
 
 def alias_conflict(ranked: DataFrame, copies: int) -> DataFrame:
