@@ -2,77 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maploom.operators.graphs import connected_components
 from maploom.operators.joins import radius_join
+from maploom.operators.merging import merge_entities
 from maploom.operators.sequences import last_version_asof
 
-MERGE_SCHEMA = "map long, seq long, local long, prior string, entity string, created boolean, x double, y double, z double"
-
-
-class MergeState:
-    """Entities of one map while observations arrive in order."""
-
-    def __init__(self, map_id: int, distance: float):
-        self.map_id, self.distance = map_id, distance
-        self.mapping: dict[int, str] = {}
-        self.points: dict[str, list[tuple[float, float, float]]] = {}
-        self.names: dict[str, set[str]] = {}
-        self.seen: set[tuple[int, int]] = set()
-        self.centres = np.zeros((0, 3))
-        self.order: list[str] = []
-
-    def observe(self, seq: int, local: int, us: int, at: tuple[float, float, float], label: str) -> tuple:
-        prior = self.mapping.get(local)
-        entity, created = prior, False
-        if prior is not None and np.linalg.norm(self.centres[self.order.index(prior)] - at) > self.distance:
-            entity = None
-        if entity is None and self.order:
-            d = np.linalg.norm(self.centres - np.array(at), axis=1)
-            for k in np.argsort(d, kind="stable"):
-                if d[k] > self.distance:
-                    break
-                if not label or label.lower() in self.names[self.order[k]]:
-                    entity = self.order[k]
-                    break
-        if entity is None:
-            entity, created = hashlib.sha256(f"{self.map_id}|{len(self.order)}".encode()).hexdigest()[:16], True
-            self.order.append(entity)
-            self.points[entity], self.names[entity] = [], set()
-            self.centres = np.vstack([self.centres, at])
-        if (local, us) not in self.seen:
-            self.seen.add((local, us))
-            self.points[entity].append(at)
-            self.centres[self.order.index(entity)] = np.median(np.array(self.points[entity]), axis=0)
-        if label:
-            self.names[entity].add(label.lower())
-        self.mapping[local] = entity
-        return (self.map_id, seq, local, prior, entity, created, *map(float, self.centres[self.order.index(entity)]))
-
-
-def merge_entities(observations: DataFrame, distance: float = 0.5) -> DataFrame:
-    """Replay observations (``map, seq, local, us, x, y, z, label``) in arrival order, one map a task.
-
-    An observation goes to the entity its local id has, if that is near; else to the
-    nearest entity with its label; else it makes a new one.  Entities sit at the median of
-    their observations.
-    """
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = MergeState(int(pdf["map"].iloc[0]), distance)
-        rows = [state.observe(r.seq, r.local, r.us, (r.x, r.y, r.z), r.label or "") for r in pdf.sort_values("seq").itertuples()]
-        return pd.DataFrame(rows, columns=["map", "seq", "local", "prior", "entity", "created", "x", "y", "z"])
-
-    return observations.select("map", "seq", "local", "us", "x", "y", "z", "label").groupBy("map").applyInPandas(replay, MERGE_SCHEMA)
-
-
 def merge_entities_blocked(observations: DataFrame, distance: float) -> DataFrame:
     """Order-free form for maps too large for one task: observations of a label that chains of short steps connect."""
     a = observations.select("seq", "label", "x", "y", "z").withColumn("g", (F.abs(F.hash("label")) % 1000) * 1e6)

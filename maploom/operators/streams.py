@@ -12,7 +12,6 @@ from pyspark.sql import Window as W
 
 POSE_SCHEMA = "key long, seq long, accepted boolean, reason string"
 KEYFRAME_SCHEMA = "key long, seq long, reason string, hard boolean"
-DYNAMIC_SCHEMA = "key long, seq long, track long, object long, state string, x double, vx double, seen long"
 
 
 class PoseGate:
@@ -65,49 +64,6 @@ class KeyframeGate:
         return (self.key, r.seq, reason, bool(hard))
 
 
-class DynamicScene:
-    """Constant-velocity objects: by track, else the nearest prediction; with a life cycle and expiry."""
-
-    schema = DYNAMIC_SCHEMA
-
-    def __init__(self, key: Any = None, reach: float = 1.0, occluded: float = 0.5, expired: float = 5.0, settle: float = 2.0, noise: float = 0.0025):
-        self.key, self.reach, self.occluded, self.expired, self.settle, self.noise = key, reach, occluded, expired, settle, noise
-        self.objects: dict[int, dict] = {}
-        self.next = 0
-
-    def step(self, r) -> tuple:
-        for k in [k for k, o in self.objects.items() if r.ns - o["ns"] >= self.expired * 1e9]:
-            del self.objects[k]
-        found = next((k for k, o in self.objects.items() if r.track in o["tracks"]), None)
-        if found is None:
-            near = [(abs(o["x"] + o["vx"] * (r.ns - o["ns"]) / 1e9 - r.x), k) for k, o in self.objects.items() if o["label"] == r.label]
-            if near and min(near)[0] <= self.reach:
-                found = min(near)[1]
-        if found is None:
-            found, self.next = self.next, self.next + 1
-            self.objects[found] = {"ns": r.ns, "x": r.x, "vx": 0.0, "p": np.diag([self.noise, 1.0]), "tracks": {r.track}, "label": r.label, "seen": 1, "still": r.ns}
-            return (self.key, r.seq, r.track, found, "tentative", float(r.x), 0.0, 1)
-        o = self.objects[found]
-        dt = (r.ns - o["ns"]) / 1e9
-        o["tracks"].add(r.track)
-        o["seen"] += 1
-        if o["seen"] == 2 and dt > 0:
-            o["vx"], o["x"] = (r.x - o["x"]) / dt, r.x
-        else:
-            f = np.array([[1, dt], [0, 1]])
-            p = f @ o["p"] @ f.T + np.diag([0.01 * dt, 0.1 * dt])
-            k = p[:, 0] / (p[0, 0] + self.noise)
-            miss = r.x - (o["x"] + o["vx"] * dt)
-            o["x"], o["vx"] = o["x"] + o["vx"] * dt + k[0] * miss, o["vx"] + k[1] * miss
-            a = np.eye(2) - np.outer(k, [1, 0])
-            o["p"] = a @ p @ a.T + self.noise * np.outer(k, k)
-        if abs(o["vx"]) > 0.05:
-            o["still"] = r.ns
-        state = "dynamic" if abs(o["vx"]) > 0.05 else "promoted_static" if r.ns - o["still"] >= self.settle * 1e9 and o["seen"] >= 5 else "stationary_candidate"
-        o["ns"] = r.ns
-        return (self.key, r.seq, r.track, found, state, round(float(o["x"]), 9), round(float(o["vx"]), 9), o["seen"])
-
-
 def replay(df: DataFrame, machine: type, **options: Any) -> DataFrame:
     """Run a state machine over each key's rows by time and sequence; the key is the parallel unit."""
     names = [c.split(" ")[0] for c in machine.schema.split(", ")]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maploom.operators import memory as M
+from maploom.operators import merging as ME
 from maploom.plans import fixtures as fx
 from maploom.plans import query
 
@@ -15,10 +16,23 @@ def _observed(spark, sf_dir):
     return o.select((F.col("entity") * 100 + F.col("local") % 10).alias("map"), "seq", "local", "us", "x", "y", "z", F.concat(F.lit("k"), (F.col("local") % 3).cast("string")).alias("label"))
 
 
+STRAIGHT = (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)
+TURNED = (0, -1, 0, 10, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)
+
+
 @query("m1_merge_entities")
 def m1(spark, sf_dir):
-    m = M.merge_entities(_observed(spark, sf_dir), 4.0)
-    return m.withColumns({c: F.round(c, 6) for c in "xyz"})
+    """Replayed merging of observations that came in two sessions, one of them turned and moved against the map."""
+    sessions = fx.table(spark, sf_dir, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("session"), F.when(F.col("n_nationkey") < 2, "registered").otherwise("rejected").alias("status"), F.when(F.col("n_nationkey") == 1, F.array(*[F.lit(float(v)) for v in TURNED])).otherwise(F.array(*[F.lit(float(v)) for v in STRAIGHT])).alias("transform"))
+    o = _observed(spark, sf_dir).withColumns({"session": F.col("seq") % 4, "type": F.when(F.col("seq") % 11 == 0, "place").otherwise("object"), "sx": 1 + F.col("x") / 10, "sy": F.lit(1.0), "sz": F.lit(2.0), "confidence": F.col("y") / 10})
+    m = M.merge_entities(ME.canonical_observations(o, sessions).filter("refused is null"), 4.0)
+    return m.withColumns({c: F.round(c, 6) for c in ("x", "y", "z", "sx", "moved")})
+
+
+@query("m1_merge_audit")
+def m1_audit(spark, sf_dir):
+    log = ME.merge_audit(M.merge_entities(_observed(spark, sf_dir), 4.0))
+    return log.withColumn("moved", F.round("moved", 6))
 
 
 @query("m2_merge_entities_blocked")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from maploom.operators import merging as ME
+from maploom.operators import scenes as SC
 from maploom.operators import sequences as Q
 from maploom.operators import streams as S
 from maploom.plans import fixtures as fx
 from maploom.plans import query
 from maploom.plans.memory import _observed
-from maploom.streaming.machines import activity_sessions
+from maploom.sources.tables import shared_dir
+from maploom.streaming.machines import activity_sessions, merge_stream
 
 
 def rows(spark, sf_dir):
@@ -18,15 +23,24 @@ def rows(spark, sf_dir):
     return c.select("key", "seq", "ns", "value", "k", "kind", F.col("k").alias("track"), (F.col("value") / 100).alias("x"), ((F.col("seq") % 100) / 100).alias("y"), ((F.col("seq") * 7) % 360).cast("double").alias("yaw"), (F.col("k") > 60).alias("content"), F.lit(0).alias("revision"), (F.col("value") / 200).alias("std"), F.col("kind").alias("label"))
 
 
+def sightings(spark, sf_dir):
+    """Sightings of a scene per user: three-dimensional, with sizes, label shares and a motion score."""
+    c = fx.clock(spark, sf_dir)
+    labels = F.create_map(F.col("kind"), F.lit(0.7), F.concat(F.lit("k"), (F.col("k") % 3).cast("string")), F.lit(0.3))
+    return c.select(
+        "key", "seq", "ns", (F.col("k") % 7).alias("track"), (F.col("value") / 100).alias("x"), ((F.col("seq") % 100) / 100).alias("y"), (F.col("k") / 200).alias("z"), (0.05 + F.col("k") / 1000).alias("std"),
+        (1 + F.col("k") / 50).alias("sx"), (1 + (F.col("seq") % 3) / 2).alias("sy"), F.lit(1.0).alias("sz"), ((F.col("seq") * 7 % 10) / 12).alias("motion"), labels.alias("labels"),
+    )
+
+
 @query("p1_dynamic_objects")
 def p1(spark, sf_dir):
-    return S.replay(rows(spark, sf_dir), S.DynamicScene)
+    return SC.replay_scenes(sightings(spark, sf_dir))
 
 
 @query("p2_expire_objects")
 def p2(spark, sf_dir):
-    d = S.replay(rows(spark, sf_dir), S.DynamicScene)
-    return d.groupBy("key", "object").agg(F.max("seen").alias("seen"), F.max_by("state", "seq").alias("last_state"))
+    return SC.object_histories(SC.replay_scenes(sightings(spark, sf_dir)))
 
 
 @query("p3_validate_pose_stream")
@@ -41,10 +55,14 @@ def p4(spark, sf_dir):
 
 @query("p5_entity_merge_stream")
 def p5(spark, sf_dir):
-    from maploom.operators.memory import merge_entities
-
-    m = merge_entities(_observed(spark, sf_dir), 4.0)
-    return m.groupBy("map").agg(F.countDistinct("entity").alias("entities"), F.count(F.lit(1)).alias("n"))
+    """Entities as they stand after the stream: the observations run through the keyed-state machine to the end, into a table."""
+    folder = f"{shared_dir(spark)}/maploom-merge-{uuid.uuid4().hex}"
+    _observed(spark, sf_dir).write.parquet(f"{folder}/observations")
+    schema = spark.read.parquet(f"{folder}/observations").schema
+    merged = merge_stream(spark.readStream.schema(schema).parquet(f"{folder}/observations"), 4.0)
+    run = merged.writeStream.format("parquet").option("path", f"{folder}/merged").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return ME.merged_entities(spark.read.schema(ME.MERGE_SCHEMA).parquet(f"{folder}/merged"))
 
 
 @query("p6_stage_metrics_window", f"select (us // 21600000000) * 21600000000 as start_us, kind as stage, count(*) as n, round(quantile_cont(value, 0.5), 6) as p50, max(value) as max from ({fx.EVENTS}) group by 1, 2")

@@ -8,7 +8,7 @@ State lives in the RocksDB store; checkpoints make restarts exact.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, MutableMapping
 from typing import Any
 
 import pandas as pd
@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from maploom.operators.merging import COLUMNS, MERGE_SCHEMA, EntityMap, completed
+from maploom.operators.scenes import SCENE_SCHEMA, Scene, frame
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,6 +48,118 @@ def run_machine(stream: DataFrame, machine: type, **options: Any) -> DataFrame:
     return stream.groupBy("key").transformWithStateInPandas(MachineProcessor(machine, options), machine.schema, "Update", "None")
 
 
+class SceneProcessor(StatefulProcessor):
+    """A scene a key; one event-time timer waits for its next deadline, so objects fall silent without a new row."""
+
+    def __init__(self, rules: dict[str, Any]):
+        self.rules = rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("scene", "data binary")
+
+    def _scene(self, key) -> Scene:
+        return pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else Scene(int(key[0]), **self.rules)
+
+    def _keep(self, scene: Scene) -> None:
+        self.state.update((pickle.dumps(scene),))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if (ns := scene.next_deadline()) is not None:
+            self.handle.registerTimer(-(-ns // 1_000_000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        scene = self._scene(key)
+        pdf = pd.concat(list(rows)).sort_values(["ns", "seq"])
+        out = [row for r in pdf.itertuples() for row in scene.step(r)]
+        self._keep(scene)
+        yield frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        scene = self._scene(key)
+        out = scene.silence(timerValues.getCurrentWatermarkInMs() * 1_000_000)  # what comes due after this timer, too
+        self._keep(scene)
+        yield frame(out)
+
+    def close(self) -> None:
+        pass
+
+
+def scene_stream(stream: DataFrame, t: str, delay: str = "10 seconds", **rules: Any) -> DataFrame:
+    """The rows of every scene over a stream of sightings; ``t``: their time (of ``ns``) as a timestamp.
+
+    Rows are as in the batch (``replay_scenes``); those that silence makes come once the watermark passes their deadline.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.withWatermark(t, delay).groupBy("key").transformWithStateInPandas(SceneProcessor(rules), SCENE_SCHEMA, "Append", "EventTime")
+
+
+class Kept(MutableMapping):
+    """Keyed map state as a mapping: reads what is asked for, once a batch, and writes back what was set."""
+
+    def __init__(self, state):
+        self.state = state
+        self.read: dict[str, Any] = {}
+        self.dirty: set[str] = set()
+
+    def __getitem__(self, key: str) -> Any:
+        if key not in self.read:
+            if not self.state.containsKey((key,)):
+                raise KeyError(key)
+            self.read[key] = pickle.loads(bytes(self.state.getValue((key,))[0]))
+        return self.read[key]
+
+    def __setitem__(self, key: str, value: Any) -> None:
+        self.read[key] = value
+        self.dirty.add(key)
+
+    def __contains__(self, key: object) -> bool:
+        return key in self.read or self.state.containsKey((key,))
+
+    def get(self, key: str, default: Any = None) -> Any:
+        return self[key] if key in self else default
+
+    def flush(self) -> None:
+        for key in self.dirty:
+            self.state.updateValue((key,), (pickle.dumps(self.read[key]),))
+        self.read, self.dirty = {}, set()
+
+    def __delitem__(self, key: str) -> None:
+        raise TypeError("entities are not taken back")
+
+    def __iter__(self):
+        raise TypeError("state is looked up by key")
+
+    __len__ = __iter__
+
+
+class MergeProcessor(StatefulProcessor):
+    """A map of entities a key; a batch reads and writes only the entities, cells and local ids that its rows touch."""
+
+    def __init__(self, distance: float):
+        self.distance = distance
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.parts = [handle.getMapState(name, "name string", "data binary") for name in ("entities", "cells", "locals", "seen")]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = [Kept(p) for p in self.parts]
+        m = EntityMap(int(key[0]), self.distance, *kept)
+        out = [m.observe(r) for r in pd.concat(list(rows)).sort_values("seq").itertuples()]
+        for k in kept:
+            k.flush()
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def merge_stream(stream: DataFrame, distance: float = 0.5) -> DataFrame:
+    """``merge_entities`` over a stream of observations that arrive in order; rows of a trigger are put in order first."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return completed(stream).groupBy("map").transformWithStateInPandas(MergeProcessor(distance), MERGE_SCHEMA, "Append", "None")
+
+
 def dedupe_operations(stream: DataFrame, op: str, t: str, delay: str = "10 seconds") -> DataFrame:
     """The first row of each operation id within the watermark."""
     return stream.withWatermark(t, delay).dropDuplicatesWithinWatermark([op])

@@ -195,7 +195,7 @@ def test_write_collection_round_trip(spark, tmp_path):
         readers.write_collection(spark.createDataFrame([(math.nan,)], "x double"), str(tmp_path / "d"))
 
 
-@pytest.mark.parametrize("machine", [S.PoseGate, S.KeyframeGate, S.DynamicScene])
+@pytest.mark.parametrize("machine", [S.PoseGate, S.KeyframeGate])
 def test_stream_equals_batch(spark, tmp_path, machine):
     from maploom.plans.streams import rows
 
