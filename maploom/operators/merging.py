@@ -2,7 +2,7 @@
 
 Entities lie in a grid of cells as wide as the merge distance, so an observation is
 compared with those of 27 cells only.  An entity's place is the median of its
-observations, kept by two heaps an axis.  All state lives in four mappings: plain dictionaries
+observations, kept by two heaps an axis.  All state lives in three mappings: plain dictionaries
 in a batch, keyed state of a stream otherwise.
 """
 
@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import itertools
 import math
-from collections.abc import MutableMapping
+from collections.abc import Iterator, MutableMapping
 from typing import Any
 
 import pandas as pd
@@ -21,13 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maploom.functions.geometry import apply_transform
-from maploom.sources.tables import bounded
+from maploom.sources.tables import bounded, dealt
 
 MERGE_SCHEMA = (
     "map long, seq long, session long, local long, us long, prior string, entity string, created boolean, x double, y double, z double, "
     "sx double, sy double, sz double, confidence double, name string, type string, label string, moved double"
 )
 COLUMNS = [c.strip().split(" ")[0] for c in MERGE_SCHEMA.split(",")]
+#: Order of a map's observations; ties of ``seq`` are settled by what was seen.
+ORDER = ["seq", "us", "session", "local", "x", "y", "z"]
+#: Cells of a tile along an axis, as a power of two.
+TILE = 3
 NEIGHBOURS = list(itertools.product((-1, 0, 1), repeat=3))
 
 
@@ -63,89 +67,95 @@ class Entity:
 
 
 class EntityMap:
-    """Replays one map's observations; ``entities, cells, locals, seen`` are the state, and ``locals["made"]`` the number of entities."""
+    """Replays one map's observations.
 
-    def __init__(self, map_id: int, distance: float, entities: MutableMapping | None = None, cells: MutableMapping | None = None, locals_: MutableMapping | None = None, seen: MutableMapping | None = None):
+    Its state is three mappings: ``entities`` by number, ``tiles`` (blocks of cells, each a dictionary of the entities' numbers a cell) and
+    ``locals``: a local id's entity and the times it was seen; ``locals["made"]`` counts the entities.
+    """
+
+    def __init__(self, map_id: int, distance: float, entities: MutableMapping | None = None, tiles: MutableMapping | None = None, locals_: MutableMapping | None = None):
         self.map_id, self.distance = map_id, distance
-        self.entities, self.cells, self.locals, self.seen = (({} if m is None else m) for m in (entities, cells, locals_, seen))
+        self.entities, self.tiles, self.locals = (({} if m is None else m) for m in (entities, tiles, locals_))
 
     def _cell(self, at: tuple[float, float, float]) -> tuple[int, int, int]:
-        return tuple(math.floor(c / self.distance) for c in at)
-
-    def _nearest(self, at: tuple[float, float, float], label: str, type_: str) -> str | None:
-        best = None
-        cell = self._cell(at)
-        for step in NEIGHBOURS:
-            for number in self.cells.get(_name(c + s for c, s in zip(cell, step)), ()):
-                e = self.entities[str(number)]
-                if e.type != type_ or (label and label not in e.names):
-                    continue
-                d = math.dist(e.at, at)
-                if d <= self.distance and (best is None or (d, number) < best):  # of equals the older
-                    best = (d, number)
-        return None if best is None else str(best[1])
+        return (math.floor(at[0] / self.distance), math.floor(at[1] / self.distance), math.floor(at[2] / self.distance))
+
+    def _nearest(self, at: tuple[float, float, float], label: str, type_: str) -> int | None:
+        best = (self.distance, math.inf)  # of equals the older
+        x, y, z = self._cell(at)
+        now, tile = None, None
+        for i, j, k in NEIGHBOURS:
+            cell = (x + i, y + j, z + k)
+            where = (cell[0] >> TILE, cell[1] >> TILE, cell[2] >> TILE)
+            if where != now:
+                now, tile = where, self.tiles.get(where)
+            for number in tile.get(cell, ()) if tile else ():
+                e = self.entities[number]
+                if e.type == type_ and (not label or label in e.names):
+                    best = min(best, (math.dist(e.at, at), number))
+        return None if best[1] == math.inf else best[1]
 
     def _place(self, e: Entity, at: tuple[float, float, float]) -> None:
         """Put an entity at the median of its observations; one that has none of its own lies at ``at``, where it was made."""
         if e.place[0].low:
-            at = tuple(m.value for m in e.place)
+            at = (e.place[0].value, e.place[1].value, e.place[2].value)
         elif e.at is not None:
             return
         if at == e.at:
             return
-        old, new = None if e.at is None else _name(self._cell(e.at)), _name(self._cell(at))
+        old, new = None if e.at is None else self._cell(e.at), self._cell(at)
         e.at = at
         if old == new:
             return
-        if old is not None:
-            self.cells[old] = tuple(k for k in self.cells[old] if k != e.number)
-        self.cells[new] = (*self.cells.get(new, ()), e.number)
+        for cell in (old, new):
+            if cell is None:
+                continue
+            where = (cell[0] >> TILE, cell[1] >> TILE, cell[2] >> TILE)
+            tile = self.tiles.get(where) or {}
+            numbers = tile.get(cell, ())
+            tile[cell] = (*numbers, e.number) if cell is new else tuple(k for k in numbers if k != e.number)
+            self.tiles[where] = tile
 
     def observe(self, r: Any) -> tuple:
         at = (float(r.x), float(r.y), float(r.z))
         label = (r.label or "").strip()
-        local = f"{r.session}|{r.local}"
-        prior = self.locals.get(local)
-        found, moved = prior, None
+        local = (r.session, r.local)
+        prior, times = self.locals.get(local) or (None, set())
+        found, moved, mine = prior, None, None
         if prior is not None:
-            away = math.dist(self.entities[prior].at, at)
+            mine = self.entities[prior]
+            away = math.dist(mine.at, at)
             if away > self.distance:  # the local id switched to another thing
                 found, moved = None, away
         if found is None:
             found = self._nearest(at, label.casefold(), r.type)
         created = found is None
         if created:
-            number = int(self.locals.get("made", 0))
-            self.locals["made"] = number + 1
-            found = str(number)
-            e = Entity(number, hashlib.sha256(f"{self.map_id}|{number}".encode()).hexdigest()[:16], r.type, label or "unknown")
+            found = self.locals.get("made") or 0
+            self.locals["made"] = found + 1
+            e = Entity(found, hashlib.sha256(f"{self.map_id}|{found}".encode()).hexdigest()[:16], r.type, label or "unknown")
         else:
             e = self.entities[found]
             if label:
                 e.names.add(label.casefold())
-        self.locals[local] = found
-        once = f"{local}|{r.us}"
-        if once not in self.seen:
-            self.seen[once] = True
+        if r.us not in times:
+            times.add(r.us)
             for m, c in zip(e.place, at):
                 m.add(c)
-            if not (pd.isna(r.sx) or pd.isna(r.sy) or pd.isna(r.sz)):
+            if r.sx == r.sx and r.sy == r.sy and r.sz == r.sz and None not in (r.sx, r.sy, r.sz):
                 for m, c in zip(e.size, (r.sx, r.sy, r.sz)):
                     m.add(float(c))
             e.confidence = max(e.confidence, float(r.confidence))
         elif created:
             e.confidence = float(r.confidence)
+        self.locals[local] = (found, times)
         self._place(e, at)
         self.entities[found] = e
-        before = None if prior is None else self.entities[prior].id
+        before = None if mine is None else mine.id
         switched = moved if before is not None and before != e.id else None
         return (self.map_id, r.seq, r.session, r.local, r.us, before, e.id, created, *e.at, *[m.value for m in e.size], e.confidence, e.name, e.type, label or None, switched)
 
 
-def _name(cell) -> str:
-    return ",".join(map(str, cell))
-
-
 def completed(observations: DataFrame) -> DataFrame:
     """Observations with the columns that a replay reads; what a table leaves out has one session, one type, no size and confidence 1."""
     given = set(observations.columns)
@@ -183,11 +193,18 @@ def merge_entities(observations: DataFrame, distance: float = 0.5) -> DataFrame:
     :func:`merge_entities_blocked` for one very large map.
     """
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = EntityMap(int(pdf["map"].iloc[0]), distance)
-        return pd.DataFrame([m.observe(r) for r in pdf.sort_values("seq").itertuples()], columns=COLUMNS)
-
-    return completed(observations).groupBy("map").applyInPandas(replay, MERGE_SCHEMA)
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                if m is None or m.map_id != r.map:
+                    m = EntityMap(r.map, distance)
+                out.append(m.observe(r))
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    o = dealt(completed(observations).filter("map is not null"), "map").sortWithinPartitions("map", *ORDER)
+    return o.mapInPandas(replay, MERGE_SCHEMA)
 
 
 def merged_entities(merged: DataFrame) -> DataFrame:

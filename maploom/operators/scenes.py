@@ -9,6 +9,7 @@ from the rows of a batch or from event-time timers of a stream, so both give the
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maploom.sources.tables import dealt
+
 #: ``seq``, ``track``: null where silence changed the state; ``reason``: why a sighting was refused.
 SCENE_SCHEMA = (
     "key long, seq long, ns long, track long, object long, state string, observed boolean, x double, y double, z double, vx double, vy double, vz double, "
@@ -210,12 +213,20 @@ def replay_scenes(sightings: DataFrame, **rules: Any) -> DataFrame:
     scene's sightings run in order (by ``ns``, then ``seq``).
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        scene = Scene(int(pdf["key"].iloc[0]), **rules)
-        out = [row for r in pdf.sort_values(["ns", "seq"]).itertuples() for row in scene.step(r)]
-        return frame(out + scene.silence(None))
-
-    return sightings.groupBy("key").applyInPandas(run, SCENE_SCHEMA)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scene = None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples():
+                if scene is None or scene.key != r.key:
+                    out += scene.silence(None) if scene else []
+                    scene = Scene(r.key, **rules)
+                out += scene.step(r)
+            yield frame(out)
+        if scene is not None:
+            yield frame(scene.silence(None))
+
+    return dealt(sightings.filter("key is not null"), "key").sortWithinPartitions("key", "ns", "seq").mapInPandas(run, SCENE_SCHEMA)
 
 
 def object_histories(rows: DataFrame) -> DataFrame:

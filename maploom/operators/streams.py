@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from maploom.sources.tables import dealt
+
 POSE_SCHEMA = "key long, seq long, accepted boolean, reason string"
 KEYFRAME_SCHEMA = "key long, seq long, reason string, hard boolean"
 
@@ -72,7 +74,7 @@ def replay(df: DataFrame, machine: type, **options: Any) -> DataFrame:
         m = machine(int(pdf["key"].iloc[0]), **options)
         return pd.DataFrame([m.step(r) for r in pdf.sort_values(["ns", "seq"]).itertuples()], columns=names)
 
-    return df.groupBy("key").applyInPandas(run, machine.schema)
+    return dealt(df, "key").groupBy("key").applyInPandas(run, machine.schema)
 
 
 def admission_filter(df: DataFrame, revision: int, now: str, capacity: int, tick: str) -> DataFrame:

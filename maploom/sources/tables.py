@@ -34,3 +34,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def bounded(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` over as many tasks as a shuffle has: few bytes can be long work in Python, so the count is not left to their size."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)

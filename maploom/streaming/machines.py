@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from maploom.operators.merging import COLUMNS, MERGE_SCHEMA, EntityMap, completed
+from maploom.operators.merging import COLUMNS, MERGE_SCHEMA, ORDER, EntityMap, completed
 from maploom.operators.scenes import SCENE_SCHEMA, Scene, frame
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -95,36 +95,42 @@ def scene_stream(stream: DataFrame, t: str, delay: str = "10 seconds", **rules:
 
 
 class Kept(MutableMapping):
-    """Keyed map state as a mapping: reads what is asked for, once a batch, and writes back what was set."""
+    """Keyed map state as a mapping, in blocks of keys: a batch reads the blocks it asks for once, and writes back those it changed.
 
-    def __init__(self, state):
-        self.state = state
-        self.read: dict[str, Any] = {}
-        self.dirty: set[str] = set()
+    ``block`` names a key's block; ``fresh``: nothing was kept so far, so nothing is looked up.
+    """
+
+    def __init__(self, state, block: Callable[[Any], Any], fresh: bool):
+        self.state, self.block, self.fresh = state, block, fresh
+        self.known: dict[Any, dict] = {}
+        self.dirty: set = set()
 
-    def __getitem__(self, key: str) -> Any:
-        if key not in self.read:
-            if not self.state.containsKey((key,)):
-                raise KeyError(key)
-            self.read[key] = pickle.loads(bytes(self.state.getValue((key,))[0]))
-        return self.read[key]
+    def _load(self, name: Any) -> dict:
+        if name not in self.known:
+            key = (repr(name),)
+            self.known[name] = pickle.loads(bytes(self.state.getValue(key)[0])) if not self.fresh and self.state.containsKey(key) else {}
+        return self.known[name]
 
-    def __setitem__(self, key: str, value: Any) -> None:
-        self.read[key] = value
-        self.dirty.add(key)
+    def get(self, key: Any, default: Any = None) -> Any:
+        return self._load(self.block(key)).get(key, default)
 
-    def __contains__(self, key: object) -> bool:
-        return key in self.read or self.state.containsKey((key,))
+    def __getitem__(self, key: Any) -> Any:
+        found = self.get(key)
+        if found is None:
+            raise KeyError(key)
+        return found
 
-    def get(self, key: str, default: Any = None) -> Any:
-        return self[key] if key in self else default
+    def __setitem__(self, key: Any, value: Any) -> None:
+        name = self.block(key)
+        self._load(name)[key] = value
+        self.dirty.add(name)
 
     def flush(self) -> None:
-        for key in self.dirty:
-            self.state.updateValue((key,), (pickle.dumps(self.read[key]),))
-        self.read, self.dirty = {}, set()
+        for name in self.dirty:
+            self.state.updateValue((repr(name),), (pickle.dumps(self.known[name]),))
+        self.known, self.dirty = {}, set()
 
-    def __delitem__(self, key: str) -> None:
+    def __delitem__(self, key: Any) -> None:
         raise TypeError("entities are not taken back")
 
     def __iter__(self):
@@ -134,20 +140,29 @@ class Kept(MutableMapping):
 
 
 class MergeProcessor(StatefulProcessor):
-    """A map of entities a key; a batch reads and writes only the entities, cells and local ids that its rows touch."""
+    """A map of entities a key; a batch reads and writes only the blocks of entities, tiles and local ids that its rows touch."""
+
+    #: Numbers of entities side by side in a block, and blocks that local ids are dealt over.
+    ENTITIES = 64
+    LOCALS = 64
 
     def __init__(self, distance: float):
         self.distance = distance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.parts = [handle.getMapState(name, "name string", "data binary") for name in ("entities", "cells", "locals", "seen")]
+        self.parts = [handle.getMapState(name, "name string", "data binary") for name in ("entities", "tiles", "locals")]
+        self.begun = handle.getValueState("begun", "yes boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [Kept(p) for p in self.parts]
+        fresh = not self.begun.exists()
+        blocks = (lambda number: number // self.ENTITIES, lambda tile: tile, lambda local: local if local == "made" else (local[0] + local[1]) % self.LOCALS)
+        kept = [Kept(p, block, fresh) for p, block in zip(self.parts, blocks)]
         m = EntityMap(int(key[0]), self.distance, *kept)
-        out = [m.observe(r) for r in pd.concat(list(rows)).sort_values("seq").itertuples()]
+        out = [m.observe(r) for r in pd.concat(list(rows)).sort_values(ORDER).itertuples()]
         for k in kept:
             k.flush()
+        if fresh:
+            self.begun.update((True,))
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
