@@ -4,9 +4,10 @@ Only DataFrame functions are used.
 
 The index holds, for each term and document, the positions of the term.  A test
 item's windows are searched by intersecting offset-adjusted lists from the
-rarest terms: a window can only occur at shift ``d`` of a document (document
-position minus item position) if its rarest term has a posting that gives ``d``
-and so has its next rarest.  Shifts that survive are compared word by word.
+rarest terms: a window can only start at a place of a document if its rarest term
+has a posting that gives this start and so has its next rarest.  Places that
+survive are compared word by word; equal windows are looked for once, so a repetitive item
+in a repetitive text costs as many comparisons as the text has words.
 Lists of frequent terms are never read, so the index is built for the terms
 that the queries ask for (or for all, if none are given).  The corpus is read
 twice: for the frequencies of the items' terms, and for the postings together
@@ -32,6 +33,8 @@ from maploom.llm.tables import join_small, stored
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows (terms, windows, shifts) up to which the test side is broadcast.
 BROADCAST_ROWS = 200_000
+#: Words of a text that travel together where candidate places are looked at.
+BLOCK_WORDS = 4096
 
 
 def lowered(text: Column) -> Column:
@@ -78,20 +81,21 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return out.withColumn("len", F.least(F.col("n"), F.lit(size)))
 
 
-def anchors(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``item, q1, t1, q2, t2``: for each window its rarest and next rarest term, with their positions in the item.
+def anchors(windows: DataFrame, size: int, frequency: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``window, words, len, t1, q1, t2, q2``; ``window, item``): the different windows of all items, each with its rarest and next rarest term and their places.
 
     Windows with a term that never occurs can't occur and are left out.
     """
-    w = items.select("item", "len", "n", F.posexplode("words").alias("q", "term"))
-    w = w.join(frequency, "term")
-    start = F.explode(F.sequence(F.greatest(F.col("q") - F.col("len") + 1, F.lit(0)), F.least(F.col("q"), F.col("n") - F.col("len"))))
-    w = w.select("item", "len", "q", "term", F.col("frequency"), start.alias("s"))
+    start = F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len")))
+    w = windows.select("item", "words", "len", start.alias("s")).select("item", "len", F.slice("words", F.col("s") + 1, F.col("len")).alias("words"))
+    w = w.select("item", "len", "words", F.xxhash64("words").alias("window"))
+    held = w.select("window", "item").distinct()
+    each = w.select("window", "words", "len").distinct().select("*", F.posexplode("words").alias("q", "term")).join(frequency, "term")
     ranked = F.struct("frequency", "q", "term")
-    w = w.groupBy("item", "s").agg(F.sort_array(F.collect_list(ranked)).alias("r"))  # at most ``size`` terms each
-    w = w.filter(F.col("r")[0]["frequency"] > 0)
+    r = each.groupBy("window", "words", "len").agg(F.sort_array(F.collect_list(ranked)).alias("r"))  # at most ``size`` terms each
+    r = r.filter(F.col("r")[0]["frequency"] > 0)
     second = F.when(F.size("r") > 1, F.col("r")[1]).otherwise(F.col("r")[0])
-    return w.select("item", F.col("r")[0]["q"].alias("q1"), F.col("r")[0]["term"].alias("t1"), second["q"].alias("q2"), second["term"].alias("t2")).distinct()
+    return r.select("window", "words", "len", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["q"].alias("q1"), second["term"].alias("t2"), second["q"].alias("q2")), held
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -112,37 +116,34 @@ def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> tuple[D
     """(``doc_id, hits, item_ids``; ``doc_id, n_words``): the hit word positions and the items of documents with occurring windows, and every row's number of words."""
     docs = _plain(docs)
     named, windows, frequency = _items(docs, benchmark, size)
-    keys = stored(anchors(windows, frequency), "anchors")
+    keys, held = anchors(windows, size, frequency)
+    keys = stored(keys, "anchors")
     index, counted = positional_index(docs, keys.select(F.explode(F.array("t1", "t2")).alias("term")).distinct())
 
-    def shifts(term: str, q: str) -> DataFrame:
-        side = keys.select(F.col(term).alias("term"), "item", "q1", "q2", F.col(q).alias("q"))
+    def places(term: str, q: str) -> DataFrame:
+        side = keys.select(F.col(term).alias("term"), "window", "len", F.col(q).alias("q"))
         found = join_small(index, side, "term", "inner", BROADCAST_ROWS)
-        return found.select("doc_id", "item", "q1", "q2", (F.col("pos") - F.col("q")).alias("shift"))
-
-    on = ["doc_id", "item", "q1", "q2", "shift"]
-    shared = shifts("t1", "q1").join(shifts("t2", "q2"), on, "left_semi").select("doc_id", "item", "shift").distinct()
-    per_doc = stored(shared.groupBy("doc_id").agg(F.collect_list(F.struct("item", "shift")).alias("at")), "shifts")
-
-    texts = join_small(docs, per_doc, "doc_id", "inner", BROADCAST_ROWS)
-    texts = texts.select("doc_id", "at", words_of(F.col("text")).alias("doc_words"))
-    each = texts.select("doc_id", "doc_words", F.explode("at").alias("at")).select("doc_id", "doc_words", "at.item", "at.shift")
-    each = join_small(each, windows, "item", "inner", BROADCAST_ROWS)
-    low = F.greatest(-F.col("shift"), F.lit(0))
-    high = F.least(F.col("n"), F.size("doc_words") - F.col("shift"))
-    each = each.select("doc_id", "item", "shift", "len", low.alias("low"), F.slice("doc_words", F.col("shift") + low + 1, F.greatest(high - low, F.lit(0))).alias("theirs"), F.slice("words", low + 1, F.greatest(high - low, F.lit(0))).alias("ours"))
-    equal = F.zip_with("theirs", "ours", lambda a, b: F.when(a == b, F.lit("1")).otherwise(F.lit("0")))
-    each = each.withColumn("same", F.array_join(equal, ""))
-    starts = F.filter(F.sequence(F.lit(0), F.length("same") - F.col("len")), lambda s: F.instr(F.substring(F.col("same"), s + 1, F.col("len")), "0") == 0)
-    each = each.filter(F.length("same") >= F.col("len")).withColumn("starts", starts).filter(F.size("starts") > 0)
-    covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("len") - 1)))
-    each = each.withColumn("hits", F.transform(F.array_distinct(covered), lambda p: p + F.col("shift") + F.col("low")))
-    each = join_small(each, named.select("item", "item_ids"), "item", "inner", BROADCAST_ROWS)
-    hits = each.groupBy("doc_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    return hits, counted
+        return found.select("doc_id", "window", "len", (F.col("pos") - F.col("q")).alias("start")).filter("start >= 0")
+
+    on = ["doc_id", "window", "start"]
+    block = F.expr(f"start div {BLOCK_WORDS}").alias("block")
+    maybe = places("t1", "q1").join(places("t2", "q2").select(on), on, "left_semi").select(*on, "len", block).distinct()
+    maybe = stored(maybe, "candidates")
+    # only slices of a text travel on: first blocks of words, then the words at each candidate place
+    texts = join_small(docs, maybe.select("doc_id").distinct(), "doc_id", "left_semi", BROADCAST_ROWS).select("doc_id", words_of(F.col("text")).alias("words"))
+    first = F.sequence(F.lit(0), F.floor(F.size("words") / BLOCK_WORDS).cast("int"))
+    texts = texts.select("doc_id", F.explode(F.transform(first, lambda b: F.struct(b.cast("long").alias("block"), F.slice("words", b * BLOCK_WORDS + 1, BLOCK_WORDS + size - 1).alias("part")))).alias("b")).select("doc_id", "b.*")
+    at = maybe.groupBy("doc_id", "block").agg(F.collect_list(F.struct("window", "start", "len")).alias("at"))
+    near = texts.join(at, ["doc_id", "block"])
+    cut = F.transform("at", lambda a: F.struct(a["window"].alias("window"), a["start"].alias("start"), F.slice("part", (a["start"] - F.col("block") * BLOCK_WORDS + 1).cast("int"), a["len"]).alias("theirs")))
+    near = near.select("doc_id", "block", F.explode(cut).alias("c")).select("doc_id", "block", "c.*")
+    found = join_small(near, keys.select("window", "words"), "window", "inner", BROADCAST_ROWS).filter(F.col("theirs") == F.col("words"))
+    found = stored(found.select("doc_id", "block", "window", "start", F.size("words").alias("len")), "occurrences")
+    covered = F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))
+    hits = found.groupBy("doc_id", "block").agg(F.array_distinct(covered).alias("hits")).groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    items = found.select("doc_id", "window").distinct().join(held, "window").select("doc_id", "item").distinct().join(named.select("item", "item_ids"), "item", "left")
+    items = items.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return hits.join(items, "doc_id", "left"), counted
 
 
 def near_items(docs: DataFrame, benchmark: DataFrame, size: int = 13, within: int = 20) -> DataFrame:

@@ -40,8 +40,8 @@ from maploom.llm.tokencount import SPACE, PieceBpe
 #: Symbols beyond which a word takes buckets of ranks, not rounds of its own.
 LONG = 256
 #: Bytes of text, and ids, of which the arrays are held at once; one longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
-SLICE_IDS = 2 << 20
+SLICE_BYTES = 2 << 20
+SLICE_IDS = 1 << 20
 NEVER = np.int32(2**31 - 1)
 
 

@@ -252,3 +252,22 @@ def test_a_pair_that_opens_a_better_one(tmp_path):
     ids, n = codec.encode(pa.array(texts))
     got = np.split(ids, np.cumsum(n)[:-1])
     assert json.dumps([g.tolist() for g in got]) == json.dumps([library.encode(t) for t in texts])
+
+
+# ---------------------------------------------------------------- decontamination
+
+
+def test_repetitive_items_in_long_repetitive_texts(spark):
+    import time
+
+    from maploom.llm import decontaminate
+
+    item = spark.createDataFrame([("z", "0 " * 20), ("y", "0 " * 13), ("x", "1 0 " * 9)], "item_id string, text string")
+    took = []
+    for n in (50_000, 200_000):
+        docs = spark.createDataFrame([(1, "0 " * n), (2, "a " * n + "0 " * 12), (None, "0 " * 30), (4, "a " * 100 + "0 " * 13), (4, "1 0 " * 10), (5, None)], "doc_id long, text string")
+        began = time.time()
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in decontaminate.contamination(docs, item).collect()), key=repr)
+        took.append(time.time() - began)
+        assert got == sorted([(1, n, n, ["y", "z"], True), (2, n + 12, 0, [], False), (None, 30, 0, [], False), (4, 113, 33, ["x", "y", "z"], True), (4, 20, 33, ["x", "y", "z"], True), (5, 0, 0, [], False)], key=repr)
+    assert took[1] < 4 * took[0] + 10
