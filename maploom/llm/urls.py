@@ -5,7 +5,7 @@ Only DataFrame functions and Spark's own tree learner are used.
 A rule is a host and a path prefix; it fits the host and all its subdomains, and the
 longest rule that fits decides.  The urls that rules decide are the labelled urls the
 trees learn from: length, depth, digit ratio, entropy, parameter counts, and how often
-other labelled urls of the same host suffix are blocked.  As the labels come from the
+labelled urls of the same host suffix in other folds are blocked.  As the labels come from the
 rules, the trees mostly carry the rules over to like urls.  The trees decide the urls that no rule fits.
 
 Null urls and urls without ``://`` have an empty host and path; no rule fits them and
@@ -27,6 +27,8 @@ from maploom.llm.tables import join_small, stored
 
 #: Labelled urls that the trees are fitted on, those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
+#: Folds of urls; a url's suffix rate comes from the others.
+FOLDS = 5
 BROADCAST_ROWS = 200_000
 FEATURES = ["length", "host_length", "depth", "labels", "digits", "hyphens", "params", "param_length", "entropy", "last_length", "plain", "fragment", "suffix_rate", "suffix_seen"]
 
@@ -79,16 +81,18 @@ def judge(pages: DataFrame, rules: list[Rule], train_rows: int = TRAIN_ROWS, see
     host, path = host_and_path(F.col("url"))
     pages = pages.withColumns({"host": host, "path": path})
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    pages = lexical(pages.withColumns({"rule": rule, "by_rule": verdict}))
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "page_id", "url"), F.lit(FOLDS)).cast("int")
+    pages = lexical(pages.withColumns({"rule": rule, "by_rule": verdict, "fold": fold}))
     pages = stored(pages, "urls")
 
     labelled = pages.filter("by_rule is not null").withColumn("label", (F.col("by_rule") == "block").cast("double"))
-    suffixes = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("blocked"))
-    full = join_small(pages, suffixes, "suffix", "left", BROADCAST_ROWS).fillna({"seen": 0, "blocked": 0.0})
-    # a labelled url doesn't see its own label
-    own = F.col("by_rule").isNotNull().cast("int")
-    seen, blocked = F.col("seen") - own, F.col("blocked") - F.coalesce((F.col("by_rule") == "block").cast("double"), F.lit(0.0))
-    full = full.withColumns({"suffix_rate": (blocked + 1) / (seen + 2), "suffix_seen": F.log1p(seen)})
+    # a url's suffix is judged by the labelled urls of the other folds: no label is in its own features, nor in those of its fold
+    folds = labelled.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("blocked"))
+    suffixes = folds.groupBy("suffix").agg(F.sum("seen").alias("seen"), F.sum("blocked").alias("blocked"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("seen", "blocked")))).alias("own"))
+    full = join_small(pages, suffixes, "suffix", "left", BROADCAST_ROWS)
+    own = F.element_at("own", F.col("fold"))
+    seen, blocked = (F.coalesce(F.col(c), F.lit(0)) - F.coalesce(own[c], F.lit(0)) for c in ("seen", "blocked"))
+    full = full.withColumns({"suffix_rate": (blocked + 1.0) / (seen + 2), "suffix_seen": F.log1p(seen)}).drop("seen", "blocked", "own")
     wanted = ["by_rule", "page_id", "url", *FEATURES]
     train = full.filter("by_rule is not null").select(*wanted).orderBy(F.xxhash64(F.lit(seed), "page_id", "url"), "url").limit(train_rows)
     train = stored(train.select(*FEATURES, (F.col("by_rule") == "block").cast("double").alias("label")).coalesce(2), "url-sample")

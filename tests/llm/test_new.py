@@ -271,3 +271,20 @@ def test_repetitive_items_in_long_repetitive_texts(spark):
         took.append(time.time() - began)
         assert got == sorted([(1, n, n, ["y", "z"], True), (2, n + 12, 0, [], False), (None, 30, 0, [], False), (4, 113, 33, ["x", "y", "z"], True), (4, 20, 33, ["x", "y", "z"], True), (5, 0, 0, [], False)], key=repr)
     assert took[1] < 4 * took[0] + 10
+
+
+# ---------------------------------------------------------------- urls
+
+
+def test_no_url_sees_its_own_label(spark):
+    """Where labels follow neither suffix nor form the fit is no better than the larger class; where they follow the form the trees find it."""
+    from maploom.llm import urls
+
+    mixed = [(k, f"https://x{k}.com/{'en' if k % 10 else 'de'}/{k}") for k in range(2000)]
+    got = urls.judge(spark.createDataFrame(mixed, "page_id long, url string"), [("block", "com", "/en/"), ("allow", "com", "/de/")]).toPandas()
+    fit = ((got["block_score"] >= 0.5) == (got["verdict"] == "block")).mean()
+    assert 0.85 < fit < 1 and set(got["verdict"]) == {"block", "allow"}
+    by_length = [(k, f"https://x{k % 7}.org/p/{'q' * (40 if k % 2 else 3)}") for k in range(1500)]
+    rules = [("block", "org", "/p/" + "q" * 40), ("allow", "org", "/p/qqq")]
+    judged = urls.judge(spark.createDataFrame([*by_length, (5000, "https://y.org/z/" + "q" * 40), (5001, "https://y.org/z/qqq")], "page_id long, url string"), rules)
+    assert {r.page_id: r.verdict for r in judged.filter("rule is null").collect()} == {5000: "block", 5001: "allow"}
