@@ -56,33 +56,89 @@ def retrieve_with_decision(queries: DataFrame, records: DataFrame, k: int = 5, m
     return d.join(hits.join(d.filter("found").select("query"), "query", "left_semi"), "query", "left")
 
 
-def otsu(scored: DataFrame, group: list[str], score: str, order: str) -> DataFrame:
+#: Bins of a group's scores, between its smallest and its largest.
+BINS = 1024
+
+
+def _binned(scored: DataFrame, group: list[str], score: str) -> tuple[DataFrame, DataFrame]:
+    """(``group, _x, _b``: scores with their bin; one row a bin with the counts and sums before it and over all).
+
+    Only bins go through windows, so a group's list of scores is never in one place.
+    """
+    s = scored.select(*group, F.col(score).alias("_x"))
+    ends = stored(s.groupBy(*group).agg(F.min("_x").alias("_min"), F.max("_x").alias("_max")), "score-ends")
+    wide = F.col("_max") > F.col("_min")
+    place = F.when(wide, F.least(F.floor((F.col("_x") - F.col("_min")) / (F.col("_max") - F.col("_min")) * BINS), F.lit(BINS - 1))).otherwise(0)
+    s = s.join(bounded(ends), group).select(*group, "_x", place.cast("int").alias("_b"))
+    h = s.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    upto, whole = W.partitionBy(*group).orderBy("_b"), W.partitionBy(*group)
+    h = h.withColumns({"_i1": F.sum("_n").over(upto), "_s1": F.sum("_s").over(upto), "_all": F.sum("_n").over(whole), "_total": F.sum("_s").over(whole), "_next": F.lead("_lo").over(upto)})
+    return s, stored(h.withColumns({"_i0": F.col("_i1") - F.col("_n"), "_s0": F.col("_s1") - F.col("_s")}), "score-bins")
+
+
+def exact_percentile(scored: DataFrame, group: list[str], score: str, percent: float) -> DataFrame:
+    """``group, value``: the interpolated percentile; only the one or two bins that hold its ranks are sorted."""
+    s, h = _binned(scored, group, score)
+    at = percent * (F.col("_all") - 1)
+    h = h.withColumns({"_at": at, "_low": F.floor(at), "_high": F.ceil(at)})
+    holds = h.filter(((F.col("_low") >= F.col("_i0")) & (F.col("_low") < F.col("_i1"))) | ((F.col("_high") >= F.col("_i0")) & (F.col("_high") < F.col("_i1"))))
+    r = s.join(bounded(holds.select(*group, "_b", "_i0", "_at", "_low", "_high")), [*group, "_b"])
+    r = r.withColumn("_r", F.col("_i0") + F.row_number().over(W.partitionBy(*group, "_b").orderBy("_x")) - 1)
+    low, high = (F.max(F.when(F.col("_r") == F.col(c), F.col("_x"))) for c in ("_low", "_high"))
+    part = F.max(F.col("_at") - F.col("_low"))
+    return r.groupBy(*group).agg((low * (1 - part) + high * part).alias("value"))
+
+
+def otsu(scored: DataFrame, group: list[str], score: str) -> DataFrame:
     """``group, threshold``: the midpoint of the split with the largest between-class variance, the first of equals.
 
-    One value gives itself; equal values give that value.
+    One value gives itself; equal values give that value.  A histogram gives the variance at the end of every bin and
+    a bound of it inside; only the scores of bins whose bound reaches the best end are looked at one by one.
     """
-    w = W.partitionBy(*group).orderBy(score, order)
-    whole = W.partitionBy(*group)
-    s = scored.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(whole))
-    s = s.withColumn("_sum", F.sum(score).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum(score).over(whole)).withColumn("_next", F.lead(score).over(w))
-    w0, m0 = F.col("_i") / F.col("_n"), F.col("_sum") / F.col("_i")
-    m1 = (F.col("_all") - F.col("_sum")) / (F.col("_n") - F.col("_i"))
+    s, h = _binned(scored, group, score)
+    n, total = F.col("_all").cast("double"), F.col("_total")
+    gap = lambda i, part: i * total - part * n
+    inner = F.when((F.col("_lo") * n < total) & (F.col("_hi") * n > total), gap(F.col("_i0"), F.col("_s0")) + F.col("_n") * (total - n * F.col("_lo")))
+    most = F.greatest(gap(F.col("_i0"), F.col("_s0")), gap(F.col("_i1"), F.col("_s1")), F.coalesce(inner, F.lit(0.0)))
+    first, last = F.greatest(F.col("_i0"), F.lit(1)), F.least(F.col("_i1"), F.col("_all") - 1)
+    inside = F.col("_all") > 1
+    bound = F.when(inside, most * most / (n * n * F.greatest(F.least(first * (n - first), last * (n - last)), F.lit(1.0))))
+    w0, m0 = F.col("_i") / n, F.col("_sum") / F.col("_i")
+    m1 = (total - F.col("_sum")) / (n - F.col("_i"))
     var = F.round(w0 * (1 - w0) * (m0 - m1) * (m0 - m1), 12)
-    s = s.withColumn("_v", F.when(F.col("_i") < F.col("_n"), var)).withColumn("_mid", (F.col(score) + F.col("_next")) / 2)
-    best = F.min_by("_mid", F.when(F.col("_v").isNotNull(), F.struct((-F.col("_v")).alias("v"), "_i")))
-    return s.groupBy(*group).agg(F.when(F.count(F.lit(1)) == 1, F.max(score)).when(F.max(score) == F.min(score), F.min(score)).otherwise(best).alias("threshold"))
+    ends = h.withColumns({"_i": F.col("_i1"), "_sum": F.col("_s1")}).filter("_i < _all")
+    ends = ends.select(*group, var.alias("_v"), "_i", ((F.col("_hi") + F.col("_next")) / 2).alias("_mid"))
+    best = ends.groupBy(*group).agg(F.max("_v").alias("_best"))
+    # of equal scores the best split is at an end
+    close = h.withColumn("_bound", bound).join(bounded(best), group, "left").filter(F.col("_lo") < F.col("_hi")).filter(F.col("_bound") * (1 + 1e-9) + 1e-11 >= F.coalesce("_best", F.lit(0.0)))
+    x = s.join(bounded(close.select(*group, "_b", "_i0", "_s0", "_all", "_total", "_next")), [*group, "_b"])
+    w = W.partitionBy(*group, "_b").orderBy("_x")
+    x = x.withColumns({"_i": F.col("_i0") + F.row_number().over(w), "_sum": F.col("_s0") + F.sum("_x").over(w.rowsBetween(W.unboundedPreceding, 0)), "_after": F.coalesce(F.lead("_x").over(w), F.col("_next"))})
+    splits = x.filter("_i < _all").select(*group, var.alias("_v"), "_i", ((F.col("_x") + F.col("_after")) / 2).alias("_mid")).unionByName(ends)
+    found = splits.groupBy(*group).agg(F.min_by("_mid", F.struct((-F.col("_v")).alias("v"), "_i")).alias("_mid"))
+    whole = h.groupBy(*group).agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    return whole.join(found, group, "left").select(*group, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_mid")).alias("threshold"))
 
 
 def semantic_candidates(scored: DataFrame, k: int, percent: float = 0.85) -> DataFrame:
-    """Per query the records over the Otsu threshold of its best scores; the top ``k`` if those are fewer."""
+    """Per query the records over the Otsu threshold of its best scores; the top ``k`` if those are fewer.
+
+    The best scores are those from the percentile on, or the top ``k`` of a query with fewer.
+    """
     w = W.partitionBy("query").orderBy(F.desc("score"), "ord")
-    cut = scored.groupBy("query").agg(F.percentile("score", percent).alias("_p"))
-    s = scored.join(bounded(cut), "query").withColumn("rank", F.row_number().over(w))
-    s = s.withColumn("_size", F.greatest(F.lit(k), F.count_if(F.col("score") >= F.col("_p")).over(W.partitionBy("query"))))
-    t = otsu(s.filter(F.col("rank") <= F.col("_size")), ["query"], "score", "ord")
-    s = s.join(bounded(t), "query").withColumn("_over", F.col("score") >= F.col("threshold"))
-    n = F.count_if("_over").over(W.partitionBy("query"))
-    return s.withColumn("_many", n).filter(F.when(F.col("_many") < k, F.col("rank") <= k).otherwise(F.col("_over"))).drop("_p", "_size", "_over", "_many", "threshold")
+
+    def top(queries: DataFrame) -> DataFrame:
+        few = scored.join(bounded(queries.select("query")), "query", "left_semi")
+        return few.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+    cut = exact_percentile(scored, ["query"], "score", percent)
+    upper = scored.join(bounded(stored(cut, "percentiles")), "query").filter(F.col("score") >= F.col("value")).drop("value")
+    counts = upper.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    few = stored(counts.filter(F.col("n") < k), "few")
+    t = otsu(upper.join(bounded(few), "query", "left_anti").unionByName(top(few)), ["query"], "score")
+    over = scored.join(bounded(stored(t, "thresholds")), "query").filter(F.col("score") >= F.col("threshold")).drop("threshold")
+    many = stored(over.groupBy("query").agg(F.count(F.lit(1)).alias("n")).join(scored.select("query").distinct(), "query", "right").filter(F.coalesce("n", F.lit(0)) < k), "too-few")
+    return over.join(bounded(many.select("query")), "query", "left_anti").unionByName(top(many))
 
 
 def rank_by_distance(cands: DataFrame, position: tuple[float, float, float], k: int) -> DataFrame:

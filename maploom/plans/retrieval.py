@@ -58,7 +58,7 @@ th as (select query, arg_min((score + nx) / 2, {'v': -var, 'i': i}) as threshold
 
 @query("g3_otsu_threshold", f"with base as ({_SC}), {_OTSU} select query, round(threshold, 6) as threshold from th")
 def g3(spark, sf_dir):
-    return R.otsu(R.scores(*_sides(spark, sf_dir)), ["query"], "score", "ord").select("query", r6(F.col("threshold"), "threshold"))
+    return R.otsu(R.scores(*_sides(spark, sf_dir)), ["query"], "score").select("query", r6(F.col("threshold"), "threshold"))
 
 
 _CAND = f"""with sc as ({_RK}), p as (select query, quantile_cont(score, 0.85) as p from sc group by query), z as (select sc.*, greatest(5, count(*) filter (score >= p) over (partition by query)) as size from sc join p using (query)),

@@ -108,10 +108,26 @@ def test_decision_margin_and_bad_arguments(spark):
 
 def test_otsu_of_one_and_of_equal_values(spark):
     df = spark.createDataFrame([(1, 0.4, 0), (2, 0.5, 0), (2, 0.5, 1), (3, 0.1, 0), (3, 0.2, 1), (3, 0.9, 2)], "query long, score double, ord long")
-    got = {r.query: r.threshold for r in R.otsu(df, ["query"], "score", "ord").collect()}
+    got = {r.query: r.threshold for r in R.otsu(df, ["query"], "score").collect()}
     assert got == {1: 0.4, 2: 0.5, 3: pytest.approx(0.55)}
 
 
+def test_otsu_and_percentile_of_skewed_scores(spark):
+    rng = np.random.default_rng(2)
+    lists = {1: rng.normal(0, 1, 900), 2: np.concatenate([rng.normal(0, 1e-6, 500), [50.0]]), 3: np.repeat([1.0, 2.0, 7.0], 40), 4: rng.exponential(1, 700) ** 4, 5: np.array([0.3, 0.9])}
+    df = spark.createDataFrame([(q, float(x), k) for q, v in lists.items() for k, x in enumerate(v)], "query long, score double, ord long")
+    got = {r.query: r.threshold for r in R.otsu(df, ["query"], "score").collect()}
+    cut = {r.query: r.value for r in R.exact_percentile(df, ["query"], "score", 0.85).collect()}
+    for q, v in lists.items():
+        v = np.sort(v)
+        best, at = -1.0, None
+        for i in range(1, len(v)):
+            var = round(i / len(v) * (1 - i / len(v)) * (v[:i].mean() - v[i:].mean()) ** 2, 12)
+            if var > best:
+                best, at = var, (v[i - 1] + v[i]) / 2
+        assert got[q] == pytest.approx(at, abs=1e-12) and cut[q] == pytest.approx(np.percentile(v, 85), rel=1e-12)
+
+
 def test_pose_gate_only_moves_on_acceptance():
     class Row:
         def __init__(self, seq, ns, std=0.1, revision=1):
