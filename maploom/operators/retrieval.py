@@ -25,6 +25,9 @@ def scores(queries: DataFrame, records: DataFrame) -> DataFrame:
     """
     taken = "own" in queries.columns
     q = queries.select("query", F.col("embedding").alias("_q"), *[F.col("own").alias("_own")] * taken)
+    tasks = records.sparkSession.sparkContext.defaultParallelism
+    if records.rdd.getNumPartitions() < tasks:  # a small file is much work here
+        records = records.repartition(tasks)
     s = records.join(bounded(q), F.lit(True))
     if taken:
         s = s.filter(F.coalesce(F.col("ord") != F.col("_own"), F.lit(True))).drop("_own")
@@ -123,8 +126,9 @@ def otsu(scored: DataFrame, group: list[str], score: str) -> DataFrame:
 def semantic_candidates(scored: DataFrame, k: int, percent: float = 0.85) -> DataFrame:
     """Per query the records over the Otsu threshold of its best scores; the top ``k`` if those are fewer.
 
-    The best scores are those from the percentile on, or the top ``k`` of a query with fewer.
+    The best scores are those from the percentile on, or the top ``k`` of a query with fewer.  The products are made once and written.
     """
+    scored = stored(scored, "scores")
     w = W.partitionBy("query").orderBy(F.desc("score"), "ord")
 
     def top(queries: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from maploom.operators import retrieval as R
 from maploom.plans import fixtures as fx
 from maploom.plans import query
 from maploom.plans.scalars import r6
+from maploom.sources.tables import stored
 
 _SC = "select a.vec_id as query, b.vec_id as ord, b.label, list_dot_product(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id <> a.vec_id"
 _RK = f"select *, row_number() over (partition by query order by score desc, ord) as rank from ({_SC})"
@@ -58,7 +59,7 @@ th as (select query, arg_min((score + nx) / 2, {'v': -var, 'i': i}) as threshold
 
 @query("g3_otsu_threshold", f"with base as ({_SC}), {_OTSU} select query, round(threshold, 6) as threshold from th")
 def g3(spark, sf_dir):
-    return R.otsu(R.scores(*_sides(spark, sf_dir)), ["query"], "score").select("query", r6(F.col("threshold"), "threshold"))
+    return R.otsu(stored(R.scores(*_sides(spark, sf_dir)).select("query", "score"), "scores"), ["query"], "score").select("query", r6(F.col("threshold"), "threshold"))
 
 
 _CAND = f"""with sc as ({_RK}), p as (select query, quantile_cont(score, 0.85) as p from sc group by query), z as (select sc.*, greatest(5, count(*) filter (score >= p) over (partition by query)) as size from sc join p using (query)),
