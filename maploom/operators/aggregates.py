@@ -509,3 +509,23 @@ def inventory_summary(files: DataFrame) -> DataFrame:
     errors = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("errors", F.lit("")), r"\|"), lambda e: F.trim(e)), lambda e: e != ""))
     f = files.select("bytes", F.explode(F.concat(fixed, F.transform(errors, lambda e: one("error", e)))).alias("a"))
     return f.groupBy("a.axis", "a.value").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+
+
+def label_consistency(tokens: DataFrame, entity: str, by: str, token: str) -> DataFrame:
+    """``entity, mean, min, pairs, exact``: how alike the tokens are that the runs (``by``) give an entity, over all pairs of runs.
+
+    ``tokens``: one row a token (repeats count once).  Only entities that every run has; nulls belong to none.  ``exact``: share of pairs with equal sets.
+    """
+    t = tokens.select(F.col(entity).alias("_e"), F.col(by).alias("_b"), F.col(token).alias("_t")).dropna().distinct()
+    size = t.groupBy("_e", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    runs = t.agg(F.countDistinct("_b").alias("_all"))
+    full = size.groupBy("_e").agg(F.count(F.lit(1)).alias("_k")).join(F.broadcast(runs), F.col("_k") == F.col("_all")).select("_e")
+    size = size.join(full, "_e")
+    # a token's runs are as few as the runs are
+    held = t.join(full, "_e").groupBy("_e", "_t").agg(F.sort_array(F.collect_list("_b")).alias("_bs"))
+    met = held.select("_e", F.explode("_bs").alias("_a"), "_bs").select("_e", "_a", F.explode("_bs").alias("_b")).filter("_a < _b").groupBy("_e", "_a", "_b").agg(F.count(F.lit(1)).alias("_both"))
+    a, b = (size.select("_e", F.col("_b").alias(f"_{c}"), F.col("_n").alias(f"_n{c}")) for c in "ab")
+    pairs = a.join(b, "_e").filter("_a < _b").join(met, ["_e", "_a", "_b"], "left")
+    both = F.coalesce("_both", F.lit(0))
+    j = pairs.select(F.col("_e").alias(entity), (both / (F.col("_na") + F.col("_nb") - both)).alias("_j"))
+    return j.groupBy(entity).agg(F.avg("_j").alias("mean"), F.min("_j").alias("min"), F.count(F.lit(1)).alias("pairs"), F.avg((F.col("_j") == 1).cast("double")).alias("exact"))

@@ -214,20 +214,16 @@ def d24_consensus(spark, sf_dir):
     return rounded(A.review_consensus(o.select(a.alias("a"), F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("b")), ["pass", "minor", "major"]), ["strict", "lenient"])
 
 
-@query("d25_label_consistency", """with d as (select source, lang, min(doc_id) as doc_id from documents group by 1, 2), t as (select source, lang, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) as s from d join documents using (doc_id, source, lang)),
-f as (select lang from t group by 1 having count(*) = (select count(distinct source) from documents)), p as (select a.lang, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) as j from t a join t b on a.lang = b.lang and a.source < b.source where a.lang in (select lang from f))
-select lang, round(avg(j), 6) as mean, round(min(j), 6) as min, count(*) as pairs from p group by 1""")
+@query("d25_label_consistency", """with t as (select distinct source, lang, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+')) as w from documents where source is not null and lang is not null),
+n as (select source, lang, count(*) as n from t group by 1, 2), f as (select lang from n group by 1 having count(*) = (select count(distinct source) from t)),
+x as (select a.lang, a.source as a, b.source as b, count(*) as c from t a join t b on a.lang = b.lang and a.w = b.w and a.source < b.source group by 1, 2, 3),
+p as (select na.lang, coalesce(c, 0) / (na.n + nb.n - coalesce(c, 0)) as j from n na join n nb on na.lang = nb.lang and na.source < nb.source left join x on x.lang = na.lang and x.a = na.source and x.b = nb.source where na.lang in (select lang from f))
+select lang, round(avg(j), 6) as mean, round(min(j), 6) as min, count(*) as pairs, avg((j = 1)::int) as exact from p group by 1""")
 def d25(spark, sf_dir):
-    from maploom.functions.text import set_jaccard, token_set
-
-    d = fx.table(spark, sf_dir, "documents")
-    t = d.groupBy("source", "lang").agg(F.min_by("text", "doc_id").alias("text")).select("source", "lang", token_set(F.col("text")).alias("s"))
-    n = d.agg(F.countDistinct("source").alias("all"))
-    full = t.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(n), F.col("n") == F.col("all")).select("lang")
-    t = t.join(full, "lang")
-    p = t.alias("a").join(t.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.source") < F.col("b.source")))
-    j = p.select(F.col("a.lang").alias("lang"), set_jaccard(F.col("a.s"), F.col("b.s")).alias("j"))
-    return rounded(j.groupBy("lang").agg(F.avg("j").alias("mean"), F.min("j").alias("min"), F.count(F.lit(1)).alias("pairs")), ["mean", "min"])
+    from maploom.functions.text import token_set
+
+    d = fx.table(spark, sf_dir, "documents").select("source", "lang", F.explode(token_set(F.col("text"))).alias("token"))
+    return rounded(A.label_consistency(d, "lang", "source", "token"), ["mean", "min"])
 
 
 @query("d26_run_summary", f"select experiment, variant, count(*) as runs, count(*) filter (seed % 7 <> 0) as complete, count(*) filter (repeat = 2) as diagnostic, round(avg((metric > 150000)::int) filter (seed % 5 <> 0), 6) as pass_rate, round(avg(metric) / 3, 6) as mean, round(quantile_cont(metric, 0.5) / 3, 6) as median, round(min(metric) / 3, 6) as min, round(max(metric) / 3, 6) as max from ({fx.RUNS}) group by 1, 2")
