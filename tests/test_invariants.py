@@ -14,6 +14,7 @@ from maploom.operators import memory as M
 from maploom.operators import retrieval as R
 from maploom.operators import sequences as Q
 from maploom.operators import streams as S
+from maploom.operators.merging import MERGE_SCHEMA
 from maploom.operators.graphs import connected_components
 from maploom.operators.registry import call_tool, register_tool
 from maploom.sources import readers
@@ -41,7 +42,7 @@ def test_merge_takes_the_median_and_splits_far_observations(spark):
     m = sorted(M.merge_entities(_obs(spark, [0.0, 0.1, 0.2, 3.0]), 0.4).collect(), key=lambda r: r.seq)
     assert len({r.entity for r in m[:3]}) == 1 and m[3].entity != m[0].entity
     assert m[2].x == pytest.approx(0.1)
-    assert [r.action for r in M.merge_events(spark.createDataFrame(m)).orderBy("seq").collect()] == ["create", "reuse", "reuse", "split"]
+    assert [r.action for r in M.merge_events(spark.createDataFrame(m, MERGE_SCHEMA)).orderBy("seq").collect()] == ["create", "reuse", "reuse", "split"]
 
 
 def test_merge_keeps_labels_apart(spark):
