@@ -8,7 +8,8 @@ done only inside blocks that can hold a linked pair.
 2. Blocks.  If two sets are similar enough, few elements differ: at most
    ``(|A| + |B|) (1 - t) / (1 + t)``.  Sets of about one size are cut into more
    segments than that by shingle hash, so at least one segment is equal in both.
-   Sets that share the hash of a segment meet, tile by tile where they are many; those whose profiles (shingle counts
+   Sets that share the hash of a segment meet, tile by tile where they are many, and of segments with the same
+   sets only one is used (so two long near copies meet once, not at each segment); those whose profiles (shingle counts
    by hash region) differ by more than the bound part again, the others fall into
    one block.  No linked pair is lost.
 3. Inside a block, rows are taken in tiles of ``TILE`` sets.  For each pair of
@@ -386,6 +387,21 @@ def _multiply(percent: int):
     return run
 
 
+def _once(shared: DataFrame) -> DataFrame:
+    """``segment, set_id, bytes, n_tiles``: of the segments that have the same sets, one.
+
+    Two long texts that nearly agree share a segment for each few words; their sets need to meet once.  Segments
+    of more than ``LEAST_DEGREE`` entries are all kept, so no row holds more sets than that.
+    """
+    long = F.col("sets") > LEAST_DEGREE
+    each = shared.groupBy("segment", F.when(long, F.col("set_id")).alias("one"))
+    lists = each.agg(F.sort_array(F.collect_set(F.struct("set_id", "bytes"))).alias("sets_of"), F.max("n_tiles").alias("n_tiles"))
+    alone = F.when(F.col("one").isNotNull(), F.col("segment"))
+    same = lists.groupBy(F.xxhash64(alone, "sets_of").alias("h1"), F.xxhash64(F.lit(7), alone, "sets_of").alias("h2"))
+    kept = same.agg(F.min("segment").alias("segment"), F.first("sets_of").alias("sets_of"), F.max("n_tiles").alias("n_tiles"))
+    return kept.select("segment", F.explode("sets_of").alias("s"), "n_tiles").select("segment", "s.set_id", "s.bytes", "n_tiles")
+
+
 def jaccard_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(documents with ``doc_id, n_shingles, set_id``, links ``a, b`` between set ids).
 
@@ -409,8 +425,8 @@ def jaccard_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     met = stored(met.select("segment", "sets", n_tiles.alias("n_tiles")), "segments")
     # segments of very many sets (at most HOT_SEGMENTS of them) come to the sets' rows, all others meet by shuffle
     often = F.col("sets") > F.lit(max(LEAST_DEGREE, total // HOT_SEGMENTS))
-    hot, cold = met.filter(often).select("segment", "n_tiles"), met.filter(~often).select("segment", "n_tiles").hint("merge")
-    shared = suspect.join(F.broadcast(hot.select("segment")), "segment", "left_anti").join(cold, "segment").distinct()
+    hot, cold = met.filter(often).select("segment", "n_tiles"), met.filter(~often).hint("merge")
+    shared = _once(suspect.join(F.broadcast(hot.select("segment")), "segment", "left_anti").join(cold, "segment"))
     entries = stored(shared.unionByName(suspect.join(F.broadcast(hot), "segment").distinct()), "entries")
     rows, held = entries.agg(F.coalesce(F.sum("n_tiles"), F.lit(0)), F.coalesce(F.sum(F.col("n_tiles") * F.col("bytes")), F.lit(0))).first()
     parts = max(16, rows // MEET_ROWS, held // MEET_BYTES)

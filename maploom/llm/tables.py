@@ -58,10 +58,10 @@ def join_small(big: DataFrame, side: DataFrame, on: str | list[str], how: str, r
 def join_salted(big: DataFrame, side: DataFrame, on: str | list[str], how: str, salts: int = SALTS) -> DataFrame:
     """Shuffle join that deals the rows of one key of ``big`` over ``salts`` tasks; ``side`` is repeated for each.
 
-    For inner, left, left semi and left anti joins.
+    For inner, left, left semi and left anti joins.  Equal rows of ``big`` get different salts in different partitions.
     """
     on = [on] if isinstance(on, str) else on
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(salts))
+    salt = F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()), F.lit(salts))
     side = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return big.withColumn("_salt", salt).join(side, [*on, "_salt"], how).drop("_salt")
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 import sentencepiece
 
-from maploom.llm import pieces, prefix_trie, queries, whitening
+from maploom.llm import jaccard, pieces, prefix_trie, queries, whitening
 
 DIR = "/root/testdata/sf0.001"
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -288,3 +288,31 @@ def test_no_url_sees_its_own_label(spark):
     rules = [("block", "org", "/p/" + "q" * 40), ("allow", "org", "/p/qqq")]
     judged = urls.judge(spark.createDataFrame([*by_length, (5000, "https://y.org/z/" + "q" * 40), (5001, "https://y.org/z/qqq")], "page_id long, url string"), rules)
     assert {r.page_id: r.verdict for r in judged.filter("rule is null").collect()} == {5000: "block", 5001: "allow"}
+
+
+# ---------------------------------------------------------------- segments
+
+
+def test_segments_of_the_same_sets_meet_once(spark, monkeypatch):
+    rows = [(s, a, 8, 1, 2) for s in range(500) for a in (1, 2)]  # 500 segments of the sets 1 and 2
+    rows += [(1000, a, 8, 1, 3) for a in (1, 2, 3)] + [(1001, a, 8, 1, 3) for a in (1, 2, 3)]  # other lists stay apart
+    rows += [(2000, 1, 8, 1, 4), (2000, 1, 8, 1, 4), (2000, 2, 8, 1, 4)]  # a repeated entry is no other list
+    shared = spark.createDataFrame(rows, "segment long, set_id long, bytes long, n_tiles int, sets long")
+    got = jaccard._once(shared).toPandas()
+    lists = sorted(tuple(sorted(g["set_id"])) for _, g in got.groupby("segment"))
+    assert lists == [(1, 2), (1, 2, 3)]
+    monkeypatch.setattr(jaccard, "LEAST_DEGREE", 1)  # all segments are long: none is left out
+    assert jaccard._once(shared).select("segment").distinct().count() == 503
+
+
+def test_two_long_near_copies_give_entries_that_dont_grow(spark, monkeypatch):
+    seen = []
+    once = jaccard._once
+    monkeypatch.setattr(jaccard, "_once", lambda df: seen.append(once(df)) or seen[-1])
+    for n in (2_000, 20_000):
+        words = [str(i * 7919) for i in range(n)]
+        other = [w + "x" if i % 400 == 0 else w for i, w in enumerate(words)]
+        docs = spark.createDataFrame([(5, " ".join(words)), (9, " ".join(other)), (11, "a b c")], "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs, 3, 90).collect()}
+        assert got == {5: 5, 9: 5, 11: 11}
+    assert [df.count() for df in seen] == [2, 2]
