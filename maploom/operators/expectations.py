@@ -89,14 +89,6 @@ def check_graph_commit(objects: DataFrame, places: DataFrame, memory: DataFrame)
     return check_rules(j, "id", {"described": F.length("name") > 0, "unique_entity": F.col("_n") == 1, "in_memory": F.col("known").isNotNull(), "active": ~F.col("deleted"), "has_place": F.col("_p").isNotNull(), "same_name": F.lower("known") == F.lower("name")})
 
 
-def trajectory_acceptance(traj: DataFrame, key: str, least_s: float, least_rate: float, most_loop: float) -> DataFrame:
-    """Per path: duration, rate and how far its end is from its start, with the checks they pass."""
-    a = traj.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("duration"), F.min_by("x", "t").alias("x0"), F.max_by("x", "t").alias("x1"), F.min_by("y", "t").alias("y0"), F.max_by("y", "t").alias("y1"))
-    a = a.withColumn("loop", F.sqrt((F.col("x1") - F.col("x0")) ** 2 + (F.col("y1") - F.col("y0")) ** 2)).withColumn("rate", (F.col("n") - 1) / F.col("duration"))
-    ok = (F.col("duration") >= least_s) & (F.col("rate") >= least_rate) & (F.col("loop") <= most_loop)
-    return a.select(key, "duration", "rate", "loop", ok.alias("passed"))
-
-
 def detection_by_dose(df: DataFrame, doses: list[float], value: str, limit: float) -> DataFrame:
     """Share of rows that a limit catches after each dose of an offset."""
     d = df.withColumn("dose", F.explode(F.array(*[F.lit(float(x)) for x in doses])))

@@ -63,27 +63,28 @@ def observation_threshold(events: DataFrame, n: int) -> DataFrame:
     return f.filter(F.col("_run") >= n).groupBy("entity").agg(F.min("frame").alias("frame"), F.min(F.col("frame") - F.col("_first")).alias("delay"))
 
 
-def arc_length(df: DataFrame, key: str, order: str) -> DataFrame:
+def arc_length(df: DataFrame, key: str | list[str], order: str, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Adds ``s``, the path length up to each point."""
     w = W.partitionBy(key).orderBy(order)
-    step = F.coalesce(F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2), F.lit(0.0))
+    step = F.coalesce(F.sqrt(sum(((F.col(a) - F.lag(a).over(w)) ** 2 for a in axes[1:]), (F.col(axes[0]) - F.lag(axes[0]).over(w)) ** 2)), F.lit(0.0))
     return df.withColumn("_d", step).withColumn("s", F.sum("_d").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_d")
 
 
-def resample_path(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
+def resample_path(df: DataFrame, key: str | list[str], order: str, n: int, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """``n`` points at equal arc length; a path without length repeats its first point."""
-    a = arc_length(df, key, order)
-    w = W.partitionBy(key).orderBy(order)
-    total = F.max("s").over(W.partitionBy(key))
-    a = a.withColumns({"_t": total, "_s1": F.lead("s").over(w), "_x1": F.lead("x").over(w), "_y1": F.lead("y").over(w), "_first": F.row_number().over(w)})
+    keys = [key] if isinstance(key, str) else key
+    a = arc_length(df, keys, order, axes)
+    w = W.partitionBy(keys).orderBy(order)
+    total = F.max("s").over(W.partitionBy(keys))
+    a = a.withColumns({"_t": total, "_s1": F.lead("s").over(w), "_first": F.row_number().over(w)} | {f"_{c}1": F.lead(c).over(w) for c in axes})
     unit = F.col("_t") / (n - 1)
     # segment [s, s1) serves the targets i * unit that fall into it; the last target sits on the last segment's end
     lo = F.ceil(F.col("s") / unit - 1e-9)
     hi = F.least(F.ceil(F.col("_s1") / unit - 1e-9) - F.when(F.abs(F.col("_s1") - F.col("_t")) < 1e-12, 0).otherwise(1), F.lit(n - 1))
     seg = a.filter((F.col("_t") > 0) & (F.col("_s1") - F.col("s") > 1e-12)).withColumn("i", F.explode(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
     f = (F.col("i") * unit - F.col("s")) / (F.col("_s1") - F.col("s"))
-    out = seg.select(key, "i", (F.col("x") + (F.col("_x1") - F.col("x")) * f).alias("x"), (F.col("y") + (F.col("_y1") - F.col("y")) * f).alias("y")).dropDuplicates([key, "i"])
-    still = a.filter((F.col("_t") == 0) & (F.col("_first") == 1)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).select(key, "i", "x", "y")
+    out = seg.select(*keys, "i", *[(F.col(c) + (F.col(f"_{c}1") - F.col(c)) * f).alias(c) for c in axes]).dropDuplicates([*keys, "i"])
+    still = a.filter((F.col("_t") == 0) & (F.col("_first") == 1)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).select(*keys, "i", *axes)
     return out.unionByName(still)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from maploom.functions.geometry import quat_to_matrix
 from maploom.operators import expectations as X
 from maploom.operators import gates as G
+from maploom.operators import trajectories as TR
 from maploom.plans import fixtures as fx
 from maploom.plans import query
 from maploom.plans.aggregates import rounded
@@ -157,11 +158,61 @@ def j8(spark, sf_dir):
     return X.check_graph_commit(o, fx.places(spark, sf_dir), fx.entities(spark, sf_dir))
 
 
-@query("j9_trajectory_acceptance", f"""with a as (select key, count(*) as n, max(t) - min(t) as duration, sqrt(pow(arg_max(x, t) - arg_min(x, t), 2) + pow(arg_max(y, t) - arg_min(y, t), 2)) as loop from ({fx.TRAJECTORY}) group by 1)
-select key, round(duration, 4) as duration, round((n - 1) / duration, 9) as rate, round(loop, 6) as loop, duration >= 2400000 and (n - 1) / duration >= 2e-5 and loop <= 60 as passed from a""")
+#: Paths in three dimensions: a user's events in order, each kind of event one traversal; turned by ``k`` degrees about z, then by the value about x.
+_PATH = f"""select key, kind, seq, t, x, y, z, cos(h) as ch, sin(h) as sh, cos(v) as cv, sin(v) as sv from (
+select key, kind, seq, (us - {fx.ORIGIN_US}) / 1e6 as t, value as x, cast(seq % 100 as double) as y, k / 2.0::double as z, radians(k::double) as h, radians(value) as v from ({fx.EVENTS}))"""
+#: Sensor events: four streams in order of arrival, some of them stamped too early.
+_SENSED = f"""select key, ['imu', 'stereo_left', 'stereo_right', 'spare'][(seq % 4 + 1)::int] as stream, seq, (us - {fx.ORIGIN_US}) / 1e6 - case when seq % 97 = 0 then 1e6 else 0 end as t from ({fx.EVENTS})"""
+_LIMITS = {"least_duration": 2400000.0, "least_rate": 2e-5, "most_loop": 60.0, "most_loop_deg": 60.0, "most_p95": 45.0, "samples": 32}
+
+
+def _paths(spark, sf_dir):
+    h, v = F.radians(F.col("k").cast("double")) / 2, F.radians("value") / 2
+    q = [F.cos(h) * F.sin(v), F.sin(h) * F.sin(v), F.sin(h) * F.cos(v), F.cos(h) * F.cos(v)]
+    e = fx.events(spark, sf_dir).select("key", "kind", "seq", "k", "value", ((F.col("us") - fx.ORIGIN_US) / 1e6).alias("t"), F.col("value").alias("x"), (F.col("seq") % 100).cast("double").alias("y"), (F.col("k") / 2).alias("z"))
+    return e.withColumn("m", quat_to_matrix(q, [F.col(c) for c in "xyz"])).drop("k", "value")
+
+
+def _sensed(spark, sf_dir):
+    n = F.col("seq") % 4
+    stream = F.when(n == 0, "imu").when(n == 1, "stereo_left").when(n == 2, "stereo_right").otherwise("spare")
+    late = F.when(F.col("seq") % 97 == 0, 1e6).otherwise(0.0)
+    return fx.events(spark, sf_dir).select("key", stream.alias("stream"), "seq", ((F.col("us") - fx.ORIGIN_US) / 1e6 - late).alias("t"))
+
+
+_CLOSED = f"""with p as ({_PATH}), a as (select key, count(*) as n, arg_min(p, seq) as a, arg_max(p, seq) as b from p group by 1),
+d as (select key, n, b.t - a.t as duration, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) as loop,
+a.ch * b.ch + a.sh * b.sh + a.sh * a.cv * b.sh * b.cv + a.ch * a.cv * b.ch * b.cv + a.sh * a.sv * b.sh * b.sv + a.ch * a.sv * b.ch * b.sv + a.sv * b.sv + a.cv * b.cv as trace from a)
+select key, round(duration, 6) as duration, round(case when duration > 0 then (n - 1) / duration else 0 end, 9) as rate, round(loop, 6) as loop, round(degrees(acos(least(greatest((trace - 1) / 2, -1), 1))), 5) as loop_deg from d"""
+
+
+@query("j9_trajectory_acceptance", f"""select *, duration >= 2400000 and rate >= 2e-5 and loop <= 60 and loop_deg <= 60 as passed from ({_CLOSED})""")
 def j9(spark, sf_dir):
-    a = X.trajectory_acceptance(fx.trajectory(spark, sf_dir), "key", 2400000.0, 2e-5, 60.0)
-    return rounded(rounded(rounded(a, ["duration"], 4), ["rate"], 9), ["loop"])
+    a = TR.loop_closure(_paths(spark, sf_dir), "key", "seq").drop("n")
+    a = rounded(rounded(rounded(rounded(a, ["duration"], 6), ["rate"], 9), ["loop"]), ["loop_deg"], 5)
+    return a.withColumn("passed", (F.col("duration") >= 2400000) & (F.col("rate") >= 2e-5) & (F.col("loop") <= 60) & (F.col("loop_deg") <= 60))
+
+
+_STREAMS = f"""select key, stream, count(*) as n, round(arg_max(t, seq) - arg_min(t, seq), 6) as duration, round(max(step), 6) as gap, coalesce(bool_and(step > 0), true) as monotonic,
+round(case when arg_max(t, seq) > arg_min(t, seq) then (count(*) - 1) / (arg_max(t, seq) - arg_min(t, seq)) else 0 end, 9) as rate
+from (select *, t - lag(t) over (partition by key, stream order by seq) as step from ({_SENSED})) group by 1, 2"""
+
+
+@query("j9_sensor_streams", _STREAMS)
+def j9_sensors(spark, sf_dir):
+    s = TR.sensor_streams(_sensed(spark, sf_dir), "key", "stream", "seq")
+    return rounded(rounded(s, ["duration", "gap"], 6), ["rate"], 9)
+
+
+@query("j9_repeated_paths")
+def j9_repeated(spark, sf_dir):
+    return rounded(TR.align_traversals(_paths(spark, sf_dir), "key", "kind", "seq", 32), ["p50", "p95", "most"])
+
+
+@query("j9_acceptance_checks")
+def j9_checks(spark, sf_dir):
+    sensors = TR.sensor_streams(_sensed(spark, sf_dir), "key", "stream", "seq")
+    return rounded(TR.trajectory_acceptance(_paths(spark, sf_dir), "key", "kind", "seq", sensors, **_LIMITS), ["value"])
 
 
 @query("j10_inject_time_offset", f"select d as dose, count(*) as n, round(avg((abs(value + d) > 120)::int), 6) as detected from ({fx.EVENTS}), (values (0.0::double), (5.0), (20.0), (80.0)) t(d) group by 1")
