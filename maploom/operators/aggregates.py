@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maploom.operators.graphs import connected_components
-from maploom.sources.tables import bounded
+from maploom.sources.tables import stored
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -412,26 +415,79 @@ def ab_delta(base: DataFrame, cand: DataFrame) -> DataFrame:
     return base.select("path", F.col("value").alias("_b")).join(cand.select("path", F.col("value").alias("_c")), "path").select("path", (F.col("_c") - F.col("_b")).alias("delta"))
 
 
+#: Skyline candidates of one tile; two tiles meet in a task.
+SKYLINE_TILE = 20_000
+
+
+def _beaten(points: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which ``points`` some row of ``by`` beats: at least as good in all columns, and better in one by more than 1e-12."""
+    out = np.zeros(len(points), dtype=bool)
+    for lo in range(0, len(by), 256):
+        left = np.flatnonzero(~out)
+        for cut in range(0, len(left), 2048):
+            at = left[cut : cut + 2048]
+            a, b = points[at, None, :], by[None, lo : lo + 256, :]
+            out[at] = ((b >= a).all(2) & (b > a + 1e-12).any(2)).any(1)
+    return out
+
+
+def _skyline(points: np.ndarray) -> np.ndarray:
+    """Places of the rows that no other row beats; what beats a row comes before it in falling order of the columns."""
+    order = np.lexsort(-points.T[::-1])
+    kept = order[:0]
+    for lo in range(0, len(order), 1024):
+        at = order[lo : lo + 1024]
+        at = at[~_beaten(points[at], points[kept])]
+        kept = np.concatenate([kept, at[~_beaten(points[at], points[at])]])
+    return kept
+
+
+def _local_skyline(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = None
+    for pdf in batches:
+        new = pdf.iloc[_skyline(pdf.to_numpy())]
+        if held is not None:
+            new = new[~_beaten(new.to_numpy(), held.to_numpy())]
+            new = pd.concat([held[~_beaten(held.to_numpy(), new.to_numpy())], new], ignore_index=True)
+        held = new
+    if held is not None:
+        yield held
+
+
+def _tile_beaten(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The points of the first tile that a point of the other beats."""
+    names = [c for c in pdf.columns if c.startswith("_m")]
+    mine = pdf[pdf["home"] == key[0]] if key[0] != key[1] else pdf
+    other = pdf[pdf["home"] == key[1]] if key[0] != key[1] else pdf
+    return mine.loc[_beaten(mine[names].to_numpy(), other[names].to_numpy()), names]
+
+
 def pareto_frontier(rows: DataFrame, id_: str, maximise: list[str], minimise: list[str]) -> DataFrame:
-    """Rows that no other row beats: at least as good in all and better in one.  Rows with nulls are left out.
+    """Rows that no other row beats: at least as good in all and better in one (by more than 1e-12).  Rows with nulls or NaN are left out.
 
-    Equal points count once and only the best of each first value are compared, so the
-    theta join runs over the skyline candidates.
+    Equal points count once.  Each task keeps the skyline of its own points; these are dealt anew, a tile a task,
+    while that takes out a half of them, and what is left meets tile by tile, so only the candidates are compared
+    with one another and no task holds more than two tiles of them (a task's own skyline aside).
     """
-    d = rows.dropna(subset=[*maximise, *minimise])
-    up = [F.col(c) for c in maximise] + [-F.col(c) for c in minimise]
-    d = d.withColumns({f"_m{i}": c for i, c in enumerate(up)})
-    names = [f"_m{i}" for i in range(len(up))]
-    points = d.select(*names).distinct()
-    if len(names) == 2:  # sorted sweep: a point stays if its second value beats all with a larger first value
-        best = points.groupBy("_m0").agg(F.max("_m1").alias("_m1"))
-        w = W.orderBy(F.desc("_m0")).rowsBetween(W.unboundedPreceding, -1)
-        keep = best.withColumn("_b", F.max("_m1").over(w)).filter(F.col("_b").isNull() | (F.col("_m1") > F.col("_b"))).select(*names)
-    else:
-        other = bounded(points.select(*[F.col(n).alias(f"o{n}") for n in names]))
-        all_ge = reduce(lambda a, b: a & b, [F.col(f"o{n}") >= F.col(n) for n in names])
-        one_gt = reduce(lambda a, b: a | b, [F.col(f"o{n}") > F.col(n) + 1e-12 for n in names])
-        keep = points.join(other, all_ge & one_gt, "left_anti")
+    values = [*[F.col(c).cast("double") for c in maximise], *[-F.col(c).cast("double") for c in minimise]]
+    names = [f"_m{i}" for i in range(len(values))]
+    d = rows.withColumns(dict(zip(names, values)))
+    d = d.filter(reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) for n in names]))
+    points = d.select(*[(F.col(n) + 0.0).alias(n) for n in names]).distinct()
+    schema = ", ".join(f"{n} double" for n in names)
+    best = stored(points.mapInPandas(_local_skyline, schema), "skyline")
+    n = best.count()
+    while n > SKYLINE_TILE:
+        best = stored(best.repartition(-(-n // SKYLINE_TILE), *names).mapInPandas(_local_skyline, schema), "skyline")
+        before, n = n, best.count()
+        if 2 * n > before:
+            break
+    tiles = -(-n // SKYLINE_TILE) or 1
+    tiled = best.withColumn("home", F.pmod(F.xxhash64(*names), F.lit(tiles)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    # a point goes to (its tile, each other tile) to be judged, and to (each other tile, its tile) to judge
+    sides = tiled.withColumn("g", F.explode(F.array_distinct(F.array(F.struct(F.col("home").alias("a"), F.col("other").alias("b")), F.struct(F.col("other").alias("a"), F.col("home").alias("b"))))))
+    beaten = sides.select("g.a", "g.b", "home", *names).groupBy("a", "b").applyInPandas(_tile_beaten, schema)
+    keep = best.join(beaten.distinct(), names, "left_anti")
     return d.join(keep, names, "left_semi").select(*rows.columns)
 
 

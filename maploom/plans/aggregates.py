@@ -349,6 +349,15 @@ def d38(spark, sf_dir):
     return A.pareto_frontier(fx.parts(spark, sf_dir), "id", ["x", "z"], ["y"]).select("id")
 
 
+_OFFERS = "select l_orderkey * 8 + l_linenumber as id, cast(l_quantity as double) as quantity, cast(l_discount as double) as discount, cast(l_extendedprice as double) as price, cast(l_tax as double) as tax from lineitem"
+
+
+@query("d38_pareto_offers", f"with p as ({_OFFERS}), b as (select quantity, discount, tax, min(price) as price from p group by 1, 2, 3) select id from p a where not exists (select 1 from b where b.quantity >= a.quantity and b.discount >= a.discount and b.price <= a.price and b.tax <= a.tax and (b.quantity > a.quantity + 1e-12 or b.discount > a.discount + 1e-12 or b.price < a.price - 1e-12 or b.tax < a.tax - 1e-12))")
+def d38_offers(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), *[F.col(f"l_{c}").cast("double").alias(n) for n, c in (("quantity", "quantity"), ("discount", "discount"), ("price", "extendedprice"), ("tax", "tax"))])
+    return A.pareto_frontier(o, "id", ["quantity", "discount"], ["price", "tax"]).select("id")
+
+
 @query("d39_factor_effects", f"with c as (select id % 4 as f1, id % 3 as f2, round(avg(y), 6) as m from ({fx.PARTS}) group by 1, 2) select f2, round(arg_max(m, f1) - arg_min(m, f1), 6) as effect, count(distinct f1) as levels from c group by 1 having count(distinct f1) > 1")
 def d39(spark, sf_dir):
     c = fx.parts(spark, sf_dir).groupBy((F.col("id") % 4).alias("f1"), (F.col("id") % 3).alias("f2")).agg(F.round(F.avg("y"), 6).alias("m"))
