@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 
 from maploom.functions.geometry import euclid, rotation_angle_deg
 from maploom.operators.sequences import resample_path
+from maploom.sources.tables import stored
 
 AXES = ("x", "y", "z")
 
@@ -78,9 +79,9 @@ def align_traversals(traj: DataFrame, key: str, traversal: str, order: str, samp
     """
     known = traversals(traj, key, traversal, order)
     error = F.when(F.col("points") < 2, "fewer than two points").when(~F.col("finite"), "points that are not finite").when(F.col("length") <= 1e-9, "no length")
-    known = known.select(key, traversal, "first", error.alias("error"))
+    known = stored(known.select(key, traversal, "first", error.alias("error")), "traversals")
     fine = traj.join(known.filter("error is null"), [key, traversal], "left_semi").select(key, traversal, order, *AXES)
-    points = resample_path(fine, [key, traversal], order, samples, AXES)
+    points = stored(resample_path(fine, [key, traversal], order, samples, AXES), "samples")  # read as candidate and as reference
     reference = known.filter("first").select(key, F.col(traversal).alias("reference"), F.col("error").alias("_why"))
     pairs = known.filter("not first").select(key, traversal, "error").join(reference, key)
     target = points.select(key, F.col(traversal).alias("reference"), "i", *[F.col(c).alias(f"q{c}") for c in AXES])
