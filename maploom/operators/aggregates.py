@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from maploom.operators.graphs import connected_components
-from maploom.sources.tables import stored
+from maploom.sources.tables import bounded, stored
 
 PERCENTILES = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -517,24 +517,98 @@ def temporal_reject(support: DataFrame, least: int = 2, share: float = 0.25) ->
     return px.groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(bad).alias("rejected"))
 
 
-def block_bootstrap(values: DataFrame, group: str, order: str, length: int, replicates: int, seed: int) -> DataFrame:
-    """95 % interval of the mean under circular moving blocks: ``group, low, middle, high``.
+def _positions(values: DataFrame, group: str, order: str) -> DataFrame:
+    """``group, _i, _n, value``: places by ``order`` in each group, counted over ranges, so that no task holds a group."""
+    v = values.filter("value is not null").select(group, order, "value")
+    v = stored(v.repartitionByRange(group, order, "value").withColumn("_p", F.spark_partition_id()), "ranges")
+    before = F.sum("_c").over(W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    parts = v.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).withColumn("_n", F.sum("_c").over(W.partitionBy(group))).drop("_c")
+    v = v.join(bounded(parts), [group, "_p"])
+    return stored(v.select(group, (F.row_number().over(W.partitionBy(group, "_p").orderBy(order, "value")) - 1 + F.col("_before")).alias("_i"), "_n", "value"), "places")
 
-    Each replicate draws block starts by a seeded hash; a value's weight in a replicate is the
-    number of drawn blocks that cover it, so only block sums are joined, not values.
+
+def _replicate_sums(v: DataFrame, draws: DataFrame, group: str, length: int, cols: list[str]) -> DataFrame:
+    """Sums of ``cols`` over the drawn blocks of each replicate.
+
+    Whole blocks are summed once for each start and joined by it; only the last block of a replicate, cut to the group's size, is joined value by value.
+    """
+    span = max(length, 1 << 16)
+    ring = v.unionByName(v.filter(F.col("_i") < length - 1).withColumn("_i", F.col("_i") + F.col("_n")))
+    # a stretch of starts also needs the places that its last blocks run into
+    near = F.array_distinct(F.array(F.floor(F.col("_i") / span), F.greatest(F.floor((F.col("_i") - length + 1) / span), F.lit(0))))
+    w = W.partitionBy(group, "_k").orderBy("_i")
+    r = ring.withColumn("_k", F.explode(near))
+    r = r.select(group, "_k", "_i", "_n", *cols, *[F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(f"_c{c}") for c in cols])
+    r = r.select(group, "_k", "_i", "_n", *[(F.lead(f"_c{c}", length - 1).over(w) - F.col(f"_c{c}") + F.col(c)).alias(c) for c in cols])
+    blocks = r.filter((F.col("_i") < F.col("_n")) & (F.floor(F.col("_i") / span) == F.col("_k"))).select(group, F.col("_i").alias("start"), *cols)
+    whole = draws.filter(F.col("len") == length).join(blocks, [group, "start"]).select(group, "replicate", *cols)
+    cut = draws.filter(F.col("len") < length).select(group, "replicate", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("_at"), "_n")
+    cut = cut.select(group, "replicate", F.pmod("_at", "_n").alias("_i")).join(v.select(group, "_i", *cols), [group, "_i"]).select(group, "replicate", *cols)
+    return whole.unionByName(cut).groupBy(group, "replicate").agg(*[F.sum(c).alias(c) for c in cols])
+
+
+def _replicate_medians(v: DataFrame, draws: DataFrame, group: str, length: int, pivots: int = 16) -> DataFrame:
+    """Median of each replicate by narrowing common pivots, then exactly within the last interval: ``group, replicate, m``.
+
+    ``_lt``/``_le`` count a replicate's values under and up to a pivot.  The value of rank k lies above the pivots with a count of at most k, so
+    a second round sets its pivots where the first left any replicate's median; only values between two of these are drawn one by one.
     """
-    w = W.partitionBy(group).orderBy(order)
-    n = F.count(F.lit(1)).over(W.partitionBy(group))
-    v = values.withColumn("_n", n).withColumn("_i", F.row_number().over(w) - 1)
-    # sum of the block that starts at each position; the end runs on into the start of the group
-    wrap = v.filter(F.col("_i") < length - 1).withColumn("_i", F.col("_i") + F.col("_n"))
-    ring = v.unionByName(wrap).withColumn("_s", F.sum("value").over(W.partitionBy(group).orderBy("_i").rowsBetween(0, length - 1)))
-    blocks = ring.filter(F.col("_i") < F.col("_n")).select(group, F.col("_i").alias("start"), "_s")
-    sizes = v.groupBy(group).agg(F.max("_n").alias("_n"))
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_n") / length).cast("int"))))
+    steps = F.array(*[F.lit((j + 1) / (pivots + 1)) for j in range(pivots)])
+
+    def ranked(cuts: DataFrame, size: int) -> DataFrame:
+        marked = v.join(bounded(cuts), group)
+        marks = {f"_{n}{j}": (F.col("value") < F.col("_cuts")[j] if n == "lt" else F.col("value") <= F.col("_cuts")[j]).cast("bigint") for j in range(size) for n in ("lt", "le")}
+        c = _replicate_sums(marked.withColumns(marks).drop("_cuts", "value"), draws, group, length, list(marks))
+        sizes = draws.groupBy(group).agg(F.max("_n").alias("_n"))
+        c = c.join(bounded(sizes), group).join(bounded(cuts), group)
+        c = c.withColumn("k", F.explode(F.array_distinct(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)))))
+        under, upto = ([F.col(f"_{n}{j}") for j in range(size)] for n in ("lt", "le"))
+        known = F.coalesce(*[F.when((a <= F.col("k")) & (F.col("k") < b), F.col("_cuts")[j]) for j, (a, b) in enumerate(zip(under, upto))])
+        low = F.greatest(F.lit(float("-inf")), *[F.when(b <= F.col("k"), F.col("_cuts")[j]) for j, b in enumerate(upto)])
+        high = F.least(F.lit(float("inf")), *[F.when(a > F.col("k"), F.col("_cuts")[j]) for j, a in enumerate(under)])
+        place = reduce(lambda a, b: a + b, [(c <= F.col("k")).cast("int") for c in under + upto])
+        base = F.greatest(F.lit(0), *[F.when(c <= F.col("k"), c) for c in under + upto])
+        return c.select(group, "replicate", "k", known.alias("known"), low.alias("low"), high.alias("high"), place.alias("bin"), (F.col("k") - base).alias("rank"))
+
+    first = ranked(v.groupBy(group).agg(F.percentile_approx("value", steps, 10_000).alias("_cuts")), pivots)
+    range_ = stored(first.groupBy(group).agg(F.min(F.coalesce("known", "low")).alias("_low"), F.max(F.coalesce("known", "high")).alias("_high")), "medianrange")
+    inside = v.join(bounded(range_), group).filter((F.col("value") >= F.col("_low")) & (F.col("value") <= F.col("_high")))
+    cuts = inside.groupBy(group, "_low", "_high").agg(F.percentile_approx("value", steps, 10_000).alias("_q"))
+    cuts = stored(cuts.select(group, F.concat(F.array("_low"), "_q", F.array("_high")).alias("_cuts")), "cuts")
+    second = stored(ranked(cuts, pivots + 2), "ranks")
+    open_ = second.filter("known is null").select(group, "replicate", "k", "bin", "rank")
+    bin_ = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("value")).cast("int") + (c <= F.col("value")).cast("int"))
+    found = v.join(bounded(cuts), group).select(group, "_i", "_n", "value", bin_.alias("bin")).join(bounded(open_.select(group, "bin").distinct()), [group, "bin"], "left_semi")
+    found = found.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(length), F.col("_n")) - 1))).withColumn("start", F.pmod(F.col("_i") - F.col("_d"), F.col("_n")))
+    picks = draws.select(group, "replicate", "start", "len").join(open_, [group, "replicate"])
+    hit = picks.join(found.select(group, "bin", "start", "_d", "value"), [group, "bin", "start"]).filter(F.col("_d") < F.col("len"))
+    hit = hit.groupBy(group, "replicate", "k", "rank", "value").agg(F.count(F.lit(1)).alias("_w"))
+    upto = F.sum("_w").over(W.partitionBy(group, "replicate", "k").orderBy("value"))
+    exact = hit.withColumn("_u", upto).filter(F.col("_u") > F.col("rank")).groupBy(group, "replicate", "k").agg(F.min("value").alias("known"))
+    both = exact.unionByName(second.filter("known is not null").select(group, "replicate", "k", "known"))
+    return both.groupBy(group, "replicate").agg(F.avg("known").alias("m"))
+
+
+def block_bootstrap(values: DataFrame, group: str, order: str, length: int, replicates: int, seed: int, stat: str = "mean") -> DataFrame:
+    """95 % interval of the mean or median under circular moving blocks: ``group, low, middle, high``.
+
+    Each replicate draws block starts by a seeded hash until the group's size is reached; the last block is cut to it.  Nulls are left out; equal
+    ``order`` goes by value; a ``length`` over a group's size draws the whole group.
+    """
+    if length < 1 or stat not in ("mean", "median"):
+        raise ValueError("length must be positive, stat mean or median")
+    v = _positions(values, group, order)
+    draws = v.groupBy(group).agg(F.max("_n").alias("_n")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("_n") / length))))
     draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), group, "replicate", "draw"), F.col("_n")))
-    m = draws.join(blocks, [group, "start"]).groupBy(group, "replicate").agg((F.sum("_s") / (F.count(F.lit(1)) * length)).alias("m"))
-    return m.groupBy(group).agg(*[F.percentile("m", p).alias(c) for p, c in ((0.025, "low"), (0.5, "middle"), (0.975, "high"))])
+    draws = draws.withColumn("len", F.least(F.lit(length), F.col("_n") - (F.col("draw") - 1) * length))
+    if stat == "mean":
+        m = _replicate_sums(v, draws, group, length, ["value"]).join(bounded(v.groupBy(group).agg(F.max("_n").alias("_n"))), group)
+        m = m.select(group, "replicate", (F.col("value") / F.col("_n")).alias("m"))
+    else:
+        m = _replicate_medians(v, draws, group, length)
+    return m.groupBy(group).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.5).alias("middle"), F.percentile("m", 0.975).alias("high"))
 
 
 def edge_errors(poses: DataFrame, edges: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from maploom.functions.geometry import aabb_gap, aabb_iou, euclid
+from maploom.functions.geometry import aabb_gap, aabb_iou, apply_transform, backproject, compose, euclid, invert_rigid, project, rotation_angle_deg
 from maploom.sources.tables import bounded, stored
 
 
@@ -273,22 +275,59 @@ def in_graph_flag(corrections: DataFrame, labels: DataFrame) -> DataFrame:
     return agg.join(known, "label", "left").select("label", "x", "last_value", "frames", F.col("_in").isNotNull().alias("in_graph"))
 
 
-def reprojection_support(px: DataFrame, shift: list[tuple[int, int, int]], relative: float, absolute: float = 0.04) -> DataFrame:
-    """Per pixel and neighbour frame whether depths can be compared and agree.
+def warp(px: DataFrame, poses: DataFrame, offsets: list[int], k: tuple[float, float, float, float], near: float, far: float) -> DataFrame:
+    """Each pixel (``frame, u, v, depth``) with a depth from ``near`` to ``far``, seen from the frame ``offset`` further on.
 
-    ``shift``: (frame offset, du, dv), the pixel motion between the frames; agreement is an
-    error of at most ``absolute + relative * depth``.
+    ``poses``: ``frame, pose``, the camera in the world as a row-major 4x4 array.  Gives ``frame, u, v, depth, offset, to, predicted, pu, pv``:
+    the depth and place in the other frame; the place is null at or behind the camera.  Pairs with a frame without pose have no rows.
+    """
+    there = poses.select(F.col("frame").alias("to"), F.col("pose").alias("_there"))
+    pairs = poses.withColumn("offset", F.explode(F.array(*[F.lit(o).cast("bigint") for o in offsets]))).withColumn("to", F.col("frame") + F.col("offset"))
+    pairs = pairs.join(there, "to").select("frame", "offset", "to", compose(invert_rigid(F.col("_there")), F.col("pose")).alias("_m"))
+    j = px.filter(F.col("depth").between(near, far)).select("frame", "u", "v", "depth").join(bounded(pairs), "frame")
+    at = apply_transform(F.col("_m"), backproject(F.col("u"), F.col("v"), F.col("depth"), k))
+    j = j.select("frame", "u", "v", "depth", "offset", "to", *[c.alias(n) for c, n in zip(at, ("_x", "_y", "predicted"))])
+    pu, pv = project([F.col("_x"), F.col("_y"), F.col("predicted")], k)
+    return j.select("frame", "u", "v", "depth", "offset", "to", "predicted", pu.alias("pu"), pv.alias("pv"))
+
+
+def reprojection_support(px: DataFrame, poses: DataFrame, offsets: list[int], k: tuple[float, float, float, float], size: tuple[int, int], relative: float, absolute: float = 0.04, near: float = 0.1, far: float = 10.0) -> DataFrame:
+    """Every valid pixel against the neighbour frames at ``offsets``: what its surface should measure there, and what is measured.
+
+    Columns of `warp`, ``other`` (the depth at the nearest target pixel) and ``status``: 1 outside the ``size`` (width, height) of the image,
+    2 no valid depth there, 3 both agree within ``absolute + relative * predicted``, 4 they differ.  ``judged``: comparable, and the other frame sees
+    nothing clearly nearer, which would hide the surface and can't contradict it; ``agrees`` is false where nothing can be compared.
+    """
+    width, height = size
+    inside = F.coalesce(F.col("pu").between(0, width - 1) & F.col("pv").between(0, height - 1), F.lit(False))
+    # places outside keep keys of their own, so they spread over the tasks of the join
+    cell = lambda p, own: F.coalesce(F.rint(p).cast("bigint"), F.col(own))
+    ref = warp(px, poses, offsets, k, near, far).withColumns({"_in": inside, "_u": cell("pu", "u"), "_v": cell("pv", "v")})
+    seen = px.filter(F.col("depth").between(near, far)).select(F.col("frame").alias("_f"), F.col("u").alias("_tu"), F.col("v").alias("_tv"), F.col("depth").alias("other"))
+    j = ref.join(seen, F.col("_in") & (F.col("to") == F.col("_f")) & (F.col("_u") == F.col("_tu")) & (F.col("_v") == F.col("_tv")), "left")
+    delta, tolerance = F.col("other") - F.col("predicted"), absolute + relative * F.col("predicted")
+    agrees = F.coalesce(F.abs(delta) <= tolerance, F.lit(False))
+    status = F.when(~F.col("_in"), 1).when(F.col("other").isNull(), 2).when(agrees, 3).otherwise(4)
+    return j.select(*[c for c in ref.columns if not c.startswith("_")], "other", status.alias("status"), agrees.alias("agrees"), F.coalesce(delta >= -tolerance, F.lit(False)).alias("judged"))
+
+
+def reprojection_pairs(support: DataFrame, poses: DataFrame) -> DataFrame:
+    """One row per frame and offset of `reprojection_support`: counts, agreement rate, error percentiles, and how far the camera moved and turned.
+
+    Rate and percentiles are null without a comparable pixel.  A percentile holds the pixels of one image.
     """
-    spark = px.sparkSession
-    moves = spark.createDataFrame(shift, "offset long, du long, dv long")
-    ref = px.filter("depth > 0").select("frame", "u", "v", "depth").join(F.broadcast(moves), F.lit(True))  # a few offsets
-    ref = ref.select("frame", "u", "v", "depth", "offset", (F.col("frame") + F.col("offset")).alias("f2"), (F.col("u") + F.col("du")).alias("u2"), (F.col("v") + F.col("dv")).alias("v2"))
-    other = px.select(F.col("frame").alias("f2"), F.col("u").alias("u2"), F.col("v").alias("v2"), F.col("depth").alias("other"))
-    j = ref.join(other, ["f2", "u2", "v2"])
-    error = F.abs(F.col("depth") - F.col("other"))
-    j = j.withColumn("agrees", error <= absolute + relative * F.col("depth"))
-    # an occluded point lies clearly behind what the neighbour sees: not judged
-    return j.withColumn("judged", F.col("depth") <= F.col("other") + absolute + relative * F.col("depth")).select("frame", "u", "v", "offset", "depth", "other", "agrees", "judged")
+    ok = F.col("status") >= 3
+    error = F.when(ok, F.abs(F.col("other") - F.col("predicted")))
+    share = error / F.greatest(F.col("predicted"), F.lit(1e-6))
+    g = support.groupBy("frame", "offset", "to").agg(
+        F.count(F.lit(1)).alias("valid"), F.count_if(F.col("status") >= 2).alias("in_bounds"), F.count_if(ok).alias("comparable"), F.count_if("agrees").alias("agreeing"), F.count_if("judged").alias("judged"),
+        F.percentile(error, 0.5).alias("median_error"), F.percentile(error, 0.95).alias("p95_error"), F.percentile(share, 0.5).alias("median_relative"), F.percentile(share, 0.95).alias("p95_relative"),
+    )
+    here, there = poses.select("frame", F.col("pose").alias("_a")), poses.select(F.col("frame").alias("to"), F.col("pose").alias("_b"))
+    g = g.join(bounded(here), "frame").join(bounded(there), "to")
+    a, b = F.col("_a"), F.col("_b")
+    g = g.withColumn("rate", F.when(F.col("comparable") > 0, F.col("agreeing") / F.col("comparable")))
+    return g.withColumn("translation", euclid([a[3], a[7], a[11]], [b[3], b[7], b[11]])).withColumn("rotation_deg", rotation_angle_deg(a, b)).drop("to", "_a", "_b")
 
 
 def left_right_consistency(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -331,12 +370,34 @@ def apply_validation(records: DataFrame, report: DataFrame, limit: float) -> Dat
     return j.select("id", F.when(~failed | failed.isNull(), F.col("description")).alias("description"), confidence.alias("confidence"), F.when(failed, "failed_validation").alias("excluded"))
 
 
-def lift_labels(points: DataFrame, px: DataFrame) -> DataFrame:
+def project_cloud(points: DataFrame, poses: DataFrame, k: tuple[float, float, float, float], size: tuple[int, int], radius: float, near: float = 0.2) -> DataFrame:
+    """``frame, u, v, point, depth``: the nearest cloud point at each pixel of each frame; of equally near ones the lowest id.
+
+    ``points``: ``point, x, y, z``; ``poses``: ``frame, pose``.  Points over ``radius`` from a camera in the ground plane, closer than ``near`` in depth
+    or not finite are not seen.  Cameras and points meet over grid cells, so no frame is held against the whole cloud.
+    """
+    cameras = poses.select("frame", "pose", F.col("pose")[3].alias("x"), F.col("pose")[7].alias("y"))
+    finite = reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in "xyz"])  # not a number ranks above infinity
+    j = radius_join(points.select("point", "x", "y", "z").filter(finite), cameras, radius, "xy")
+    at = apply_transform(invert_rigid(F.col("pose")), [F.col(c) for c in "xyz"])
+    j = j.select("frame", "point", *[c.alias(n) for c, n in zip(at, ("cx", "cy", "depth"))])
+    j = j.filter(F.col("depth") > near)
+    u, v = project([F.col("cx"), F.col("cy"), F.col("depth")], k)
+    j = j.select("frame", F.rint(u).cast("bigint").alias("u"), F.rint(v).cast("bigint").alias("v"), "point", "depth")
+    j = j.filter(F.col("u").between(0, size[0] - 1) & F.col("v").between(0, size[1] - 1))
+    return j.groupBy("frame", "u", "v").agg(F.min(F.struct("depth", "point")).alias("_s")).select("frame", "u", "v", "_s.point", "_s.depth")
+
+
+def lift_labels(points: DataFrame, px: DataFrame, poses: DataFrame, k: tuple[float, float, float, float], size: tuple[int, int], radius: float, selected: DataFrame | None = None) -> DataFrame:
     """``record, point, support``: cloud points whose pixel carries a record's label in enough frames.
 
-    ``points``: ``frame, point, u, v``; ``px``: ``frame, u, v, label``.
+    ``px``: ``frame, u, v, label`` (0 is no label); the points come to pixels by `project_cloud`.  ``selected`` (``frame, record``) names the frames that count for a
+    record, else all do.  Enough is a tenth of the frames with a hit, at least 1 and at most 3.
     """
-    hits = points.join(px.filter("label <> 0"), ["frame", "u", "v"]).select("frame", "point", F.col("label").alias("record")).distinct()
+    hits = project_cloud(points, poses, k, size, radius).join(px.filter("label <> 0").select("frame", "u", "v", F.col("label").alias("record")), ["frame", "u", "v"])
+    if selected is not None:
+        hits = hits.join(selected, ["frame", "record"], "left_semi")
+    hits = hits.select("frame", "point", "record").distinct()
     frames = hits.groupBy("record").agg(F.countDistinct("frame").alias("frames"))
     support = hits.groupBy("record", "point").agg(F.count(F.lit(1)).alias("support"))
     least = F.greatest(F.lit(1), F.least(F.lit(3), F.ceil(F.col("frames") * 0.1)))

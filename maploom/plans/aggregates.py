@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maploom.operators import aggregates as A
-from maploom.operators import joins as J
 from maploom.plans import fixtures as fx
 from maploom.plans import query
-from maploom.plans.joins import _MOVES, _SUP
+from maploom.plans.joins import _SUP, support
 from maploom.plans.scalars import K, r6
 
 
@@ -138,7 +137,7 @@ def d13(spark, sf_dir):
 @query("d14_pair_rollup", f"""{_SUP}, s as (select frame, off, count(*) as comparable, sum((abs(depth - other) <= 0.04 + 0.1 * depth)::int) as agree from j group by 1, 2)
 select abs(off)::bigint as gap, round(sum(agree) / sum(comparable), 6) as rate, round(quantile_cont(agree / comparable, 0.5), 6) as median, round(quantile_cont(agree / comparable, 0.05), 6) as p05, round(quantile_cont(frame, 0.5), 6) as dt_median, max(frame) as dt_max from s group by 1""")
 def d14(spark, sf_dir):
-    s = J.reprojection_support(fx.pixels(spark, sf_dir), _MOVES, 0.1)
+    s = support(spark, sf_dir).filter("status >= 3")
     s = s.groupBy("frame", "offset").agg(F.count(F.lit(1)).alias("comparable"), F.count_if("agrees").alias("agree"))
     return rounded(A.pair_rollup(s.withColumn("dt", F.col("frame"))), ["rate", "median", "p05", "dt_median"])
 
@@ -146,7 +145,7 @@ def d14(spark, sf_dir):
 @query("d15_radial_bins", f"""{_SUP}, r as (select case when h < 0.4 then 0 when h < 0.8 then 1 when h < 1.2 then 2 else 3 end::bigint as bin, abs(depth - other) <= 0.04 + 0.1 * depth as ok from (select *, sqrt(pow((u - 32) / 50, 2) + pow((v - 24) / 55, 2)) as h from j))
 select bin, count(*) as comparable, round(avg(ok::int), 6) as agreement from r group by 1""")
 def d15(spark, sf_dir):
-    return rounded(A.radial_bins(J.reprojection_support(fx.pixels(spark, sf_dir), _MOVES, 0.1), K), ["agreement"])
+    return rounded(A.radial_bins(support(spark, sf_dir).filter("status >= 3"), K), ["agreement"])
 
 
 @query("d16_stream_stats", f"""with g as (select *, us - lag(us) over (partition by kind order by seq) as g from ({fx.EVENTS}))
@@ -383,9 +382,8 @@ def d41(spark, sf_dir):
 @query("d42_pair_detection", f"""{_SUP}, s as (select frame, off, avg((abs(depth - other) <= 0.04 + 0.1 * depth)::int) as a, avg((abs(depth * 1.2 - other) <= 0.04 + 0.12 * depth)::int) as b from j where abs(off) = 1 group by 1, 2)
 select frame, off::bigint as neighbour, a - b >= 0.01 as detected from s""")
 def d42(spark, sf_dir):
-    px = fx.pixels(spark, sf_dir)
-    s = J.reprojection_support(px, _MOVES, 0.1).filter("abs(offset) = 1")
-    worse = F.abs(F.col("depth") * 1.2 - F.col("other")) <= 0.04 + 0.12 * F.col("depth")
+    s = support(spark, sf_dir).filter("abs(offset) = 1 and status >= 3")
+    worse = F.abs(F.col("predicted") * 1.2 - F.col("other")) <= 0.04 + 0.12 * F.col("predicted")
     g = s.groupBy("frame", F.col("offset").alias("neighbour")).agg(F.avg(F.col("agrees").cast("double")).alias("a"), F.avg(worse.cast("double")).alias("b"))
     return g.select("frame", "neighbour", (F.col("a") - F.col("b") >= 0.01).alias("detected"))
 
@@ -414,7 +412,7 @@ def d45(spark, sf_dir):
 @query("d46_temporal_reject", f"""{_SUP}, px as (select frame, u, v, count(*) filter (depth <= other + 0.04 + 0.1 * depth) as judged, count(*) filter (depth <= other + 0.04 + 0.1 * depth and abs(depth - other) <= 0.04 + 0.1 * depth) as supported from j group by 1, 2, 3)
 select frame, count(*) as pixels, count(*) filter (judged >= 2 and supported / judged < 0.25) as rejected from px group by 1""")
 def d46(spark, sf_dir):
-    return A.temporal_reject(J.reprojection_support(fx.pixels(spark, sf_dir), _MOVES, 0.1))
+    return A.temporal_reject(support(spark, sf_dir).filter("status >= 3"))
 
 
 @query("d47_geometry_rollup", "with f as (select l_orderkey % 300 as frame, quantile_cont(l_discount, 0.5) as p50, quantile_cont(l_discount, 0.95) as p95, avg((l_tax > 0)::int) as positive, max(l_quantity) as delta from lineitem group by 1) select delta > 49 as skipped, count(*) as frames, round(quantile_cont(p50, 0.5), 6) as p50, round(quantile_cont(p95, 0.5), 6) as p95, count(*) filter (p50 < 0.05 and p95 < 0.098 and positive > 0.85) as passed from f group by 1")
@@ -428,7 +426,8 @@ def d47(spark, sf_dir):
 @query("d28_block_bootstrap")
 def d28(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("value"))
-    return rounded(A.block_bootstrap(o, "g", "i", 25, 40, 3), ["low", "middle", "high"], 4)
+    m = A.block_bootstrap(o, "g", "i", 25, 40, 3).withColumn("stat", F.lit("mean"))
+    return rounded(m.unionByName(A.block_bootstrap(o, "g", "i", 25, 40, 3, "median").withColumn("stat", F.lit("median"))), ["low", "middle", "high"], 4)
 
 
 @query("d32_inventory_summary", """with f as (select page_id, coalesce(regexp_extract(url, '^https?://[^/]*/([a-z]+)/', 1), '') as root, case when contains(url, '.html') then 'html' else '' end as extension, length(url)::bigint as bytes from pages),

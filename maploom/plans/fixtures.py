@@ -94,14 +94,28 @@ TRACKS = "select l_orderkey as frame, l_partkey % 50 as track, max(l_quantity *
 
 
 def pixels(spark, sf_dir) -> DataFrame:
-    """``frame, u, v, depth, label, conf``: one row per pixel, that of the smallest order and part."""
+    """``frame, u, v, depth, label, conf``: one row per pixel, that of the smallest order and part; 7000 orders make seven frames."""
     li = table(spark, sf_dir, "lineitem")
-    p = li.select(F.col("l_linenumber").cast("bigint").alias("frame"), (F.col("l_orderkey") % 64).alias("u"), (F.col("l_partkey") % 48).alias("v"), F.struct(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), (F.col("l_quantity") / 10).alias("depth"), (F.col("l_suppkey") % 5).alias("label"), (F.col("l_discount") * 10).alias("conf")).alias("s"))
+    p = li.select(F.expr("l_linenumber + 7 * (l_orderkey div 7000)").alias("frame"), (F.col("l_orderkey") % 64).alias("u"), (F.col("l_partkey") % 48).alias("v"), F.struct(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), (F.col("l_quantity") / 10).alias("depth"), (F.col("l_suppkey") % 5).alias("label"), (F.col("l_discount") * 10).alias("conf")).alias("s"))
     p = p.groupBy("frame", "u", "v").agg(F.min("s").alias("s"))
     return p.select("frame", "u", "v", "s.depth", "s.label", "s.conf")
 
 
-PIXELS = "select frame, u, v, s.depth as depth, s.label as label, s.conf as conf from (select cast(l_linenumber as bigint) as frame, l_orderkey % 64 as u, l_partkey % 48 as v, min({'o': l_orderkey, 'p': l_partkey, 'depth': l_quantity / 10, 'label': l_suppkey % 5, 'conf': l_discount * 10}) as s from lineitem group by 1, 2, 3)"
+PIXELS = "select frame, u, v, s.depth as depth, s.label as label, s.conf as conf from (select l_linenumber + 7 * (l_orderkey // 7000) as frame, l_orderkey % 64 as u, l_partkey % 48 as v, min({'o': l_orderkey, 'p': l_partkey, 'depth': l_quantity / 10, 'label': l_suppkey % 5, 'conf': l_discount * 10}) as s from lineitem group by 1, 2, 3)"
+
+
+def poses(spark, sf_dir) -> DataFrame:
+    """``frame, pose``: a camera for each pixel frame, which pans, rolls and moves over seven frames and then starts again."""
+    f = table(spark, sf_dir, "lineitem").select(F.expr("l_linenumber + 7 * (l_orderkey div 7000)").alias("frame")).distinct()
+    m = (F.col("frame") % 7).cast("double")
+    a, b = m / 200, m / 100  # tangents of half the angles
+    ca, sa, cb, sb = (1 - a * a) / (1 + a * a), 2 * a / (1 + a * a), (1 - b * b) / (1 + b * b), 2 * b / (1 + b * b)
+    o = F.lit(0.0)
+    return f.select("frame", F.array(cb * ca, -sb, cb * sa, m * 0.02, sb * ca, cb, sb * sa, m * 0.01, -sa, o, ca, m * 0.05, o, o, o, F.lit(1.0)).alias("pose"))
+
+
+POSES = """select frame, m * 0.02 as tx, m * 0.01 as ty, m * 0.05 as tz, (1 - a * a) / (1 + a * a) as ca, 2 * a / (1 + a * a) as sa, (1 - b * b) / (1 + b * b) as cb, 2 * b / (1 + b * b) as sb
+from (select frame, m, m / 200 as a, m / 100 as b from (select distinct l_linenumber + 7 * (l_orderkey // 7000) as frame, ((l_linenumber + 7 * (l_orderkey // 7000)) % 7)::double as m from lineitem))"""
 
 
 def runs(spark, sf_dir) -> DataFrame:

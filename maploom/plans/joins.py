@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from maploom.operators import joins as J
 from maploom.plans import fixtures as fx
 from maploom.plans import query
-from maploom.plans.scalars import r6
+from maploom.plans.scalars import K, r6
 
 
 @query("c1_current_mapping", f"select o_orderkey as local, entity, name from orders join ({fx.ENTITIES}) on o_custkey = entity where not deleted")
@@ -180,15 +180,29 @@ def c17(spark, sf_dir):
     return J.in_graph_flag(o, c.filter("c_acctbal >= 0").select(F.col("c_custkey").alias("label"))).withColumn("x", F.round(F.col("x") / 3, 6))
 
 
-_SUP = f"""with p as ({fx.PIXELS}), m(off, du, dv) as (values (1, 0, 0), (-1, 1, 0), (2, 0, -1)),
-j as (select a.frame, a.u, a.v, m.off, a.depth, b.depth as other from p a, m, p b where b.frame = a.frame + m.off and b.u = a.u + m.du and b.v = a.v + m.dv and a.depth > 0)"""
-_MOVES = [(1, 0, 0), (-1, 1, 0), (2, 0, -1)]
+SIZE, OFFSETS = (64, 48), [1, -1, 2]
 
+#: comparable pixels ``j``: ``depth`` is the one predicted for the other frame; the point goes to the world by one pose and from there to the other camera
+_SUP = f"""with p as ({fx.PIXELS}), t as ({fx.POSES}), c as (select *, (u - 32) * depth / 50 as x, (v - 24) * depth / 55 as y from p where depth between 0.1 and 10),
+w as (select frame, u, v, cb * (ca * x + sa * depth) - sb * y + tx as x, sb * (ca * x + sa * depth) + cb * y + ty as y, ca * depth - sa * x + tz as z from c join t using (frame)),
+b as (select w.frame, w.u, w.v, m.off, w.frame + m.off as f2, cb * (x - tx) + sb * (y - ty) as gx, cb * (y - ty) - sb * (x - tx) as gy, z - tz as gz, ca, sa from w, (values (1), (-1), (2)) m(off), t where t.frame = w.frame + m.off),
+q as (select frame, u, v, off, f2, ca * gx - sa * gz as x, gy as y, sa * gx + ca * gz as z from b), pq as (select *, case when z > 0 then 50 * x / z + 32 end as pu, case when z > 0 then 55 * y / z + 24 end as pv from q),
+l as (select r.frame, r.u, r.v, r.off, r.z as depth, r.f2, coalesce(pu between 0 and 63 and pv between 0 and 47, false) as inside, p.depth as other from pq r left join p on p.depth between 0.1 and 10 and p.frame = r.f2 and p.u = round_even(pu, 0) and p.v = round_even(pv, 0) and pu between 0 and 63 and pv between 0 and 47),
+j as (select * from l where other is not null)"""
 
-@query("c18_reprojection_support", f"""{_SUP} select frame, off::bigint as "offset", count(*) as comparable, sum((abs(depth - other) <= 0.04 + 0.1 * depth)::int)::bigint as agreeing, sum((depth <= other + 0.04 + 0.1 * depth)::int)::bigint as judged from j group by 1, 2""")
+
+def support(spark, sf_dir):
+    return J.reprojection_support(fx.pixels(spark, sf_dir), fx.poses(spark, sf_dir), OFFSETS, K, SIZE, 0.1)
+
+
+@query("c18_reprojection_support", f"""{_SUP}, g as (select frame, off, f2, count(*) as valid, count(*) filter (inside) as in_bounds, count(other) as comparable, count(*) filter (abs(depth - other) <= 0.04 + 0.1 * depth) as agreeing, count(*) filter (depth <= other + 0.04 + 0.1 * depth) as judged,
+quantile_cont(abs(depth - other), 0.5) as m, quantile_cont(abs(depth - other), 0.95) as h, quantile_cont(abs(depth - other) / greatest(depth, 1e-6), 0.5) as rm, quantile_cont(abs(depth - other) / greatest(depth, 1e-6), 0.95) as rh from l group by 1, 2, 3)
+select g.frame, off::bigint as "offset", valid, in_bounds, comparable, agreeing, judged, round(m, 6) as median_error, round(h, 6) as p95_error, round(rm, 6) as median_relative, round(rh, 6) as p95_relative, case when comparable > 0 then round(agreeing / comparable, 6) end as rate,
+round(sqrt(pow(a.tx - b.tx, 2) + pow(a.ty - b.ty, 2) + pow(a.tz - b.tz, 2)), 6) as translation,
+round(degrees(acos((a.cb * a.ca * b.cb * b.ca + a.sb * b.sb + a.cb * a.sa * b.cb * b.sa + a.sb * a.ca * b.sb * b.ca + a.cb * b.cb + a.sb * a.sa * b.sb * b.sa + a.sa * b.sa + a.ca * b.ca - 1) / 2)), 6) as rotation_deg from g join t a on a.frame = g.frame join t b on b.frame = f2""")
 def c18(spark, sf_dir):
-    s = J.reprojection_support(fx.pixels(spark, sf_dir), _MOVES, 0.1)
-    return s.groupBy("frame", "offset").agg(F.count(F.lit(1)).alias("comparable"), F.sum(F.col("agrees").cast("bigint")).alias("agreeing"), F.sum(F.col("judged").cast("bigint")).alias("judged"))
+    g = J.reprojection_pairs(support(spark, sf_dir), fx.poses(spark, sf_dir))
+    return g.withColumns({c: F.round(c, 6) for c in ("median_error", "p95_error", "median_relative", "p95_relative", "rate", "translation", "rotation_deg")})
 
 
 @query("c19_left_right_consistency", f"""with p as (select frame, u, v, depth * 1.5 as d from ({fx.PIXELS})), x as (select *, u - d as w from p),
@@ -225,19 +239,15 @@ def c22(spark, sf_dir):
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-_PROJ = f"(select id as point, f.frame, round_even(20 * x / (z + 20) + 32, 0)::bigint as u, round_even(20 * y / (z + 20) + 24 + f.frame, 0)::bigint as v from ({fx.POINTS}), (select distinct frame from ({fx.PIXELS})) f)"
-
-
-@query("c23_lift_labels", f"""with h as (select distinct q.frame, point, label as record from {_PROJ} q join ({fx.PIXELS}) p on p.frame = q.frame and p.u = q.u and p.v = q.v where label <> 0),
+@query("c23_lift_labels", f"""with t as ({fx.POSES}), w as (select id as point, frame, cb * (x - tx) + sb * (y - ty) as gx, cb * (y - ty) - sb * (x - tx) as gy, z + 20 - tz as gz, ca, sa from ({fx.POINTS}), t where sqrt(pow(x - tx, 2) + pow(y - ty, 2)) <= 2),
+c as (select point, frame, ca * gx - sa * gz as x, gy as y, sa * gx + ca * gz as z from w), r as (select *, round_even(200 * x / z + 32, 0)::bigint as u, round_even(200 * y / z + 24, 0)::bigint as v from c where z > 0.2),
+q as (select frame, u, v, arg_min(point, {{'z': z, 'point': point}}) as point from r where u between 0 and 63 and v between 0 and 47 group by 1, 2, 3),
+h as (select distinct q.frame, point, label as record from q join ({fx.PIXELS}) p on p.frame = q.frame and p.u = q.u and p.v = q.v where label <> 0),
 f as (select record, count(distinct frame) as frames from h group by 1), s as (select record, point, count(*) as support from h group by 1, 2)
 select record, point, support from s join f using (record) where support >= greatest(1, least(3, ceil(frames * 0.1)))""")
 def c23(spark, sf_dir):
-    px = fx.pixels(spark, sf_dir)
-    frames = px.select("frame").distinct()
-    pts = fx.points(spark, sf_dir).select(F.col("id").alias("point"), "x", "y", "z").join(F.broadcast(frames), F.lit(True))  # seven frames
-    at = lambda c, o: F.rint(20 * F.col(c) / (F.col("z") + 20) + o).cast("bigint")
-    pts = pts.select("frame", "point", at("x", 32).alias("u"), at("y", 24 + F.col("frame")).alias("v"))
-    return J.lift_labels(pts, px)
+    pts = fx.points(spark, sf_dir).select(F.col("id").alias("point"), "x", "y", (F.col("z") + 20).alias("z"))
+    return J.lift_labels(pts, fx.pixels(spark, sf_dir), fx.poses(spark, sf_dir), (200.0, 200.0, 32.0, 24.0), SIZE, 2.0)
 
 
 @query("c24_carry_forward", f"""with f as (select key as scene, seq as frame, kind in ('view', 'click') as fresh, row_number() over (partition by key order by seq) as o from ({fx.EVENTS})),
