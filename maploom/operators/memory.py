@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from maploom.operators.graphs import connected_components
 from maploom.operators.joins import radius_join
 from maploom.operators.merging import merge_entities
-from maploom.operators.sequences import last_version_asof
+
 
 def merge_entities_blocked(observations: DataFrame, distance: float) -> DataFrame:
     """Order-free form for maps too large for one task: observations of a label that chains of short steps connect."""
@@ -87,30 +87,12 @@ def entity_snapshot(entities: DataFrame, aliases: DataFrame, obs: DataFrame) ->
     return entities.join(al, "entity", "left").join(ob, "entity", "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
 
 
-def apply_edits(entities: DataFrame, edits: DataFrame) -> DataFrame:
-    """New state of every entity after one edit each (``entity, verb, value``), and errors for unknown or deleted ones."""
-    j = entities.join(edits, "entity", "full")
-    bad = F.col("verb").isNotNull() & (F.col("name").isNull() | F.col("deleted"))
-    rename = F.col("verb") == "rename"
-    return j.select(
-        "entity", F.when(rename & ~bad, F.col("value")).otherwise(F.col("name")).alias("name"), F.coalesce((rename & ~bad) | F.col("locked"), F.col("locked"), F.lit(False)).alias("locked"),
-        (F.coalesce((F.col("verb") == "delete") & ~bad, F.lit(False)) | F.coalesce("deleted", F.lit(False))).alias("deleted"),
-        F.when(rename & ~bad, F.col("name")).when((F.col("verb") == "alias") & ~bad, F.col("value")).alias("new_alias"), F.when(bad, "unknown_or_deleted").alias("error"),
-    )
-
-
 def advance_revision(revisions: DataFrame) -> DataFrame:
     """One more row: the next revision, with its parent."""
     top = revisions.agg(F.max("revision").alias("parent"))
     return revisions.unionByName(top.select((F.col("parent") + 1).alias("revision"), "parent"))
 
 
-def rollback_to(entities: DataFrame, versions: DataFrame, revision: int) -> DataFrame:
-    """Each entity as of ``revision``; those that had no version then become tombstones."""
-    v = last_version_asof(versions, revision).select("entity", F.col("revision").alias("from_revision"), F.col("status").alias("restored"))
-    return entities.select("entity").join(v, "entity", "left").withColumn("deleted", F.col("from_revision").isNull())
-
-
 def time_origin(obs: DataFrame, key: str, us: str, contract: int | None = None) -> DataFrame:
     """``origin`` (the contract's, else the first observation) and ``early``, the observations before it."""
     origin = F.min(us) if contract is None else F.lit(contract)

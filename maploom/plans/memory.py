@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maploom.operators import edits as E
 from maploom.operators import memory as M
 from maploom.operators import merging as ME
 from maploom.plans import fixtures as fx
@@ -98,17 +99,50 @@ def m9(spark, sf_dir):
     return M.entity_snapshot(fx.entities(spark, sf_dir), al, fx.versions(spark, sf_dir))
 
 
-_ED = "(select c_custkey as entity, case c_custkey % 3 when 0 then 'rename' when 1 then 'alias' else 'delete' end as verb, 'n' || c_custkey as value from customer where c_custkey % 4 = 0 union all select 10000000, 'rename', 'x')"
+_TIME = f"(us - {fx.ORIGIN_US})"
+_ED = f"""select key * 3 as entity, 1 + {_TIME} // 864000000000 as revision, us, seq, case when seq % 97 = 0 then 'delete' when seq % 3 = 0 then 'rename' when seq % 89 = 0 then 'recolour' else 'alias' end as verb,
+trim(case when seq % 31 = 0 then '  ' else kind || case when seq % 7 = 0 then ' ' else (k % 4)::varchar end end) as value from ({fx.EVENTS})"""
+_LOG = f"""j as (select d.*, name as n0, coalesce(locked, false) as l0, coalesce(e.deleted, false) as d0, (verb = 'delete' or (verb in ('rename', 'alias') and value <> '')) as sound from ({_ED}) d left join ({fx.ENTITIES}) e using (entity)),
+g as (select *, case when not sound then 'invalid' when n0 is null or d0 or coalesce(bool_or(sound and verb = 'delete') over (partition by entity order by us, seq rows between unbounded preceding and 1 preceding), false) then 'unknown_or_deleted' end as error from j),
+h as (select *, case when error is null and verb = 'rename' then value end as new from g),
+i as (select *, coalesce(last_value(new ignore nulls) over (partition by entity order by us, seq rows between unbounded preceding and 1 preceding), n0) as old from h),
+log as (select entity, revision, us, seq, case when error is null then case verb when 'rename' then 'user_name' when 'alias' then 'user_alias' else 'entity_deleted' end end as action, error, coalesce(last_value(new ignore nulls) over w, n0) as name,
+l0 or bool_or(new is not null) over w as locked, d0 or bool_or(error is null and verb = 'delete') over w as deleted, case when lower(old) <> lower(new) then old when error is null and verb = 'alias' then value end as added_alias, case when verb = 'rename' then 'previous_name' else 'user' end as src
+from i window w as (partition by entity order by us, seq rows between unbounded preceding and current row))"""
 
 
-@query("m10_apply_edits", f"""with j as (select entity, name, locked, deleted, verb, value, verb is not null and (name is null or deleted) as bad from ({fx.ENTITIES}) full join {_ED} using (entity))
-select entity, case when verb = 'rename' and not bad then value else name end as name, coalesce((verb = 'rename' and not bad) or locked, locked, false) as locked, coalesce(verb = 'delete' and not bad, false) or coalesce(deleted, false) as deleted, case when verb = 'rename' and not bad then name when verb = 'alias' and not bad then value end as new_alias, case when bad then 'unknown_or_deleted' end as error from j""")
+def _edits(spark, sf_dir):
+    e = fx.events(spark, sf_dir)
+    s = F.col("seq")
+    verb = F.when(s % 97 == 0, "delete").when(s % 3 == 0, "rename").when(s % 89 == 0, "recolour").otherwise("alias")
+    value = F.when(s % 31 == 0, "  ").otherwise(F.concat("kind", F.when(s % 7 == 0, " ").otherwise((F.col("k") % 4).cast("string"))))
+    return e.select((F.col("key") * 3).alias("entity"), F.expr(f"1 + {_TIME} div 864000000000").alias("revision"), "us", "seq", verb.alias("verb"), value.alias("value"))
+
+
+def _edit_log(spark, sf_dir):
+    return E.edit_log(fx.entities(spark, sf_dir), _edits(spark, sf_dir))
+
+
+def _no_aliases(spark):
+    return spark.createDataFrame([], "entity long, alias string, source string, us long, seq long, epoch long")
+
+
+@query("m10_apply_edits", f"with {_LOG} select entity, revision, us, seq, action, error, name, locked, deleted, added_alias, case when added_alias is not null then src end as alias_source from log")
 def m10(spark, sf_dir):
-    e = fx.entities(spark, sf_dir)
-    verb = F.when(F.col("entity") % 3 == 0, "rename").when(F.col("entity") % 3 == 1, "alias").otherwise("delete")
-    ed = e.filter("entity % 4 = 0").select("entity", verb.alias("verb"), F.concat(F.lit("n"), F.col("entity").cast("string")).alias("value"))
-    ed = ed.unionByName(spark.createDataFrame([(10000000, "rename", "x")], "entity long, verb string, value string"))
-    return M.apply_edits(e, ed)
+    return _edit_log(spark, sf_dir).drop("epoch")
+
+
+@query("m10_edited_entities", f"""with {_LOG}, s as (select * from log where error is null qualify row_number() over (partition by entity order by us desc, seq desc) = 1),
+f as (select entity, added_alias || ':' || src as alias from log where added_alias is not null qualify row_number() over (partition by entity, lower(added_alias) order by us, seq) = 1), a as (select entity, string_agg(alias, ',' order by alias) as aliases from f group by 1)
+select e.entity, coalesce(s.name, e.name) as name, coalesce(s.locked, e.locked) as locked, coalesce(s.deleted, e.deleted) as deleted, s.us as updated_us, aliases from ({fx.ENTITIES}) e left join s using (entity) left join a using (entity)""")
+def m10_entities(spark, sf_dir):
+    log = _edit_log(spark, sf_dir)
+    a = E.edited_aliases(_no_aliases(spark), log)
+    return E.edited_entities(fx.entities(spark, sf_dir), log).join(_alias_lists(a), "entity", "left")
+
+
+def _alias_lists(a):
+    return a.groupBy("entity").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "alias", "source"))), ",").alias("aliases"))
 
 
 @query("m11_advance_revision", f"select distinct revision, revision - 1 as parent from ({fx.VERSIONS}) union all select max(revision) + 1, max(revision) from ({fx.VERSIONS})")
@@ -117,9 +151,36 @@ def m11(spark, sf_dir):
     return M.advance_revision(r)
 
 
-@query("m12_rollback_to", f"with v as (select entity, revision, status from ({fx.VERSIONS}) where revision <= 4 qualify row_number() over (partition by entity order by revision desc, us desc, seq desc) = 1) select entity, revision as from_revision, status as restored, revision is null as deleted from ({fx.ENTITIES}) left join v using (entity)")
+_BACK = f"""{_LOG}, v as (select entity, 0 as revision, 1 as us, 0 as seq, name, locked, deleted from ({fx.ENTITIES}) where entity % 10 <> 3 union all select entity, revision, us, seq, name, locked, deleted from log where error is null),
+snap as (select * from v where revision <= 2 qualify row_number() over (partition by entity order by revision desc, us desc, seq desc) = 1), al as (select entity, added_alias as alias, src, us, seq from log where added_alias is not null qualify row_number() over (partition by entity, lower(added_alias) order by us, seq) = 1)"""
+
+
+def _rollback(spark, sf_dir):
+    """Back to revision 2 of 4; entities were created at revision 0, but for every tenth, which has only the versions of its edits."""
+    e, log = fx.entities(spark, sf_dir), _edit_log(spark, sf_dir)
+    zero = F.lit(0).cast("bigint")
+    made = e.filter("entity % 10 <> 3").select("entity", zero.alias("revision"), F.lit(1).cast("bigint").alias("us"), zero.alias("seq"), F.lit("create").alias("action"), "name", "locked", "deleted", zero.alias("epoch"))
+    revisions = spark.range(5).select(F.col("id").alias("revision"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), (F.col("id") + 1).alias("us"), F.lit("step").alias("reason"))
+    return E.rollback(E.edited_entities(e, log), E.edited_aliases(_no_aliases(spark), log), made.unionByName(E.log_versions(log)), revisions, 2, 2 * fx.ORIGIN_US)
+
+
+@query("m12_rollback_to", f"""with {_BACK}, s as (select * from log where error is null qualify row_number() over (partition by entity order by us desc, seq desc) = 1),
+b as (select al.entity, alias || ':' || case when snap.entity is null then src else 'rollback' end as alias from al left join snap using (entity) where snap.entity is null or al.us < snap.us or (al.us = snap.us and al.seq <= snap.seq)), l as (select entity, string_agg(alias, ',' order by alias) as aliases from b group by 1)
+select e.entity, snap.revision as from_revision, case when snap.entity is null then coalesce(s.name, e.name) else snap.name end as name, case when snap.entity is null then coalesce(s.locked, e.locked) else snap.locked end as locked, coalesce(snap.deleted, true) as deleted, {2 * fx.ORIGIN_US}::bigint as updated_us, aliases
+from ({fx.ENTITIES}) e left join snap using (entity) left join s using (entity) left join l using (entity)""")
 def m12(spark, sf_dir):
-    return M.rollback_to(fx.entities(spark, sf_dir), fx.versions(spark, sf_dir), 4)
+    r = _rollback(spark, sf_dir)
+    return r["entities"].join(_alias_lists(r["aliases"]), "entity", "left")
+
+
+@query("m12_rollback_log", f"""with {_BACK} select 'revision' as kind, 5::bigint as revision, 4::bigint as parent, null as entity, null as action, 'rollback_to_2' as reason union all select 'audit', 5, null, null, 'advance_revision', 'rollback_to_2'
+union all select unnest(['audit', 'version']), 5, null, entity, 'rollback_restore', null from snap where entity in (select entity from ({fx.ENTITIES}))""")
+def m12_log(spark, sf_dir):
+    r = _rollback(spark, sf_dir)
+    parts = [r["revisions"].withColumn("kind", F.lit("revision")), r["audit"].withColumn("kind", F.lit("audit")), r["versions"].withColumn("kind", F.lit("version"))]
+    kinds = {"kind": "string", "revision": "bigint", "parent": "bigint", "entity": "bigint", "action": "string", "reason": "string"}
+    parts = [p.select(*[p[c] if c in p.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]) for p in parts]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("m13_time_origin", f"select key, {fx.ORIGIN_US + 86400000000} as origin, count(*) filter (us < {fx.ORIGIN_US + 86400000000}) as early from ({fx.EVENTS}) group by 1")
