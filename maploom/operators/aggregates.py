@@ -517,7 +517,7 @@ def temporal_reject(support: DataFrame, least: int = 2, share: float = 0.25) ->
     return px.groupBy("frame").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(bad).alias("rejected"))
 
 
-def _positions(values: DataFrame, group: str, order: str) -> DataFrame:
+def positions(values: DataFrame, group: str, order: str) -> DataFrame:
     """``group, _i, _n, value``: places by ``order`` in each group, counted over ranges, so that no task holds a group."""
     v = values.filter("value is not null").select(group, order, "value")
     v = stored(v.repartitionByRange(group, order, "value").withColumn("_p", F.spark_partition_id()), "ranges")
@@ -598,7 +598,7 @@ def block_bootstrap(values: DataFrame, group: str, order: str, length: int, repl
     """
     if length < 1 or stat not in ("mean", "median"):
         raise ValueError("length must be positive, stat mean or median")
-    v = _positions(values, group, order)
+    v = positions(values, group, order)
     draws = v.groupBy(group).agg(F.max("_n").alias("_n")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     draws = draws.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("_n") / length))))
     draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), group, "replicate", "draw"), F.col("_n")))

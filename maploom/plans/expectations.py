@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions.geometry import quat_to_matrix
 from maploom.operators import expectations as X
+from maploom.operators import faults as FA
 from maploom.operators import gates as G
 from maploom.operators import trajectories as TR
 from maploom.plans import fixtures as fx
@@ -220,6 +221,38 @@ def j10(spark, sf_dir):
     return rounded(X.detection_by_dose(fx.events(spark, sf_dir), [0, 5, 20, 80], "value", 120.0), ["detected"])
 
 
+@query("j10_stereo_offset", f"""select d as dose, count(*) as eligible, (abs(d) >= 1)::int::double as detection_rate, round(avg((k * 1000.0 + seq % 7) / 1e6 + d), 6) as mean_signed_ms, abs(d)::double as effect, true as passed
+from ({fx.EVENTS}), (values (-20::bigint), (-10), (-5), (-2), (2), (5), (10), (20)) t(d) group by 1""")
+def j10_stereo(spark, sf_dir):
+    e = fx.events(spark, sf_dir).select((F.col("us") * 1000).alias("a_ns"), (F.col("us") * 1000 + F.col("k") * 1000 + F.col("seq") % 7).alias("b_ns"))
+    return rounded(FA.time_offset_report(FA.inject_time_offset(e)), ["mean_signed_ms"])
+
+
+_TRACKED = f"(select case when local % 50 = 0 then 'p' || (local % 20) else 's' || entity || '_' || (seq % 3) end as local, entity, us from ({fx.OBSERVATIONS}))"
+
+
+@query("j10_permute_ids", f"""with o as {_TRACKED}, c as (select floor(quantile_cont(us, 0.5)) as cut from o), s as (select local, row_number() over (order by count(*) desc, local) - 1 as i from o group by 1 having count(distinct entity) = 1),
+m as (select d, a.local, case when d = 1 then a.local || ':permuted' else b.local end as new from (values (1), (3), (5)) t(d), s a, s b where a.i < d and b.i = (a.i + 1) % d),
+r as (select t.d, coalesce(new, o.local) as local, entity, new is not null as hit from o, c, (values (0), (1), (3), (5)) t(d) left join m on m.d = t.d and m.local = o.local and us > cut),
+l as (select d, local, count(distinct entity) as k from r group by 1, 2), e as (select d, entity, count(distinct local) as k from r group by 1, 2),
+g as (select d, count(*) as local_ids, count(*) filter (k > 1) as local_conflicts from l group by 1), h as (select d, count(*) as entities, count(*) filter (k > 1) as entity_splits from e group by 1), n as (select d, count(*) filter (hit) as eligible from r group by 1)
+select d::bigint as dose, local_ids, entities, local_conflicts, entity_splits, eligible, (eligible > 0)::int::double as detection_rate, local_conflicts + entity_splits - (select local_conflicts from g where d = 0) - (select entity_splits from h where d = 0) as effect, d < 3 or eligible > 0 as passed
+from g join h using (d) join n using (d)""")
+def j10_permute(spark, sf_dir):
+    o = fx.observations(spark, sf_dir)
+    local = F.when(F.col("local") % 50 == 0, F.concat(F.lit("p"), F.col("local") % 20)).otherwise(F.concat(F.lit("s"), "entity", F.lit("_"), F.col("seq") % 3))
+    return FA.permute_ids(o.select(local.alias("local"), "entity", "us"))
+
+
+@query("j10_offset_positions", f"""with c as (select entity, local, us, confidence as centre, z / 40 as gap from ({fx.OBSERVATIONS}) where seq % 9 <> 0 qualify row_number() over (partition by entity, local, us order by seq desc) = 1),
+r as (select d, (centre <= 0.75 or gap <= 0.15) and not (centre + d <= 0.75 or gap + d <= 0.15) as lost from c, (values (0.1::double), (0.3), (0.6)) t(d))
+select d as dose, count(*) as eligible, 1.0::double as detection_rate, count(*) filter (lost) as rejected, round(avg(lost::int), 6) as effect, true as passed from r group by 1""")
+def j10_offset(spark, sf_dir):
+    o = fx.observations(spark, sf_dir)
+    c = o.select("entity", F.col("local").alias("node"), "us", "seq", (F.col("seq") % 9 != 0).alias("accepted"), F.col("confidence").alias("centre"), (F.col("z") / 40).alias("gap"), F.lit(0.75).alias("most_centre"), F.lit(0.15).alias("most_gap"))
+    return rounded(FA.offset_positions(c), ["effect"])
+
+
 _FRAME_PROBLEM = "case when o_orderkey % 5 = 0 then 'missing' when o_orderkey % 19 = 0 then 'time_differs' when o_orderkey % 11 = 0 then 'configuration_differs' when o_orderkey % 7 = 0 then 'digest_differs' when o_orderkey % 13 = 0 then 'dtype_differs' when o_orderkey % 17 = 0 then 'shape_differs' end"
 
 
