@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from maploom.sources.tables import dealt
+
 
 def gaps(df: DataFrame, key: str, t: str) -> DataFrame:
     return df.withColumn("gap", F.col(t) - F.lag(t).over(W.partitionBy(key).orderBy(t)))
@@ -184,21 +188,26 @@ def trajectory_samples(traj: DataFrame, key: str, start: float, end: float, n: i
 
 
 def size_batches(records: DataFrame, key: str, order: str, size: str, least: float) -> DataFrame:
-    """Adds ``batch``: rows gather until their sizes reach ``least``, then a new batch starts."""
+    """Adds ``batch``: rows gather until their sizes reach ``least``, then a new batch starts.
 
-    def start():
-        def go(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, total, n = [], 0.0, 0
-            for s in pdf[size]:
+    Keys follow each other through a task, so a key costs its rows and none is held whole.
+    """
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, n = object(), 0.0, 0
+        for batch in batches:
+            out = []
+            for k, s in zip(batch.column(key).to_pylist(), batch.column("_s").to_pylist()):
+                if k != now:
+                    now, total, n = k, 0.0, 0
                 out.append(n)
-                total += s
+                total += math.nan if s is None else s
                 if total >= least:
                     total, n = 0.0, n + 1
-            return pdf.assign(batch=out)[[key, order, "batch"]]
-
-        return go
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), pa.array(out, pa.int64())], names=[key, order, "batch"])
 
-    return ordered_fold(records, key, [order], f"{key} long, {order} long, batch long", start)
+    r = dealt(records.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(size).cast("double").alias("_s")), key)
+    return r.sortWithinPartitions(key, order).mapInArrow(fill, f"{key} long, {order} long, batch long")
 
 
 def fault_runs(frames: DataFrame, key: str, t: str, k: int) -> DataFrame:
