@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from maploom.functions.geometry import euclid
 from maploom.operators.graphs import connected_components
-from maploom.operators.joins import radius_join
 from maploom.operators.merging import merge_entities
+from maploom.sources.tables import bounded, stored
+
+
+#: Most places of a label that are compared with each other without a grid.
+FEW = 256
 
 
 def merge_entities_blocked(observations: DataFrame, distance: float) -> DataFrame:
-    """Order-free form for maps too large for one task: observations of a label that chains of short steps connect."""
-    a = observations.select("seq", "label", "x", "y", "z").withColumn("g", (F.abs(F.hash("label")) % 1000) * 1e6)
-    # a label offset on a fourth axis keeps labels apart in the same grid join
-    b = a.select(F.col("seq").alias("other"), F.col("label").alias("label2"), "x", "y", "z", "g")
-    pairs = radius_join(a, b, distance, "xyzg").filter("label = label2")
-    return connected_components(pairs.select(F.col("seq").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("seq"), F.col("component").alias("entity"))
+    """Order-free form for maps too large for one task: observations of a label that chains of short steps connect.
+
+    Observations at one place are linked to the first of them and take no further part.  The places of a label with few are compared directly;
+    those of others over grid cells, each pair from one side, so few copies of a row travel.
+    """
+    finite = reduce(lambda a, b: a & b, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in "xyz"])  # not a number ranks above infinity
+    o = observations.select("seq", "label", "x", "y", "z").filter(finite & F.col("label").isNotNull())
+    places = stored(o.groupBy("label", "x", "y", "z").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("_n")), "places")
+    shared = places.filter("_n > 1").drop("_n")
+    members = o.join(shared, ["label", "x", "y", "z"]).filter("seq <> first").select(F.col("seq").alias("a"), F.col("first").alias("b"))
+    p = places.drop("_n")
+    many = stored(p.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > FEW).select("label"), "many")
+    few, rest = p.join(bounded(many), "label", "left_anti"), p.join(bounded(many), "label", "left_semi")
+    other = lambda d: d.select("label", F.col("first").alias("other"), *[F.col(c).alias(f"_{c}") for c in "xyz"])
+    width = 2 * distance
+    cells = rest.withColumns({f"_c{c}": F.floor(F.col(c) / width) for c in "xyz"})
+    around = other(rest)
+    for c in "xyz":
+        around = around.withColumn(f"_c{c}", F.explode(F.sequence(F.floor((F.col(f"_{c}") - distance) / width), F.floor((F.col(f"_{c}") + distance) / width))))
+    pairs = [few.join(other(few), "label"), cells.join(around, ["label", *[f"_c{c}" for c in "xyz"]])]
+    near = F.col("first") < F.col("other"), euclid([F.col(c) for c in "xyz"], [F.col(f"_{c}") for c in "xyz"]) <= distance
+    links = [j.filter(near[0] & near[1]).select(F.col("first").alias("a"), F.col("other").alias("b")) for j in pairs]
+    found = connected_components(links[0].unionByName(links[1]).unionByName(members)).withColumnRenamed("node", "seq")
+    return o.select("seq").distinct().join(found, "seq", "left").select("seq", F.coalesce("component", "seq").alias("entity"))
 
 
 def merge_events(merged: DataFrame) -> DataFrame:
