@@ -542,9 +542,10 @@ def _replicate_sums(v: DataFrame, draws: DataFrame, group: str, length: int, col
     r = r.select(group, "_k", "_i", "_n", *cols, *[F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(f"_c{c}") for c in cols])
     r = r.select(group, "_k", "_i", "_n", *[(F.lead(f"_c{c}", length - 1).over(w) - F.col(f"_c{c}") + F.col(c)).alias(c) for c in cols])
     blocks = r.filter((F.col("_i") < F.col("_n")) & (F.floor(F.col("_i") / span) == F.col("_k"))).select(group, F.col("_i").alias("start"), *cols)
-    whole = draws.filter(F.col("len") == length).join(blocks, [group, "start"]).select(group, "replicate", *cols)
+    # draws are exploded from a row a group, so their size is underrated: they are shuffled, never sent through the driver
+    whole = draws.hint("merge").filter(F.col("len") == length).join(blocks, [group, "start"]).select(group, "replicate", *cols)
     cut = draws.filter(F.col("len") < length).select(group, "replicate", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)).alias("_at"), "_n")
-    cut = cut.select(group, "replicate", F.pmod("_at", "_n").alias("_i")).join(v.select(group, "_i", *cols), [group, "_i"]).select(group, "replicate", *cols)
+    cut = cut.select(group, "replicate", F.pmod("_at", "_n").alias("_i")).hint("merge").join(v.select(group, "_i", *cols), [group, "_i"]).select(group, "replicate", *cols)
     return whole.unionByName(cut).groupBy(group, "replicate").agg(*[F.sum(c).alias(c) for c in cols])
 
 
@@ -581,8 +582,8 @@ def _replicate_medians(v: DataFrame, draws: DataFrame, group: str, length: int,
     bin_ = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col("value")).cast("int") + (c <= F.col("value")).cast("int"))
     found = v.join(bounded(cuts), group).select(group, "_i", "_n", "value", bin_.alias("bin")).join(bounded(open_.select(group, "bin").distinct()), [group, "bin"], "left_semi")
     found = found.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(length), F.col("_n")) - 1))).withColumn("start", F.pmod(F.col("_i") - F.col("_d"), F.col("_n")))
-    picks = draws.select(group, "replicate", "start", "len").join(open_, [group, "replicate"])
-    hit = picks.join(found.select(group, "bin", "start", "_d", "value"), [group, "bin", "start"]).filter(F.col("_d") < F.col("len"))
+    picks = draws.select(group, "replicate", "start", "len").join(bounded(open_), [group, "replicate"])
+    hit = picks.hint("merge").join(found.select(group, "bin", "start", "_d", "value"), [group, "bin", "start"]).filter(F.col("_d") < F.col("len"))
     hit = hit.groupBy(group, "replicate", "k", "rank", "value").agg(F.count(F.lit(1)).alias("_w"))
     upto = F.sum("_w").over(W.partitionBy(group, "replicate", "k").orderBy("value"))
     exact = hit.withColumn("_u", upto).filter(F.col("_u") > F.col("rank")).groupBy(group, "replicate", "k").agg(F.min("value").alias("known"))

@@ -47,3 +47,15 @@ def test_empty_and_wrong(spark):
     assert A.block_bootstrap(df, "g", "i", 5, 10, 1, "median").count() == 0
     with pytest.raises(ValueError):
         A.block_bootstrap(df, "g", "i", 0, 10, 1)
+
+
+def test_draws_are_not_sent_through_the_driver(spark):
+    """Draws are exploded from a row a group: taken for small, they were broadcast, though they grow with the table."""
+    v = spark.createDataFrame([("g", i, 9, float(i)) for i in range(9)], "g string, _i long, _n long, value double")
+    draws = v.groupBy("g").agg(F.max("_n").alias("_n")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(5)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    draws = draws.withColumns({"start": (F.col("replicate") + F.col("draw")) % 9, "len": F.when(F.col("draw") < 3, 4).otherwise(1)})
+    sums = A._replicate_sums(v, draws, "g", 4, ["value"])
+    assert "Broadcast" not in sums._jdf.queryExecution().executedPlan().toString()
+    start = lambda r, d: (r + d) % 9
+    want = {r: sum((start(r, d) + i) % 9 for d in (1, 2, 3) for i in range(4 if d < 3 else 1)) for r in range(1, 6)}
+    assert {r.replicate: r.value for r in sums.collect()} == want
