@@ -358,9 +358,12 @@ def qualified_tracks(obs: DataFrame, least: int, prompted: DataFrame | None = No
 
 def greedy_frame_cover(obs: DataFrame, least: int = 2, batch: int = 64) -> DataFrame:
     """Frames that show every qualified track: ``task, pick, frame, track, batch``; the frame with most new tracks first, the earliest of equals."""
-    use = obs.join(qualified_tracks(obs, least), ["task", "track"]).select("task", "frame", "track").distinct()
+    use = obs.select("task", "frame", "track", "depth_valid").dropna(subset=["task", "frame", "track"])
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:
+        # as in `qualified_tracks`, but in the task that has the rows anyway
+        seen = pdf.groupby("track").agg(frames=("frame", "nunique"), depth=("depth_valid", lambda d: (d == True).any()))  # noqa: E712
+        pdf = pdf[pdf["track"].isin(seen.index[(seen["frames"] >= least) & seen["depth"]])]
         frames = {f: set(g) for f, g in sorted(pdf.groupby("frame")["track"])}
         left, out, n = set(pdf["track"]), [], 0
         while left:
