@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,8 +39,11 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grid(queries: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
-    """(queries and records by ``_i, _j``, blocks of both that each meet once; the scores of vectors that aren't plain; the dimension)."""
+def _grid(queries: DataFrame, records: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None, int]:
+    """(queries and records by ``_i, _j``, blocks of both that each meet once; the scores of vectors that aren't plain; the dimension).
+
+    ``most`` queries of a block and no more blocks of records than tasks, for steps that leave something for each query and block.
+    """
     spark = records.sparkSession
     taken = "own" in queries.columns
     q = queries.select("query", *[F.col("own").alias("_own")] * taken, "embedding")
@@ -57,6 +60,9 @@ def _grid(queries: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame,
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     across = max(1, math.ceil(sizes[1] / QUERIES))
     down = max(1, math.ceil(n[0] / RECORDS), min(math.ceil(n[0] / 1024), math.ceil(2 * tasks / across)))
+    if most:
+        across = max(1, math.ceil(sizes[1] / most), min(math.ceil(sizes[1] / 512), math.ceil(math.sqrt(tasks))))
+        down = max(1, min(math.ceil(n[0] / 1024), math.ceil(tasks / across)))
     block = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     q = q.filter(_plain(F.col("embedding"), dim)).withColumn("_i", block("query", across)).withColumn("_j", every(down))
@@ -220,22 +226,32 @@ def _binned(scored: DataFrame, group: list[str], score: str) -> tuple[DataFrame,
     place = F.when(wide, F.least(F.floor((F.col("_x") - F.col("_min")) / (F.col("_max") - F.col("_min")) * BINS), F.lit(BINS - 1))).otherwise(0)
     s = s.join(bounded(ends), group).select(*group, "_x", place.cast("int").alias("_b"))
     h = s.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    return s, stored(_summed(h, group), "score-bins")
+
+
+def _summed(h: DataFrame, group: list[str]) -> DataFrame:
+    """Bins with the counts and sums before them and over all."""
     upto, whole = W.partitionBy(*group).orderBy("_b"), W.partitionBy(*group)
     h = h.withColumns({"_i1": F.sum("_n").over(upto), "_s1": F.sum("_s").over(upto), "_all": F.sum("_n").over(whole), "_total": F.sum("_s").over(whole), "_next": F.lead("_lo").over(upto)})
-    return s, stored(h.withColumns({"_i0": F.col("_i1") - F.col("_n"), "_s0": F.col("_s1") - F.col("_s")}), "score-bins")
+    return h.withColumns({"_i0": F.col("_i1") - F.col("_n"), "_s0": F.col("_s1") - F.col("_s")})
 
 
 def exact_percentile(scored: DataFrame, group: list[str], score: str, percent: float) -> DataFrame:
     """``group, value``: the interpolated percentile; only the one or two bins that hold its ranks are sorted."""
     s, h = _binned(scored, group, score)
+    return _percentile(lambda bins: s.join(bounded(bins), [*group, "_b"]), h, group, percent)
+
+
+def _percentile(pick: Callable[[DataFrame], DataFrame], h: DataFrame, group: list[str], percent: float) -> DataFrame:
+    """The percentile from bins; ``pick`` adds the scores (``_x``) that the bins it is given hold."""
     at = percent * (F.col("_all") - 1)
     h = h.withColumns({"_at": at, "_low": F.floor(at), "_high": F.ceil(at)})
     holds = h.filter(((F.col("_low") >= F.col("_i0")) & (F.col("_low") < F.col("_i1"))) | ((F.col("_high") >= F.col("_i0")) & (F.col("_high") < F.col("_i1"))))
-    r = s.join(bounded(holds.select(*group, "_b", "_i0", "_at", "_low", "_high")), [*group, "_b"])
+    r = pick(holds.select(*group, "_b", "_i0", "_at", "_low", "_high"))
     r = r.withColumn("_r", F.col("_i0") + F.row_number().over(W.partitionBy(*group, "_b").orderBy("_x")) - 1)
     low, high = (F.max(F.when(F.col("_r") == F.col(c), F.col("_x"))) for c in ("_low", "_high"))
     part = F.max(F.col("_at") - F.col("_low"))
-    return r.groupBy(*group).agg((low * (1 - part) + high * part).alias("value"))
+    return r.groupBy(*group).agg((low + (high - low) * part).alias("value"))
 
 
 def otsu(scored: DataFrame, group: list[str], score: str) -> DataFrame:
@@ -245,6 +261,10 @@ def otsu(scored: DataFrame, group: list[str], score: str) -> DataFrame:
     a bound of it inside; only the scores of bins whose bound reaches the best end are looked at one by one.
     """
     s, h = _binned(scored, group, score)
+    return _otsu(lambda bins: s.join(bounded(bins), [*group, "_b"]), h, group)
+
+
+def _otsu(pick: Callable[[DataFrame], DataFrame], h: DataFrame, group: list[str]) -> DataFrame:
     n, total = F.col("_all").cast("double"), F.col("_total")
     gap = lambda i, part: i * total - part * n
     inner = F.when((F.col("_lo") * n < total) & (F.col("_hi") * n > total), gap(F.col("_i0"), F.col("_s0")) + F.col("_n") * (total - n * F.col("_lo")))
@@ -260,7 +280,7 @@ def otsu(scored: DataFrame, group: list[str], score: str) -> DataFrame:
     best = ends.groupBy(*group).agg(F.max("_v").alias("_best"))
     # of equal scores the best split is at an end
     close = h.withColumn("_bound", bound).join(bounded(best), group, "left").filter(F.col("_lo") < F.col("_hi")).filter(F.col("_bound") * (1 + 1e-9) + 1e-11 >= F.coalesce("_best", F.lit(0.0)))
-    x = s.join(bounded(close.select(*group, "_b", "_i0", "_s0", "_all", "_total", "_next")), [*group, "_b"])
+    x = pick(close.select(*group, "_b", "_i0", "_s0", "_all", "_total", "_next"))
     w = W.partitionBy(*group, "_b").orderBy("_x")
     x = x.withColumns({"_i": F.col("_i0") + F.row_number().over(w), "_sum": F.col("_s0") + F.sum("_x").over(w.rowsBetween(W.unboundedPreceding, 0)), "_after": F.coalesce(F.lead("_x").over(w), F.col("_next"))})
     splits = x.filter("_i < _all").select(*group, var.alias("_v"), "_i", ((F.col("_x") + F.col("_after")) / 2).alias("_mid")).unionByName(ends)
@@ -291,9 +311,285 @@ def semantic_candidates(scored: DataFrame, k: int, percent: float = 0.85) -> Dat
     return over.join(bounded(many.select("query")), "query", "left_anti").unionByName(top(many))
 
 
+class _Block:
+    """A block of queries that records pass by: double-precision products a tile at a time, those with a query's own record as NaN."""
+
+    def __init__(self, held: pa.Table, dim: int, ids: pa.DataType):
+        self.ids, self.dim = held["query"].combine_chunks().cast(ids), dim
+        self.vectors = _matrix(held["embedding"], dim).astype(np.float64)
+        self.length = np.linalg.norm(self.vectors, axis=1)
+        self.own = held.select(["_own"]).to_pandas().rename(columns={"_own": "o"}).assign(q=range(held.num_rows)).dropna() if "_own" in held.column_names else None
+
+    def number(self, held: pa.Table, c: str) -> np.ndarray:
+        return held[c].to_numpy().astype(np.float64)
+
+    def tiles(self, part: pa.Table, some: Callable[[], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, first record, products, vectors of records, error of a product); ``some``: queries that are still wanted."""
+        rm = _matrix(part["embedding"], self.dim).astype(np.float64)
+        same = None if self.own is None else self.own.merge(part.select(["ord"]).to_pandas().rename(columns={"ord": "o"}).assign(r=range(len(rm))).dropna(), on="o")
+        mine = np.full(len(self.vectors), -1) if same is None or same["q"].duplicated().any() else None
+        if mine is None:
+            mine = np.full(len(self.vectors), -1)
+            mine[same["q"].to_numpy()] = same["r"].to_numpy()
+            same = None
+        for b in range(0, len(rm), 4096):
+            y = rm[b : b + 4096]
+            far = np.linalg.norm(y, axis=1).max()
+            take = np.arange(len(self.vectors)) if some is None else some()
+            for a in range(0, len(take), 256):
+                q = take[a : a + 256]
+                s = self.vectors[q] @ y.T
+                at = mine[q] - b
+                hit = np.flatnonzero((at >= 0) & (at < len(y)))
+                s[hit, at[hit]] = np.nan
+                if same is not None:
+                    for i, r in same[same["q"].isin(q) & same["r"].between(b, b + len(y) - 1)][["q", "r"]].itertuples(index=False):
+                        s[np.searchsorted(q, i), r - b] = np.nan
+                yield q, b, s, y, (self.dim + 8) * 4e-16 * self.length[q] * far
+
+    def settle(self, q: np.ndarray, s: np.ndarray, y: np.ndarray, error: np.ndarray, limit: np.ndarray) -> None:
+        """Products that are too near to a query's limit to tell are summed again in order."""
+        i, j = np.nonzero(np.abs(s - limit[:, None]) <= error[:, None])
+        for c in range(0, len(i), 65536):
+            s[i[c : c + 65536], j[c : c + 65536]] = _in_order(self.vectors[q[i[c : c + 65536]]], y[j[c : c + 65536]])
+
+    def rows(self, q: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(q)), *[pa.array(c) for c in columns.values()]], names=["query", *columns])
+
+
+def _bins(s: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bins of products between a query's ends; what is no number gets the bin after the last."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        x = (s - low[:, None]) * np.where(high > low, BINS / (high - low), 0.0)[:, None]
+        return np.where(np.isnan(x), BINS, np.clip(x, 0, BINS - 1)).astype(np.int64)
+
+
+def _meet(q: DataFrame, r: DataFrame, begin: Callable[[pa.Table], tuple[Callable, Callable]], ddl: str, *order: str) -> DataFrame:
+    """Records pass by the blocks of queries: ``begin`` takes a block's queries and gives what takes some records and what ends a block; both give batches."""
+    u = q.withColumn("_side", F.lit(0)).unionByName(r.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, block = None, [], None
+        for batch in batches:
+            key = np.column_stack([batch.column(c).to_numpy() for c in ("_i", "_j", "_side")])
+            cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1), True])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = pa.Table.from_batches([batch.slice(lo, hi - lo)])
+                if key[lo, 2] == 0:
+                    if at != tuple(key[lo, :2]):
+                        if block:
+                            yield from block[1]()
+                        at, held, block = tuple(key[lo, :2]), [], None
+                    held.append(part)
+                elif at == tuple(key[lo, :2]):
+                    block = block or begin(pa.concat_tables(held))
+                    yield from block[0](part)
+        if block:
+            yield from block[1]()
+
+    return dealt(u, "_i", "_j").sortWithinPartitions("_i", "_j", "_side", *order).mapInArrow(run, ddl)
+
+
+class _Products:
+    """Scores of queries with records that are never written: each step makes the products anew, block by block, and keeps a query's ends, bins or few scores.
+
+    Records without a score (null or not a number) are left out.
+    """
+
+    def __init__(self, queries: DataFrame, records: DataFrame):
+        self.queries, self.records = queries, records
+        self.q, r, odd, self.dim = _grid(queries, records, BLOCK_QUERIES)
+        self.r = r.select("_i", "_j", "ord", "embedding")
+        self.odd = None if odd is None else stored(odd.filter("score is not null and not isnan(score)"), "odd-scores")
+        self.id = queries.schema["query"].dataType.simpleString()
+        self.arrow = queries.select("query").limit(0).toArrow().schema.field("query").type
+
+    def _with(self, odd: DataFrame, made: DataFrame) -> DataFrame:
+        return made if odd is None else made.unionByName(odd)
+
+    def ends(self) -> DataFrame:
+        """``query, _min, _max``"""
+        dim, arrow = self.dim, self.arrow
+
+        def begin(held):
+            block = _Block(held, dim, arrow)
+            low, high = np.full(held.num_rows, np.inf), np.full(held.num_rows, -np.inf)
+
+            def take(part):
+                for q, _, s, _, error in block.tiles(part):
+                    low[q] = np.fmin(low[q], np.fmin.reduce(s, axis=1) - 2 * error)  # below every sum in order, too
+                    high[q] = np.fmax(high[q], np.fmax.reduce(s, axis=1))
+                return iter(())
+
+            def end():
+                q = np.flatnonzero(low <= high)
+                yield block.rows(q, _min=low[q], _max=high[q])
+
+            return take, end
+
+        e = _meet(self.q, self.r, begin, f"query {self.id}, _min double, _max double", "ord")
+        e = e if self.odd is None else e.unionByName(self.odd.select("query", F.col("score").alias("_min"), F.col("score").alias("_max")))
+        return stored(e.groupBy("query").agg(F.min("_min").alias("_min"), F.max("_max").alias("_max")), "score-ends")
+
+    def _odd_bins(self, ends: DataFrame) -> DataFrame:
+        x = self.odd.join(ends, "query").filter(F.col("score") >= F.col("_min"))
+        wide = F.col("_max") > F.col("_min")
+        place = F.when(wide, F.greatest(F.lit(0.0), F.least((F.col("score") - F.col("_min")) * (BINS / (F.col("_max") - F.col("_min"))), F.lit(BINS - 1.0)))).otherwise(0.0)
+        return x.select("query", F.floor(place).cast("int").alias("_b"), F.col("score").alias("_x"))
+
+    def bins(self, ends: DataFrame, counts: bool = False) -> DataFrame:
+        """Bins (as of ``_summed``) of the scores from a query's ``_min`` on; ``counts``: without sums and ends of bins."""
+        dim, arrow, blank = self.dim, self.arrow, counts
+
+        def begin(held):
+            block = _Block(held, dim, arrow)
+            low, high = block.number(held, "_min"), block.number(held, "_max")
+            shape = (held.num_rows, BINS)
+            n, total = np.zeros(shape, np.int64), None if blank else np.zeros(shape)
+            first, last = (None, None) if blank else (np.full(shape, np.inf), np.full(shape, -np.inf))
+
+            def take(part):
+                for q, _, s, y, error in block.tiles(part):
+                    block.settle(q, s, y, error, low[q])
+                    if blank:
+                        k = _bins(s, low[q], high[q]) + (np.arange(len(q)) * (BINS + 1))[:, None]
+                        n[q] += np.bincount(k.ravel(), minlength=len(q) * (BINS + 1)).reshape(-1, BINS + 1)[:, :BINS]
+                        continue
+                    i, j = np.nonzero(s >= low[q][:, None])
+                    x = s[i, j]
+                    k = _bins(x[:, None], low[q][i], high[q][i])[:, 0] + i * BINS
+                    size = len(q) * BINS
+                    n[q] += np.bincount(k, minlength=size).reshape(-1, BINS)
+                    total[q] += np.bincount(k, weights=x, minlength=size).reshape(-1, BINS)
+                    f, t = first[q].ravel(), last[q].ravel()
+                    np.minimum.at(f, k, x)
+                    np.maximum.at(t, k, x)
+                    first[q], last[q] = f.reshape(-1, BINS), t.reshape(-1, BINS)
+                return iter(())
+
+            def end():
+                for a in range(0, len(n), 64):
+                    i, b = np.nonzero(n[a : a + 64])
+                    i += a
+                    none = np.zeros(len(i))
+                    yield block.rows(i, _b=b.astype(np.int32), _n=n[i, b], _s=none if blank else total[i, b], _lo=none if blank else first[i, b], _hi=none if blank else last[i, b])
+
+            return take, end
+
+        h = _meet(self.q.join(bounded(ends), "query"), self.r, begin, f"query {self.id}, _b int, _n long, _s double, _lo double, _hi double", "ord")
+        if self.odd is not None:
+            h = h.unionByName(self._odd_bins(ends).select("query", "_b", F.lit(1).cast("long").alias("_n"), F.col("_x").alias("_s"), F.col("_x").alias("_lo"), F.col("_x").alias("_hi")))
+        h = h.groupBy("query", "_b").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        return stored(_summed(h, ["query"]), "score-bins")
+
+    def pick(self, ends: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        """Adds to given bins the scores (``_x``, summed in order) that they hold."""
+        dim, arrow = self.dim, self.arrow
+
+        def begin(held):
+            block = _Block(held, dim, arrow)
+            low, high = block.number(held, "_min"), block.number(held, "_max")
+            wanted = np.zeros((held.num_rows, BINS + 1), dtype=bool)
+            for i, b in enumerate(held["_bins"].to_pylist()):
+                wanted[i, b] = True
+
+            def take(part):
+                for q, _, s, y, error in block.tiles(part):
+                    block.settle(q, s, y, error, low[q])
+                    b = _bins(s, low[q], high[q])
+                    i, j = np.nonzero(wanted[q[:, None], b] & (s >= low[q][:, None]))
+                    x = [_in_order(block.vectors[q[i[c : c + 65536]]], y[j[c : c + 65536]]) for c in range(0, len(i), 65536)]
+                    if len(i):
+                        yield block.rows(q[i], _b=b[i, j].astype(np.int32), _x=np.concatenate(x))
+
+            return take, lambda: iter(())
+
+        def add(bins: DataFrame) -> DataFrame:
+            bins = stored(bins, "bins")
+            q = self.q.join(bounded(ends), "query").join(bounded(bins.groupBy("query").agg(F.collect_list("_b").alias("_bins"))), "query")
+            x = _meet(q, self.r, begin, f"query {self.id}, _b int, _x double", "ord")
+            x = x if self.odd is None else x.unionByName(self._odd_bins(ends))
+            return x.join(bounded(bins), ["query", "_b"])
+
+        return add
+
+    def over(self, limits: DataFrame, records: DataFrame, nearest: tuple[str, int] | None = None) -> DataFrame:
+        """Records with a score of at least a query's ``threshold``; ``nearest`` (a column and a number): at least those with the smallest values, ties by ``ord``."""
+        dim, arrow = self.dim, self.arrow
+        rest = [c for c in records.columns if c != "embedding"]
+        shape = records.select(*rest).limit(0).join(self.queries.select("query").limit(0), F.lit(True)).withColumn("score", F.lit(0.0))
+        q, r, odd, _ = _grid(self.queries, records, BLOCK_QUERIES)
+
+        def begin(held):
+            block = _Block(held, dim, arrow)
+            limit, found = block.number(held, "threshold"), np.zeros(held.num_rows, np.int64)
+
+            def take(part):
+                columns = part.select(rest).combine_chunks()
+                some = None if nearest is None else lambda: np.flatnonzero(found < nearest[1])  # records come by that column
+                for q, b, s, y, error in block.tiles(part, some):
+                    block.settle(q, s, y, error, limit[q])
+                    hit = s >= limit[q][:, None]
+                    if nearest is not None:
+                        place = found[q][:, None] + np.cumsum(hit, axis=1)
+                        found[q] += hit.sum(axis=1)
+                        hit &= place <= nearest[1]
+                    i, j = np.nonzero(hit)
+                    for c in range(0, len(i), 65536):
+                        qi, rj = q[i[c : c + 65536]], j[c : c + 65536]
+                        out = columns.take(pa.array(rj + b)).append_column("query", block.ids.take(pa.array(qi))).append_column("score", pa.array(_in_order(block.vectors[qi], y[rj])))
+                        yield from out.combine_chunks().to_batches()
+
+            return take, lambda: iter(())
+
+        order = [F.col(nearest[0]).asc_nulls_last(), "ord"] if nearest else []
+        made = _meet(q.join(bounded(limits), "query"), r, begin, _ddl(shape), *order)
+        return made if odd is None else made.unionByName(odd.join(limits, "query").filter("score >= threshold and not isnan(score)").select(*made.columns))
+
+
+#: Most queries of a block that keeps bins of each.
+BLOCK_QUERIES = 4096
+
+
+def otsu_of_products(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """``query, threshold``: `otsu` of a query's scores with all records, without writing them."""
+    p = _Products(queries, records)
+    ends = p.ends()
+    return _otsu(p.pick(ends), p.bins(ends), ["query"])
+
+
+def candidates_of_products(queries: DataFrame, records: DataFrame, k: int, percent: float = 0.85, extra: DataFrame | None = None, nearest: tuple[str, int] | None = None) -> DataFrame:
+    """`semantic_candidates` of the scores of queries with records, without writing the scores.
+
+    ``extra`` (by ``ord``) is joined to the candidates; with ``nearest`` (one of its columns and a number) a query may come with only
+    the candidates that are smallest by it, ties by ``ord``: they are found while records pass by in that order.
+    """
+    p = _Products(queries, records)
+    ends = p.ends()
+    cut = stored(_percentile(p.pick(ends), p.bins(ends, counts=True), ["query"], percent), "percentiles")
+    upper = stored(ends.join(bounded(cut), "query").select("query", F.col("value").alias("_min"), "_max"), "upper")
+    h = p.bins(upper)
+    few = h.groupBy("query").agg(F.sum("_n").alias("n")).filter(F.col("n") < k).select("query")
+    few = stored(few, "few")
+    top = lambda ids: top_k(queries.join(bounded(ids), "query", "left_semi"), records, k).filter("score is not null and not isnan(score)").drop("rank")
+    some = not few.isEmpty()
+    t = _otsu(p.pick(upper), h.join(bounded(few), "query", "left_anti") if some else h, ["query"])
+    t = stored(t.unionByName(otsu(top(few), ["query"], "score")) if some else t, "thresholds")
+    # the k best tell whether a query has fewer than k over its threshold
+    best = stored(top(t.select("query")), "best")
+    many = stored(best.join(t, "query").groupBy("query").agg(F.count_if(F.col("score") >= F.col("threshold")).alias("n")).filter(F.col("n") < k).select("query"), "too-few")
+    met = records if extra is None else records.join(extra, "ord")
+    rest = best.join(bounded(many), "query", "left_semi")
+    over = p.over(t.join(bounded(many), "query", "left_anti"), met, nearest)
+    return over.unionByName((rest if extra is None else rest.join(extra, "ord")).select(*over.columns))
+
+
+def away(position: tuple[float, float, float]) -> Column:
+    return F.sqrt(sum(((F.col(c) - p) * (F.col(c) - p) for c, p in zip("yz", position[1:])), (F.col("x") - position[0]) * (F.col("x") - position[0])))
+
+
 def rank_by_distance(cands: DataFrame, position: tuple[float, float, float], k: int) -> DataFrame:
-    at = F.sqrt(sum(((F.col(c) - p) * (F.col(c) - p) for c, p in zip("yz", position[1:])), (F.col("x") - position[0]) * (F.col("x") - position[0])))
-    c = cands.withColumn("distance", at)
+    c = cands.withColumn("distance", away(position))
     return c.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("distance", "ord"))).filter(F.col("place") <= k)
 
 

@@ -9,7 +9,6 @@ from maploom.operators import retrieval as R
 from maploom.plans import fixtures as fx
 from maploom.plans import query
 from maploom.plans.scalars import r6
-from maploom.sources.tables import stored
 
 _SC = "select a.vec_id as query, b.vec_id as ord, b.label, list_dot_product(a.embedding::double[], b.embedding::double[]) as score from embeddings a join embeddings b on a.vec_id % 20 = 0 and b.vec_id <> a.vec_id"
 _RK = f"select *, row_number() over (partition by query order by score desc, ord) as rank from ({_SC})"
@@ -59,7 +58,7 @@ th as (select query, arg_min((score + nx) / 2, {'v': -var, 'i': i}) as threshold
 
 @query("g3_otsu_threshold", f"with base as ({_SC}), {_OTSU} select query, round(threshold, 6) as threshold from th")
 def g3(spark, sf_dir):
-    return R.otsu(stored(R.scores(*_sides(spark, sf_dir)).select("query", "score"), "scores"), ["query"], "score").select("query", r6(F.col("threshold"), "threshold"))
+    return R.otsu_of_products(*_sides(spark, sf_dir)).select("query", r6(F.col("threshold"), "threshold"))
 
 
 _CAND = f"""with sc as ({_RK}), p as (select query, quantile_cont(score, 0.85) as p from sc group by query), z as (select sc.*, greatest(5, count(*) filter (score >= p) over (partition by query)) as size from sc join p using (query)),
@@ -70,7 +69,7 @@ cand as (select * from c where case when many < 5 then rank <= 5 else over_ end)
 
 @query("g4_semantic_candidates", f"{_CAND} select query, ord, round(score, 6) as score from cand")
 def g4(spark, sf_dir):
-    return R.semantic_candidates(R.scores(*_sides(spark, sf_dir)), 5).select("query", "ord", r6(F.col("score"), "score"))
+    return R.candidates_of_products(*_sides(spark, sf_dir), 5).select("query", "ord", r6(F.col("score"), "score"))
 
 
 _NEAR = f"""{_CAND}, d as (select query, ord, sqrt(x * x + y * y + z * z) as distance from cand join ({fx.POINTS}) on id = ord), n as (select *, row_number() over (partition by query order by distance, ord) as place from d)
@@ -78,9 +77,9 @@ select query, ord, round(distance, 6) as distance, place::int as place from n wh
 
 
 def _nearest(spark, sf_dir):
-    c = R.semantic_candidates(R.scores(*_sides(spark, sf_dir)), 5)
-    p = fx.points(spark, sf_dir).select(F.col("id").alias("ord"), "x", "y", "z")
-    return R.rank_by_distance(c.join(p, "ord"), (0.0, 0.0, 0.0), 5).select("query", "ord", r6(F.col("distance"), "distance"), "place")
+    p = fx.points(spark, sf_dir).select(F.col("id").alias("ord"), "x", "y", "z").withColumn("away", R.away((0.0, 0.0, 0.0)))
+    c = R.candidates_of_products(*_sides(spark, sf_dir), 5, extra=p, nearest=("away", 5))
+    return R.rank_by_distance(c, (0.0, 0.0, 0.0), 5).select("query", "ord", r6(F.col("distance"), "distance"), "place")
 
 
 @query("g5_rank_by_distance", _NEAR)
