@@ -1,6 +1,7 @@
 """Moving objects of a scene: six-state filters with a life cycle driven by sightings and by silence.
 
-An object is a constant-velocity filter (position and velocity), box sizes and label shares.
+An object is a constant-velocity filter (position and velocity), box sizes and label shares.  Errors are alike on all axes, so the
+filter's 6 x 6 covariance is three numbers (of position, of both, of velocity) times the unit matrix.
 Its state changes with each sighting, and without one when it has been silent for a
 while: occluded, then expired.  Those deadlines fire in time order between the sightings,
 from the rows of a batch or from event-time timers of a stream, so both give the same rows.
@@ -9,11 +10,11 @@ from the rows of a batch or from event-time timers of a stream, so both give the
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,9 +55,9 @@ class SceneRules:
 @dataclass
 class Thing:
     number: int
-    mean: np.ndarray  # position, velocity
-    spread: np.ndarray  # 6 x 6
-    size: np.ndarray
+    mean: list[float]  # position, velocity
+    spread: tuple[float, float, float]  # of position, of position and velocity, of velocity, on each axis
+    size: list[float]
     labels: dict[str, float]
     state: str
     seen_ns: int
@@ -114,31 +115,26 @@ class Scene:
         dt = (ns - t.at_ns) / 1e9
         if dt <= 0:
             return
-        move = np.eye(6)
-        move[[0, 1, 2], [3, 4, 5]] = dt
-        gain = np.concatenate([np.full(3, dt * dt / 2), np.full(3, dt)])  # of an acceleration on each axis
-        noise = np.outer(gain, gain) * np.tile(np.eye(3), (2, 2)) * self.rules.acceleration**2
-        t.mean = move @ t.mean
-        t.spread = move @ t.spread @ move.T + noise
+        m, (p, c, v), q = t.mean, t.spread, self.rules.acceleration**2
+        t.mean = [m[0] + dt * m[3], m[1] + dt * m[4], m[2] + dt * m[5], *m[3:]]
+        half = dt * dt / 2  # of an acceleration on each axis
+        t.spread = (p + 2 * dt * c + dt * dt * v + half * half * q, c + dt * v + half * dt * q, v + dt * dt * q)
         t.at_ns = ns
 
     # -- sightings
 
     def step(self, r) -> list[tuple]:
         out = self.silence(r.ns)
-        at = np.array([r.x, r.y, r.z], dtype=np.float64)
-        size = np.array([r.sx, r.sy, r.sz], dtype=np.float64)
+        at, size = ([math.nan if v is None else float(v) for v in vs] for vs in ((r.x, r.y, r.z), (r.sx, r.sy, r.sz)))
         labels = {} if r.labels is None else {k: float(v) for k, v in (r.labels.items() if isinstance(r.labels, dict) else r.labels)}
-        if not (np.isfinite(at).all() and np.isfinite(size).all() and np.isfinite(r.std) and r.std >= 0):
+        if not (all(map(math.isfinite, (*at, *size, r.std))) and r.std >= 0):
             return [*out, self._refuse(r, "not_finite")]
-        error = np.eye(3) * r.std**2
+        error = float(r.std) * float(r.std)
         t = self._find(r, at, labels)
         if t is None:
-            spread = np.zeros((6, 6))
-            spread[:3, :3] = error + np.eye(3) * 1e-9
-            spread[3:, 3:] = np.eye(3) * self.rules.velocity**2
+            spread = (error + 1e-9, 0.0, self.rules.velocity**2)
             state = "dynamic" if r.motion >= self.rules.moving_score else "tentative"
-            t = self.things[self.made] = Thing(self.made, np.concatenate([at, np.zeros(3)]), spread, size, labels, state, r.ns, r.ns)
+            t = self.things[self.made] = Thing(self.made, [*at, 0.0, 0.0, 0.0], spread, size, labels, state, r.ns, r.ns)
             self.made += 1
         elif r.ns <= t.seen_ns:
             return [*out, self._refuse(r, "not_chronological")]
@@ -149,37 +145,38 @@ class Scene:
         self._wait(t)
         return [*out, self._row(t, r.seq, r.ns, r.track)]
 
-    def _find(self, r, at: np.ndarray, labels: dict[str, float]) -> Thing | None:
+    def _find(self, r, at: list[float], labels: dict[str, float]) -> Thing | None:
         """The object of the sighting's track, else the nearest predicted one that can be the same."""
         if r.track in self.of_track:
             return self.things[self.of_track[r.track]]
-        near = [t for t in self.things.values() if r.ns >= t.seen_ns and not (labels and t.labels and labels.keys().isdisjoint(t.labels))]
-        if not near:
-            return None
-        means = np.array([t.mean for t in near])
-        dt = np.maximum(0.0, r.ns - np.array([t.at_ns for t in near])) / 1e9
-        d = np.linalg.norm(means[:, :3] + means[:, 3:] * dt[:, None] - at, axis=1)
-        best = int(d.argmin())  # the first of equals
-        return near[best] if d[best] <= self.rules.reach else None
-
-    def _update(self, t: Thing, r, at: np.ndarray, size: np.ndarray, labels: dict[str, float], error: np.ndarray) -> None:
-        before, dt = t.mean[:3].copy(), (r.ns - t.seen_ns) / 1e9
+        best, least = None, math.inf
+        for t in self.things.values():
+            if r.ns < t.seen_ns or (labels and t.labels and labels.keys().isdisjoint(t.labels)):
+                continue
+            m, dt = t.mean, max(0, r.ns - t.at_ns) / 1e9
+            d = math.dist((m[0] + m[3] * dt, m[1] + m[4] * dt, m[2] + m[5] * dt), at)
+            if d < least:  # the first of equals
+                best, least = t, d
+        return best if least <= self.rules.reach else None
+
+    def _update(self, t: Thing, r, at: list[float], size: list[float], labels: dict[str, float], error: float) -> None:
+        before, dt = t.mean[:3], (r.ns - t.seen_ns) / 1e9
         self._predict(t, r.ns)
-        gain = np.linalg.solve(t.spread[:3, :3] + error + np.eye(3) * 1e-9, t.spread[:3]).T
-        t.mean = t.mean + gain @ (at - t.mean[:3])
-        keep = np.eye(6)
-        keep[:, :3] -= gain
-        t.spread = keep @ t.spread @ keep.T + gain @ error @ gain.T  # Joseph form
-        t.spread = (t.spread + t.spread.T) / 2
+        m, (p, c, v) = t.mean, t.spread
+        gp, gv = p / (p + error + 1e-9), c / (p + error + 1e-9)  # gains of position and velocity
+        away = [a - x for a, x in zip(at, m)]
+        t.mean = [*[x + gp * d for x, d in zip(m, away)], *[x + gv * d for x, d in zip(m[3:], away)]]
+        keep = 1 - gp
+        t.spread = (keep * keep * p + gp * gp * error, keep * (c - gv * p) + gp * gv * error, v - 2 * gv * c + gv * gv * p + gv * gv * error)  # Joseph form
         if t.seen == 1 and dt > 0:  # a second sighting gives the first velocity
-            t.mean[3:] = (at - before) / dt
-            t.spread[3:, 3:] = (error + np.eye(3) * self.rules.position**2) / dt**2
-        t.size = 0.8 * t.size + 0.2 * size
+            t.mean[3:] = [(a - x) / dt for a, x in zip(at, before)]
+            t.spread = (*t.spread[:2], (error + self.rules.position**2) / dt**2)
+        t.size = [0.8 * a + 0.2 * b for a, b in zip(t.size, size)]
         mixed = {k: 0.8 * t.labels.get(k, 0.0) + 0.2 * labels.get(k, 0.0) for k in sorted(t.labels.keys() | labels.keys())}
         total = sum(mixed.values())
         t.labels = {k: v / total for k, v in mixed.items()} if total > 0 else mixed
         t.seen_ns, t.seen = r.ns, t.seen + 1
-        speed = float(np.linalg.norm(t.mean[3:]))
+        speed = math.hypot(*t.mean[3:])
         if r.motion >= self.rules.moving_score or speed >= self.rules.moving_speed:
             t.state, t.stable_ns, t.stable = "dynamic", None, 0
         elif speed <= self.rules.stable_speed:
@@ -193,7 +190,7 @@ class Scene:
 
     def _row(self, t: Thing, seq: int | None, ns: int, track: int | None) -> tuple:
         top = max(t.labels, key=lambda k: (t.labels[k], k), default=None)
-        numbers = [round(float(v), DIGITS) for v in (*t.mean, *t.size)]
+        numbers = [round(v, DIGITS) for v in (*t.mean, *t.size)]
         return (self.key, seq, ns, track, t.number, t.state, seq is not None, *numbers, top, None if top is None else round(t.labels[top], DIGITS), t.seen, None)
 
     def _refuse(self, r, reason: str) -> tuple:
