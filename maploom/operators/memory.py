@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from maploom.functions.geometry import euclid
 from maploom.operators.graphs import connected_components
-from maploom.operators.merging import merge_entities
+from maploom.operators.merging import merge_entities, replayed_actions
 from maploom.sources.tables import bounded, stored
 
 
@@ -54,11 +54,8 @@ def merge_events(merged: DataFrame) -> DataFrame:
 
 def merge_sweep(observations: DataFrame, distances: list[float]) -> DataFrame:
     """Entities and actions at each merge distance."""
-    out = None
-    for d in distances:
-        m = merge_events(merge_entities(observations, d)).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("map", "entity").alias("entities")).withColumn("distance", F.lit(d))
-        out = m if out is None else out.unionByName(m)
-    return out
+    found = replayed_actions(observations, [float(d) for d in distances]).groupBy("action", "distance")
+    return found.agg(F.sum("n").alias("n"), F.sum("entities").alias("entities")).select("action", "n", "entities", "distance")
 
 
 def session_registration(regs: DataFrame, inliers: int = 20, rms: float = 0.2, std: float = 0.5) -> DataFrame:

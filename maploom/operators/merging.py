@@ -61,7 +61,7 @@ class Entity:
         self.number, self.id, self.type, self.name = number, id_, type_, name
         self.names = {name.casefold()}
         self.place = [Median() for _ in range(3)]
-        self.size = [Median() for _ in range(3)]
+        self.size: list[Median] = []  # of those observations that have one
         self.at: tuple[float, float, float] | None = None
         self.confidence = 0.0
 
@@ -81,19 +81,29 @@ class EntityMap:
         return (math.floor(at[0] / self.distance), math.floor(at[1] / self.distance), math.floor(at[2] / self.distance))
 
     def _nearest(self, at: tuple[float, float, float], label: str, type_: str) -> int | None:
-        best = (self.distance, math.inf)  # of equals the older
+        best, found = self.distance, None
         x, y, z = self._cell(at)
-        now, tile = None, None
-        for i, j, k in NEIGHBOURS:
-            cell = (x + i, y + j, z + k)
-            where = (cell[0] >> TILE, cell[1] >> TILE, cell[2] >> TILE)
-            if where != now:
-                now, tile = where, self.tiles.get(where)
-            for number in tile.get(cell, ()) if tile else ():
-                e = self.entities[number]
-                if e.type == type_ and (not label or label in e.names):
-                    best = min(best, (math.dist(e.at, at), number))
-        return None if best[1] == math.inf else best[1]
+        low, high = (x - 1 >> TILE, y - 1 >> TILE, z - 1 >> TILE), (x + 1 >> TILE, y + 1 >> TILE, z + 1 >> TILE)
+        if low == high:
+            tiles = [(self.tiles.get(low), NEIGHBOURS)]
+        else:
+            parts: dict[tuple, list] = {}
+            for i, j, k in NEIGHBOURS:
+                parts.setdefault((x + i >> TILE, y + j >> TILE, z + k >> TILE), []).append((i, j, k))
+            tiles = [(self.tiles.get(where), steps) for where, steps in parts.items()]
+        entities, dist = self.entities, math.dist
+        for tile, steps in tiles:
+            if not tile:
+                continue
+            get = tile.get
+            for i, j, k in steps:
+                for number in get((x + i, y + j, z + k), ()):
+                    e = entities[number]
+                    if e.type == type_ and (not label or label in e.names):
+                        d = dist(e.at, at)
+                        if d < best or (d == best and (found is None or number < found)):  # of equals the older
+                            best, found = d, number
+        return found
 
     def _place(self, e: Entity, at: tuple[float, float, float]) -> None:
         """Put an entity at the median of its observations; one that has none of its own lies at ``at``, where it was made."""
@@ -117,6 +127,13 @@ class EntityMap:
             self.tiles[where] = tile
 
     def observe(self, r: Any) -> tuple:
+        """The row of an observation."""
+        before, e, created, label, switched = self.settle(r)
+        size = [m.value for m in e.size] if e.size else (None, None, None)
+        return (self.map_id, r.seq, r.session, r.local, r.us, before, e.id, created, *e.at, *size, e.confidence, e.name, e.type, label or None, switched)
+
+    def settle(self, r: Any) -> tuple[str | None, Entity, bool, str, float | None]:
+        """(the entity that the local id had, the entity it has now, whether that is new, the label, how far the local id switched)."""
         at = (float(r.x), float(r.y), float(r.z))
         label = (r.label or "").strip()
         local = (r.session, r.local)
@@ -143,6 +160,7 @@ class EntityMap:
             for m, c in zip(e.place, at):
                 m.add(c)
             if r.sx == r.sx and r.sy == r.sy and r.sz == r.sz and None not in (r.sx, r.sy, r.sz):
+                e.size = e.size or [Median() for _ in range(3)]
                 for m, c in zip(e.size, (r.sx, r.sy, r.sz)):
                     m.add(float(c))
             e.confidence = max(e.confidence, float(r.confidence))
@@ -153,7 +171,7 @@ class EntityMap:
         self.entities[found] = e
         before = None if mine is None else mine.id
         switched = moved if before is not None and before != e.id else None
-        return (self.map_id, r.seq, r.session, r.local, r.us, before, e.id, created, *e.at, *[m.value for m in e.size], e.confidence, e.name, e.type, label or None, switched)
+        return before, e, created, label, switched
 
 
 def completed(observations: DataFrame) -> DataFrame:
@@ -207,6 +225,43 @@ def merge_entities(observations: DataFrame, distance: float = 0.5) -> DataFrame:
     return o.mapInPandas(replay, MERGE_SCHEMA)
 
 
+SWEEP_SCHEMA = "distance double, action string, n long, entities long"
+
+
+def replayed_actions(observations: DataFrame, distances: list[float]) -> DataFrame:
+    """``distance, action, n, entities`` of each map: all distances are replayed while its observations pass by once."""
+
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, maps, seen = None, [], []
+        total: dict[tuple[float, str], list[int]] = {}
+
+        def close() -> None:
+            for m, actions in zip(maps, seen):
+                for action, (n, entities) in actions.items():
+                    t = total.setdefault((m.distance, action), [0, 0])
+                    t[0] += n
+                    t[1] += len(entities)
+
+        for pdf in frames:
+            for r in pdf.itertuples():
+                if not maps or at != r.map:
+                    close()
+                    at, maps, seen = r.map, [EntityMap(r.map, d) for d in distances], [{} for _ in distances]
+                for m, actions in zip(maps, seen):
+                    before, e, created, _, _ = m.settle(r)
+                    action = ("create" if before is None else "split") if created else "merge" if before is None else "reuse" if before == e.id else "reassociate"
+                    a = actions.get(action)
+                    if a is None:
+                        a = actions[action] = [0, set()]
+                    a[0] += 1
+                    a[1].add(e.number)
+        close()
+        yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["distance", "action", "n", "entities"])
+
+    o = dealt(completed(observations).filter("map is not null"), "map").sortWithinPartitions("map", *ORDER)
+    return o.mapInPandas(replay, SWEEP_SCHEMA)
+
+
 def merged_entities(merged: DataFrame) -> DataFrame:
     """One row an entity as it stands after all observations: names, place, size, confidence, and when it was made and last seen."""
     last = lambda c: F.max_by(c, "seq").alias(c)
@@ -220,7 +275,8 @@ def merged_entities(merged: DataFrame) -> DataFrame:
 def merge_audit(merged: DataFrame) -> DataFrame:
     """The log of a replay: ``map, seq, us, entity, action, previous, moved``; created and observed versions, and switched local ids beside them."""
     version = F.when(F.col("created"), "entity_created").otherwise("entity_observed")
-    rows = merged.select("map", "seq", "us", "entity", version.alias("action"), F.lit(None).cast("string").alias("previous"), F.lit(None).cast("double").alias("moved"))
-    switched = merged.filter("moved is not null").select("map", "seq", "us", "entity", F.lit("local_track_reassociated").alias("action"), F.col("prior").alias("previous"), "moved")
-    log = rows.unionByName(switched)
+    entry = lambda action, previous, moved: F.struct(action.alias("action"), previous.alias("previous"), moved.alias("moved"))
+    switched = entry(F.lit("local_track_reassociated"), F.col("prior"), F.col("moved"))
+    entries = F.array(entry(version, F.lit(None).cast("string"), F.lit(None).cast("double")), F.when(F.col("moved").isNotNull(), switched))
+    log = merged.select("map", "seq", "us", "entity", F.explode(F.array_compact(entries)).alias("e")).select("map", "seq", "us", "entity", "e.*")  # the replay runs once
     return log.withColumn("version", F.when(F.col("action") != "local_track_reassociated", F.row_number().over(W.partitionBy("map", "entity", F.col("action") == "local_track_reassociated").orderBy("seq"))))
