@@ -197,11 +197,20 @@ def retrieve_with_decision(queries: DataFrame, records: DataFrame, k: int = 5, m
 
     ``records``: ``ord, embedding`` and, for ``require_mesh``, ``geometry_status``.
     """
-    if k < 1 or not -1 <= min_sim <= 1 or not 0 <= min_margin <= 2:
-        raise ValueError("k must be at least 1, min_sim in [-1, 1] and min_margin in [0, 2]")
+    _checked(k, min_sim, min_margin)
     if require_mesh:
         records = records.filter("geometry_status = 'mesh'")
-    top = top_k(queries, records, max(k, 2))
+    return decide(queries, stored(top_k(queries, records, max(k, 2)), "top"), k, min_sim, min_margin)
+
+
+def _checked(k: int, min_sim: float, min_margin: float) -> None:
+    if k < 1 or not -1 <= min_sim <= 1 or not 0 <= min_margin <= 2:
+        raise ValueError("k must be at least 1, min_sim in [-1, 1] and min_margin in [0, 2]")
+
+
+def decide(queries: DataFrame, top: DataFrame, k: int = 5, min_sim: float = 0.55, min_margin: float = 0.0) -> DataFrame:
+    """The decisions of `retrieve_with_decision` from matches that `top_k` found, at least two a query; ``top`` is read three times."""
+    _checked(k, min_sim, min_margin)
     d = top.groupBy("query").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("_second"))
     d = queries.select("query").join(d, "query", "left").withColumn("margin", F.col("top_score") - F.col("_second"))
     low = F.coalesce(F.col("top_score") < min_sim, F.lit(True))
