@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from maploom.functions.geometry import euclid
 from maploom.operators.graphs import connected_components
 from maploom.sources.tables import bounded, stored
 
@@ -349,19 +351,61 @@ def z_buffer(points: DataFrame, k: tuple[float, float, float, float]) -> DataFra
 def dbscan(points: DataFrame, eps: float, least: int, by: str | None = None) -> DataFrame:
     """``id, cluster``: components of core points; a border point joins its core neighbour with the lowest id.
 
-    With ``by``, only points that share its value are neighbours; ids are unique over all of them.
+    With ``by``, only points that share its value are neighbours; ids are unique over all of them.  Places that aren't finite have no neighbours.
+
+    Cells are so small that all points of one are neighbours: a cell of ``least`` points has core points only, and only the few points of others count theirs.
+    Copies are one place.  Cells are linked, not points: by outermost core points first, and those still apart by all that can be near enough.
     """
     from maploom.operators.joins import radius_join
 
-    same = [by] if by else []
-    a, b = points.select("id", "x", "y", "z", *same), points.select(F.col("id").alias("other"), "x", "y", "z", *[F.col(c).alias(f"_{c}") for c in same])
-    near = radius_join(a, b, eps)
-    near = (near.filter(F.col(by) == F.col(f"_{by}")) if by else near).select("id", "other")
-    core = near.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("id")
-    links = near.join(core, "id").join(core.withColumnRenamed("id", "other"), "other")
-    comp = connected_components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    border = near.join(core, "id", "left_anti").join(core.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("other").alias("node"))
-    return comp.select(F.col("node").alias("id"), F.col("component").alias("cluster")).unionByName(border.join(comp, "node").select("id", F.col("component").alias("cluster")))
+    same, axes = [by] if by else [], ["x", "y", "z"]
+    key = [*same, "_kx", "_ky", "_kz"]
+    width = eps / math.sqrt(3) * 0.999  # a cell's diagonal stays below eps after rounding
+    finite = reduce(lambda p, q: p & q, [F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False)) for c in axes])
+    spot = points.filter(finite).groupBy(*same, *axes).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_n")).withColumns({f"_k{c}": F.floor(F.col(c) / width) for c in axes})
+    spot = stored(spot, "places")
+    spot = stored(spot.join(spot.groupBy(*key).agg(F.sum("_n").alias("_all")), key), "cells")
+
+    few = spot.filter(F.col("_all") < least).select(F.col("id").alias("_few"), *same, *axes)
+    counted = radius_join(spot.select("_n", *same, *axes), few, eps, on=tuple(same)).groupBy("_few").agg(F.sum("_n").alias("_near")).filter(F.col("_near") >= least)
+    spot = spot.join(counted.select(F.col("_few").alias("id"), F.lit(True).alias("_met")), "id", "left")
+    spot = stored(spot.withColumn("_core", (F.col("_all") >= least) | F.col("_met").isNotNull()).drop("_met", "_all"), "cores")
+    core = spot.filter("_core")
+
+    at = F.struct(*axes)
+    ends = F.array_distinct(F.array(*[f(at, c) for c in axes for f in (F.min_by, F.max_by)])).alias("_ends")
+    cells = core.groupBy(*key).agg(F.min("id").alias("_node"), ends, *[f(c).alias(f"_{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))])
+    cells = stored(cells, "core-cells")
+    step = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]  # a pair meets once
+    other = cells.withColumn("_step", F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(s, axes)]) for s in step])))
+    other = other.withColumns({f"_k{c}": F.col(f"_k{c}") + F.col(f"_step.{c}") for c in axes}).drop("_step")
+    other = other.withColumnsRenamed({c: f"_o{c}" for c in cells.columns if c not in key})
+    met = cells.hint("merge").join(other, key)
+    gap = F.sqrt(sum((F.greatest(F.lit(0.0), F.col(f"_o_lo{c}") - F.col(f"_hi{c}"), F.col(f"_lo{c}") - F.col(f"_o_hi{c}")) ** 2 for c in axes), F.lit(0.0)))
+    far = lambda p, q: euclid([p[c] for c in axes], [q[c] for c in axes])
+    sure = F.exists("_ends", lambda p: F.exists("_o_ends", lambda q: far(p, q) <= eps))
+    met = stored(met.filter(gap <= eps * (1 + 1e-9)).withColumn("_sure", sure).drop("_ends", "_o_ends"), "cell-pairs")
+    loops = cells.select(F.col("_node").alias("a"), F.col("_node").alias("b"))
+    comp = stored(connected_components(loops.unionByName(met.filter("_sure").select(F.col("_node").alias("a"), F.col("_o_node").alias("b")))), "cell-components")
+
+    # cells that outermost points left apart
+    name = lambda n, c: comp.select(F.col("node").alias(n), F.col("component").alias(c))
+    apart = met.filter("not _sure").join(name("_node", "_c"), "_node").join(name("_o_node", "_d"), "_o_node").filter("_c <> _d")
+    within = lambda side: reduce(lambda p, q: p & q, [F.col(c).between(F.col(f"{side}_lo{c}") - eps * (1 + 1e-9), F.col(f"{side}_hi{c}") + eps * (1 + 1e-9)) for c in axes])
+    member = core.join(cells.select(*key, "_node"), key).select("_node", *axes)
+    left = apart.join(member, "_node").filter(within("_o")).withColumnsRenamed({c: f"_{c}" for c in axes})
+    pair = left.join(member.withColumnRenamed("_node", "_o_node"), "_o_node").filter(within(""))
+    pair = pair.filter(euclid([F.col(f"_{c}") for c in axes], [F.col(c) for c in axes]) <= eps).select(F.col("_c").alias("a"), F.col("_d").alias("b")).distinct()
+    roots = connected_components(stored(pair, "late-links"))
+    comp = comp.join(roots.select(F.col("node").alias("component"), F.col("component").alias("_root")), "component", "left").select("node", F.coalesce("_root", "component").alias("cluster"))
+
+    core = core.join(cells.select(*key, "_node"), key).join(comp.withColumnRenamed("node", "_node"), "_node").select("id", "cluster", *same, *axes)
+    core = stored(core, "clustered")
+    rest = spot.filter("not _core").select(F.col("id").alias("_rest"), *same, *axes)
+    border = radius_join(core, rest, eps, on=tuple(same)).groupBy("_rest").agg(F.min_by("cluster", "id").alias("cluster"))
+    border = border.join(rest, "_rest").select("cluster", *same, *axes)
+    found = core.select("cluster", *same, *axes).unionByName(border)
+    return points.select("id", *same, *axes).join(found, [*same, *axes]).select("id", "cluster")
 
 
 def cluster_geometry(points: DataFrame, cameras: DataFrame, eps: float, least: int, least_points: int, share: float = 0.03) -> DataFrame:
