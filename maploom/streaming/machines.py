@@ -7,10 +7,12 @@ State lives in the RocksDB store; checkpoints make restarts exact.
 
 from __future__ import annotations
 
+import ast
 import pickle
 from collections.abc import Callable, Iterator, MutableMapping
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +106,7 @@ class Kept(MutableMapping):
         self.state, self.block, self.fresh = state, block, fresh
         self.known: dict[Any, dict] = {}
         self.dirty: set = set()
+        self.added = 0
 
     def _load(self, name: Any) -> dict:
         if name not in self.known:
@@ -122,9 +125,23 @@ class Kept(MutableMapping):
 
     def __setitem__(self, key: Any, value: Any) -> None:
         name = self.block(key)
-        self._load(name)[key] = value
+        block = self._load(name)
+        self.added += key not in block
+        block[key] = value
         self.dirty.add(name)
 
+    def deal(self, block: Callable[[Any], Any]) -> None:
+        """Put all that is kept into other blocks; their names hold the old ones."""
+        if not self.fresh:
+            for (name,), (data,) in self.state.iterator():
+                self.known.setdefault(ast.literal_eval(name), pickle.loads(bytes(data)))
+        held, self.block, self.known = self.known, block, {}
+        for part in held.values():
+            for key, value in part.items():
+                self.known.setdefault(block(key), {})[key] = value
+        self.known |= {name: {} for name in held if name not in self.known}
+        self.dirty = set(self.known)
+
     def flush(self) -> None:
         for name in self.dirty:
             self.state.updateValue((repr(name),), (pickle.dumps(self.known[name]),))
@@ -140,9 +157,12 @@ class Kept(MutableMapping):
 
 
 class MergeProcessor(StatefulProcessor):
-    """A map of entities a key; a batch reads and writes only the blocks of entities, tiles and local ids that its rows touch."""
+    """A map of entities a key; a batch reads and writes only the blocks of entities, tiles and local ids that its rows touch.
+
+    Every block read or written is a round trip to the store, so a small map has few: blocks of local ids double as these become more.
+    """
 
-    #: Numbers of entities side by side in a block, and blocks that local ids are dealt over.
+    #: Numbers of entities side by side in a block, and most local ids a block on average.
     ENTITIES = 64
     LOCALS = 64
 
@@ -151,18 +171,31 @@ class MergeProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.parts = [handle.getMapState(name, "name string", "data binary") for name in ("entities", "tiles", "locals")]
-        self.begun = handle.getValueState("begun", "yes boolean")
+        self.size = handle.getValueState("size", "locals long, blocks long")
+
+    @staticmethod
+    def dealt(blocks: int) -> Callable[[Any], int]:
+        return lambda local: 0 if local == "made" else (local[0] + local[1]) % blocks
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = not self.begun.exists()
-        blocks = (lambda number: number // self.ENTITIES, lambda tile: tile, lambda local: local if local == "made" else (local[0] + local[1]) % self.LOCALS)
-        kept = [Kept(p, block, fresh) for p, block in zip(self.parts, blocks)]
+        size = self.size.get()
+        fresh = size is None
+        known, blocks = size or (0, 1)
+        kept = [Kept(p, block, fresh) for p, block in zip(self.parts, (lambda number: number // self.ENTITIES, lambda tile: tile, self.dealt(blocks)))]
         m = EntityMap(int(key[0]), self.distance, *kept)
-        out = [m.observe(r) for r in pd.concat(list(rows)).sort_values(ORDER).itertuples()]
+        pdf = pd.concat(list(rows))
+        order = np.lexsort([pdf[c].to_numpy() for c in reversed(ORDER)])
+        out = [m.observe(r) for r in pdf.iloc[order].itertuples()]
+        added, most = kept[2].added, blocks
+        total = known + added
+        while total > self.LOCALS * most:
+            most *= 2
+        if most > blocks:
+            kept[2].deal(self.dealt(most))
         for k in kept:
             k.flush()
-        if fresh:
-            self.begun.update((True,))
+        if fresh or added:
+            self.size.update((total, most))
         yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
