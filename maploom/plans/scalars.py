@@ -8,11 +8,11 @@ from maploom.functions import geometry as G
 from maploom.functions import text as X
 from maploom.functions import times as TM
 from maploom.functions import vectors as V
+from maploom.operators import joins as J
 from maploom.operators import pixels as PX
 from maploom.operators import retrieval as R
 from maploom.plans import fixtures as fx
 from maploom.plans import query
-from maploom.sources.tables import bounded
 
 
 def r6(c, name):
@@ -59,9 +59,9 @@ _SETS = "list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-
 @query("b5_token_jaccard", f"""with d as (select doc_id, {_SETS} as a from documents), b as (select item_id, {_SETS} as b from benchmark where item_id % 20 = 0)
 select doc_id, item_id, round(case when len(a) + len(b) = 0 then 1.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) end, 6) as score from d, b""")
 def b5(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", X.token_set(F.col("text")).alias("a"))
-    b = fx.table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", X.token_set(F.col("text")).alias("b"))  # the query set
-    return d.join(bounded(b), F.lit(True)).select("doc_id", "item_id", r6(X.set_jaccard(F.col("a"), F.col("b")), "score"))
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", X.token_set(F.col("text")).alias("_set"))
+    b = fx.table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select("item_id", X.token_set(F.col("text")).alias("_set"))  # the query set
+    return J.set_jaccards(d, b).select("doc_id", "item_id", r6(F.col("score"), "score"))
 
 
 @query("b6_operation_id", f"""select seq, sha256('map|' || seq || '|' || key || '|' || k || '|' || lower(kind)) as op from ({fx.EVENTS})""")
