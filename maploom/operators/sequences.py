@@ -87,7 +87,7 @@ def resample_path(df: DataFrame, key: str | list[str], order: str, n: int, axes:
     hi = F.least(F.ceil(F.col("_s1") / unit - 1e-9) - F.when(F.abs(F.col("_s1") - F.col("_t")) < 1e-12, 0).otherwise(1), F.lit(n - 1))
     seg = a.filter((F.col("_t") > 0) & (F.col("_s1") - F.col("s") > 1e-12)).withColumn("i", F.explode(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))))
     f = (F.col("i") * unit - F.col("s")) / (F.col("_s1") - F.col("s"))
-    out = seg.select(*keys, "i", *[(F.col(c) + (F.col(f"_{c}1") - F.col(c)) * f).alias(c) for c in axes]).dropDuplicates([*keys, "i"])
+    out = seg.select(*keys, "i", *[(F.col(c) + (F.col(f"_{c}1") - F.col(c)) * f).alias(c) for c in axes])  # a target has one segment: each ends where the next begins
     still = a.filter((F.col("_t") == 0) & (F.col("_first") == 1)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).select(*keys, "i", *axes)
     return out.unionByName(still)
 

@@ -1,7 +1,7 @@
 """Acceptance of trajectories without ground truth: rate, loop closure, repeated paths and sensor streams.
 
 A trajectory has rows ``key, t`` (seconds), ``x, y, z`` and a row-major 4x4 pose ``m``; its traversals are named by a column.
-Every step is a group, a window or a join on ``key``; Python only turns the 3 x 3 covariance of a pair of paths into a rotation.
+Every step is a group, a window or a join on ``key``; Python only fits the samples of a pair of paths, many pairs at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.functions import pandas_udf
 
@@ -29,6 +28,7 @@ MOST_LOOP = 0.50
 MOST_LOOP_DEG = 10.0
 MOST_ALIGNED_P95 = 0.30
 SAMPLES = 128
+TIE = 1e-9  # rounding differs by more than nothing between the two directions of a path
 SENSORS = ("imu", "stereo_left", "stereo_right")
 CODES = ("vio.duration", "vio.rate", "vio.loop_translation", "vio.loop_rotation", "vio.repeated_path", "vio.sensor_evidence")
 
@@ -48,15 +48,54 @@ def loop_closure(traj: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-@pandas_udf(T.ArrayType(T.DoubleType()))
-def _rotation(covariance: pd.Series) -> pd.Series:
-    """Row-major rotation that turns the centred first points onto the second, from the nine sums of their products."""
-    if not len(covariance):
-        return pd.Series([], dtype=object)
-    u, _, vt = np.linalg.svd(np.stack(covariance.to_numpy()).reshape(-1, 3, 3))
+def _rotations(covariance: np.ndarray) -> np.ndarray:
+    """Rotations that turn centred first points onto the second, from the 3 x 3 sums of their products."""
+    u, _, vt = np.linalg.svd(covariance)
     flip = np.ones((len(u), 3))
     flip[:, 2] = np.sign(np.linalg.det(u) * np.linalg.det(vt))  # no mirror images
-    return pd.Series(list(np.einsum("nji,nj,nkj->nik", vt, flip, u).reshape(-1, 9)))
+    return np.einsum("nji,nj,nkj->nik", vt, flip, u)
+
+
+def _fitted(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """50th and 95th percentile and most of the distances of paths ``p`` (path, sample, axis), moved and turned, from ``q``; samples that one of the two lacks are NaN."""
+    both = ~np.isnan(p[:, :, 0] + q[:, :, 0])
+    n = np.maximum(both.sum(axis=1), 1)[:, None, None]
+    # sums about a point of each path, not about the origin: positions may be large
+    a, b = (np.where(both[:, :, None], x, 0.0) for x in (p, q))
+    a, b = (np.where(both[:, :, None], x - x.sum(axis=1, keepdims=True) / n, 0.0) for x in (a, b))
+    away = np.linalg.norm(np.einsum("nij,nkj->nki", _rotations(np.einsum("nki,nkj->nij", a, b)), a) - b, axis=2)
+    out = np.full((len(p), 3), np.nan)
+    whole = both.all(axis=1)
+    if whole.any():
+        out[whole] = np.percentile(away[whole], [50, 95, 100], axis=1).T
+    for k in np.flatnonzero(~whole & both.any(axis=1)):
+        out[k] = np.percentile(away[k][both[k]], [50, 95, 100])
+    return out
+
+
+def _fit(samples: int):
+    """Column function of two packed paths: how the first lies on the second, in the better direction; null if no sample is in both."""
+
+    def placed(path: pd.Series) -> np.ndarray:
+        at = np.full((len(path), samples, 3), np.nan)
+        rows = np.repeat(np.arange(len(path)), [len(s) for s in path])
+        flat = np.concatenate([np.asarray(s, dtype=np.float64) for s in path]).reshape(-1, 4) if len(rows) else np.empty((0, 4))
+        at[rows[::4], flat[:, 0].astype(np.int64)] = flat[:, 1:]
+        return at
+
+    @pandas_udf("reversed boolean, p50 double, p95 double, most double")
+    def fit(path: pd.Series, reference: pd.Series) -> pd.DataFrame:
+        parts = []
+        for k in range(0, len(path), 1024):
+            p, q = placed(path.iloc[k : k + 1024]), placed(reference.iloc[k : k + 1024])
+            there, back = _fitted(p, q), _fitted(p[:, ::-1], q)
+            turned = there[:, 1] - back[:, 1] > TIE * np.maximum(there[:, 1], 1.0)
+            best = pd.DataFrame(np.where(turned[:, None], back, there), columns=["p50", "p95", "most"]).astype(object)
+            best.insert(0, "reversed", pd.Series(turned, dtype=object))
+            parts.append(best.mask(np.isnan(there[:, 1])[:, None] & np.ones((1, 4), bool), None))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["reversed", "p50", "p95", "most"])
+
+    return fit
 
 
 def traversals(traj: DataFrame, key: str, traversal: str, order: str) -> DataFrame:
@@ -74,31 +113,22 @@ def align_traversals(traj: DataFrame, key: str, traversal: str, order: str, samp
     """Each traversal of a key against the key's first, by the rigid transform (no scale) that fits best.
 
     Both are sampled at equal arc length; the candidate is taken forward and reversed, and the direction with the smaller
-    95th percentile of the errors wins (a tie: forward).  ``key, traversal, reference, reversed, p50, p95, most``; the last
+    95th percentile of the errors wins (a tie, to 1e-9: forward).  ``key, traversal, reference, reversed, p50, p95, most``; the last
     four are null, and ``error`` says why, where one of the two has fewer than two points, a point that isn't finite or no length.
     """
     known = traversals(traj, key, traversal, order)
     error = F.when(F.col("points") < 2, "fewer than two points").when(~F.col("finite"), "points that are not finite").when(F.col("length") <= 1e-9, "no length")
     known = stored(known.select(key, traversal, "first", error.alias("error")), "traversals")
     fine = traj.join(known.filter("error is null"), [key, traversal], "left_semi").select(key, traversal, order, *AXES)
-    points = stored(resample_path(fine, [key, traversal], order, samples, AXES), "samples")  # read as candidate and as reference
+    # a path is one row from here on: its samples' numbers and coordinates one after another
+    sample = F.array(F.col("i").cast("double"), *AXES)
+    points = resample_path(fine, [key, traversal], order, samples, AXES).groupBy(key, traversal).agg(F.flatten(F.collect_list(sample)).alias("_path"))
+    points = stored(points, "samples")  # read as candidate and as reference
     reference = known.filter("first").select(key, F.col(traversal).alias("reference"), F.col("error").alias("_why"))
     pairs = known.filter("not first").select(key, traversal, "error").join(reference, key)
-    target = points.select(key, F.col(traversal).alias("reference"), "i", *[F.col(c).alias(f"q{c}") for c in AXES])
-    ways = points.withColumn("reversed", F.explode(F.array(F.lit(False), F.lit(True))))
-    ways = ways.withColumn("i", F.when(F.col("reversed"), samples - 1 - F.col("i")).otherwise(F.col("i")))
-    met = ways.join(pairs.filter("error is null and _why is null").select(key, traversal, "reference"), [key, traversal]).join(target, [key, "reference", "i"])
-
-    # sums about a point of each path, not about the origin: positions may be large
-    group = [key, traversal, "reference", "reversed"]
-    w = W.partitionBy(*group)
-    centred = met.withColumns({f"_{c}": F.col(c) - F.avg(c).over(w) for c in AXES} | {f"_q{c}": F.col(f"q{c}") - F.avg(f"q{c}").over(w) for c in AXES})
-    sums = centred.groupBy(*group).agg(F.array(*[F.sum(F.col(f"_{a}") * F.col(f"_q{b}")) for a in AXES for b in AXES]).alias("cov"))
-    turned = centred.join(sums.select(*group, _rotation("cov").alias("r")), group)
-    moved = [reduce(lambda p, q: p + q, [F.col("r")[3 * a + b] * F.col(f"_{c}") for b, c in enumerate(AXES)]) for a in range(3)]
-    off = turned.withColumn("_e", euclid(moved, [F.col(f"_q{c}") for c in AXES]))
-    fits = off.groupBy(*group).agg(F.percentile("_e", 0.5).alias("p50"), F.percentile("_e", 0.95).alias("p95"), F.max("_e").alias("most"))
-    best = fits.groupBy(key, traversal).agg(F.min_by(F.struct("reversed", "p50", "p95", "most"), F.struct("p95", "reversed")).alias("b"))
+    target = points.select(key, F.col(traversal).alias("reference"), F.col("_path").alias("_onto"))
+    met = points.join(pairs.filter("error is null and _why is null").select(key, traversal, "reference"), [key, traversal]).join(target, [key, "reference"])
+    best = met.select(key, traversal, _fit(samples)("_path", "_onto").alias("b"))
     out = pairs.join(best, [key, traversal], "left")
     return out.select(key, traversal, "reference", "b.reversed", "b.p50", "b.p95", "b.most", F.coalesce("error", F.concat(F.lit("reference: "), "_why")).alias("error"))
 
