@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -92,33 +93,52 @@ def best_pending(df: DataFrame, key: str) -> DataFrame:
 
 
 def merge_paths(points: DataFrame, near: float, overlap: float, ratio: float) -> DataFrame:
-    """``map, path, merged, reversed``: each resampled path (``map, path, i, x, y``) joins the first it lies on, else starts its own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for path, g in pdf.sort_values(["path", "i"]).groupby("path"):
-            p = g[["x", "y"]].to_numpy()
-            length = np.linalg.norm(np.diff(p, axis=0), axis=1).sum()
-            best = None
-            for k, (q, n, ql, _) in enumerate(kept):
-                for flip, cand in ((False, p), (True, p[::-1])):
-                    d = np.linalg.norm(cand - q, axis=1)
-                    ok = (d <= near).mean() >= overlap and min(length, ql) >= ratio * max(length, ql) and np.median(d) <= near
-                    if ok and (best is None or np.median(d) < best[0]):
-                        best = (np.median(d), k, flip, cand)
-            if best is None:
-                kept.append([p, 1, length, path])
-                out.append((path, path, False))
-            else:
-                _, k, flip, cand = best
-                q, n = kept[k][0], kept[k][1]
-                kept[k][0], kept[k][1] = q + (cand - q) / (n + 1), n + 1
-                out.append((path, kept[k][3], flip))
-        res = pd.DataFrame(out, columns=["path", "merged", "reversed"])
-        res.insert(0, "map", pdf["map"].iloc[0])
-        return res
-
-    return points.groupBy("map").applyInPandas(run, "map long, path long, merged long, reversed boolean")
+    """``map, path, merged, reversed``: each resampled path (``map, path, i, x, y``) joins the first it lies on, else starts its own.
+
+    The paths of a map pass by in order, a row each; its task holds only those that others may join.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n = (), 0
+        kept = sizes = lengths = None
+        names: list[int] = []
+        for pdf in frames:
+            out = []
+            for m, path, xs, ys in pdf.itertuples(index=False):
+                m = None if pd.isna(m) else int(m)
+                p = np.column_stack([xs, ys])
+                if at != (m,):
+                    at, n, names = (m,), 0, []
+                    kept, sizes, lengths = np.empty((64, *p.shape)), np.empty(64, dtype=np.int64), np.empty(64)
+                length = np.linalg.norm(np.diff(p, axis=0), axis=1).sum()
+                best = None
+                for lo in range(0, n, 4096):
+                    ql = lengths[lo : min(lo + 4096, n)]
+                    some = lo + np.flatnonzero(np.minimum(length, ql) >= ratio * np.maximum(length, ql))
+                    for flip, cand in ((False, p), (True, p[::-1])):
+                        d = np.linalg.norm(cand - kept[some], axis=2)
+                        mid = np.median(d, axis=1)
+                        ok = np.flatnonzero(((d <= near).mean(axis=1) >= overlap) & (mid <= near))
+                        if len(ok):
+                            k = ok[np.argmin(mid[ok])]
+                            best = min(best or (np.inf,), (mid[k], some[k], flip))  # of equals the older, then forward
+                if best is None:
+                    if n == len(kept):
+                        kept, sizes, lengths = (np.concatenate([a, np.empty_like(a)]) for a in (kept, sizes, lengths))
+                    kept[n], sizes[n], lengths[n] = p, 1, length
+                    names.append(path)
+                    n += 1
+                    out.append((m, path, path, False))
+                else:
+                    _, k, flip = best
+                    kept[k] += ((p[::-1] if flip else p) - kept[k]) / (sizes[k] + 1)
+                    sizes[k] += 1
+                    out.append((m, path, names[k], flip))
+            yield pd.DataFrame(out, columns=["map", "path", "merged", "reversed"])
+
+    at = F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("_p")
+    packed = points.groupBy("map", "path").agg(at).select("map", "path", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+    return dealt(packed, "map").sortWithinPartitions("map", "path").mapInPandas(run, "map long, path long, merged long, reversed boolean")
 
 
 def telemetry_clean(df: DataFrame, numbers: list[str], required: list[str]) -> DataFrame:
