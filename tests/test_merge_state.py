@@ -85,3 +85,11 @@ def test_blocks_of_local_ids_double_and_lose_nothing():
     m = EntityMap(1, 4.0)
     assert same(out, [m.observe(r) for r in d.itertuples()])
     assert 16 <= len(handle.maps["locals"].held) <= 64
+
+
+def test_no_row_class_a_map(monkeypatch):
+    d, handle = rows(20, 3), Handle()
+    monkeypatch.setattr(pd.DataFrame, "itertuples", lambda *a, **b: (_ for _ in ()).throw(AssertionError("a row class is made for each map")))
+    p = MergeProcessor(4.0)
+    p.init(handle)
+    assert sum(len(f) for f in p.handleInputRows((1,), iter([d[10:], d[:10]]), None)) == 20
